@@ -3,19 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm import minhash
+from spindrift.llm import langmix, lines, minhash, packing, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, line labels and verdict of every document."""
+    return lines.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    return langmix.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over 2-word shingles at 0.8."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op4_line_crf": op4_line_crf,
+    "op6_wrappers": op6_wrappers,
+    "op7_language_mixture": op7_language_mixture,
     "op10_minhash": op10_minhash,
 }
