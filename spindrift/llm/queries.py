@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import langmix, lines, minhash, packing, wrappers
+from spindrift.llm import epsgrid, langmix, lines, minhash, packing, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmix.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return epsgrid.linked_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back through their merged index."""
+    index = warc.archive_and_index(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over 2-word shingles at 0.8."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
@@ -43,5 +54,7 @@ QUERIES = {
     "op4_line_crf": op4_line_crf,
     "op6_wrappers": op6_wrappers,
     "op7_language_mixture": op7_language_mixture,
+    "op8_epsilon_grid": op8_epsilon_grid,
+    "op9_capture_index": op9_capture_index,
     "op10_minhash": op10_minhash,
 }

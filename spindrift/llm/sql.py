@@ -23,6 +23,36 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS ke
 FROM sets JOIN least_of ON doc_id = x
 """
 
+OP8 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least_of AS (SELECT x, min(y) AS c FROM reach GROUP BY x), counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN least_of ON vec_id = least_of.x LEFT JOIN counts ON vec_id = counts.x
+"""
+
+OP9 = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM payloads LEFT JOIN firsts USING (payload_digest)
+"""
+
 SQL = {
+    "op8_epsilon_grid": OP8,
+    "op9_capture_index": OP9,
     "op10_minhash": OP10,
 }
