@@ -23,9 +23,8 @@ from spindrift.llm.tokens import default_vocabulary, encode
 
 Piece = tuple[object, int, int, np.ndarray]
 #: Windows that one split may number.
-_SPLIT = 1 << 40
+SPLIT = 1 << 40
 _TYPES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-_NAMES = [x.split()[0] for x in _TYPES.split(", ")]
 
 
 class Packer:
@@ -100,22 +99,34 @@ class Packer:
         self.open = 0
 
 
-def _run(vocabulary: str, end_id: int, size: int, max_open: int, rows: int = 8192) -> Callable:
+_WINDOW = "sequence_id long, first_doc long, n_pieces long, n_tokens long, ids binary"
+
+
+def _pieces(pieces: list[Piece], number: int) -> list[tuple]:
+    out, offset = [], 0
+    for doc_id, total, start, ids in pieces:
+        out.append((doc_id, start, len(ids), total, number, offset, ids.tobytes()))
+        offset += len(ids)
+    return out
+
+
+def _window(pieces: list[Piece], number: int) -> list[tuple]:
+    ids = b"".join(p[3].tobytes() for p in pieces)
+    return [(number, pieces[0][0], len(pieces), len(ids) // 4, ids)]
+
+
+def _run(vocabulary: str, end_id: int, size: int, max_open: int, rows_of: Callable, types: str, rows: int = 4096) -> Callable:
+    fields = [(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in types.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
-        def emit(pieces: list[Piece], number: int) -> None:
-            offset = 0
-            for doc_id, total, start, ids in pieces:
-                out.append((doc_id, start, len(ids), total, number, offset, ids.tobytes()))
-                offset += len(ids)
-
         def taken() -> pa.RecordBatch:
-            columns = [pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))]
+            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+            return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
-        packer = Packer(size, max_open, emit, TaskContext.get().partitionId() * _SPLIT)
+        packer = Packer(size, max_open, lambda pieces, number: out.extend(rows_of(pieces, number)), TaskContext.get().partitionId() * SPLIT)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for doc_id, text in zip(batch.column("doc_id"), texts, strict=True):
@@ -141,14 +152,19 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, size:
     columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_run(vocabulary or default_vocabulary(), end_id, size, max_open), _TYPES)
+    return docs.mapInArrow(_run(vocabulary or default_vocabulary(), end_id, size, max_open, _pieces, _TYPES), _TYPES)
+
+
+def pack_windows(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, size: int = 2048, max_open: int = 4096) -> DataFrame:
+    """The same windows as ``pack``, a row each: sequence_id, first_doc (doc_id
+    of the first piece), n_pieces, n_tokens, ids (unpadded)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(_run(vocabulary or default_vocabulary(), end_id, size, max_open, _window, _WINDOW), _WINDOW)
 
 
-def sequences(pieces: DataFrame, pad_id: int = 0, size: int = 2048) -> DataFrame:
-    """Padded windows: sequence_id, ids (array of ``size``, or unpadded where
-    the length is a power of two), n_tokens. A window's pieces are few."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("h")))), lambda p: p["h"])
-    whole = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_join(parts, "").alias("h"))
-    short = F.when(F.log2("n_tokens") == F.floor(F.log2("n_tokens")), F.col("n_tokens")).otherwise(F.lit(size))
-    pad = F.lit(int(pad_id).to_bytes(4, "little").hex())
-    return whole.select("sequence_id", F.unhex(F.concat("h", F.repeat(pad, (short - F.col("n_tokens")).cast("int")))).alias("ids"), "n_tokens")
+def padded(windows: DataFrame, pad_id: int = 0, size: int = 2048) -> DataFrame:
+    """Windows of ``pack_windows`` with ids padded to ``size``, or left as they
+    are where their number is a power of two."""
+    full = F.when(F.expr("n_tokens & (n_tokens - 1)") == 0, F.col("n_tokens")).otherwise(F.lit(size))
+    fill = F.unhex(F.repeat(F.lit(int(pad_id).to_bytes(4, "little").hex()), (full - F.col("n_tokens")).cast("int")))
+    return windows.withColumn("ids", F.concat("ids", fill))

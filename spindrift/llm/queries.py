@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import epsgrid, langmix, lines, minhash, packing, warc, wrappers
+from spindrift.llm import chat, epsgrid, langmix, lines, minhash, order, packing, warc, wrappers
+from spindrift.llm.workspace import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+#: Conversation -1: its texts hold the control strings of a template.
+_TRICKY = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted windows of all conversations, read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    windows = cut(chat.format_chats(rows.union(spark.createDataFrame(_TRICKY, "conv_id long, turn long, role string, text string"))), "windows")
+    return chat.read_back(windows)
+
+
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, line labels and verdict of every document."""
     return lines.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as shards in training order, read back."""
+    return order.materialise(_table(spark, sf_dir, "documents"))
+
+
 def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return wrappers.main_text(_table(spark, sf_dir, "pages"))
@@ -51,7 +68,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_chat_windows": op2_chat_windows,
     "op4_line_crf": op4_line_crf,
+    "op5_training_order": op5_training_order,
     "op6_wrappers": op6_wrappers,
     "op7_language_mixture": op7_language_mixture,
     "op8_epsilon_grid": op8_epsilon_grid,
