@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import chat, epsgrid, langmix, lines, minhash, order, packing, warc, wrappers
+from spindrift.llm import chat, epsgrid, langmix, lines, mergedrop, minhash, order, packing, warc, wrappers
 from spindrift.llm.workspace import cut
 
 
@@ -30,6 +30,12 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(windows)
 
 
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text they decode to."""
+    decoded = mergedrop.decode(mergedrop.encode(_table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, line labels and verdict of every document."""
     return lines.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -69,6 +75,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat_windows": op2_chat_windows,
+    "op3_merge_dropout": op3_merge_dropout,
     "op4_line_crf": op4_line_crf,
     "op5_training_order": op5_training_order,
     "op6_wrappers": op6_wrappers,

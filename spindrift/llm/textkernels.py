@@ -110,10 +110,9 @@ def word_bounds(data: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray,
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hash of each word; with ``lower`` A-Z hash as a-z."""
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes, with a random value for each byte."""
     out = np.empty(len(starts), dtype=U64)
-    table = _BYTE_LOWER if lower else _BYTE
     first = 0
     with np.errstate(over="ignore"):
         while first < len(starts):
@@ -129,6 +128,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return out
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hash of each word; with ``lower`` A-Z hash as a-z."""
+    return hash_runs(data, starts, ends, _BYTE_LOWER if lower else _BYTE)
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive words; with 1 to k-1 words, of all as one."""
     n = len(hashes)
