@@ -1,0 +1 @@
+"""Analytics over semi-structured postings, profiles and events, on Spark."""
