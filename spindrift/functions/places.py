@@ -126,9 +126,8 @@ def role_words(title: Column) -> Column:
 
 def title_matches(title: Column, variants: Column) -> Column:
     """every role word of some variant is in the title."""
-    own = role_words(title)
-    fits = lambda v: (F.size(role_words(v)) > 0) & (F.size(F.array_except(role_words(v), own)) == 0)
-    return F.exists(variants, fits)
+    wanted = F.filter(F.transform(variants, role_words), lambda w: F.size(w) > 0)
+    return let(role_words(title), lambda own: F.exists(wanted, lambda w: F.size(F.array_except(w, own)) == 0))
 
 
 def location_matches(location: Column, mode_hint: Column, cities: Column, remote_ok: Column) -> Column:

@@ -76,7 +76,7 @@ def split_list(text: Column) -> Column:
 
 def split_fields(line: Column) -> Column:
     """Fields of a header line."""
-    return F.filter(F.transform(F.split(line, FIELD_SPLIT), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(line, FIELD_SPLIT), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def words(text: Column) -> Column:
@@ -91,16 +91,19 @@ def word_count(text: Column) -> Column:
 def has_metric(text: Column) -> Column:
     """Whether a line states a measurable result; years, and numbers that
     read as a version after a capitalised word, don't count."""
-    w = F.split(text, r"\s+")
 
-    def counts(i: Column) -> Column:
-        word, before = F.get(w, i), F.when(i >= 2, F.get(w, i - 1)).otherwise(F.lit(""))
+    def counts(word: Column, before: Column) -> Column:
         digits, marked = F.regexp_replace(word, r"\D", ""), word.rlike("(?i)[%+kmsx]")
         year = digits.rlike(r"^(19|20)\d{2}$") & ~marked
         version = before.rlike("^[A-Z]") & (word.contains(".") | (F.length(digits) <= 2)) & ~marked
         return word.rlike(NUMBER_TOKEN) & ~year & ~version
 
-    return text.rlike(r"[%×]|[₹$€£]\s?\d") | F.exists(F.sequence(F.lit(0), F.size(w) - 1), counts)
+    def any_counts(w: Column) -> Column:
+        # the word before each one; the first two have none that names a product
+        before = F.slice(F.concat(F.array(F.lit(""), F.lit("")), F.slice(w, 2, F.size(w))), 1, F.size(w))
+        return F.exists(F.zip_with(w, before, counts), lambda x: x)
+
+    return text.rlike(r"[%×]|[₹$€£]\s?\d") | let(F.split(text, r"\s+"), any_counts)
 
 
 def bullet_kind(text: Column) -> Column:
@@ -117,18 +120,20 @@ def similarity(a: Column, b: Column) -> Column:
 def best_match(haystack: Column, needle: Column) -> Column:
     """X11: 1 for a substring, else the best similarity of a run of about as
     many words that shares at least half of them."""
-    own = F.split(needle, " ")
-    n = F.size(own)
-    hay = F.split(haystack, " ")
 
-    def of_size(size: Column) -> Column:
-        starts = F.when(F.size(hay) >= size, F.sequence(F.lit(1), F.size(hay) - size + 1)).otherwise(F.array().cast("array<int>"))
-        run = lambda i: F.slice(hay, i, size)
-        near = F.filter(F.transform(starts, run), lambda r: 2 * F.size(F.filter(r, lambda w: F.array_contains(own, w))) >= n)
-        return F.array_max(F.transform(near, lambda r: similarity(F.array_join(r, " "), needle)))
+    def over(both: Column) -> Column:
+        hay, own = both["hay"], both["own"]
+        n = F.size(own)
+
+        def of_size(size: Column) -> Column:
+            starts = F.when(F.size(hay) >= size, F.sequence(F.lit(1), F.size(hay) - size + 1)).otherwise(F.array().cast("array<int>"))
+            near = F.filter(F.transform(starts, lambda i: F.slice(hay, i, size)), lambda r: 2 * F.size(F.filter(r, lambda w: F.array_contains(own, w))) >= n)
+            return F.array_max(F.transform(near, lambda r: similarity(F.array_join(r, " "), needle)))
 
-    best = F.coalesce(F.greatest(*(of_size(F.greatest(F.lit(1), n + d)) for d in (-1, 0, 1))), F.lit(0.0))
-    return F.when((needle == "") | F.contains(haystack, needle), 1.0).otherwise(best)
+        return F.coalesce(F.greatest(*(of_size(F.greatest(F.lit(1), n + d)) for d in (-1, 0, 1))), F.lit(0.0))
+
+    both = F.struct(F.split(haystack, " ").alias("hay"), F.split(needle, " ").alias("own"))
+    return F.when((needle == "") | F.contains(haystack, needle), 1.0).otherwise(let(both, over))
 
 
 def title_case(text: Column) -> Column:
@@ -146,15 +151,21 @@ def skill_key(name: Column, ascii_only: bool = False) -> Column:
 def skill_keys_in(text: Column, ascii_only: bool = False) -> Column:
     """The distinct keys of all runs of one to four words, and those that
     end in js also without it."""
-    tokens = F.filter(F.split(text, r"[\s,;:()|·•/]+"), lambda t: t != "")
 
-    def runs(size: int) -> Column:
-        starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))
+    def runs(tokens: Column) -> Column:
+        def of(size: int) -> Column:
+            starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))
 
-    keys = F.filter(F.transform(F.concat(*(runs(n) for n in (1, 2, 3, 4))), lambda t: skill_key(t, True)), lambda k: k != "")
-    short = F.transform(F.filter(keys, lambda k: k.endswith("js") & (F.length(k) > 3)), lambda k: F.substring(k, F.lit(1), F.length(k) - 2))
-    return F.array_distinct(F.concat(keys, short))
+        return F.concat(*(of(n) for n in (1, 2, 3, 4)))
+
+    def with_short(keys: Column) -> Column:
+        some = F.filter(keys, lambda k: k.endswith("js") & (F.length(k) > 3))
+        return F.concat(keys, F.transform(some, lambda k: F.substring(k, F.lit(1), F.length(k) - 2)))
+
+    tokens = F.filter(F.split(text, r"[\s,;:()|·•/]+"), lambda t: t != "")
+    keys = F.filter(F.transform(let(tokens, runs), lambda t: skill_key(t, True)), lambda k: k != "")
+    return F.array_distinct(let(keys, with_short))
 
 
 def mentions(keys: Column, key: Column) -> Column:
@@ -242,7 +253,7 @@ def flags_injection(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentence units, split after a full stop, question or exclamation
     mark, at semicolons and at line ends."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+|;\s*"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+|;\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def round_half_up(x: Column) -> Column:
