@@ -26,7 +26,7 @@ from spindrift.llm import textkernels as K
 BLANK = "▁"
 #: Words of more code points are segmented one by one.
 WIDE = 32
-_STRETCH = 8 << 20
+_STRETCH = 2 << 20
 _NONE = np.int32(1 << 30)
 _START = np.ones(256, dtype=bool)
 _START[0x80:0xC0] = False
@@ -57,7 +57,18 @@ class Model:
         order = {s: r for r, s in enumerate(scores)}
         self.rank = {i: order[spm.get_score(i)] for i in plain}
         # symbols: piece ids; a character that is no piece gets n + code point
-        self.vocabulary = n
+        self.vocabulary, self.names, self.plain = n, names, plain
+        decoded = [bytes([int(names[i][1:-1], 16)]) if spm.is_byte(i) else b"" if spm.is_control(i) or spm.is_unknown(i) else names[i].replace(BLANK, " ").encode() for i in range(n)]
+        self.piece_bytes = np.frombuffer(b"".join(decoded), dtype=np.uint8)
+        self.piece_length = np.array([len(x) for x in decoded], dtype=np.int64)
+        self.piece_start = np.concatenate([[0], np.cumsum(self.piece_length)[:-1]])
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def with_merges(self) -> Model:
+        """Build what encoding needs besides; decoding does without."""
+        if self.pairs:
+            return self
+        n, names, plain = self.vocabulary, self.names, self.plain
         pairs = []
         for i in plain:
             for cut in range(1, len(names[i])):
@@ -77,10 +88,6 @@ class Model:
                 step += 1
             self.slots[(start + step) & (size - 1)] = at
             self.reach = max(self.reach, step + 1)
-        decoded = [bytes([int(names[i][1:-1], 16)]) if spm.is_byte(i) else b"" if spm.is_control(i) or spm.is_unknown(i) else names[i].replace(BLANK, " ").encode() for i in range(n)]
-        self.piece_bytes = np.frombuffer(b"".join(decoded), dtype=np.uint8)
-        self.piece_length = np.array([len(x) for x in decoded], dtype=np.int64)
-        self.piece_start = np.concatenate([[0], np.cumsum(self.piece_length)[:-1]])
         # symbol of each character of a text: a space is the blank, and a
         # blank sign that a text itself holds goes by its bytes
         self.characters = np.arange(0x110000, dtype=np.int32) + n
@@ -88,6 +95,7 @@ class Model:
             if len(name) == 1:
                 self.characters[ord(name)] = i
         self.characters[0x20], self.characters[ord(BLANK)] = self.characters[ord(BLANK)], n + ord(BLANK)
+        return self
 
     def symbol(self, text: str) -> int | None:
         found = self.id.get(text)
@@ -211,7 +219,7 @@ class Encoder:
     """Encodes texts of a batch; equal (word, way) pairs are segmented once."""
 
     def __init__(self, model: Model, seed: int, dropout: float, variants: int) -> None:
-        self.model, self.seed = model, seed
+        self.model, self.seed = model.with_merges(), seed
         self.limit = min(int(dropout * (1 << 32)), (1 << 32) - 1) if dropout > 0 else 0
         self.variants = variants if self.limit else 1
         self.hash = K.keyed(77, 256) | K.U64(1)
