@@ -55,24 +55,38 @@ def feistel(values: np.ndarray, domain: int, seed: int) -> np.ndarray:
 
 
 _TYPES = "shard int, place long, record binary"
+#: Windows that a task makes records of at once.
+_ROWS = 512
 
 
-def _place(domain: int, shards: int, seed: int, size: int, width: int, pad_id: int) -> Callable:
+def _records_of(vocabulary: str, domain: int, shards: int, seed: int, size: int, width: int, pad_id: int) -> Callable:
     kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = feistel(batch.column("sequence_id").to_numpy(), domain, seed)
+        ready: list[tuple] = []
+
+        def taken() -> pa.RecordBatch:
+            places = feistel(np.array([r[0] for r in ready], dtype=np.int64), domain, seed)
             records = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("sequence_id", "first_doc", "n_pieces", "ids")), strict=True):
-                ids = np.frombuffer(row[3], dtype="<u4")
+            for number, doc, n_pieces, ids in ready:
                 if width == 2 and len(ids) and ids.max() > 65535:
                     raise ValueError("ids do not fit 16 bits")
                 padded = np.full(size, pad_id, dtype=kind)
                 padded[: len(ids)] = ids
-                records.append(struct.pack(HEADER, row[0], -1 if row[1] is None else row[1], len(ids), row[2], zlib.crc32(row[3]), 0) + padded.tobytes())
-            shard = (places.astype(object) * shards // domain).astype(np.int32) if len(places) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(places.astype(np.int64)), pa.array(records, pa.binary())], names=["shard", "place", "record"])
+                head = struct.pack(HEADER, number, -1 if doc is None else doc, len(ids), n_pieces, zlib.crc32(ids.astype("<u4").tobytes()), 0)
+                records.append(head + padded.tobytes())
+            ready.clear()
+            shard = [int(p) * shards // domain for p in places.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(places.astype(np.int64)), pa.array(records, pa.binary())], names=["shard", "place", "record"])
+
+        def emit(pieces: list[packing.Piece], number: int) -> None:
+            ready.append((number, pieces[0][0], len(pieces), np.concatenate([p[3] for p in pieces])))
+
+        for _ in packing.packed(batches, vocabulary, emit, size):
+            if len(ready) >= _ROWS:
+                yield taken()
+        if ready:
+            yield taken()
 
     return run
 
@@ -82,8 +96,8 @@ def write_shards(docs: DataFrame, path: str, seed: int = 1, size: int = 2048, wi
     one file a shard; returns the number of shards."""
     parts = max(1, docs.rdd.getNumPartitions())
     domain, shards = parts * packing.SPLIT, 2 * parts
-    windows = packing.pack_windows(docs, vocabulary or default_vocabulary(), size=size)
-    placed = windows.mapInArrow(_place(domain, shards, seed, size, width, pad_id), _TYPES)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = docs.mapInArrow(_records_of(vocabulary or default_vocabulary(), domain, shards, seed, size, width, pad_id), _TYPES)
     ranged = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
     ranged.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
     return shards

@@ -115,6 +115,19 @@ def _window(pieces: list[Piece], number: int) -> list[tuple]:
     return [(number, pieces[0][0], len(pieces), len(ids) // 4, ids)]
 
 
+def packed(batches: Iterator[pa.RecordBatch], vocabulary: str, emit: Callable[[list[Piece], int], None], size: int, end_id: int = 1, max_open: int = 4096) -> Iterator[None]:
+    """Pack the documents of a split; ``emit`` gets every window that closes.
+    Yields after each document and at the end."""
+    packer = Packer(size, max_open, emit, TaskContext.get().partitionId() * SPLIT)
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary())
+        for doc_id, text in zip(batch.column("doc_id"), texts, strict=True):
+            packer.add(doc_id.as_py(), np.append(encode(text.as_py() or b"", vocabulary), np.uint32(end_id)))
+            yield
+    packer.pour()
+    yield
+
+
 def _run(vocabulary: str, end_id: int, size: int, max_open: int, rows_of: Callable, types: str, rows: int = 4096) -> Callable:
     fields = [(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in types.split(", ")]
 
@@ -126,14 +139,9 @@ def _run(vocabulary: str, end_id: int, size: int, max_open: int, rows_of: Callab
             out.clear()
             return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
-        packer = Packer(size, max_open, lambda pieces, number: out.extend(rows_of(pieces, number)), TaskContext.get().partitionId() * SPLIT)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for doc_id, text in zip(batch.column("doc_id"), texts, strict=True):
-                packer.add(doc_id.as_py(), np.append(encode(text.as_py() or b"", vocabulary), np.uint32(end_id)))
-                if len(out) >= rows:
-                    yield taken()
-        packer.pour()
+        for _ in packed(batches, vocabulary, lambda pieces, number: out.extend(rows_of(pieces, number)), size, end_id, max_open):
+            if len(out) >= rows:
+                yield taken()
         if out:
             yield taken()
 
