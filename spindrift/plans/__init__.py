@@ -1,6 +1,6 @@
 """Queries over the driver tables, with DuckDB SQL beside each."""
 
-from spindrift.plans import feed, relations, scoring, state  # noqa: F401
+from spindrift.plans import feed, relations, scoring, state, text  # noqa: F401
 from spindrift.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
