@@ -22,7 +22,7 @@ ONSITE = r"\b(work\s+from\s+office|wfo|on[-\s]?site|in[-\s]office)\b"
 BOARDS = r"(greenhouse\.io|lever\.co|ashbyhq\.com|smartrecruiters\.com|recruitee\.com|workable\.com|myworkdayjobs\.com)$"
 INDIA, ANYWHERE = r"(?i)\bindia\b|\bbharat\b", r"(?i)\bremote\b|\banywhere\b|\bwork from home\b"
 ELSEWHERE = r"(?i)\b(us|usa|united states|canada|uk|united kingdom|europe|eu|emea|latam|germany|australia)\b"
-TITLE_NOISE = ("senior", "sr", "junior", "jr", "lead", "principal", "staff", "intern", "associate", "engineer", "developer", "i", "ii", "iii", "1", "2", "3", "the", "and", "of", "for", "-", "&")
+TITLE_NOISE = ("senior", "sr", "junior", "jr", "lead", "principal", "staff", "associate", "intern", "trainee", "developer", "engineer", "engineering", "software", "sde", "i", "ii", "iii", "1", "2", "3", "the", "and", "of", "for", "-", "&")
 #: Postings with later dates than these are not taken, or not compared.
 FRESH_DAYS, APART_DAYS = 60, 30
 
