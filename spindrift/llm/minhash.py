@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     found = _confirmed(docs, classes, clusters, shingle_words, percent, chunk)
     changed = classes.join(found.withColumnRenamed("u", "doc_id"), "doc_id", "left").where("copies > 1 or v is not null").select("c1", "c2", F.coalesce("v", "doc_id").alias("found"))
-    component = F.when(F.col("n_shingles") > 0, F.col("found"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found"))
     return sketch.drop("signature", "keys").join(changed, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
