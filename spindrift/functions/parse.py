@@ -57,18 +57,30 @@ def salary(text: Column, default_currency: str = "INR") -> Column:
 
 def _salary(s: Column, default_currency: str) -> Column:
     currency = _choose([(s.rlike(p), F.lit(c)) for c, p in CURRENCIES], F.lit(default_currency))
+    period = F.when(s.rlike(MONTHLY), MONTHS_A_YEAR).when(s.rlike(HOURLY), HOURS).otherwise(1)
+    # the matched text is short, so groups are read out of it and not out of all
+    found = F.struct(F.nullif(F.regexp_extract(s, RANGE, 0), F.lit("")).alias("both"), F.regexp_extract(s, AMOUNT, 0).alias("one"), currency.alias("currency"), period.alias("period"), ((s != "") & ~s.rlike(UNDISCLOSED)).alias("said"))
+    return let(found, lambda f: let(_amounts(f), lambda m: _annual(f, m)))
+
+
+def _amounts(f: Column) -> Column:
+    """The two amounts of a match before its period."""
     number = lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double")
     scale = lambda u: F.when(u.rlike("^(l|lpa|lakhs?|lacs?)$"), 100_000).when(u.rlike("^(cr|crores?)$"), 10_000_000).when(u == "k", 1_000).otherwise(1)
-    low, low_unit, high, high_unit = (group(s, RANGE, i) for i in (1, 2, 3, 4))
-    one, one_unit = group(s, AMOUNT, 1), group(s, AMOUNT, 2)
-    first = F.when(low.isNotNull(), number(low) * scale(F.coalesce(low_unit, high_unit))).otherwise(number(one) * scale(one_unit))
-    second = F.when(low.isNotNull(), number(high) * scale(F.coalesce(high_unit, low_unit))).otherwise(first)
-    period = F.when(s.rlike(MONTHLY), MONTHS_A_YEAR).when(s.rlike(HOURLY), HOURS).otherwise(1)
-    lakhs = F.when((currency == "INR") & (second * period < 1000), 100_000).otherwise(1)
-    a, b = (x * period * lakhs for x in (first, second))
-    known = F.coalesce((s != "") & ~s.rlike(UNDISCLOSED) & (b > 0), F.lit(False))
-    value = lambda x: F.when(known, round_half_up(x)).cast("long")
-    return F.struct(value(F.least(a, b)).alias("min_annual"), value(F.greatest(a, b)).alias("max_annual"), F.when(known, currency).alias("currency"), known.alias("disclosed"))
+    low, low_unit, high, high_unit = (group(f["both"], RANGE, i) for i in (1, 2, 3, 4))
+    one = number(group(f["one"], AMOUNT, 1)) * scale(group(f["one"], AMOUNT, 2))
+    ranged = f["both"].isNotNull()
+    return F.struct(
+        F.when(ranged, number(low) * scale(F.coalesce(low_unit, high_unit))).otherwise(one).alias("a"),
+        F.when(ranged, number(high) * scale(F.coalesce(high_unit, low_unit))).otherwise(one).alias("b"),
+    )
+
+
+def _annual(f: Column, m: Column) -> Column:
+    lakhs = F.when((f["currency"] == "INR") & (m["b"] * f["period"] < 1000), 100_000).otherwise(1)
+    known = F.coalesce(f["said"] & (m["b"] > 0), F.lit(False))
+    value = lambda x: F.when(known, round_half_up(x * f["period"] * lakhs)).cast("long")
+    return F.struct(value(F.least(m["a"], m["b"])).alias("min_annual"), value(F.greatest(m["a"], m["b"])).alias("max_annual"), F.when(known, f["currency"]).alias("currency"), known.alias("disclosed"))
 
 
 def experience(text: Column) -> Column:

@@ -148,24 +148,24 @@ def skill_key(name: Column, ascii_only: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"[\s._\-/]+", ""), "[^a-z0-9#+]", "")
 
 
-def skill_keys_in(text: Column, ascii_only: bool = False) -> Column:
+def skill_keys_in(text: Column, ascii_only: bool = True) -> Column:
     """The distinct keys of all runs of one to four words, and those that
     end in js also without it."""
 
-    def runs(tokens: Column) -> Column:
+    def runs(keys: Column) -> Column:
+        # the key of a run is its words' keys one after another
         def of(size: int) -> Column:
-            starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))
+            starts = F.when(F.size(keys) >= size, F.sequence(F.lit(1), F.size(keys) - size + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.array_join(F.slice(keys, i, size), ""))
 
-        return F.concat(*(of(n) for n in (1, 2, 3, 4)))
+        return F.array_distinct(F.filter(F.concat(*(of(n) for n in (1, 2, 3, 4))), lambda k: k != ""))
 
     def with_short(keys: Column) -> Column:
         some = F.filter(keys, lambda k: k.endswith("js") & (F.length(k) > 3))
-        return F.concat(keys, F.transform(some, lambda k: F.substring(k, F.lit(1), F.length(k) - 2)))
+        return F.array_distinct(F.concat(keys, F.transform(some, lambda k: F.substring(k, F.lit(1), F.length(k) - 2))))
 
     tokens = F.filter(F.split(text, r"[\s,;:()|·•/]+"), lambda t: t != "")
-    keys = F.filter(F.transform(let(tokens, runs), lambda t: skill_key(t, True)), lambda k: k != "")
-    return F.array_distinct(let(keys, with_short))
+    return let(let(F.transform(tokens, lambda t: skill_key(t, ascii_only)), runs), with_short)
 
 
 def mentions(keys: Column, key: Column) -> Column:
