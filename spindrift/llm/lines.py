@@ -39,7 +39,10 @@ _ENDS = frozenset(b".!?:;\"'")
 
 
 def _sums(mask: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+    """Running sums of a mask, from 0; a chunk of texts has under 2**31 bytes."""
+    out = np.zeros(len(mask) + 1, dtype=np.int32)
+    np.cumsum(mask, out=out[1:])
+    return out
 
 
 def _repeat_words(hashes: np.ndarray, width: int = 8) -> int:
@@ -61,7 +64,7 @@ def _repeat_words(hashes: np.ndarray, width: int = 8) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
-def analyse(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, tuple[int, int, int, int, int], np.ndarray, np.ndarray]]:
+def analyse(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, tuple[int, int, int, int, int], np.ndarray, np.ndarray]]:
     """Per text: row, (n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words), feature bits and words of its lines with a word."""
     data, offsets, _ = K.texts_of(column)

@@ -155,7 +155,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def text_words(column: pa.Array, lower: bool, size: int = 2 << 20) -> Iterator[tuple[int, bool, np.ndarray]]:
+def text_words(column: pa.Array, lower: bool, size: int = 1 << 19) -> Iterator[tuple[int, bool, np.ndarray]]:
     """(row, is_null, word hashes in order) of each text of a batch."""
     data, offsets, null = texts_of(column)
     for first, last in chunks(offsets, size):
