@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.places import same_posting
 from spindrift.functions.text import let
+from spindrift.operators.storage import cut
 
 _FIELDS = ("provider", "external_id", "company_key", "city", "title_key", "description_hash", "posted_at")
 
@@ -24,7 +25,9 @@ def word_runs(rows: DataFrame, key: str, column: str, n: int) -> DataFrame:
 
 def canonical_by_key(rows: DataFrame, row_id: str, key: str) -> DataFrame:
     """Rows with the least id of their key. The ids are summed up before
-    the join, so a key of very many rows stays small on one side."""
+    the join, so a key of very many rows stays small on one side; the keys are
+    written once, since they may have cost much to make."""
+    rows = cut(rows, "keys")
     least = rows.groupBy(key).agg(F.min(row_id).alias("canonical_id"))
     return rows.join(least, key)
 
@@ -54,15 +57,15 @@ def links(rows: DataFrame, row_id: str) -> DataFrame:
 def components(rows: DataFrame, row_id: str, rounds: int = 30) -> DataFrame:
     """Rows with canonical_id, the least id reachable over links. Labels
     fall along links and jump to their own label's label, until none changes;
-    each round is checkpointed."""
-    edges = links(rows, row_id).checkpoint()
+    each round is written to the shared folder."""
+    edges = cut(links(rows, row_id), "links")
     both = edges.union(edges.select("v", "u"))
-    label = rows.select(F.col(row_id).alias("u"), F.col(row_id).alias("label")).checkpoint()
+    label = rows.select(F.col(row_id).alias("u"), F.col(row_id).alias("label"))
     for _ in range(rounds):
         near = both.join(label.toDF("v", "_l"), "v").groupBy("u").agg(F.min("_l").alias("_m"))
         lower = label.join(near, "u", "left").select("u", F.least("label", "_m").alias("label"), F.col("label").alias("_old"))
         jump = lower.join(lower.select(F.col("u").alias("label"), F.col("label").alias("_j")), "label", "left")
-        new = jump.select("u", F.least("label", "_j").alias("label"), "_old").checkpoint()
+        new = cut(jump.select("u", F.least("label", "_j").alias("label"), "_old"), "labels")
         done = new.where("label <> _old").isEmpty()
         label = new.select("u", "label")
         if done:

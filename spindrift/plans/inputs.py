@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.operators.layout import spread
+
 #: The time that every query takes as "now".
 NOW = "2001-08-02 12:00:00"
 
@@ -73,6 +75,11 @@ def oracle(**ctes: str) -> str:
     return "WITH " + ", ".join(f"{name} AS ({_NAMED.sub(lambda m: m[1], text)})" for name, text in ctes.items())
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much to work on."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

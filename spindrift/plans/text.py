@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places, text
 from spindrift.operators import resolve
-from spindrift.plans.inputs import LOCATIONS, POSTINGS, TITLES, cases, now, oracle, relation, table
+from spindrift.plans.inputs import LOCATIONS, POSTINGS, TITLES, cases, heavy, now, oracle, relation, table
 from spindrift.plans.registry import query
 from spindrift.sources import pages as web
 from spindrift.sources import postings
@@ -19,50 +19,50 @@ _NORMAL = "trim(regexp_replace(lower(regexp_replace(text, '[|•]', ' ', 'g')),
 @query(f"SELECT doc_id, sha256({_NORMAL}) AS sha FROM documents WHERE lang = 'en'")
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts made equal for matching, as a hash."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(text.normalize_for_match(F.col("text"), True), 256).alias("sha"))
+    return heavy(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(text.normalize_for_match(F.col("text"), True), 256).alias("sha"))
 
 
 @query(f"SELECT doc_id, left(sha256(left(regexp_replace({_NORMAL}, '[^a-z0-9 ]+', '', 'g'), 3000)), 32) AS hash FROM documents")
 def description_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes that ignore case, spacing and punctuation."""
-    return table(spark, sf_dir, "documents").select("doc_id", places.description_hash(F.col("text"), True).alias("hash"))
+    return heavy(spark, sf_dir, "documents").select("doc_id", places.description_hash(F.col("text"), True).alias("hash"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::INT AS n_words, len(list_filter(string_split_regex(text, '\\r?\\n'), lambda l: trim(l) <> ''))::INT AS n_lines FROM documents")
 def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and lines that are not empty."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"), F.size(text.split_lines(F.col("text"))).alias("n_lines"))
+    return heavy(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"), F.size(text.split_lines(F.col("text"))).alias("n_lines"))
 
 
 @query("SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda x: lower(x))).list_sort() AS emails, len(list_distinct(list_filter(regexp_extract_all(text, '\\+?\\(?\\d[\\d\\s().-]{8,}\\d'), lambda x: length(regexp_replace(x, '\\D', '', 'g')) BETWEEN 10 AND 15)))::INT AS n_phones FROM documents")
 def found_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses and numbers in texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.emails(F.col("text"))).alias("emails"), F.size(text.phones(F.col("text"))).alias("n_phones"))
+    return heavy(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.emails(F.col("text"))).alias("emails"), F.size(text.phones(F.col("text"))).alias("n_phones"))
 
 
 @query("SELECT page_id, list_distinct(regexp_extract_all(html, '(?i)<a\\b[^>]*?href=\"([^\"#][^\"]*)\"', 1)).list_sort() AS links FROM pages")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of a page as written."""
-    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(text.links(F.col("html"))).alias("links"))
+    return heavy(spark, sf_dir, "pages").select("page_id", F.array_sort(text.links(F.col("html"))).alias("links"))
 
 
 @query()
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of whole pages (the tests compare it with a parser)."""
-    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return heavy(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(url, '^https?://(www\\.)?', '')), '[?#].*$', ''), '/+$', '') AS address, regexp_extract(url, '^https?://(?:www\\.)?([^/]+)', 1) AS host FROM pages")
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses without scheme, query and closing slash."""
     address = text.canonical_url(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", address.alias("address"), F.regexp_extract(address, "^([^/]+)", 1).alias("host"))
+    return heavy(spark, sf_dir, "pages").select("page_id", address.alias("address"), F.regexp_extract(address, "^([^/]+)", 1).alias("host"))
 
 
 @query()
 def absolute_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links made absolute (per-row URL joining has no SQL)."""
-    return table(spark, sf_dir, "pages").select("page_id", web.absolute_links("url", "html").alias("links"))
+    return heavy(spark, sf_dir, "pages").select("page_id", web.absolute_links("url", "html").alias("links"))
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'recruitee' ELSE 'page' END AS kind, CASE page_id % 4 WHEN 0 THEN 'acme' || page_id WHEN 1 THEN 'beta' || page_id WHEN 2 THEN 'c' || page_id ELSE 'example.com/jobs' END AS token FROM pages")
@@ -70,7 +70,7 @@ def detected_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X32, SC15: kind and token of a careers address."""
     i, k = F.col("page_id").cast("string"), F.col("page_id") % 4
     url = F.when(k == 0, F.concat(F.lit("https://boards.greenhouse.io/Acme"), i, F.lit("/jobs/1"))).when(k == 1, F.concat(F.lit("https://jobs.eu.lever.co/beta"), i)).when(k == 2, F.concat(F.lit("https://c"), i, F.lit(".recruitee.com/o/x"))).otherwise("https://www.example.com/jobs?x=1")
-    return table(spark, sf_dir, "pages").select("page_id", web.detect_site(url).alias("s")).select("page_id", "s.kind", "s.token")
+    return heavy(spark, sf_dir, "pages").select("page_id", web.detect_site(url).alias("s")).select("page_id", "s.kind", "s.token")
 
 
 @query("SELECT page_id, n > 0 AS allowed FROM (SELECT page_id, CASE WHEN contains(url, '/fr/') THEN 0 WHEN regexp_matches(url, '/en/[0-9]*5([?/]|$)') THEN 0 ELSE 1 END AS n FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '#.*$', '') AS url FROM pages))")
@@ -78,21 +78,21 @@ def robots_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the longest matching rule decides."""
     rules = web.robots_rules(F.lit("User-agent: *\nDisallow: /fr/\nDisallow: /en/*5$\nDisallow: /en/*5/\nDisallow: /en/*5?\n# done\nAllow: /\n"))
     path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), "#.*$", "")
-    return table(spark, sf_dir, "pages").select("page_id", web.robots_allows(rules, path).alias("allowed"))
+    return heavy(spark, sf_dir, "pages").select("page_id", web.robots_allows(rules, path).alias("allowed"))
 
 
 @query("SELECT page_id, NOT regexp_matches(url, '^https://') AS safe FROM pages")
 def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """addresses that may be fetched."""
     url = F.when(F.col("url").startswith("https://"), F.regexp_replace("url", "^https://[^/]+", "https://192.168.0.7:8080")).otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", web.is_safe_url(url).alias("safe"))
+    return heavy(spark, sf_dir, "pages").select("page_id", web.is_safe_url(url).alias("safe"))
 
 
 def _jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a posting put into a graph of their JSON-LD."""
     posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("Title "), F.col("page_id").cast("string")).alias("title"), F.struct(F.col("url").alias("name")).alias("hiringOrganization")))
     block = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"WebSite"},'), posting, F.lit("]}</script>"))
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", block).alias("html"))
+    return heavy(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", block).alias("html"))
 
 
 @query("SELECT page_id, 'Title ' || page_id AS title, url AS company FROM pages")
@@ -105,7 +105,7 @@ def jsonld_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def careers_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC16: the first place that postings are found in."""
     with_block = _jsonld(spark, sf_dir).select("page_id", F.col("html").alias("h"))
-    rows = table(spark, sf_dir, "pages").join(with_block, "page_id")
+    rows = heavy(spark, sf_dir, "pages").join(with_block, "page_id")
     plain = F.lit('<a href="/about">About</a>')
     return rows.select("page_id", web.careers_kind(F.when(F.col("page_id") % 2 == 0, F.col("h")).otherwise(plain)).alias("kind"))
 
@@ -172,7 +172,7 @@ def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word runs that texts share with a list of passages."""
     grams = lambda rows, key: resolve.word_runs(rows, key, "text", 5)
-    docs = grams(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id")
+    docs = grams(heavy(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id")
     items = grams(table(spark, sf_dir, "benchmark"), "item_id")
     return docs.join(items, "run").groupBy("doc_id").agg(F.countDistinct("run").alias("n_shared"), F.countDistinct("item_id").alias("n_items"))
 
@@ -180,7 +180,7 @@ def shared_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY left(sha256(left(regexp_replace(" + _NORMAL + ", '[^a-z0-9 ]+', '', 'g'), 3000)), 32)) AS canonical_id FROM documents")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of the same hash share the least id."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", places.description_hash(F.col("text"), True).alias("hash"))
+    rows = heavy(spark, sf_dir, "documents").select("doc_id", places.description_hash(F.col("text"), True).alias("hash"))
     return resolve.canonical_by_key(rows, "doc_id", "hash").select("doc_id", "canonical_id")
 
 
