@@ -68,10 +68,13 @@ def suggested_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.suggested_roles(documents.coverage(targets, levels).withColumn("share", F.round("share", 9)))
 
 
-@query("SELECT row_number() OVER (ORDER BY v, p, n)::INT AS position, text, place, role_ids, row_number() OVER (ORDER BY v, p, n) <= 5 AS priority FROM (SELECT lower(p_name) AS text, place, min((p_partkey // 10, place_no, p_partkey % 10)) AS at_, list_sort(list(DISTINCT p_partkey % 10)) AS role_ids, at_[1] AS v, at_[2] AS p, at_[3] AS n FROM (SELECT * FROM part WHERE p_partkey < 30) CROSS JOIN (SELECT unnest([0, 1]) AS place_no, unnest(['Pune', 'Delhi']) AS place) GROUP BY 1, 2) QUALIFY position <= 20".replace("at_[1] AS v, at_[2] AS p, at_[3] AS n", "min(p_partkey // 10) AS v, arg_min(place_no, (p_partkey // 10, place_no, p_partkey % 10)) AS p, arg_min(p_partkey % 10, (p_partkey // 10, place_no, p_partkey % 10)) AS n"))
+@query(
+    """SELECT row_number() OVER (ORDER BY v, p, n)::INT AS position, text, place, role_ids, row_number() OVER (ORDER BY v, p, n) <= 5 AS priority
+FROM (SELECT lower(n_name) AS text, place, list_sort(list(DISTINCT n_nationkey % 10)) AS role_ids, min(n_nationkey // 10) AS v, min(place_no) AS p, min(n_nationkey % 10) AS n FROM nation CROSS JOIN (SELECT unnest([0, 1]) AS place_no, unnest(['Pune', 'Delhi']) AS place) GROUP BY 1, 2) QUALIFY position <= 20"""
+)
 def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries round robin over variants, places and roles."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 30")
-    variants = part.select((F.col("p_partkey") % 10).alias("role_id"), F.floor(F.col("p_partkey") / 10).alias("variant_no"), F.col("p_name").alias("text"))
+    nation = table(spark, sf_dir, "nation")
+    variants = nation.select((F.col("n_nationkey") % 10).alias("role_id"), F.floor(F.col("n_nationkey") / 10).alias("variant_no"), F.col("n_name").alias("text"))
     places = spark.createDataFrame([(0, "Pune"), (1, "Delhi")], "place_no int, place string")
     return history.round_robin(variants, places, 20, 5)

@@ -46,14 +46,11 @@ def nested_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.when(F.col("l").isNotNull(), F.size("l")).cast("long").alias("n_orders"), F.get("l", F.lit(0))["o_orderkey"].alias("first_order"), F.try_element_at("l", F.lit(-1))["o_orderkey"].alias("last_order"))
 
 
-@query(
-    f"""{_P}, small AS (SELECT job_id, provider, external_id, company_id, title FROM postings WHERE job_id < 3000)
-SELECT DISTINCT a.job_id AS left_id, b.job_id AS right_id FROM small a JOIN small b ON (a.provider = b.provider AND a.external_id = b.external_id) OR (a.company_id = b.company_id)"""
-)
+@query(f"{_P} SELECT a.job_id AS left_id, b.job_id AS right_id FROM postings a JOIN postings b ON a.provider = b.provider AND a.external_id = b.external_id UNION SELECT a.job_id, b.job_id FROM postings a JOIN postings b ON a.company_id = b.company_id")
 def any_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by either of two keys, as two equi-joins."""
-    small = relation(spark, sf_dir, POSTINGS).where("job_id < 3000").select("job_id", "provider", "external_id", "company_id")
-    return joins.any_key(small, small, [["provider", "external_id"], ["company_id"]], "job_id", "job_id")
+    rows = relation(spark, sf_dir, POSTINGS).select("job_id", "provider", "external_id", "company_id")
+    return joins.any_key(rows, rows, [["provider", "external_id"], ["company_id"]], "job_id", "job_id")
 
 
 _SKILLS = "SELECT p_partkey AS skill_id, p_name AS name, 'part-' || CAST(p_partkey AS VARCHAR(20)) AS slug, lower(p_brand) AS alias FROM {part}"
@@ -301,11 +298,13 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "item_id"), 5).select("query_id", "item_id", "rank")
 
 
-@query("SELECT left_id, arg_max(right_id, (s, -right_id)) AS right_id FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 = 0 AND b.vec_id % 10 = 1) WHERE s >= 0.6 GROUP BY 1")
+@query("SELECT left_id, arg_max(right_id, (s, -right_id)) AS right_id FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = (b.label + 1) % 10) WHERE s >= 0 GROUP BY 1")
 def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar row of the same group, 0.6 at least."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("group_id"), F.col("embedding").alias("vector"))
-    return vectors.best_over(rows.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "left_id"), rows.where("vec_id % 10 = 1").withColumnRenamed("vec_id", "right_id"), 0.6).select("left_id", "right_id")
+    """The most similar row of the group before, if similar at all."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    left = rows.select(F.col("vec_id").alias("left_id"), F.col("label").alias("group_id"), "vector")
+    right = rows.select(F.col("vec_id").alias("right_id"), ((F.col("label") + 1) % 10).alias("group_id"), "vector")
+    return vectors.best_over(left, right, 0.0).select("left_id", "right_id")
 
 
 @query(f"SELECT o_orderkey, greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate)) / 86400))::BIGINT AS days, date_trunc('month', o_orderdate)::TIMESTAMP AS month_start, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::TIMESTAMP AS next_month, (date_trunc('day', o_orderdate) + INTERVAL 1 DAY)::TIMESTAMP AS next_day FROM orders")

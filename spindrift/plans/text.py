@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places, text
 from spindrift.operators import resolve
-from spindrift.plans.inputs import LOCATIONS, POSTINGS, TITLES, cases, heavy, now, oracle, relation, table
+from spindrift.plans.inputs import POSTINGS, cases, heavy, now, oracle, relation, table
 from spindrift.plans.registry import query
 from spindrift.sources import pages as web
 from spindrift.sources import postings
@@ -16,10 +16,10 @@ _P = oracle(postings=POSTINGS)
 _NORMAL = "trim(regexp_replace(lower(regexp_replace(text, '[|•]', ' ', 'g')), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, sha256({_NORMAL}) AS sha FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, sha256({_NORMAL}) AS sha FROM documents")
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts made equal for matching, as a hash."""
-    return heavy(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(text.normalize_for_match(F.col("text"), True), 256).alias("sha"))
+    return heavy(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_for_match(F.col("text"), True), 256).alias("sha"))
 
 
 @query(f"SELECT doc_id, left(sha256(left(regexp_replace({_NORMAL}, '[^a-z0-9 ]+', '', 'g'), 3000)), 32) AS hash FROM documents")
@@ -168,11 +168,11 @@ def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parse.relative_date(said, F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("at"))
 
 
-@query("SELECT doc_id, count(DISTINCT g) AS n_shared, count(DISTINCT item_id) AS n_items FROM (SELECT doc_id, unnest(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] FOR i IN range(1, len(w) - 3)])) AS g FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en')) JOIN (SELECT item_id, unnest(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] FOR i IN range(1, len(w) - 3)])) AS g FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark)) USING (g) GROUP BY 1")
+@query("SELECT doc_id, count(DISTINCT g) AS n_shared, count(DISTINCT item_id) AS n_items FROM (SELECT doc_id, unnest(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] FOR i IN range(1, len(w) - 3)])) AS g FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)) JOIN (SELECT item_id, unnest(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] FOR i IN range(1, len(w) - 3)])) AS g FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark)) USING (g) GROUP BY 1")
 def shared_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word runs that texts share with a list of passages."""
     grams = lambda rows, key: resolve.word_runs(rows, key, "text", 5)
-    docs = grams(heavy(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id")
+    docs = grams(heavy(spark, sf_dir, "documents"), "doc_id")
     items = grams(table(spark, sf_dir, "benchmark"), "item_id")
     return docs.join(items, "run").groupBy("doc_id").agg(F.countDistinct("run").alias("n_shared"), F.countDistinct("item_id").alias("n_items"))
 
@@ -185,13 +185,14 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_P.removeprefix('WITH ')}, small AS (SELECT job_id, provider, external_id, o_custkey AS c, {cases('job_id', LOCATIONS)} AS city, {cases('job_id', TITLES)} AS title, posted_at FROM postings JOIN orders ON job_id = o_orderkey WHERE job_id < 4000),
-links AS (SELECT a.job_id AS x, b.job_id AS y FROM small a JOIN small b ON a.job_id <> b.job_id AND ((a.provider = b.provider AND a.external_id = b.external_id) OR (a.c = b.c AND coalesce(a.city, '') = coalesce(b.city, '') AND a.title = b.title AND coalesce(abs(epoch(a.posted_at) - epoch(b.posted_at)) <= 30 * 86400, true)))),
-reach AS (SELECT job_id AS x, job_id AS y FROM small UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x) SELECT x AS job_id, min(y) AS canonical_id FROM reach GROUP BY 1"""
+    f"""WITH RECURSIVE {_P.removeprefix('WITH ')}, rows_ AS (SELECT job_id, provider, external_id, o_custkey AS c, coalesce(location, '') AS city, title, posted_at FROM postings JOIN orders ON job_id = o_orderkey),
+links AS (SELECT a.job_id AS x, b.job_id AS y FROM rows_ a JOIN rows_ b ON a.job_id <> b.job_id AND a.provider = b.provider AND a.external_id = b.external_id
+  UNION SELECT a.job_id, b.job_id FROM rows_ a JOIN rows_ b ON a.job_id <> b.job_id AND a.c = b.c AND a.city = b.city AND (a.title = b.title OR 1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))::DOUBLE >= 0.9) AND coalesce(abs(epoch(a.posted_at) - epoch(b.posted_at)) <= 30 * 86400, true)),
+reach AS (SELECT job_id AS x, job_id AS y FROM rows_ UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x) SELECT x AS job_id, min(y) AS canonical_id FROM reach GROUP BY 1"""
 )
 def resolved_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same posting from several sources, as components."""
-    rows = relation(spark, sf_dir, POSTINGS).where("job_id < 4000")
+    rows = relation(spark, sf_dir, POSTINGS)
     rows = rows.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), "o_custkey"), "job_id")
     rows = rows.select("job_id", "provider", "external_id", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("company_key"), F.col("location").alias("city"), F.col("title").alias("title_key"), F.concat(F.lit("h"), F.col("job_id").cast("string")).alias("description_hash"), "posted_at")
     return resolve.components(rows, "job_id").select("job_id", "canonical_id")
