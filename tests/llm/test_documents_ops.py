@@ -72,7 +72,9 @@ def brute_components(rows, size, percent=80):
 
 
 @pytest.mark.parametrize("size,chunk", [(2, 1024), (5, 1024), (2, 6)])
-def test_near_duplicates_match_brute_force(spark, size, chunk):
+def test_near_duplicates_match_brute_force(spark, monkeypatch, size, chunk):
+    if chunk == 6:
+        monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     rows = near_rows()
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, chunk=chunk).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, size)
