@@ -142,10 +142,11 @@ def report_faults(claims: DataFrame, evidence_rows: DataFrame, required: DataFra
 
 def coverage(targets: DataFrame, levels: DataFrame) -> DataFrame:
     """Share of a role's core skills (role_id, skill_id) that a user holds
-    at level 3 at least."""
-    users = levels.select("user_id").distinct()
-    held = levels.where("level >= 3").select("user_id", "skill_id", F.lit(1).alias("_held")).distinct()
-    return users.join(F.broadcast(targets)).join(held, ["user_id", "skill_id"], "left").groupBy("user_id", "role_id").agg((F.count("_held") / F.count("*")).alias("share"), F.count("_held").alias("n_held"))
+    at level 3 at least; roles of which a user holds none have no row."""
+    core = targets.select("role_id", "skill_id").distinct()
+    total = core.groupBy("role_id").agg(F.count("*").alias("_total"))
+    held = levels.where("level >= 3").select("user_id", "skill_id").distinct().join(core, "skill_id").groupBy("user_id", "role_id").agg(F.count("*").alias("n_held"))
+    return held.join(total, "role_id").select("user_id", "role_id", (F.col("n_held") / F.col("_total")).alias("share"), "n_held")
 
 
 def suggested_roles(shares: DataFrame, k: int = 6) -> DataFrame:

@@ -77,12 +77,12 @@ def top(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def round_robin(variants: DataFrame, places: DataFrame, cap: int, first: int) -> DataFrame:
-    """Queries of every variant (role_id, variant_no, text) and place
-    (place_no, place), one variant of each role after another; the same text at
-    the same place is asked once for all its roles. Both inputs are a person's
-    own few choices."""
-    both = variants.join(F.broadcast(places))
+def round_robin(variants: DataFrame, places: list[str], cap: int, first: int) -> DataFrame:
+    """Queries of every variant (role_id, variant_no, text) at every place,
+    one variant of each role after another; the same text at the same place is
+    asked once for all its roles. The plan is one person's and short."""
+    at = F.array(*(F.struct(F.lit(i).alias("place_no"), F.lit(p).alias("place")) for i, p in enumerate(places)))
+    both = variants.withColumn("_p", F.explode(at)).select("role_id", "variant_no", "text", "_p.*")
     order = F.struct("variant_no", "place_no", "role_id")
     merged = both.groupBy(F.lower(F.trim("text")).alias("text"), "place").agg(F.min(order).alias("_at"), F.array_sort(F.collect_set("role_id")).alias("role_ids"))
     out = merged.withColumn("position", F.row_number().over(Window.orderBy("_at", "text"))).where(F.col("position") <= cap)

@@ -68,7 +68,7 @@ def extraction_recall(expected: DataFrame, found: DataFrame, keys: list[str]) ->
 
 def missed_targets(scores: DataFrame, targets: DataFrame) -> DataFrame:
     """Metrics (name, value) under their target."""
-    return scores.join(F.broadcast(targets), "name").where(F.col("value") < F.col("target"))
+    return scores.join(targets, "name").where(F.col("value") < F.col("target"))
 
 
 def citation_validity(claims: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -27,13 +27,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+#: A query set of so many rows at most is broadcast; a larger one meets the
+#: items in SALTS parts.
+QUERIES, SALTS = 20_000, 64
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """T5: exact k nearest items (item_id, model, vector) of each query
-    (query_id, model, vector) of the same model. A stated, small query set goes
-    to every task; each task keeps its own best k, which are merged."""
+    (query_id, model, vector) of the same model. Every task cuts its pairs to
+    the best k of each query before they are shuffled."""
     own = queries.select("query_id", "model", unit(F.col("vector")).alias("_q"))
     every = items.select("item_id", "model", unit(F.col("vector")).alias("_v"))
-    pairs = every.join(F.broadcast(own), "model").select("query_id", "item_id", dot(F.col("_q"), F.col("_v")).alias("similarity")).where("similarity is not null")
+    if queries.limit(QUERIES + 1).count() <= QUERIES:
+        both = every.join(F.broadcast(own), "model")
+    else:
+        salted = own.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = every.withColumn("_s", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int")).join(salted, ["model", "_s"])
+    pairs = both.select("query_id", "item_id", dot(F.col("_q"), F.col("_v")).alias("similarity")).where("similarity is not null")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")))
     return ranked.where(F.col("rank") <= k)
 

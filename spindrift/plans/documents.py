@@ -76,5 +76,4 @@ def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries round robin over variants, places and roles."""
     nation = table(spark, sf_dir, "nation")
     variants = nation.select((F.col("n_nationkey") % 10).alias("role_id"), F.floor(F.col("n_nationkey") / 10).alias("variant_no"), F.col("n_name").alias("text"))
-    places = spark.createDataFrame([(0, "Pune"), (1, "Delhi")], "place_no int, place string")
-    return history.round_robin(variants, places, 20, 5)
+    return history.round_robin(variants, ["Pune", "Delhi"], 20, 5)

@@ -90,6 +90,14 @@ def test_other_states(spark):
     assert sorted(r.id for r in kept.collect()) == [1, 3]
 
 
+def test_nearest_without_broadcast(spark, monkeypatch):
+    items = spark.createDataFrame([(i, "m", [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "item_id long, model string, vector array<double>")
+    queries = items.where("item_id < 9").withColumnRenamed("item_id", "query_id")
+    want = sorted(map(tuple, vectors.nearest(queries, items, 4).select("query_id", "item_id", "rank").collect()))
+    monkeypatch.setattr(vectors, "QUERIES", 0)
+    assert sorted(map(tuple, vectors.nearest(queries, items, 4).select("query_id", "item_id", "rank").collect())) == want
+
+
 def test_hashed_vectors(spark):
     frame = spark.createDataFrame([(1, "m", ["a", "b"]), (2, "m", ["a", "b", "c"]), (3, "n", ["a", "b"])], "item_id long, model string, w array<string>")
     items = frame.select("item_id", "model", vectors.hashed_embedding(F.col("w"), 64).alias("vector"))
