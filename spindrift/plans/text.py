@@ -48,7 +48,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible text of whole pages (the tests compare it with a parser)."""
+    """Visible text of whole pages (expression-only; its rules are tested on small pages)."""
     return heavy(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
