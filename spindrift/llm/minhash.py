@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = cut(classes.select("c1", "c2", "copies", "r.*"), "classes")
 
     banded = classes.select(F.col("doc_id").alias("u"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # grouped by a second key so that the join has exchanges of its own, which adaptive execution can split
+    shared = banded.groupBy("key", F.xxhash64("key").alias("_h")).agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
     clusters = star_edges(banded.join(shared, "key").where("u <> v").select("u", "v"))
 
     found = _confirmed(docs, classes, clusters, shingle_words, percent, chunk)
