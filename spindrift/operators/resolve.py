@@ -28,7 +28,7 @@ def canonical_by_key(rows: DataFrame, row_id: str, key: str) -> DataFrame:
     the join, so a key of very many rows stays small on one side; the keys are
     written once, since they may have cost much to make."""
     rows = cut(rows, "keys")
-    least = rows.groupBy(key).agg(F.min(row_id).alias("canonical_id"))
+    least = rows.groupBy(key, F.xxhash64(key).alias("_h")).agg(F.min(row_id).alias("canonical_id")).drop("_h")
     return rows.join(least, key)
 
 
@@ -46,7 +46,7 @@ def links(rows: DataFrame, row_id: str) -> DataFrame:
     stars = None
     for keys in (["provider", "external_id"], ["description_hash"]):
         some = rows.dropna(subset=keys).where(F.col(keys[-1]) != "")
-        least = some.groupBy(*keys).agg(F.min(row_id).alias("v"), F.count("*").alias("n")).where("n > 1")
+        least = some.groupBy(*keys, F.xxhash64(*keys).alias("_h")).agg(F.min(row_id).alias("v"), F.count("*").alias("n")).where("n > 1").drop("_h")
         own = some.join(least, keys).select(F.col(row_id).alias("u"), "v")
         stars = own if stars is None else stars.union(own)
     side = lambda s: {f: F.col(f"{s}.{f}") for f in _FIELDS}
