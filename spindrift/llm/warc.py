@@ -88,7 +88,8 @@ def records(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
     long = pages.where(F.col("bytes") >= LEAST_BYTES).where("page_id is not null").select("page_id", "digest")
-    firsts = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # grouped by a second key so that the join has exchanges of its own, which adaptive execution can split
+    firsts = long.groupBy("digest", F.xxhash64("digest").alias("_h")).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n", "_h")
     again = long.join(firsts, "digest").where("page_id <> refers_to").distinct()
     pages = pages.join(again, ["page_id", "digest"], "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
