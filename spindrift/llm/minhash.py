@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import textkernels as K
-from spindrift.llm.components import star_edges
+from spindrift.llm.components import send, star_edges
 from spindrift.llm.workspace import cut
 
 #: Bytes of minima that a signature holds, and how many must agree at least.
@@ -158,8 +158,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = cut(classes.select("c1", "c2", "copies", "r.*"), "classes")
 
     banded = classes.select(F.col("doc_id").alias("u"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    clusters = star_edges(banded.join(shared, "key").where("u <> v").select("u", "v"))
+    shared = banded.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1")
+    clusters = star_edges(send(banded, shared, "key", "n", bands * classes.count()).where("u <> v").select("u", "v"))
 
     found = _confirmed(docs, classes, clusters, shingle_words, percent, chunk)
     changed = classes.join(found.withColumnRenamed("u", "doc_id"), "doc_id", "left").where("copies > 1 or v is not null").select("c1", "c2", F.coalesce("v", "doc_id").alias("found"))
@@ -171,7 +171,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: i
     """Stars (u, v) over confirmed links between the classes of each cluster."""
     members = clusters.unionByName(clusters.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("doc_id"), F.col("v").alias("cluster"))
     counts = clusters.groupBy(F.col("v").alias("cluster")).agg((F.count("*") + 1).alias("members"))
-    members = cut(members.join(counts, "cluster").join(classes.select("doc_id", "signature", "c1", "c2"), "doc_id"), "members")
+    # a cluster has a star of its members but one, so there are at most twice as many members as edges
+    members = cut(send(members, counts, "cluster", "members", 2 * clusters.count()).join(classes.select("doc_id", "signature", "c1", "c2"), "doc_id"), "members")
     n = members.count()
     if not n:
         return clusters
@@ -188,8 +189,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: i
     large = large.join(first.withColumnRenamed("u", "doc_id"), "doc_id", "left").select(*large.columns, F.coalesce("v", "doc_id").alias("label"))
     large = cut(large, "large")
     sizes = large.groupBy("cluster", "label").count()
-    main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("apart"))
-    large = large.join(main, "cluster").where("apart > 0")
+    main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("apart"), F.sum("count").alias("n"))
+    large = send(large, main, "cluster", "n", large.count()).drop("n").where("apart > 0")
     apart = large.where("label <> main")
     lots = F.ceil(F.col("apart") / chunk)
     every = large.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1))).withColumn("far", F.lit(0))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spindrift.llm import langmix, lines, mergedrop, minhash, order, packing
+from spindrift.llm import components, langmix, lines, mergedrop, minhash, order, packing
 from spindrift.llm import textkernels as K
 from spindrift.llm.tokens import default_vocabulary, encode
 
@@ -92,6 +92,25 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, 7, 8, None, 9}
 
 
+@pytest.mark.parametrize("hot", [1, 8, 2000])
+def test_stars_match_reachability(spark, monkeypatch, hot):
+    """All keys by shuffle, some of them by broadcast, nearly all by broadcast."""
+    monkeypatch.setattr(components, "HOT", hot)
+    rng = random.Random(hot)
+    edges = [(7, n) for n in range(100, 400)] + [(n, n + 1) for n in range(500, 540)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(120)] + [(3, 3), (100, 7), (None, 5)]
+    least = {n: n for e in edges if None not in e for n in e}
+    for _ in least:
+        before = dict(least)
+        for u, v in edges:
+            if u is not None:
+                least[u] = least[v] = min(least[u], least[v])
+        if before == least:
+            break
+    found = components.star_edges(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r.u, r.v) for r in found) == sorted((n, m) for n, m in least.items() if n != m)
+    assert components.star_edges(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_confirm_compares_every_pair_of_components():
     rng = random.Random(5)
     sets = [np.unique(np.array([rng.randrange(60) for _ in range(40)], dtype=np.uint64)) for _ in range(40)]
