@@ -12,7 +12,8 @@ def islands(spans: DataFrame, key: str, start: str, stop: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy(start, stop)
     before = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.where(F.col(stop) >= F.col(start)).withColumn("_new", F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0))
-    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # by range: equal spans are of one island in whatever order they come
+    numbered = marked.withColumn("_island", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "_island").agg(F.min(start).alias("from_month"), F.max(stop).alias("to_month")).drop("_island")
 
 

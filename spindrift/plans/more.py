@@ -15,7 +15,7 @@ _USE = "SELECT o_custkey AS person_id, o_orderkey % 5 AS skill_id, o_orderkey AS
 
 @query(
     oracle(uses=_USE) + """, s AS (SELECT * REPLACE (coalesce(to_month, 24019) AS to_month) FROM uses), o AS (SELECT *, max(to_month) OVER (PARTITION BY person_id, skill_id ORDER BY from_month, to_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
-m AS (SELECT *, sum(CASE WHEN before IS NULL OR from_month > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id, skill_id ORDER BY from_month, to_month ROWS UNBOUNDED PRECEDING) AS island FROM o),
+m AS (SELECT *, sum(CASE WHEN before IS NULL OR from_month > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id, skill_id ORDER BY from_month, to_month RANGE UNBOUNDED PRECEDING) AS island FROM o),
 i AS (SELECT person_id, skill_id, max(to_month) - min(from_month) + 1 AS months FROM m GROUP BY person_id, skill_id, island)
 SELECT person_id, skill_id, months, last_year, roles FROM (SELECT person_id, skill_id, sum(months)::BIGINT AS months FROM i GROUP BY 1, 2) JOIN (SELECT person_id, skill_id, (max(to_month) // 12)::INT AS last_year, count(DISTINCT role_id) AS roles FROM s GROUP BY 1, 2) USING (person_id, skill_id)"""
 )

@@ -129,7 +129,7 @@ def orphan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ISLANDS = f"""{_S}, ordered AS (SELECT *, max(to_month) OVER (PARTITION BY person_id ORDER BY from_month, to_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
-marked AS (SELECT *, sum(CASE WHEN before IS NULL OR from_month > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY from_month, to_month ROWS UNBOUNDED PRECEDING) AS island FROM ordered),
+marked AS (SELECT *, sum(CASE WHEN before IS NULL OR from_month > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY from_month, to_month RANGE UNBOUNDED PRECEDING) AS island FROM ordered),
 islands AS (SELECT person_id, min(from_month) AS from_month, max(to_month) AS to_month FROM marked GROUP BY person_id, island)"""
 
 

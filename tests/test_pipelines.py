@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import documents, events, metrics, resolve, state, vectors
+from spindrift.operators import documents, events, history, metrics, resolve, state, vectors
 from spindrift.sources import pages, postings
 from spindrift.streaming import applications
 
@@ -147,3 +147,9 @@ def test_resynced_evidence_keeps_numbers(spark):
     old = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "k int, text string, number int")
     new = spark.createDataFrame([(1, "new", 0), (1, "y", 1), (1, "newer", 2)], "k int, text string, position int")
     assert {r.text: r.number for r in documents.resynced_evidence(old, new, "k").collect()} == {"y": 2, "new": 3, "newer": 4}
+
+
+def test_equal_spans_are_of_one_island(spark):
+    spans = spark.createDataFrame([(1, 10, 15), (1, 30, 35), (1, 30, 35), (1, 30, 33), (2, 5, 4)], "id long, f int, t int")
+    found = history.islands(spans, "id", "f", "t").collect()
+    assert sorted((r.id, r.from_month, r.to_month) for r in found) == [(1, 10, 15), (1, 30, 35)]
