@@ -89,6 +89,17 @@ def description_hash(text: Column, ascii_only: bool = False) -> Column:
     return F.substring(F.sha2(F.substring(plain, 1, 3000), 256), 1, 32)
 
 
+def text_hash(text: Column) -> Column:
+    """Hash of a whole text; equal for texts that differ in case, spacing
+    and punctuation only. Letters, marks and digits of every script count; null
+    where a text has none."""
+
+    def digest(plain: Column) -> Column:
+        return F.when(F.trim(plain) != "", F.sha2(plain, 256))
+
+    return let(F.regexp_replace(normalize_for_match(text), r"[^\p{L}\p{M}\p{N} ]+", ""), digest)
+
+
 def is_staffing(company: Column) -> Column:
     """X19."""
     return company.rlike(STAFFING)

@@ -24,12 +24,15 @@ def word_runs(rows: DataFrame, key: str, column: str, n: int) -> DataFrame:
 
 
 def canonical_by_key(rows: DataFrame, row_id: str, key: str) -> DataFrame:
-    """Rows with the least id of their key. The ids are summed up before
-    the join, so a key of very many rows stays small on one side; the keys are
-    written once, since they may have cost much to make."""
+    """Rows with the least id of their key; a row without a key keeps its
+    own id. The ids are summed up before the join, so a key of very many rows
+    stays small on one side; the keys are written once, since they may have
+    cost much to make."""
     rows = cut(rows, "keys")
-    least = rows.groupBy(key, F.xxhash64(key).alias("_h")).agg(F.min(row_id).alias("canonical_id")).drop("_h")
-    return rows.join(least, key)
+    keyed = rows.dropna(subset=[key])
+    least = keyed.groupBy(key, F.xxhash64(key).alias("_h")).agg(F.min(row_id).alias("canonical_id")).drop("_h")
+    alone = rows.where(F.col(key).isNull()).withColumn("canonical_id", F.col(row_id))
+    return keyed.join(least, key).unionByName(alone)
 
 
 def candidates(rows: DataFrame, row_id: str) -> DataFrame:

@@ -68,6 +68,16 @@ def test_resolution_is_transitive_and_greedy_is_not_needed(spark):
     assert {r.id: r.canonical_id for r in resolve.greedy(frame, "company_key", "id").collect()}[4] == 1
 
 
+def test_exact_duplicates_compare_whole_texts_of_any_script(spark, tmp_path):
+    from spindrift.plans import QUERIES
+
+    top = "Licence and more. " * 300
+    texts = [top + "one", top + "two", top.upper() + "ONE!", "Привет, мир", "привет мир", "другое", "漢字", "漢語", "++ --", "!!", None, "", "Café", "Cafe\u0301", "Cafe"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.canonical_id for r in QUERIES["exact_duplicates"](spark, str(tmp_path)).collect()}
+    assert got == {i: i for i in range(len(texts))} | {2: 0, 4: 3, 13: 12}
+
+
 def test_best_description(spark):
     frame = spark.createDataFrame([(1, 1, "long but cut text", True), (1, 2, "short", False), (1, 3, "equal", False), (2, 4, "a", True)], "k int, id long, description string, truncated boolean")
     assert {r.k: r.id for r in resolve.best_description(frame, "k", "id").collect()} == {1: 2, 2: 4}
