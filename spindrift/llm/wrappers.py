@@ -42,29 +42,49 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _SCOPES = frozenset("ul ol dl table body html article div section td".split())
 _WORDS = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Boilerplate that an article inside does not end: navigation, asides, footers, comments.
+_DEEP = frozenset("nav aside footer menu navbar navigation breadcrumb breadcrumbs pagination sidebar related comment comments disqus replies respond complementary contentinfo".split())
+#: A class with such a part tells of a state, as in "no-sidebar".
+_STATES = frozenset("has hide is no non not one show two with without".split())
+#: Elements that may stand in a head.
+_HEADED = frozenset("base link meta".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PART = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=20000)
 def _kind(name: str, attributes: str) -> str:
-    """m: starts an article, b: starts boilerplate, else empty."""
+    """m: starts an article, b: starts boilerplate, d: starts boilerplate that
+    articles inside belong to, else empty. Class words don't count on the
+    elements that hold a page or its article."""
     if name in _BOILER:
-        return "b"
-    for key, *values in _NAMED.findall(attributes):
-        value = "".join(values).lower()
-        words = set(_WORD.findall(value))
-        if key.lower() == "role" and words & _ROLES or key.lower() != "role" and words & _WORDS:
-            return "b"
-        if key.lower() == "role" and "main" in words:
-            return "m"
+        return "d" if name in _DEEP else "b"
+    named = {key.lower(): "".join(values) for key, *values in reversed(_NAMED.findall(attributes))}
+    role = set(named.get("role", "").lower().split())
+    if "main" in role:
+        return "m"
+    if name in ("html", "body"):
+        return ""
+    words = role & _ROLES
+    if name not in _MAIN:
+        words |= {w for key in ("class", "id") for token in named.get(key, "").split() if (w := _head_word(token)) in _WORDS}
+    if words:
+        return "d" if words & _DEEP else "b"
     return "m" if name in _MAIN else ""
 
 
+def _head_word(token: str) -> str:
+    """Last word of a class or id (site-footer: footer, sidebar-2: sidebar,
+    page-header-fixed: fixed), empty for states (no-sidebar)."""
+    parts = [p.lower() for p in _PART.findall(_HUMP.sub("-", token.partition("--")[0]))]
+    return "" if not parts or _STATES.intersection(parts[:-1]) else parts[-1]
+
+
 class Block:
     """A text block of a page: region (c article, b boilerplate, o other)."""
 
@@ -76,10 +96,10 @@ class Block:
 
 
 class _Node:
-    __slots__ = ("name", "region", "items", "parent")
+    __slots__ = ("name", "region", "items", "parent", "deep")
 
-    def __init__(self, name: str, region: str, parent: _Node | None) -> None:
-        self.name, self.region, self.parent = name, region, parent
+    def __init__(self, name: str, region: str, parent: _Node | None, deep: bool = False) -> None:
+        self.name, self.region, self.parent, self.deep = name, region, parent, deep
         self.items: list[_Node | Block] = []
 
 
@@ -90,10 +110,12 @@ def parse(page: str) -> _Node:
     anchor = at = count = 0
 
     def said(text: str) -> None:
-        nonlocal current, count
+        nonlocal current, count, node
         if current is None:
             if not text or text.isspace():
                 return
+            if node.name == "head":
+                node = node.parent
             current = Block(node.region, count)
             node.items.append(current)
             count += 1
@@ -117,6 +139,8 @@ def parse(page: str) -> _Node:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 at = close.end() if close else len(page)
             continue
+        if node.name == "head" and not ending and name not in _HEADED:
+            node = node.parent
         if name in _INLINE:
             if name == "a":
                 anchor = 0 if ending else 1
@@ -141,8 +165,12 @@ def parse(page: str) -> _Node:
         if name in _VOID:
             continue
         kind = _kind(name, attributes)
-        region = "b" if node.region == "b" or kind == "b" else "c" if node.region == "c" or kind == "m" else "o"
-        child = _Node(name, region, node)
+        deep = node.deep or kind == "d"
+        if kind == "m":
+            region = "b" if deep else "c"
+        else:
+            region = "b" if kind else node.region
+        child = _Node(name, region, node, deep)
         node.items.append(child)
         node = child
 

@@ -81,6 +81,20 @@ def test_wrapper_removes_what_repeats_on_pages_without_article(spark):
     assert "+" in shown and shown.startswith("<body>")
 
 
+def test_class_words_and_open_heads_do_not_hide_the_article():
+    article = "<article><h1>Head</h1><p>Text</p></article>"
+    whole = ['<html class="no-sidebar"><body class="with-sidebar menu">{}</body></html>', '<body id="header">{}</body>', '<main class="with-sidebar">{}</main>', '<div id="page-header-fixed">{}</div>', '<div class="has-widget sidebarOpen">{}</div>', '<div id="header">{}</div>', "<form>{}</form>", "<html><head><meta charset=x><title>T</title><body>{}</body></html>", "<head><link rel=x>{}", '<div class="banner"><div role="main">{}</div></div>']
+    for page in whole:
+        assert wrappers.extract(page.format(article), [], {}) == "Head\nText", page
+    for state in ("post comments-open", "comments-open has-related", "sidebar", "hentry comment"):
+        assert wrappers.extract(f'<body><article class="{state}"><p>Text</p></article></body>', [], {}) == "Text"
+    assert wrappers.extract("<head><title>T</title><p>Bare</p>", [], {}) == wrappers.extract("<head><meta x>Bare", [], {}) == wrappers.extract("<head><meta x><b>Bare</b>", [], {}) == "Bare"
+    for mark in ("<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", '<section id="comments">{}</section>', '<ol class="post-comments">{}</ol>', '<div role="complementary">{}</div>', '<div class="Sidebar sidebar-2">{}</div>'):
+        assert wrappers.extract(f"<body>{article}{mark.format('<article>Other</article><p>more</p>')}</body>", [], {}) == "Head\nText", mark
+    for mark in ("site-footer", "sidebar-1", "siteHeader", "cookie_notice", "menu--open", "ad"):
+        assert wrappers.extract(f'<body><div class="{mark}">Other</div><p>Text</p></body>', [], {}) == "Text", mark
+
+
 def test_alignment_makes_optional_groups():
     a = [[t, 1, False, "a", "a"] if t[0] == "#" else [t, 1, False] for t in "<x> #o </> <y> #o </>".split()]
     b = [[t, 1, False, "b", "b"] if t[0] == "#" else [t, 1, False] for t in "<y> #o </>".split()]
