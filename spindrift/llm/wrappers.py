@@ -31,6 +31,8 @@ LONGEST = 4000
 #: Wrappers of so many characters in all are broadcast at most.
 BROADCAST_CHARS = 32 << 20
 SALTS = 16
+#: Distinct contents of pages that a text must repeat on to be template.
+REPEATS = 3
 
 # Element names and class words by their role.
 _SKIPPED = frozenset("script style template noscript textarea select svg iframe object canvas math audio video title".split())
@@ -228,10 +230,15 @@ def host_of(url: str | None) -> str:
 
 
 #: A wrapper token: name, pages that have it, whether it is optional, and for
-#: texts the least and the most hash (15 hex digits).
+#: texts the least and the most hash (15 hex digits) and the least ``REPEATS``
+#: distinct digests of these pages' contents, so copies of a page count once.
 Token = list
 
 
+def _least(digests: set[str]) -> list[str]:
+    return sorted(digests)[:REPEATS]
+
+
 def merge(wrapper: list[Token], other: list[Token]) -> list[Token]:
     """Align two wrappers; tokens that only one has become optional."""
     if not wrapper or not other:
@@ -247,7 +254,7 @@ def merge(wrapper: list[Token], other: list[Token]) -> list[Token]:
             out.append([t[0], t[1], True, *t[3:]])
         for x, y in zip(wrapper[a : a + n], other[b : b + n], strict=True):
             same = [x[0], x[1] + y[1], x[2] or y[2]]
-            out.append([*same, min(x[3], y[3]), max(x[4], y[4])] if len(x) > 3 else same)
+            out.append([*same, min(x[3], y[3]), max(x[4], y[4]), *_least({*x[5:], *y[5:]})] if len(x) > 3 else same)
         i, j = a + n, b + n
     for t in wrapper[i:] + other[j:]:
         out.append([t[0], t[1], True, *t[3:]])
@@ -260,9 +267,9 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def taken() -> pa.RecordBatch:
         rows = []
-        for (host, stream), (n, low, high) in seen.items():
+        for (host, stream), (n, low, high, digests) in seen.items():
             text = iter(zip(low, high, strict=True))
-            wrapper = [[t, n, False, *next(text)] if t[0] == "#" else [t, n, False] for t in stream.split(" ")] if stream else []
+            wrapper = [[t, n, False, *next(text), *digests] if t[0] == "#" else [t, n, False] for t in stream.split(" ")] if stream else []
             rows.append((host, xxhash.xxh32_intdigest(stream) % SALTS, stream, json.dumps(wrapper, separators=(",", ":"))))
         seen.clear()
         hosts, salts, streams, wrappers = zip(*rows, strict=True)
@@ -273,11 +280,15 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, texts = fold(parse(page.as_py() or ""))
             own = [[f"{xxhash.xxh64_intdigest(shown(b)) >> 4:015x}" for b in slot] for slot in texts]
             low, high = [min(x) for x in own], [max(x) for x in own]
+            # the content of a page is its texts outside boilerplate
+            content = sorted(h for slot, its in zip(texts, own, strict=True) for b, h in zip(slot, its, strict=True) if b.region != "b")
+            digest = f"{xxhash.xxh64_intdigest(' '.join(content)) >> 4:015x}"
             key = (host_of(url), " ".join(tokens))
             if (old := seen.get(key)) is None:
-                seen[key] = [1, low, high]
+                seen[key] = [1, low, high, [digest]]
             else:
-                seen[key] = [old[0] + 1, list(map(min, old[1], low)), list(map(max, old[2], high))]
+                digests = old[3] if digest in old[3] else _least({*old[3], digest})
+                seen[key] = [old[0] + 1, list(map(min, old[1], low)), list(map(max, old[2], high)), digests]
             if len(seen) >= 20000:
                 yield taken()
     if seen:
@@ -319,7 +330,7 @@ def roles(wrapper: list[Token], tokens: list[str]) -> list[str]:
             at.update((b + k, wrapper[a + k]) for k in range(n))
         slots = [at.get(i) for i, t in enumerate(tokens) if t[0] == "#"]
     for token, slot in zip(texts, slots, strict=True):
-        fixed = slot is not None and slot[1] >= 3 and slot[3] == slot[4]
+        fixed = slot is not None and len(slot) >= 5 + REPEATS and slot[3] == slot[4]
         found.append("article" if token[1] == "c" else "maybe" if token == "#o" and not fixed else "none")
     return found
 
@@ -370,7 +381,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null or empty html has no text. A null url, or one without a host, counts
     as the host "". Pages without an article element give the texts that lie
     outside boilerplate elements and vary between the host's pages (or stand on
-    under three of them). Rows that repeat a page_id or have none get a row
+    under three of them; pages of equal texts count as one). Rows that repeat a page_id or have none get a row
     each; no rows in, no rows out; other columns are ignored.
     """
     from spindrift.llm.workspace import cut

@@ -81,6 +81,18 @@ def test_wrapper_removes_what_repeats_on_pages_without_article(spark):
     assert "+" in shown and shown.startswith("<body>")
 
 
+def test_copies_of_a_page_without_article_keep_their_texts(spark):
+    page = "<body><nav>Menu {m}</nav><div>Welcome</div><h1>Head {n}</h1><div><p>Story {n}</p><p>More {n}</p></div></body>"
+    other = "<body><h2>Only {n}</h2></body>"
+    rows = [("copies", 0, i) for i in range(40)] + [("two", i % 2, 0) for i in range(40)] + [("many", i % 4, 0) for i in range(40)]
+    pages = [(i, f"http://{h}.example/{i}", page.format(n=n, m=m)) for i, (h, n, m) in enumerate(rows)] + [(1000 + i, f"http://copies.example/o{i}", other.format(n=i)) for i in range(5)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    found = {r.page_id: r.text for r in wrappers.main_text(frame).collect()}
+    for i, (h, n, _) in enumerate(rows):
+        assert found[i] == ("" if h == "many" else "Welcome\n") + f"Head {n}\nStory {n}\nMore {n}"
+    assert [found[1000 + i] for i in range(5)] == [f"Only {i}" for i in range(5)]
+
+
 def test_class_words_and_open_heads_do_not_hide_the_article():
     article = "<article><h1>Head</h1><p>Text</p></article>"
     whole = ['<html class="no-sidebar"><body class="with-sidebar menu">{}</body></html>', '<body id="header">{}</body>', '<main class="with-sidebar">{}</main>', '<div id="page-header-fixed">{}</div>', '<div class="has-widget sidebarOpen">{}</div>', '<div id="header">{}</div>', "<form>{}</form>", "<html><head><meta charset=x><title>T</title><body>{}</body></html>", "<head><link rel=x>{}", '<div class="banner"><div role="main">{}</div></div>']
