@@ -2,10 +2,15 @@
 
 Words are segmented by merging the best-scored neighbouring pair again and
 again. Each candidate (two neighbours, by their places in the word) that comes
-up in this agenda is skipped for good if a hash of it, keyed by seed, document
-variant and word, falls under the dropout rate. A word has ``variants`` ways to
-be segmented, dealt by document and place, so a task segments each (word, way)
-of a stretch of text once, thousands of words at a time.
+up in this agenda is skipped for good if a hash of it, keyed by seed, document,
+place of the word and word, falls under the dropout rate, so every occurrence
+of a word has draws of its own.
+
+Only a skipped merge that would have been made changes an agenda. A word of a
+stretch of text is therefore segmented once without skips; occurrences that
+skip one of the merges made go on, in groups of the same first skipped merge,
+to an agenda that leaves it out, until no merge made is skipped. Each (word,
+merges left out) is worked off once, thousands at a time.
 
 Blanks start words and no piece reaches over one, so words are independent.
 """
@@ -172,15 +177,22 @@ def segment_one(model: Model, word: str, key: int, limit: int) -> list[int]:
     return model.pieces([symbols[i] for i in range(n) if live[i]])
 
 
-def segment_many(model: Model, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Agendas of many words at once (rows of symbols, padded): final symbols
-    and their number. Each round pops every word's best candidate."""
+def _agendas(model: Model, symbols: np.ndarray, lengths: np.ndarray, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Agendas of many words at once (rows of symbols, padded) without the
+    merges in ``barred`` (codes, padded by -1): final symbols, their number and
+    the codes of the merges made, in order. Each round pops every word's best
+    candidate."""
     rows, width = symbols.shape
     s, n = symbols.astype(np.int32), lengths.copy()
     places = np.arange(width)
     begin = np.broadcast_to(places, (rows, width)).astype(np.int32).copy()
     rank = np.full((rows, width), _NONE, dtype=np.int32)
     merged = np.zeros((rows, width), dtype=np.int32)
+    made = np.full((rows, max(width - 1, 1)), -1, dtype=np.int32)
+
+    def code(r: np.ndarray, at: np.ndarray) -> np.ndarray:
+        after = np.where(at + 2 < n[r], begin[r, np.minimum(at + 2, width - 1)], lengths[r])
+        return ((begin[r, at] << 6 | begin[r, at + 1]) << 6 | after).astype(np.int32)
 
     def offer(r: np.ndarray, at: np.ndarray) -> None:
         """Candidates of the pairs that start at symbol ``at`` of rows ``r``."""
@@ -188,22 +200,22 @@ def segment_many(model: Model, symbols: np.ndarray, lengths: np.ndarray, keys: n
         rank[r[~ok & (at >= 0)], at[~ok & (at >= 0)]] = _NONE
         r, at = r[ok], at[ok]
         found, piece = model.look(s[r, at], s[r, at + 1])
-        if limit:
-            some = np.flatnonzero(found < _NONE)
-            q, p = r[some], at[some]
-            after = np.where(p + 2 < n[q], begin[q, np.minimum(p + 2, width - 1)], lengths[q])
-            found[some[_skip(keys[q], begin[q, p], begin[q, p + 1], after, limit)]] = _NONE
+        if barred.shape[1]:
+            found[(barred[r] == code(r, at)[:, None]).any(axis=1)] = _NONE
         rank[r, at], merged[r, at] = found, piece
 
     r, at = np.nonzero(places[None, :] + 1 < lengths[:, None])
     offer(r, at)
     live = np.arange(rows)
+    step = 0
     while len(live):
         best = rank[live].argmin(axis=1)
         some = rank[live, best] < _NONE
         live, best = live[some], best[some]
         if not len(live):
             break
+        made[live, step] = code(live, best)
+        step += 1
         s[live, best] = merged[live, best]
         take = np.minimum(places[None, :] + (places[None, :] > best[:, None]), width - 1)
         for table in (s, begin, rank, merged):
@@ -212,16 +224,60 @@ def segment_many(model: Model, symbols: np.ndarray, lengths: np.ndarray, keys: n
         rank[live, np.minimum(n[live], width - 1)] = np.where(n[live] < width, _NONE, rank[live, width - 1])
         offer(live, best)
         offer(live, best - 1)
-    return s, n
+    return s, n, made[:, :step]
+
+
+def ways(model: Model, symbols: np.ndarray, lengths: np.ndarray, word: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segmentations of occurrences (``word``: their row of ``symbols``, of at
+    most WIDE columns; ``keys``: their own): final symbols and number of each
+    distinct segmentation, and which of them each occurrence has."""
+    finals, counts, chosen = [], [], np.zeros(len(word), dtype=np.int64)
+    # a node is a word and the merges left out; todo and node are the occurrences at nodes
+    own, barred = np.arange(len(symbols)), np.zeros((len(symbols), 0), dtype=np.int32)
+    todo, node, base = np.arange(len(word)), word, 0
+    while len(own):
+        parts = [_agendas(model, symbols[own[i : i + 8192]], lengths[own[i : i + 8192]], barred[i : i + 8192]) for i in range(0, len(own), 8192)]
+        finals += [p[0] for p in parts]
+        counts += [p[1] for p in parts]
+        chosen[todo] = base + node
+        base += len(own)
+        if not limit:
+            break
+        made = np.full((len(own), max(p[2].shape[1] for p in parts)), -1, dtype=np.int32)
+        for i, p in enumerate(parts):
+            made[i * 8192 : i * 8192 + len(p[2]), : p[2].shape[1]] = p[2]
+        first = np.full(len(todo), -1, dtype=np.int32)
+        open_ = np.arange(len(todo))
+        for step in range(made.shape[1]):
+            spot = made[node[open_], step]
+            open_, spot = open_[spot >= 0], spot[spot >= 0]
+            if not len(open_):
+                break
+            skip = _skip(keys[todo[open_]], spot >> 12, spot >> 6 & 63, spot & 63, limit)
+            first[open_[skip]] = spot[skip]
+            open_ = open_[~skip]
+        some = first >= 0
+        todo, parent, first = todo[some], node[some], first[some]
+        pairs, node = np.unique(parent.astype(np.int64) << 18 | first, return_inverse=True)
+        up = pairs >> 18
+        own, barred = own[up], np.column_stack([barred[up], (pairs & ((1 << 18) - 1)).astype(np.int32)])
+    return np.concatenate(finals), np.concatenate(counts), chosen
+
+
+def segment_many(model: Model, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Final symbols and their number of many words, each with its own key."""
+    width = symbols.shape[1]
+    final, n, chosen = ways(model, symbols, lengths, np.arange(len(symbols)), keys, limit)
+    return final[chosen, :width], n[chosen]
 
 
 class Encoder:
-    """Encodes texts of a batch; equal (word, way) pairs are segmented once."""
+    """Encodes texts of a batch; equal words that skip the same merges are
+    segmented once."""
 
-    def __init__(self, model: Model, seed: int, dropout: float, variants: int) -> None:
+    def __init__(self, model: Model, seed: int, dropout: float) -> None:
         self.model, self.seed = model.with_merges(), seed
         self.limit = min(int(dropout * (1 << 32)), (1 << 32) - 1) if dropout > 0 else 0
-        self.variants = variants if self.limit else 1
         self.hash = K.keyed(77, 256) | K.U64(1)
 
     def stretch(self, part: np.ndarray, at: np.ndarray, doc_keys: np.ndarray) -> list[np.ndarray]:
@@ -240,11 +296,11 @@ class Encoder:
         first[np.searchsorted(begin, begin_text)] = True
         text = np.searchsorted(at, begin, "right") - 1
         place = np.arange(len(begin)) - np.searchsorted(begin, at[text])
-        way = (K.fmix(doc_keys[text] ^ place.astype(K.U64)) % K.U64(self.variants)) if self.variants > 1 else np.zeros(len(begin), K.U64)
         words = K.hash_runs(part, begin, end, self.hash) ^ K.fmix(first.astype(K.U64) + K.U64(3))
-        keys = K.fmix(words ^ K.fmix(way + K.U64(self.seed * 1000003 + 17)))
-        _, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        counts, flat = self._segment(part, begin[where], end[where], first[where], keys[where])
+        own = K.fmix(doc_keys[text] ^ K.fmix(place.astype(K.U64) + K.U64(self.seed * 1000003 + 17)))
+        keys = K.fmix(words ^ own)
+        _, where, word = np.unique(words, return_index=True, return_inverse=True)
+        counts, flat, back = self._segment(part, begin[where], end[where], first[where], word, keys)
         offsets = np.concatenate([[0], np.cumsum(counts)[:-1]])
         per_word = counts[back]
         total = np.concatenate([[0], np.cumsum(per_word)])
@@ -252,48 +308,56 @@ class Encoder:
         cut = total[np.searchsorted(begin, at)]
         return [ids[cut[i] : cut[i + 1]] for i in range(n)]
 
-    def _segment(self, part: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _segment(self, part: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, word: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths and ids of distinct segmentations, and which of them each
+        occurrence (``word``: its distinct word) has."""
         data = part.tobytes()
         words = [(" " if f else "") + data[a:b].decode() for a, b, f in zip(begin.tolist(), end.tolist(), first.tolist(), strict=True)]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        counts = np.zeros(len(words), dtype=np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        low = 0
+        back = np.zeros(len(word), dtype=np.int64)
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        base = low = 0
         for width in (4, 6, 8, 10, 12, 16, 24, WIDE):
-            some = np.flatnonzero((lengths > low) & (lengths <= width))
+            rows = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
-            for i in range(0, len(some), 8192):
-                rows = some[i : i + 8192]
-                code = np.frombuffer("".join(words[r] for r in rows.tolist()).encode("utf-32-le"), dtype=np.uint32)
-                own = np.arange(width)[None, :] < lengths[rows][:, None]
-                symbols = np.zeros((len(rows), width), dtype=np.int32)
-                symbols[own] = self.model.characters[code]
-                final, n = segment_many(self.model, symbols, lengths[rows], keys[rows], self.limit)
-                own = np.arange(width)[None, :] < n[:, None]
-                other = own & (final >= self.model.vocabulary)
-                odd = np.flatnonzero(other.any(axis=1))
-                clean = np.setdiff1d(np.arange(len(rows)), odd, assume_unique=True)
-                counts[rows[clean]] = n[clean]
-                found.append((np.repeat(rows[clean], n[clean]), final[clean][own[clean]]))
-                for k in odd.tolist():
-                    ids = self.model.pieces(final[k, : n[k]].tolist())
-                    counts[rows[k]] = len(ids)
-                    found.append((np.full(len(ids), rows[k]), np.array(ids, dtype=np.int32)))
-        for r in np.flatnonzero(lengths > WIDE).tolist():
-            ids = segment_one(self.model, words[r], int(keys[r]), self.limit)
-            counts[r] = len(ids)
-            found.append((np.full(len(ids), r), np.array(ids, dtype=np.int32)))
-        row = np.concatenate([f[0] for f in found])
-        ids = np.concatenate([f[1] for f in found]).astype(np.int32)
-        return counts, ids[np.argsort(row, kind="stable")]
+            if not len(rows):
+                continue
+            code = np.frombuffer("".join(words[r] for r in rows.tolist()).encode("utf-32-le"), dtype=np.uint32)
+            own = np.arange(width)[None, :] < lengths[rows][:, None]
+            symbols = np.zeros((len(rows), width), dtype=np.int32)
+            symbols[own] = self.model.characters[code]
+            row_of = np.full(len(words), -1, dtype=np.int64)
+            row_of[rows] = np.arange(len(rows))
+            some = np.flatnonzero(row_of[word] >= 0)
+            final, n, chosen = ways(self.model, symbols, lengths[rows], row_of[word[some]], keys[some], self.limit)
+            back[some] = base + chosen
+            base += len(n)
+            own = np.arange(width)[None, :] < n[:, None]
+            odd = np.flatnonzero((own & (final >= self.model.vocabulary)).any(axis=1))
+            at, flat = np.cumsum(n) - n, final[own]
+            pieces, n, last = [], n.copy(), 0
+            for k in odd.tolist():
+                part_ids = self.model.pieces(final[k, : n[k]].tolist())
+                pieces += [flat[last : at[k]], np.array(part_ids, dtype=np.int32)]
+                last, n[k] = at[k] + n[k], len(part_ids)
+            counts.append(n)
+            ids += [*pieces, flat[last:]]
+        # long words: each occurrence by itself, without dropout each word once
+        some = np.flatnonzero(lengths[word] > WIDE)
+        _, which, same = np.unique(keys[some] if self.limit else word[some], return_index=True, return_inverse=True)
+        long = [np.array(segment_one(self.model, words[word[o]], int(keys[o]), self.limit), dtype=np.int32) for o in some[which].tolist()]
+        back[some] = base + same
+        counts.append(np.fromiter(map(len, long), dtype=np.int64, count=len(long)))
+        return np.concatenate(counts), np.concatenate([*ids, *long]).astype(np.int32), back
 
 
 _TYPES = "doc_id long, n_ids long, ids binary"
 
 
-def _encode(path: str, seed: int, dropout: float, variants: int) -> Callable:
+def _encode(path: str, seed: int, dropout: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_of(path), seed, dropout, variants)
+        encoder = Encoder(model_of(path), seed, dropout)
         for batch in batches:
             data, offsets, null = K.texts_of(batch.column("text"))
             raw = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
@@ -306,7 +370,7 @@ def _encode(path: str, seed: int, dropout: float, variants: int) -> Callable:
     return run
 
 
-def encode(docs: DataFrame, model: str | None = None, seed: int = 1, dropout: float = 0.1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, seed: int = 1, dropout: float = 0.1) -> DataFrame:
     """doc_id, n_ids, ids (unsigned little-endian 32-bit) of every row of
     ``docs`` (doc_id, text). Without dropout these are the model's own ids.
 
@@ -315,7 +379,7 @@ def encode(docs: DataFrame, model: str | None = None, seed: int = 1, dropout: fl
     columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_encode(model or default_model(), seed, dropout, variants), _TYPES)
+    return docs.mapInArrow(_encode(model or default_model(), seed, dropout), _TYPES)
 
 
 def decode_ids(model: Model, ids: np.ndarray) -> bytes:

@@ -216,6 +216,32 @@ def test_merge_dropout(spark, odd, empty):
     assert mergedrop.encode(empty).count() == 0 and mergedrop.decode(mergedrop.encode(empty)).count() == 0
 
 
+def test_every_occurrence_of_a_word_has_its_own_dropout():
+    model = mergedrop.model_of(mergedrop.default_model()).with_merges()
+    encoder = mergedrop.Encoder(model, 1, 0.1)
+    texts = [b"the of " * 500 + b"transformations " * 1000 for _ in range(4)] + ["漢字 école ".encode() * 50 + b"x" * 60]
+    part, at = np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    keys = K.keyed(5, len(texts))
+    got = encoder.stretch(part, at, keys)
+    # ids of each occurrence by an agenda of its own
+    seen = {}
+    for t, k, ids in zip(texts, keys, got, strict=True):
+        want = []
+        for place, w in enumerate(re.findall(r" *[^ ]+| +$", t.decode())):
+            raw = np.frombuffer(w.encode(), dtype=np.uint8)
+            word = K.hash_runs(raw, np.array([0]), np.array([len(raw)]), encoder.hash) ^ K.fmix(np.array([place == 0], dtype=K.U64) + K.U64(3))
+            own = K.fmix(keys[:0].dtype.type(k) ^ K.fmix(np.array([place], dtype=K.U64) + K.U64(1000003 + 17)))
+            one = mergedrop.segment_one(model, " " * (place == 0) + w, int(K.fmix(word ^ own)[0]), encoder.limit)
+            seen.setdefault(w, []).append(tuple(one))
+            want += one
+        assert ids.tolist() == want
+    assert len(set(seen[" transformations"])) > 10
+    # "at" at the start of a line has one candidate, skipped in a tenth of all cases
+    line = np.frombuffer(b"at\n" * 4000, dtype=np.uint8)
+    (ids,), (plain,) = (mergedrop.Encoder(model, 1, d).stretch(line, np.array([0, len(line)]), keys[:1]) for d in (0.1, 0.0))
+    assert 0.08 < (len(ids) - len(plain)) / 4000 < 0.12
+
+
 def test_agenda_of_many_words_is_the_agenda_of_one():
     model = mergedrop.model_of(mergedrop.default_model()).with_merges()
     rng = random.Random(7)
