@@ -60,7 +60,8 @@ def links(rows: DataFrame, row_id: str) -> DataFrame:
 def components(rows: DataFrame, row_id: str, rounds: int = 30) -> DataFrame:
     """Rows with canonical_id, the least id reachable over links. Labels
     fall along links and jump to their own label's label, until none changes;
-    each round is written to the shared folder."""
+    each round is written to the shared folder. Labels that still change after
+    ``rounds`` are an error, never a result."""
     edges = cut(links(rows, row_id), "links")
     both = edges.union(edges.select("v", "u"))
     label = rows.select(F.col(row_id).alias("u"), F.col(row_id).alias("label"))
@@ -72,8 +73,8 @@ def components(rows: DataFrame, row_id: str, rounds: int = 30) -> DataFrame:
         done = new.where("label <> _old").isEmpty()
         label = new.select("u", "label")
         if done:
-            break
-    return rows.join(label.toDF(row_id, "canonical_id"), row_id)
+            return rows.join(label.toDF(row_id, "canonical_id"), row_id)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def best_description(rows: DataFrame, key: str, row_id: str) -> DataFrame:

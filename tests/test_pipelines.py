@@ -5,6 +5,7 @@ import json
 import zipfile
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.operators import documents, events, history, metrics, resolve, state, vectors
@@ -68,6 +69,15 @@ def test_resolution_is_transitive_and_greedy_is_not_needed(spark):
     assert {r.id: r.canonical_id for r in resolve.greedy(frame, "company_key", "id").collect()}[4] == 1
 
 
+def test_components_settle_or_fail(spark):
+    # a chain 0 ~ 1 ~ 2 ... by turns of provider id and description
+    rows = [(i, "p", str(i // 2), "", None, "t", f"h{(i + 1) // 2}", None) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id long, provider string, external_id string, company_key string, city string, title_key string, description_hash string, posted_at timestamp")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        resolve.components(frame, "id", rounds=2)
+    assert {r.canonical_id for r in resolve.components(frame, "id").collect()} == {0}
+
+
 def test_exact_duplicates_compare_whole_texts_of_any_script(spark, tmp_path):
     from spindrift.plans import QUERIES
 
