@@ -69,6 +69,19 @@ def test_resolution_is_transitive_and_greedy_is_not_needed(spark):
     assert {r.id: r.canonical_id for r in resolve.greedy(frame, "company_key", "id").collect()}[4] == 1
 
 
+def test_flags_and_pay_are_of_whole_tables(spark, monkeypatch):
+    from spindrift.plans import QUERIES, relations
+
+    folder = "/root/testdata/sf0.001"
+    flags = QUERIES["not_fit_flags"](spark, folder)
+    assert flags.count() == spark.read.parquet(f"{folder}/orders.parquet").count() and flags.select("user_id").distinct().count() > 20
+    given = []
+    monkeypatch.setattr(relations.metrics, "pay_context", lambda rows, keys, value: given.append(rows.select(value.alias("v"))) or rows)
+    QUERIES["pay_context"](spark, folder)
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    assert given[0].count() == part.count() and given[0].where("v is null").count() == part.where("p_size % 3 = 0").count()
+
+
 def test_components_settle_or_fail(spark):
     # a chain 0 ~ 1 ~ 2 ... by turns of provider id and description
     rows = [(i, "p", str(i // 2), "", None, "t", f"h{(i + 1) // 2}", None) for i in range(40)]
