@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a wrapper at most; a stream that would make it longer is left out,
-#: and pages with that stream are read by their own stream as wrapper.
+#: Tokens of a wrapper at most; a stream that would make it longer is left out
+#: with its counts, and pages with that stream are aligned with the rest.
 LONGEST = 4000
 #: Wrappers of so many characters in all are broadcast at most.
 BROADCAST_CHARS = 32 << 20
