@@ -25,9 +25,13 @@ def _tokenizer(vocabulary: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(vocabulary)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(vocabulary)
+
+
+@lru_cache(maxsize=4)
+def _special(vocabulary: str) -> tuple[bytes, ...]:
+    """Strings in a text that the vocabulary reads as one token of its own."""
+    return tuple(t.content.encode() for t in _tokenizer(vocabulary).get_added_tokens_decoder().values())
 
 
 @lru_cache(maxsize=4)
@@ -47,8 +51,9 @@ def _ranks(vocabulary: str):
 
 
 def encode(text: bytes, vocabulary: str) -> np.ndarray:
-    """Ids (uint32) of one UTF-8 text, without special tokens."""
+    """Ids (uint32) of one UTF-8 text as tokenizers gives them; nothing is put
+    around it, and a special string inside it is its special id."""
     ranks = _ranks(vocabulary)
-    if ranks is not None and (not text or np.frombuffer(text, np.uint8).max() < PLAIN_BELOW):
+    if ranks is not None and (not text or np.frombuffer(text, np.uint8).max() < PLAIN_BELOW) and not any(s in text for s in _special(vocabulary)):
         return np.array(ranks.encode_ordinary(text.decode()), dtype=np.uint32)
     return np.array(_tokenizer(vocabulary).encode(text.decode(), add_special_tokens=False).ids, dtype=np.uint32)

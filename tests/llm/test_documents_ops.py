@@ -149,7 +149,6 @@ def test_packing_tiles_documents(spark, odd, empty):
     from tokenizers import Tokenizer
 
     hf = Tokenizer.from_file(default_vocabulary())
-    hf.encode_special_tokens = True
     for i, text in rows:
         own = pieces[pieces.doc_id == i].sort_values("start")
         ids = hf.encode(text or "", add_special_tokens=False).ids + [1]
@@ -189,12 +188,16 @@ def test_encode_equals_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     hf = Tokenizer.from_file(default_vocabulary())
-    hf.encode_special_tokens = True
     rng = random.Random(9)
     alphabet = "aZ é ß ñ 0 9 \n\t  ' . , % ! \xa0   漢 😀 \x1c ́ ǅ <|endoftext|>".split(" ") + [" ", "\n", "  "]
     for _ in range(300):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
         assert encode(text.encode(), default_vocabulary()).tolist() == hf.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode(b"hello <|endoftext|> world", default_vocabulary()).tolist()
+    # every code point that goes by ranks, alone and between letters, digits, blanks and the one before
+    for c in map(chr, range(0x240)):
+        text = "".join(f"{a}{c}{b}" for a in ("a", "1", " ", "\n", "'", chr(max(0, ord(c) - 1))) for b in ("b", "2", "  ", "s", c))
+        assert encode(text.encode(), default_vocabulary()).tolist() == hf.encode(text, add_special_tokens=False).ids, ord(c)
 
 
 def test_merge_dropout(spark, odd, empty):
@@ -333,6 +336,8 @@ def test_languages_are_told_apart(spark, odd, empty):
     assert langmix.identify(empty).count() == 0
     by = {r.doc_id: r for r in langmix.identify(odd).collect()}
     assert by[1].lang_pred == by[2].lang_pred == by[3].lang_pred == by[9].lang_pred == "und" and by[7].lang_pred != "und"
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        langmix.learn(docs, languages=3)
     kept = langmix.keep_identified(odd)
     assert kept.columns == odd.columns and {1, 2, 3, 9}.isdisjoint({r.doc_id for r in kept.collect()})
 
