@@ -20,9 +20,9 @@ from spindrift.llm import textkernels as K
 
 #: Trigrams are hashed into so many (2 ** BITS) counters a language.
 BITS = 14
-#: Languages with the most training rows that are learned at most; the model
-#: that each task gets holds LANGUAGES * 2 ** BITS numbers at most.
-LANGUAGES = 256
+#: The model that each task gets holds 2 ** BITS numbers a language. Labels of
+#: more languages than this are an error, never a silent choice among them.
+LANGUAGES = 512
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 0x20, dtype=np.uint32)
@@ -67,20 +67,20 @@ def _remainder() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
 
 
-def learn(docs: DataFrame, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, alpha: float = 0.5, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages in order, their trigram probabilities) from the rows whose
-    crc32(doc_id) mod 3 is not 1, with text and lang."""
+    crc32(doc_id) mod 3 is not 1, with text and lang. More labels than
+    ``languages`` raise ValueError."""
     rows = docs.where(_remainder() != 1).where("text is not null and lang is not null")
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().limit(languages + 1).collect())
+    if len(names) > languages:
+        raise ValueError(f"more than {languages} languages in the labels; raise languages or merge labels")
     counts = np.full((len(names), 1 << BITS), alpha)
     if names:
-        # sums of at most LANGUAGES * 2 ** BITS counters come back
-        sums = rows.where(F.col("lang").isin(names)).select("lang", "text").mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-        found = sums.toPandas()
-        order = sorted(names)
-        at = found["lang"].map({x: i for i, x in enumerate(order)}).to_numpy(dtype=np.int64)
+        # sums of at most languages * 2 ** BITS counters come back
+        found = rows.select("lang", "text").mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+        at = found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(dtype=np.int64)
         counts[at, found["slot"].to_numpy(dtype=np.int64)] += found["n"].to_numpy(dtype=np.float64)
-        names = order
     return names, counts / counts.sum(axis=1, keepdims=True) if names else counts
 
 
@@ -161,20 +161,22 @@ def identify(docs: DataFrame) -> DataFrame:
     other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    names, p = learn(docs)
-    found = docs.select("doc_id", "text").mapInArrow(_predict(names, p), _TYPES)
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    found = docs.select("doc_id", "text").mapInArrow(lambda batches: _predict(*model.value)(batches), _TYPES)
     return found.select("doc_id", F.coalesce(_remainder() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a language that holds at least ``least`` of
-    the text, with all their columns; no shuffle."""
-    names, p = learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    the text, with all their columns; no shuffle. Rows whose text is null or has
+    no letter go, and all rows when nothing can be learned. Rows that repeat a
+    doc_id are judged each by its text; no rows in, no rows out."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")))
 
     @F.arrow_udf("boolean")
     def stays(text: pa.Array) -> pa.Array:
         kept = np.zeros(len(text), dtype=bool)
-        for i, share in predict(text, names, p):
+        for i, share in predict(text, *model.value):
             kept[i] = share is not None and share.max() >= least
         return pa.array(kept)
 
