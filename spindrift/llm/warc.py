@@ -26,8 +26,9 @@ from spindrift.llm.workspace import cut, fresh
 LEAST_BYTES = 100
 #: Records and bytes of payload in one archive file at most.
 RECORDS, FILE_BYTES = 1000, 256 << 20
-#: First capture's time; the capture of page n is n seconds later.
-EPOCH = 1_704_067_200
+#: First capture's time; the capture of page n is n modulo SPAN seconds later,
+#: so every date has a year of four digits and sorts as text.
+EPOCH, SPAN = 1_704_067_200, 1 << 37
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _END = "\r\n"
 
@@ -93,7 +94,7 @@ def records(pages: DataFrame) -> DataFrame:
     again = long.join(firsts, "digest").where("page_id <> refers_to").distinct()
     pages = pages.join(again, ["page_id", "digest"], "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    time = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    time = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     block = F.when(kind == "response", F.concat(F.lit(_HTTP), "html")).otherwise(F.lit(_HTTP))
     header = F.concat(

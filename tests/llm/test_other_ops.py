@@ -179,6 +179,14 @@ def test_archives_read_back(spark, monkeypatch):
     assert warc.archive_and_index(frame.limit(0)).count() == 0
 
 
+def test_captures_of_any_page_id_come_in_order(spark):
+    ids = [8 * 10**18, -(2**63), 3 * 10**11, 2**37, 5, -1, 0]
+    frame = spark.createDataFrame([(i, "http://h.example/x", f"page {i}") for i in ids], "page_id long, url string, html string")
+    index = warc.archive_and_index(frame).orderBy("part", "place").collect()
+    assert {r.page_id for r in index} == set(ids) and all(len(r.captured) == 20 for r in index)
+    assert [r.page_id for r in index] == sorted(ids, key=lambda i: (i % warc.SPAN, i))
+
+
 def test_index_is_ordered_over_several_parts(spark):
     frame = spark.createDataFrame([(i, f"http://h.example/{i % 2}", f"page {i}") for i in range(200)], "page_id long, url string, html string")
     path = warc.fresh(spark, "parts")
