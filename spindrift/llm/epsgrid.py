@@ -2,9 +2,12 @@
 
 Unit vectors of cosine c lie sqrt(2 - 2c) = eps apart. Vectors are projected on
 leading principal directions, which never lengthens a distance, and sorted by
-their grid cells of side eps there. Runs of that order are blocks; two blocks
-meet in a task only if their boxes are within eps, and in the task intervals
-are halved until they are provably distant or small enough to multiply.
+their grid cells of side eps there. Runs of that order are blocks of ``BLOCK``
+vectors however many there are. Intervals of blocks are joined recursively as a
+table: pairs of intervals whose boxes are within eps go on to their parts, down
+to blocks. Near blocks meet in tasks, a few neighbouring ones on either side of
+each, where intervals are halved until they are provably distant or small
+enough to multiply.
 
 Equal vectors are one class throughout; a task returns sums of links and a
 spanning forest, so copies and dense groups never become lists of pairs.
@@ -21,16 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.components import star_edges
+from spindrift.llm.components import send, star_edges
 from spindrift.llm.workspace import cut
 
-#: The principal directions are fitted on so many vectors, least hash first.
+#: The principal directions are fitted on about so many vectors, by hash.
 #: Any directions give right results; these only decide how much is skipped.
 SAMPLE = 10_000
 DIRECTIONS = 6
-#: Vectors in a block, and blocks at most: beyond that, blocks grow. The boxes
-#: of all blocks are all that the driver sees.
-BLOCK, BLOCKS = 8192, 2048
+#: Vectors in a block; a task holds ``SIDE`` blocks on either side at most.
+BLOCK, SIDE = 8192, 8
+#: Parts of an interval in the recursion over blocks.
+FAN = 16
+#: (block, task) rows that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 _LEAF = 512
 _SLACK = 1e-9
 
@@ -81,10 +87,13 @@ def _project(kind: str, directions: np.ndarray, eps: float) -> Callable:
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = TaskContext.get().partitionId()
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of the partition and of the row in it."""
+    part, place = TaskContext.get().partitionId(), 0
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([block] * batch.num_rows, pa.int32())], names=[*batch.schema.names, "block"])
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(np.arange(place, place + n))], names=[*batch.schema.names, "part", "place"])
+        place += n
 
 
 class _Forest:
@@ -166,50 +175,67 @@ def interval_join(unit: np.ndarray, at: np.ndarray, copies: np.ndarray, one: tup
     return links, forest.up
 
 
-def _join(kind: str, k: int, cosine: float) -> Callable:
+def _join(kind: str, directions: np.ndarray, side: int, cosine: float) -> Callable:
     def run(group: pa.Table) -> pa.Table:
-        order = np.lexsort([group.column("rep").to_numpy(), *(group.column(f"g{j}").to_numpy() for j in reversed(range(k))), group.column("block").to_numpy()])
-        group = group.take(pa.array(order))
-        ids, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
+        group = group.take(pa.array(np.argsort(group.column("rank").to_numpy())))
+        ids, far = group.column("node").to_numpy(), group.column("block").to_numpy() // side
         unit = _unit(group.column("raw").to_pylist(), kind)
-        at = np.stack([group.column(f"p{j}").to_numpy() for j in range(k)], axis=1)
-        middle, n = int(np.searchsorted(block, block[0], "right")), len(block)
+        middle, n = int(np.searchsorted(far, far[0], "right")), len(far)
         one, two = ((0, n), (0, n)) if middle == n else ((0, middle), (middle, n))
-        links, up = interval_join(unit, at, group.column("copies").to_numpy(), one, two, cosine)
+        links, up = interval_join(unit, unit @ directions, group.column("copies").to_numpy(), one, two, cosine)
         some = links > 0
-        return pa.table({"rep": ids[some], "links": links[some], "root": ids[up[some]]})
+        return pa.table({"node": ids[some], "links": links[some], "root": ids[up[some]]})
 
     return run
 
 
+def near_blocks(boxes: DataFrame, blocks: int, k: int, eps: float) -> DataFrame:
+    """Pairs (one <= two) of blocks whose boxes (block, a*: least, b*: most
+    coordinates) are within ``eps``: intervals of blocks are joined from the
+    whole sequence down, and distant ones are left out with all their parts."""
+    sizes = [1]
+    while sizes[-1] < blocks:
+        sizes.append(sizes[-1] * FAN)
+    pairs = boxes.sparkSession.createDataFrame([(0, 0)], "one long, two long")
+    for above, size in zip(reversed(sizes), [*reversed(sizes[:-1])] or [1], strict=False):
+        parts = boxes.groupBy(F.floor(F.col("block") / size).alias("at")).agg(*(F.min(f"a{j}").alias(f"a{j}") for j in range(k)), *(F.max(f"b{j}").alias(f"b{j}") for j in range(k)))
+        parts = parts.withColumn("up", F.floor(F.col("at") / (above // size)))
+        left, right = (parts.select(F.col("up").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in parts.columns if c != "up")) for name in ("one", "two"))
+        gap = [F.greatest(F.lit(0.0), F.col(f"one_a{j}") - F.col(f"two_b{j}"), F.col(f"two_a{j}") - F.col(f"one_b{j}")) for j in range(k)]
+        pairs = pairs.join(left, "one").join(right, "two").where("one_at <= two_at").where(sum(g * g for g in gap) <= eps * eps + _SLACK).select(F.col("one_at").alias("one"), F.col("two_at").alias("two"))
+    return pairs
+
+
 def _links(classes: DataFrame, dim: int, kind: str, cosine: float) -> DataFrame:
-    """rep, links, root of the classes of one dimension."""
+    """node, links, root of the classes of one dimension."""
     spark = classes.sparkSession
-    classes = classes.where(F.col("dim") == dim).select("rep", "copies", "raw")
+    classes = classes.where(F.col("dim") == dim).select("node", "copies", "raw")
     n = classes.count()
     eps = float(np.sqrt(2 - 2 * cosine))
-    sample = _unit([bytes(r["raw"]) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("raw").collect()], kind)
+    part = -(-n // SAMPLE)
+    sample = _unit([bytes(r["raw"]) for r in classes.where(F.pmod(F.xxhash64("raw"), F.lit(part)) == 0).select("raw").limit(2 * SAMPLE).collect()] or [np.ones(dim, kind).tobytes()], kind)
     values, vectors = np.linalg.eigh(np.cov(sample, rowvar=False).reshape(dim, dim) if len(sample) > 1 else np.eye(dim))
     directions = np.ascontiguousarray(vectors[:, np.argsort(-values, kind="stable")[: min(DIRECTIONS, dim)]])
     k = directions.shape[1]
-    cells = [f"g{j}" for j in range(k)]
-    types = "rep long, copies long, raw binary, " + ", ".join([f"p{j} double" for j in range(k)] + [f"{c} int" for c in cells])
-    size = max(BLOCK, -(-n // BLOCKS))
-    ordered = classes.mapInArrow(_project(kind, directions, max(eps, 1e-6)), types).repartitionByRange(max(1, -(-n // size)), *cells, "rep")
-    blocks = cut(ordered.mapInArrow(_numbered, types + ", block int"), "blocks")
-
-    boxes = blocks.groupBy("block").agg(*(F.min(f"p{j}").alias(f"a{j}") for j in range(k)), *(F.max(f"p{j}").alias(f"b{j}") for j in range(k))).orderBy("block").collect()
-    names = np.array([r["block"] for r in boxes])
-    low, high = (np.array([[r[f"{s}{j}"] for j in range(k)] for r in boxes]) for s in "ab")
-    pairs = []
-    for i in range(len(names)):
-        gap = np.maximum(0, np.maximum(low[i] - high[i:], low[i:] - high[i]))
-        near = np.flatnonzero((gap**2).sum(axis=1) <= eps * eps + _SLACK)
-        pairs += [(int(names[i]), int(names[i + j])) for j in near]
-    sides = [(a, a, b) for a, b in pairs] + [(b, a, b) for a, b in pairs if a != b]
-    # at most BLOCKS ** 2 rows of three numbers
-    meet = blocks.join(F.broadcast(spark.createDataFrame(sides, "block int, one int, two int")), "block")
-    return meet.groupBy("one", "two").applyInArrow(_join(kind, k, cosine), "rep long, links long, root long")
+    cells, columns = [f"g{j}" for j in range(k)], ["node", "copies", "raw", *(f"p{j}" for j in range(k))]
+    types = "node long, copies long, raw binary, " + ", ".join(f"p{j} double" for j in range(k))
+    ordered = classes.mapInArrow(_project(kind, directions, max(eps, 1e-6)), types + "".join(f", {c} int" for c in cells)).repartitionByRange(-(-n // BLOCK), *cells, "node").sortWithinPartitions(*cells, "node")
+    placed = cut(ordered.select(columns).mapInArrow(_placed, types + ", part int, place long"), "placed")
+
+    # one row a partition: ranks go on from one to the next
+    before, base = 0, []
+    for row in placed.groupBy("part").count().orderBy("part").collect():
+        base.append((row["part"], before))
+        before += row["count"]
+    rank = placed.join(F.broadcast(spark.createDataFrame(base, "part int, base long")), "part").withColumn("rank", F.col("base") + F.col("place")).withColumn("block", F.floor(F.col("rank") / BLOCK))
+    blocks = -(-n // BLOCK)
+    boxes = cut(rank.groupBy("block").agg(*(F.min(f"p{j}").alias(f"a{j}") for j in range(k)), *(F.max(f"p{j}").alias(f"b{j}") for j in range(k))), "boxes")
+    side = max(1, min(SIDE, blocks // 32))
+    pairs = near_blocks(boxes, blocks, k, eps).withColumn("task_one", F.floor(F.col("one") / side)).withColumn("task_two", F.floor(F.col("two") / side))
+    sides = cut(pairs.select(F.explode(F.array("one", "two")).alias("block"), "task_one", "task_two").distinct(), "sides")
+    few = F.broadcast(sides) if sides.count() <= BROADCAST_ROWS else sides
+    meet = rank.select("node", "copies", "raw", "rank", "block").join(few, "block")
+    return meet.groupBy("task_one", "task_two").applyInArrow(_join(kind, directions, side, cosine), "node long, links long, root long")
 
 
 def linked_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
@@ -228,7 +254,9 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     kind = "<f4" if element == "float" else "<f8"
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     read = cut(vectors.mapInArrow(_read, "vec_id long, dim int, digest binary, raw binary"), "vectors")
-    classes = cut(read.where("dim > 0").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("raw").alias("raw")), "classes")
+    # a class is a node of its own, whatever ids its vectors have
+    classes = read.where("dim > 0").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     found = None
     for row in classes.select("dim").distinct().collect():
         links = _links(classes, row["dim"], kind, cosine)
@@ -236,9 +264,11 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     if found is None:
         return read.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = cut(found, "links")
-    stars = star_edges(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    out = classes.select("digest", "rep", "copies").join(sums, "rep", "left").join(stars.withColumnRenamed("u", "rep"), "rep", "left")
-    out = out.where("copies > 1 or links > 0").select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("v", "rep").alias("c"))
+    stars = star_edges(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
+    linked = classes.select("digest", "node", "rep", "copies").join(sums, "node", "left").join(stars.withColumnRenamed("u", "node"), "node", "left").where("copies > 1 or links > 0")
+    linked = cut(linked.select("digest", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("v", "node").alias("root")), "linked")
+    least = linked.groupBy("root").agg(F.min("rep").alias("c"), F.count("*").alias("classes"))
+    out = send(linked, least, "root", "classes", linked.count()).select("digest", "n", "c")
     out = read.select("vec_id", "digest").join(out, "digest", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -135,9 +135,10 @@ def brute_links(vectors, cosine=0.9):
     return {i: (n[i], root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block,leaf", [(8192, 512), (40, 8)])
-def test_linked_vectors_match_brute_force(spark, monkeypatch, block, leaf):
+@pytest.mark.parametrize("block,leaf,few", [(8192, 512, 9999), (40, 8, 9999), (3, 2, 0)])
+def test_linked_vectors_match_brute_force(spark, monkeypatch, block, leaf, few):
     monkeypatch.setattr(epsgrid, "BLOCK", block)
+    monkeypatch.setattr(epsgrid, "BROADCAST_ROWS", few)
     monkeypatch.setattr(epsgrid, "_LEAF", leaf)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(15, 12))
@@ -154,6 +155,24 @@ def test_linked_vectors_match_brute_force(spark, monkeypatch, block, leaf):
     assert epsgrid.linked_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (2, [-1.0, -1.0]), (3, [-1.0, -1.01]), (7, [0.01, 1.0]), (6, [0.01, 1.0])]
+    found = epsgrid.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 1, 2), (3, 1, 2), (6, 2, 1), (7, 2, 1)]
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 16, 17, 300])
+def test_near_blocks_match_all_pairs(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    low = np.sort(rng.normal(size=(blocks, 2)) * 3, axis=0)
+    high = low + rng.random((blocks, 2)) * 0.2
+    frame = spark.createDataFrame([(i, *map(float, low[i]), *map(float, high[i])) for i in range(blocks)], "block long, a0 double, a1 double, b0 double, b1 double")
+    found = {(r.one, r.two) for r in epsgrid.near_blocks(frame, blocks, 2, 0.4).collect()}
+    gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
+    near = (gap**2).sum(axis=2) <= 0.16 + 1e-9
+    assert found == {(i, j) for i in range(blocks) for j in range(i, blocks) if near[i, j]}
+
+
 def test_loser_tree_merges():
     rng = random.Random(3)
     for k in (0, 1, 2, 3, 7, 16):
