@@ -1,13 +1,15 @@
 """Training-order materialisation: a keyed permutation and fixed-stride shards.
 
-Packed windows get their place from a Feistel permutation of their sequence
-ids, keyed by ``seed``, with cycle-walking on a domain that is known before
-anything is counted; so the tokens are made once and shuffled once. Ranges of
-the permuted domain are the shards; the order inside and across shards is the
-global order, and a window's slot is its rank in it.
-
-A shard is one file of records of the same length, so a reader can seek to
-any slot and go on from there. Records are written by Spark's text writer.
+Packed windows are written once as a table, so their numbers can't change
+after they are counted. A window's number goes on from split to split without
+gaps (prefix sums of the splits' counts); a keyed Feistel permutation of [0, n)
+with cycle-walking turns it into its slot in the training order. Ranges of
+``per_shard`` slots are the shards, and a manifest beside them tells where a
+slot lies.
+
+A shard is one file of records of the same length, in order of slots, so a
+reader goes on from any slot by its number. Records are written by Spark's text
+writer.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import packing
@@ -54,33 +57,30 @@ def feistel(values: np.ndarray, domain: int, seed: int) -> np.ndarray:
     return out
 
 
-_TYPES = "shard int, place long, record binary"
-#: Windows that a task makes records of at once.
+#: Records of a shard at most: some 128 MB of 2048 ids of two bytes.
+MOST = 1 << 15
+_STAGED = "split int, place long, first_doc long, n_tokens long, n_pieces long, packed binary"
+#: Windows that a task turns into rows at once.
 _ROWS = 512
 
 
-def _records_of(vocabulary: str, domain: int, shards: int, seed: int, size: int, width: int, pad_id: int) -> Callable:
+def _stage(vocabulary: str, size: int, width: int) -> Callable:
     kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
+        squeeze = zstandard.ZstdCompressor(level=1)
 
         def taken() -> pa.RecordBatch:
-            places = feistel(np.array([r[0] for r in ready], dtype=np.int64), domain, seed)
-            records = []
-            for number, doc, n_pieces, ids in ready:
-                if width == 2 and len(ids) and ids.max() > 65535:
-                    raise ValueError("ids do not fit 16 bits")
-                padded = np.full(size, pad_id, dtype=kind)
-                padded[: len(ids)] = ids
-                head = struct.pack(HEADER, number, -1 if doc is None else doc, len(ids), n_pieces, zlib.crc32(ids.astype("<u4").tobytes()), 0)
-                records.append(head + padded.tobytes())
+            columns = [pa.array(c, t) for c, t in zip(zip(*ready, strict=True), (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)]
             ready.clear()
-            shard = [int(p) * shards // domain for p in places.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(places.astype(np.int64)), pa.array(records, pa.binary())], names=["shard", "place", "record"])
+            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _STAGED.split(", ")])
 
         def emit(pieces: list[packing.Piece], number: int) -> None:
-            ready.append((number, pieces[0][0], len(pieces), np.concatenate([p[3] for p in pieces])))
+            ids = np.concatenate([p[3] for p in pieces])
+            if width == 2 and ids.max() > 65535:
+                raise ValueError("ids do not fit 16 bits")
+            ready.append((number // packing.SPLIT, number % packing.SPLIT, pieces[0][0], len(ids), len(pieces), squeeze.compress(ids.astype(kind).tobytes())))
 
         for _ in packing.packed(batches, vocabulary, emit, size):
             if len(ready) >= _ROWS:
@@ -91,24 +91,82 @@ def _records_of(vocabulary: str, domain: int, shards: int, seed: int, size: int,
     return run
 
 
-def write_shards(docs: DataFrame, path: str, seed: int = 1, size: int = 2048, width: int = 2, pad_id: int = 0, vocabulary: str | None = None) -> int:
-    """Pack ``docs`` and write their windows in permuted order under ``path``,
-    one file a shard; returns the number of shards."""
-    parts = max(1, docs.rdd.getNumPartitions())
-    domain, shards = parts * packing.SPLIT, 2 * parts
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    placed = docs.mapInArrow(_records_of(vocabulary or default_vocabulary(), domain, shards, seed, size, width, pad_id), _TYPES)
-    ranged = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
-    ranged.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
-    return shards
+def _slots(windows: int, seed: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = feistel(batch.column("sequence_id").to_numpy(), windows, seed).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot)], names=[*batch.schema.names, "slot"])
 
+    return run
 
-_READ = "shard int, number long, sequence_id long, first_doc long, n_tokens long, n_pieces long, ids_crc32 long, ids binary"
 
+def _write(size: int, width: int, pad_id: int) -> Callable:
+    kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
 
-def _records(size: int, width: int, start: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loosen = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for first in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(first, _ROWS)
+                records = []
+                for number, doc, n, pieces, packed in zip(*(part.column(c).to_pylist() for c in ("sequence_id", "first_doc", "n_tokens", "n_pieces", "packed")), strict=True):
+                    ids = np.frombuffer(loosen.decompress(packed, max_output_size=size * width), dtype=kind)
+                    padded = np.full(size, pad_id, dtype=kind)
+                    padded[:n] = ids
+                    head = struct.pack(HEADER, number, -1 if doc is None else doc, n, pieces, zlib.crc32(ids.astype("<u4").tobytes()), 0)
+                    records.append(head + padded.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("shard"), pa.array(records, pa.binary())], names=["shard", "record"])
+
+    return run
+
+
+_MANIFEST = "windows long, per_shard long, shards long, stride long, size int, width int, seed long"
+
+
+def write_shards(docs: DataFrame, path: str, seed: int = 1, size: int = 2048, width: int = 2, pad_id: int = 0, vocabulary: str | None = None, per_shard: int | None = None) -> dict:
+    """Pack ``docs`` (doc_id, text) and write their windows in training order
+    under ``path``: ``shards``, one file of ``per_shard`` records each but for
+    the last, and ``manifest``, which is returned.
+
+    A null or empty text is its end id alone; a null doc_id is -1 in a record.
+    Rows that repeat a doc_id are documents of their own. No rows give no
+    shards and a manifest of 0 windows; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    staged = cut(docs.mapInArrow(_stage(vocabulary or default_vocabulary(), size, width), _STAGED), "windows")
+    # one row a split: numbers go on from one split to the next
+    windows, base = 0, []
+    for row in staged.groupBy("split").count().orderBy("split").collect():
+        base.append((row["split"], windows))
+        windows += row["count"]
+    per_shard = per_shard or max(1, min(MOST, -(-windows // (2 * spark.sparkContext.defaultParallelism))))
+    manifest = {"windows": windows, "per_shard": per_shard, "shards": -(-windows // per_shard), "stride": stride(size, width), "size": size, "width": width, "seed": seed}
+    spark.createDataFrame([tuple(manifest.values())], _MANIFEST).coalesce(1).write.json(f"{path}/manifest")
+    if windows:
+        numbered = staged.join(F.broadcast(spark.createDataFrame(base, "split int, base long")), "split").withColumn("sequence_id", F.col("base") + F.col("place"))
+        columns = "sequence_id long, first_doc long, n_tokens long, n_pieces long, packed binary"
+        placed = numbered.select([x.split()[0] for x in columns.split(", ")]).mapInArrow(_slots(windows, seed), columns + ", slot long")
+        placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+        ranged = placed.repartitionById(manifest["shards"], F.col("shard")).sortWithinPartitions("shard", "slot")
+        records = ranged.mapInArrow(_write(size, width, pad_id), "shard int, record binary")
+        records.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards")
+    return manifest
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of the shards under ``path``."""
+    return spark.read.schema(_MANIFEST).json(f"{path}/manifest").first().asDict()
+
+
+_READ = "slot long, shard int, byte_offset long, sequence_id long, first_doc long, n_tokens long, n_pieces long, ids_crc32 long, ids binary"
+
+
+def _records(size: int, width: int, per_shard: int, start: int, stop: int) -> Callable:
     step = stride(size, width)
     kind = {2: "<u2", 4: "<u4"}[width]
+    names, types = zip(*(x.split() for x in _READ.split(", ")), strict=True)
+    arrow = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t] for t in types]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,47 +174,49 @@ def _records(size: int, width: int, start: int) -> Callable:
                 data = memoryview(content.as_buffer())
                 if len(data) % step:
                     raise ValueError(f"shard {shard} is not a whole number of records")
-                rows = []
-                for number in range(start, len(data) // step):
-                    at = number * step
-                    sequence, doc, n, pieces, crc, _ = struct.unpack_from(HEADER, data, at)
-                    ids = np.frombuffer(data, dtype=kind, count=n, offset=at + _HEAD).astype("<u4").tobytes()
-                    if zlib.crc32(ids) != crc:
-                        raise ValueError(f"record {number} of shard {shard} is damaged")
-                    rows.append((shard, number, sequence, None if doc < 0 else doc, n, pieces, crc, ids))
-                if rows:
-                    types = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _READ.split(", ")])
+                base = shard * per_shard
+                last = min(len(data) // step, stop - base)
+                for first in range(max(0, start - base), last, _ROWS):
+                    rows = []
+                    for number in range(first, min(last, first + _ROWS)):
+                        at = number * step
+                        sequence, doc, n, pieces, crc, _ = struct.unpack_from(HEADER, data, at)
+                        ids = np.frombuffer(data, dtype=kind, count=n, offset=at + _HEAD).astype("<u4").tobytes()
+                        if zlib.crc32(ids) != crc:
+                            raise ValueError(f"record {number} of shard {shard} is damaged")
+                        rows.append((base + number, shard, at, sequence, None if doc < 0 else doc, n, pieces, crc, ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=list(names))
 
     return run
 
 
-def read_shards(spark: SparkSession, path: str, size: int = 2048, width: int = 2, start: int = 0) -> DataFrame:
-    """Records of the shards, from record ``start`` of each shard on: shard,
-    number, sequence_id, first_doc, n_tokens, n_pieces, ids_crc32, ids."""
-    files = spark.read.format("binaryFile").load(path)
-    files = files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("int").alias("shard"), "content")
-    return files.mapInArrow(_records(size, width, start), _READ)
+def read_shards(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Records of the slots from ``start`` to before ``stop``: slot, shard,
+    byte_offset (in the shard), sequence_id, first_doc, n_tokens, n_pieces,
+    ids_crc32, ids. Only the shards that hold such slots are opened. No
+    windows, or a range without slots, give no rows."""
+    told = read_manifest(spark, path)
+    stop = told["windows"] if stop is None else min(stop, told["windows"])
+    start = max(0, start)
+    if start >= stop:
+        return spark.createDataFrame([], _READ)
+    per_shard = told["per_shard"]
+    files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("shard").between(start // per_shard, (stop - 1) // per_shard))
+    return files.select(F.col("shard").cast("int").alias("shard"), "content").mapInArrow(_records(told["size"], told["width"], per_shard, start, stop), _READ)
 
 
 def materialise(docs: DataFrame, seed: int = 1, size: int = 2048, width: int = 2, vocabulary: str | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards into the shared folder and read
     them back: slot (gapless from 0, in training order), shard, byte_offset,
-    sequence_id, first_doc, n_tokens, n_pieces, ids_crc32.
+    sequence_id (gapless from 0; its Feistel image is the slot), first_doc,
+    n_tokens, n_pieces, ids_crc32.
 
     A null or empty text is its end id alone. Rows that repeat a doc_id, or
     have none, are documents of their own. The same rows in the same splits
-    give the same order for a seed. No rows in, no rows out; other columns are
-    ignored.
+    give the same order for a seed; other splits pack other windows. No rows
+    in, no rows out; other columns are ignored.
     """
     spark = docs.sparkSession
     path = fresh(spark, "shards")
-    docs = docs.select("doc_id", "text")
-    write_shards(docs, path, seed, size, width, vocabulary=vocabulary)
-    if docs.isEmpty():
-        return spark.createDataFrame([], "slot long, shard int, byte_offset long, sequence_id long, first_doc long, n_tokens long, n_pieces long, ids_crc32 long")
-    read = cut(read_shards(spark, path, size, width).drop("ids"), "slots")
-    # one row a shard
-    counts = read.groupBy("shard").agg(F.count("*").alias("n"))
-    base = counts.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    return read.join(F.broadcast(base), "shard").select((F.col("base") + F.col("number")).alias("slot"), "shard", (F.col("number") * stride(size, width)).alias("byte_offset"), "sequence_id", "first_doc", "n_tokens", "n_pieces", "ids_crc32")
+    write_shards(docs.select("doc_id", "text"), path, seed, size, width, vocabulary=vocabulary)
+    return read_shards(spark, path).drop("ids")

@@ -359,17 +359,27 @@ def test_feistel_is_a_permutation():
     assert order.feistel(np.arange(1000), 1000, 5).tolist() != order.feistel(np.arange(1000), 1000, 6).tolist()
 
 
-def test_shards_can_be_read_on_from_any_record(spark, odd, empty):
+def test_shards_hold_the_permuted_windows(spark, odd, empty):
+    """Against brute force: slots, whole texts, and reading on from any slot, for several splits of the same rows."""
     rng = random.Random(3)
-    docs = spark.createDataFrame([(i, " ".join(words(rng, 300))) for i in range(60)], "doc_id long, text string")
-    path = order.fresh(spark, "test")
-    order.write_shards(docs, path, size=128)
-    all_rows = order.read_shards(spark, path, size=128).toPandas()
-    windows = packing.pack_windows(docs, size=128).toPandas().set_index("sequence_id").ids
-    assert len(all_rows) == len(windows) and all(windows[r.sequence_id] == r.ids for r in all_rows.itertuples())
-    later = order.read_shards(spark, path, size=128, start=3).toPandas()
-    assert set(later.sequence_id) == set(all_rows[all_rows.number >= 3].sequence_id)
-    slots = order.materialise(docs, size=128).toPandas()
-    assert sorted(slots.slot) == list(range(len(slots))) and set(slots.sequence_id) == set(windows.index)
-    assert slots.sort_values("slot").sequence_id.tolist() != sorted(slots.sequence_id)
-    assert order.materialise(empty).count() == 0 and order.materialise(odd).count() > 0
+    rows = [(i, " ".join(words(rng, 300))) for i in range(60)]
+    for splits, per_shard in ((1, None), (3, 7), (5, 1)):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, splits), "doc_id long, text string")
+        path = order.fresh(spark, "test")
+        told = order.write_shards(docs, path, size=128, per_shard=per_shard)
+        windows = packing.pack_windows(docs, size=128).orderBy("sequence_id").collect()
+        n = len(windows)
+        assert told == order.read_manifest(spark, path) and told["windows"] == n and told["shards"] == -(-n // told["per_shard"])
+        found = order.read_shards(spark, path).orderBy("slot").collect()
+        slots = order.feistel(np.arange(n), n, 1).tolist()
+        assert [r.slot for r in found] == list(range(n)) and sorted(slots) == list(range(n)) != slots
+        by = {r.slot: r for r in found}
+        for number, w in enumerate(windows):
+            r = by[slots[number]]
+            assert (r.sequence_id, r.ids, r.first_doc, r.n_pieces) == (number, w.ids, w.first_doc, w.n_pieces)
+            assert (r.shard, r.byte_offset) == divmod(r.slot, told["per_shard"])[:1] + (r.slot % told["per_shard"] * told["stride"],)
+        part = order.read_shards(spark, path, start=n // 3, stop=n // 3 + 5)
+        assert [r.ids for r in part.orderBy("slot").collect()] == [r.ids for r in found[n // 3 : n // 3 + 5]]
+        assert order.read_shards(spark, path, start=n).count() == 0 and order.read_shards(spark, path, start=n - 1).count() == 1
+    assert order.materialise(empty).count() == 0
+    assert {r.first_doc for r in order.materialise(odd).collect()} <= {r[0] for r in odd_rows()}
