@@ -6,11 +6,12 @@ up in this agenda is skipped for good if a hash of it, keyed by seed, document,
 place of the word and word, falls under the dropout rate, so every occurrence
 of a word has draws of its own.
 
-Only a skipped merge that would have been made changes an agenda. A word of a
-stretch of text is therefore segmented once without skips; occurrences that
-skip one of the merges made go on, in groups of the same first skipped merge,
-to an agenda that leaves it out, until no merge made is skipped. Each (word,
-merges left out) is worked off once, thousands at a time.
+Only a skipped merge that would have been made changes an agenda. The model's
+own segmentation tells the merges that an agenda without skips makes (those
+inside its pieces); an occurrence that skips none of them keeps it. The others
+go, with the merges that they skip left out, to agendas that are worked off
+thousands at a time, equal (word, merges left out) once, until no merge made is
+skipped.
 
 Blanks start words and no piece reaches over one, so words are independent.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from spindrift.llm import textkernels as K
 BLANK = "▁"
 #: Words of more code points are segmented one by one.
 WIDE = 32
-_STRETCH = 2 << 20
+#: Bytes of text that are worked off at once; a longer text is cut before words.
+_STRETCH = 1 << 20
 _NONE = np.int32(1 << 30)
 _START = np.ones(256, dtype=bool)
 _START[0x80:0xC0] = False
@@ -49,7 +52,7 @@ class Model:
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        spm = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.spm = spm = sentencepiece.SentencePieceProcessor(model_file=path)
         n = spm.vocab_size()
         names = [spm.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (spm.is_byte(i) or spm.is_control(i) or spm.is_unknown(i) or spm.is_unused(i))]
@@ -67,7 +70,26 @@ class Model:
         self.piece_bytes = np.frombuffer(b"".join(decoded), dtype=np.uint8)
         self.piece_length = np.array([len(x) for x in decoded], dtype=np.int64)
         self.piece_start = np.concatenate([[0], np.cumsum(self.piece_length)[:-1]])
+        # code points that start in a piece
+        self.piece_chars = np.array([sum(b & 0xC0 != 0x80 for b in x) for x in decoded], dtype=np.int64)
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        # merges inside each piece, as codes relative to its start: number (-1: not known yet), place in codes
+        self.inner_count, self.inner_start = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        self.codes = np.zeros(0, dtype=np.int32)
+
+    def learn_inner(self, ids: np.ndarray) -> None:
+        """Know the merges inside the pieces ``ids``."""
+        found, base = [], len(self.codes)
+        for i in np.unique(ids[self.inner_count[ids] < 0]).tolist():
+            codes: list[int] = []
+            if self.piece_length[i] > 0 and i in self.rank and len(self.names[i]) > 1:
+                if segment_one(self, self.names[i].replace(BLANK, " "), 0, 0, codes) != [i]:
+                    raise ValueError(f"piece {i} is not what its own merges give")
+            self.inner_count[i], self.inner_start[i] = len(codes), base
+            base += len(codes)
+            found += codes
+        if found:
+            self.codes = np.append(self.codes, np.array(found, dtype=np.int32))
 
     def with_merges(self) -> Model:
         """Build what encoding needs besides; decoding does without."""
@@ -147,8 +169,9 @@ def _skip(key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarra
         return (K.fmix(key ^ spot) >> K.U64(32)) < K.U64(limit)
 
 
-def segment_one(model: Model, word: str, key: int, limit: int) -> list[int]:
-    """Agenda of one word, best score first, then leftmost."""
+def segment_one(model: Model, word: str, key: int, limit: int, made: list[int] | None = None) -> list[int]:
+    """Agenda of one word, best score first, then leftmost; ``made`` gets the
+    codes of the merges made, for words of at most 63 code points."""
     symbols = [int(model.characters[ord(c)]) for c in word]
     n = len(symbols)
     ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -169,6 +192,8 @@ def segment_one(model: Model, word: str, key: int, limit: int) -> list[int]:
         if limit and bool(_skip(np.array([key], dtype=K.U64), np.array([a]), np.array([b]), np.array([c]), limit)[0]):
             continue
         symbols[a], ends[a], live[b] = merged, c, False
+        if made is not None:
+            made.append((a << 6 | b) << 6 | c)
         if c < n:
             before[c] = a
             offer(a)
@@ -222,20 +247,32 @@ def _agendas(model: Model, symbols: np.ndarray, lengths: np.ndarray, barred: np.
             table[live] = np.take_along_axis(table[live], take, axis=1)
         n[live] -= 1
         rank[live, np.minimum(n[live], width - 1)] = np.where(n[live] < width, _NONE, rank[live, width - 1])
-        offer(live, best)
-        offer(live, best - 1)
+        offer(np.concatenate([live, live]), np.concatenate([best, best - 1]))
     return s, n, made[:, :step]
 
 
-def ways(model: Model, symbols: np.ndarray, lengths: np.ndarray, word: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ways(model: Model, symbols: np.ndarray, lengths: np.ndarray, word: np.ndarray, keys: np.ndarray, limit: int, bars: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segmentations of occurrences (``word``: their row of ``symbols``, of at
-    most WIDE columns; ``keys``: their own): final symbols and number of each
-    distinct segmentation, and which of them each occurrence has."""
+    most WIDE columns; ``keys``: their own; ``bars``: occurrences and codes of
+    merges known to be skipped): final symbols and number of each distinct
+    segmentation, and which of them each occurrence has."""
     finals, counts, chosen = [], [], np.zeros(len(word), dtype=np.int64)
-    # a node is a word and the merges left out; todo and node are the occurrences at nodes
-    own, barred = np.arange(len(symbols)), np.zeros((len(symbols), 0), dtype=np.int32)
-    todo, node, base = np.arange(len(word)), word, 0
-    while len(own):
+    todo, base = np.arange(len(word)), 0
+    who, code = bars  # positions in todo, and codes
+    while len(todo):
+        # a node is a word and the merges left out
+        with np.errstate(over="ignore"):
+            mark = K.fmix(word[todo].astype(K.U64) + K.U64(11))
+            np.add.at(mark, who, K.fmix(code.astype(K.U64) + K.U64(1 << 40)))
+        _, first, node = np.unique(mark, return_index=True, return_inverse=True)
+        order = np.argsort(who, kind="stable")
+        number = np.bincount(who, minlength=len(todo))
+        start = np.cumsum(number) - number
+        some, width = number[first], int(number[first].max(initial=0))
+        barred = np.full((len(first), width), -1, dtype=np.int32)
+        inside = np.arange(width)[None, :] < some[:, None]
+        barred[inside] = code[order[(start[first][:, None] + np.arange(width)[None, :])[inside]]]
+        own = word[todo[first]]
         parts = [_agendas(model, symbols[own[i : i + 8192]], lengths[own[i : i + 8192]], barred[i : i + 8192]) for i in range(0, len(own), 8192)]
         finals += [p[0] for p in parts]
         counts += [p[1] for p in parts]
@@ -246,91 +283,168 @@ def ways(model: Model, symbols: np.ndarray, lengths: np.ndarray, word: np.ndarra
         made = np.full((len(own), max(p[2].shape[1] for p in parts)), -1, dtype=np.int32)
         for i, p in enumerate(parts):
             made[i * 8192 : i * 8192 + len(p[2]), : p[2].shape[1]] = p[2]
-        first = np.full(len(todo), -1, dtype=np.int32)
-        open_ = np.arange(len(todo))
-        for step in range(made.shape[1]):
-            spot = made[node[open_], step]
-            open_, spot = open_[spot >= 0], spot[spot >= 0]
-            if not len(open_):
-                break
-            skip = _skip(keys[todo[open_]], spot >> 12, spot >> 6 & 63, spot & 63, limit)
-            first[open_[skip]] = spot[skip]
-            open_ = open_[~skip]
-        some = first >= 0
-        todo, parent, first = todo[some], node[some], first[some]
-        pairs, node = np.unique(parent.astype(np.int64) << 18 | first, return_inverse=True)
-        up = pairs >> 18
-        own, barred = own[up], np.column_stack([barred[up], (pairs & ((1 << 18) - 1)).astype(np.int32)])
-    return np.concatenate(finals), np.concatenate(counts), chosen
+        at, step = np.nonzero(made[node] >= 0)
+        spot = made[node[at], step]
+        skip = _skip(keys[todo[at]], spot >> 12, spot >> 6 & 63, spot & 63, limit)
+        again = np.zeros(len(todo), dtype=bool)
+        again[at[skip]] = True
+        place = np.cumsum(again) - 1
+        kept = again[who]
+        who, code = np.append(place[who[kept]], place[at[skip]]), np.append(code[kept], spot[skip])
+        todo = todo[again]
+    return np.concatenate([*finals, np.zeros((0, symbols.shape[1]), np.int32)]), np.concatenate([*counts, np.zeros(0, np.int64)]), chosen
 
 
 def segment_many(model: Model, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Final symbols and their number of many words, each with its own key."""
-    width = symbols.shape[1]
-    final, n, chosen = ways(model, symbols, lengths, np.arange(len(symbols)), keys, limit)
-    return final[chosen, :width], n[chosen]
+    none = np.zeros(0, dtype=np.int64)
+    final, n, chosen = ways(model, symbols, lengths, np.arange(len(symbols)), keys, limit, (none, none.astype(np.int32)))
+    return final[chosen], n[chosen]
 
 
 class Encoder:
-    """Encodes texts of a batch; equal words that skip the same merges are
-    segmented once."""
+    """Encodes texts of a batch. Words that skip no merge are the model's own;
+    of the others, equal ones that skip the same merges are segmented once."""
 
     def __init__(self, model: Model, seed: int, dropout: float) -> None:
         self.model, self.seed = model.with_merges(), seed
         self.limit = min(int(dropout * (1 << 32)), (1 << 32) - 1) if dropout > 0 else 0
         self.hash = K.keyed(77, 256) | K.U64(1)
 
+    def texts(self, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """Ids of the texts between ``offsets``, in lists of some texts."""
+        for a, b in K.chunks(offsets, _STRETCH):
+            if b - a > 1 or offsets[b] - offsets[a] <= 2 * _STRETCH:
+                yield self.stretch(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc_keys[a:b])
+            else:
+                yield [self._long(data[offsets[a] : offsets[b]], doc_keys[a:b])]
+
+    def _long(self, text: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """A long text in parts: the blank that starts a word stands for the
+        one that is put before a text."""
+        blank = text == 0x20
+        starts = np.flatnonzero(blank[1:-1] & ~blank[:-2] & ~blank[2:] & (text[2:] != 0x0A)) + 1
+        ids, at, place = [], 0, 0
+        while at < len(text):
+            later = np.searchsorted(starts, at + _STRETCH)
+            stop = int(starts[later]) if later < len(starts) else len(text)
+            part = text[at + (at > 0) : stop]
+            (own,), n = self._words(part, np.array([0, len(part)]), key, place)
+            ids.append(own)
+            at, place = stop, place + n
+        return np.concatenate(ids)
+
     def stretch(self, part: np.ndarray, at: np.ndarray, doc_keys: np.ndarray) -> list[np.ndarray]:
         """Ids of each text; ``at`` are the texts' bounds in ``part``."""
-        n = len(at) - 1
-        if not len(part):
-            return [np.zeros(0, np.int32)] * n
-        blank, line = part == 0x20, part == 0x0A
-        start = np.zeros(len(part), dtype=bool)
+        return self._words(part, at, doc_keys, 0)[0]
+
+    def _words(self, part: np.ndarray, at: np.ndarray, doc_keys: np.ndarray, first_place: int) -> tuple[list[np.ndarray], int]:
+        """Ids of each text, and the number of words."""
+        model, all_texts = self.model, len(at) - 1
+        full = np.flatnonzero(at[1:] > at[:-1])
+        out = [np.zeros(0, np.int32)] * all_texts
+        if not len(full):
+            return out, 0
+        # a blank before every text that is not empty
+        n, low, size = len(full), at[:-1][full], (at[1:] - at[:-1])[full]
+        edge = np.concatenate([[0], np.cumsum(size + 1)])
+        padded = np.empty(edge[-1], dtype=np.uint8)
+        heads = np.zeros(len(padded), dtype=bool)
+        heads[edge[:-1]] = True
+        padded[heads], padded[~heads] = 0x20, part[low[0] : low[-1] + size[-1]]
+
+        blank, line = padded == 0x20, padded == 0x0A
+        start = np.zeros(len(padded), dtype=bool)
         start[1:] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
-        begin_text = at[:-1][at[:-1] < at[1:]]
-        start[begin_text] = True
+        start[edge[:-1] + 1] = False
+        start[heads] = True
         begin = np.flatnonzero(start)
-        end = np.append(begin[1:], len(part))
-        first = np.zeros(len(begin), dtype=bool)
-        first[np.searchsorted(begin, begin_text)] = True
-        text = np.searchsorted(at, begin, "right") - 1
-        place = np.arange(len(begin)) - np.searchsorted(begin, at[text])
-        words = K.hash_runs(part, begin, end, self.hash) ^ K.fmix(first.astype(K.U64) + K.U64(3))
-        own = K.fmix(doc_keys[text] ^ K.fmix(place.astype(K.U64) + K.U64(self.seed * 1000003 + 17)))
-        keys = K.fmix(words ^ own)
+        end = np.append(begin[1:], len(padded))
+        text = np.searchsorted(edge, begin, "right") - 1
+        first_word = np.searchsorted(begin, edge)
+        place = np.arange(len(begin)) - first_word[text] + first_place
+        words = K.hash_runs(padded, begin, end, self.hash)
+        keys = K.fmix(words ^ K.fmix(doc_keys[full][text] ^ K.fmix(place.astype(K.U64) + K.U64(self.seed * 1000003 + 17))))
+
         _, where, word = np.unique(words, return_index=True, return_inverse=True)
-        counts, flat, back = self._segment(part, begin[where], end[where], first[where], word, keys)
-        offsets = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        per_word = counts[back]
-        total = np.concatenate([[0], np.cumsum(per_word)])
-        ids = flat[np.repeat(offsets[back] - total[:-1], per_word) + np.arange(total[-1])]
-        cut = total[np.searchsorted(begin, at)]
-        return [ids[cut[i] : cut[i + 1]] for i in range(n)]
-
-    def _segment(self, part: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, word: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths and ids of distinct segmentations, and which of them each
-        occurrence (``word``: its distinct word) has."""
-        data = part.tobytes()
-        words = [(" " if f else "") + data[a:b].decode() for a, b, f in zip(begin.tolist(), end.tolist(), first.tolist(), strict=True)]
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        back = np.zeros(len(word), dtype=np.int64)
+        data = padded.tobytes()
+        said = [data[a:b].decode() for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)]
+        lengths = np.fromiter(map(len, said), dtype=np.int64, count=len(said))
+        # the model puts a blank before what it is given; a word that has not just
+        # one, or holds the blank sign itself, is not the model's to segment
+        plain = np.fromiter((w[0] == " " and w[1:2] not in ("", " ", "\n") and BLANK not in w for w in said), dtype=bool, count=len(said))
+        which = np.flatnonzero(plain)
+        own = model.spm.encode([said[i][1:] for i in which.tolist()], num_threads=1)
+        count = np.zeros(len(said), dtype=np.int64)
+        count[which] = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        ids = np.fromiter(chain.from_iterable(own), dtype=np.int32, count=int(count.sum()))
+        at_piece = np.cumsum(count) - count
+
+        who, code = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        changed = ~plain[word]
+        if self.limit:
+            # a word too long for codes has an agenda of its own
+            changed |= lengths[word] > WIDE
+            model.learn_inner(ids)
+            characters = np.cumsum(model.piece_chars[ids]) - model.piece_chars[ids]
+            of_piece = np.repeat(np.arange(len(said)), count)
+            short = lengths[of_piece] <= WIDE
+            shift = (characters - np.append(characters, 0)[at_piece[of_piece]])[short]
+            inner = model.inner_count[ids[short]]
+            take = np.repeat(model.inner_start[ids[short]] - np.cumsum(inner) + inner, inner) + np.arange(int(inner.sum()))
+            far = np.repeat(shift, inner)
+            codes = (model.codes[take] + (far << 12 | far << 6 | far)).astype(np.int32)
+            number = np.bincount(np.repeat(of_piece[short], inner), minlength=len(said))
+            first = np.cumsum(number) - number
+            # every occurrence against the merges of its word
+            each = number[word]
+            by = np.repeat(np.arange(len(word)), each)
+            spot = codes[np.repeat(first[word] - np.cumsum(each) + each, each) + np.arange(len(by))]
+            skip = _skip(keys[by], spot >> 12, spot >> 6 & 63, spot & 63, self.limit)
+            who, code = by[skip], spot[skip]
+            changed[who] = True
+        some = np.flatnonzero(changed)
+        final = self._segment(said, lengths, word, keys, some, who, code)
+        # ids of the texts from kept pieces and from those of changed words
+        total = count[word]
+        total[some] = final[0]
+        ends = np.cumsum(total)
+        result = np.empty(int(ends[-1]), dtype=np.int32)
+        of_changed = np.repeat(changed, total)
+        keep = np.flatnonzero(~changed)
+        mine = count[word[keep]]
+        result[~of_changed] = ids[np.repeat(at_piece[word[keep]] - np.cumsum(mine) + mine, mine) + np.arange(int(mine.sum()))]
+        result[of_changed] = final[1]
+        bounds = np.append(ends - total, ends[-1])[first_word]
+        for i, k in enumerate(full.tolist()):
+            out[k] = result[bounds[i] : bounds[i + 1]]
+        return out, len(begin)
+
+    def _segment(self, said: list[str], lengths: np.ndarray, word: np.ndarray, keys: np.ndarray, changed: np.ndarray, who: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the occurrences ``changed``, and these ids in order;
+        ``who`` and ``code`` are the merges known to be skipped, by occurrence."""
+        slot = np.full(len(word), -1, dtype=np.int64)
+        slot[changed] = np.arange(len(changed))
+        who, word = slot[who], word[changed]
+        back = np.zeros(len(changed), dtype=np.int64)
         counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         base = low = 0
         for width in (4, 6, 8, 10, 12, 16, 24, WIDE):
-            rows = np.flatnonzero((lengths > low) & (lengths <= width))
+            rows = np.unique(word[(lengths[word] > low) & (lengths[word] <= width)])
             low = width
             if not len(rows):
                 continue
-            code = np.frombuffer("".join(words[r] for r in rows.tolist()).encode("utf-32-le"), dtype=np.uint32)
+            letters = np.frombuffer("".join(said[r] for r in rows.tolist()).encode("utf-32-le"), dtype=np.uint32)
             own = np.arange(width)[None, :] < lengths[rows][:, None]
             symbols = np.zeros((len(rows), width), dtype=np.int32)
-            symbols[own] = self.model.characters[code]
-            row_of = np.full(len(words), -1, dtype=np.int64)
+            symbols[own] = self.model.characters[letters]
+            row_of = np.full(len(said), -1, dtype=np.int64)
             row_of[rows] = np.arange(len(rows))
-            some = np.flatnonzero(row_of[word] >= 0)
-            final, n, chosen = ways(self.model, symbols, lengths[rows], row_of[word[some]], keys[some], self.limit)
+            mine = row_of[word] >= 0
+            some, position = np.flatnonzero(mine), np.cumsum(mine) - 1
+            barred = mine[who]
+            final, n, chosen = ways(self.model, symbols, lengths[rows], row_of[word[some]], keys[changed[some]], self.limit, (position[who[barred]], code[barred]))
             back[some] = base + chosen
             base += len(n)
             own = np.arange(width)[None, :] < n[:, None]
@@ -345,11 +459,16 @@ class Encoder:
             ids += [*pieces, flat[last:]]
         # long words: each occurrence by itself, without dropout each word once
         some = np.flatnonzero(lengths[word] > WIDE)
-        _, which, same = np.unique(keys[some] if self.limit else word[some], return_index=True, return_inverse=True)
-        long = [np.array(segment_one(self.model, words[word[o]], int(keys[o]), self.limit), dtype=np.int32) for o in some[which].tolist()]
+        _, which, same = np.unique(keys[changed[some]] if self.limit else word[some], return_index=True, return_inverse=True)
+        long = [np.array(segment_one(self.model, said[word[o]], int(keys[changed[o]]), self.limit), dtype=np.int32) for o in some[which].tolist()]
         back[some] = base + same
         counts.append(np.fromiter(map(len, long), dtype=np.int64, count=len(long)))
-        return np.concatenate(counts), np.concatenate([*ids, *long]).astype(np.int32), back
+        each, flat = np.concatenate(counts), np.concatenate([*ids, *long]) if ids or long else np.zeros(0, np.int32)
+        number = each[back]
+        total = np.cumsum(number)
+        offsets = np.cumsum(each) - each
+        take = np.repeat(offsets[back] - total + number, number) + np.arange(total[-1] if len(total) else 0)
+        return number, flat[take].astype(np.int32)
 
 
 _TYPES = "doc_id long, n_ids long, ids binary"
@@ -362,10 +481,11 @@ def _encode(path: str, seed: int, dropout: float) -> Callable:
             data, offsets, null = K.texts_of(batch.column("text"))
             raw = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             doc_keys = K.fmix(raw.astype(np.int64).view(K.U64) ^ K.U64(seed * 7919 + 5))
-            for a, b in K.chunks(offsets, _STRETCH):
-                ids = encoder.stretch(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc_keys[a:b])
+            a = 0
+            for ids in encoder.texts(data, offsets, doc_keys):
                 own = [None if null[a + i] else x.astype("<u4").tobytes() for i, x in enumerate(ids)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "n_ids", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "n_ids", "ids"])
+                a += len(ids)
 
     return run
 

@@ -231,10 +231,11 @@ def test_every_occurrence_of_a_word_has_its_own_dropout():
     for t, k, ids in zip(texts, keys, got, strict=True):
         want = []
         for place, w in enumerate(re.findall(r" *[^ ]+| +$", t.decode())):
+            w = " " * (place == 0) + w
             raw = np.frombuffer(w.encode(), dtype=np.uint8)
-            word = K.hash_runs(raw, np.array([0]), np.array([len(raw)]), encoder.hash) ^ K.fmix(np.array([place == 0], dtype=K.U64) + K.U64(3))
+            word = K.hash_runs(raw, np.array([0]), np.array([len(raw)]), encoder.hash)
             own = K.fmix(keys[:0].dtype.type(k) ^ K.fmix(np.array([place], dtype=K.U64) + K.U64(1000003 + 17)))
-            one = mergedrop.segment_one(model, " " * (place == 0) + w, int(K.fmix(word ^ own)[0]), encoder.limit)
+            one = mergedrop.segment_one(model, w, int(K.fmix(word ^ own)[0]), encoder.limit)
             seen.setdefault(w, []).append(tuple(one))
             want += one
         assert ids.tolist() == want
@@ -245,6 +246,20 @@ def test_every_occurrence_of_a_word_has_its_own_dropout():
     assert 0.08 < (len(ids) - len(plain)) / 4000 < 0.12
 
 
+def test_a_long_text_is_encoded_as_its_parts_would_be(monkeypatch):
+    model = mergedrop.model_of(mergedrop.default_model())
+    rng = random.Random(4)
+    text = "".join(rng.choice(["the ", "transformations ", "école  ", "\n", " ▁", "漢字 ", "x" * 70]) for _ in range(3000)).encode()
+    data, bounds, key = np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), K.keyed(5, 1)
+    for dropout in (0.0, 0.3):
+        encoder = mergedrop.Encoder(model, 1, dropout)
+        (whole,) = encoder.stretch(data, bounds, key)
+        monkeypatch.setattr(mergedrop, "_STRETCH", 500)
+        ((parts,),) = encoder.texts(data, bounds, key)
+        monkeypatch.undo()
+        assert whole.tolist() == parts.tolist() and mergedrop.decode_ids(model, whole) == text
+
+
 def test_agenda_of_many_words_is_the_agenda_of_one():
     model = mergedrop.model_of(mergedrop.default_model()).with_merges()
     rng = random.Random(7)
