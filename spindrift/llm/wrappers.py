@@ -1,14 +1,20 @@
 """HTML extraction by inferred wrappers (union-free regular expressions).
 
-A page is a stream of block tags and text slots in which repeated sibling
-groups are folded into one group. The streams of one host are aligned one
-after another into the host's wrapper: what only one side has becomes an
-optional group, repeated groups stay repeated, and texts that differ between
-pages make a slot variable. The roles of the wrapper's slots then say which
-texts of a page are its article.
-
-Streams are counted inside the tasks before the shuffle and merged in two
-steps (host and salt, then host), so a host with very many pages is spread.
+A page is a tree of elements and text slots. Within a page, neighbouring
+siblings of one kind become a repeated part, and runs of siblings that come
+again become a repeated group. The pages of one host are then aligned one after
+another into the host's wrapper: parts on one side only become optional, parts
+that one side has several times become repeated, kinds that come in any order
+become a repeated group of optional parts, and texts that differ between pages
+make a slot variable. So a wrapper has at most some parts of each kind inside
+each element, however many pages there are.
+
+What the pages of a host have at a slot decides whether it is read: how many
+distinct pages it is on, whether its text ever differs, how much text it holds
+and whether it is a link. Element names and class words are features besides.
+
+Wrappers are merged inside the tasks before the shuffle, then in a tree of 64
+at a time, so a host with very many pages is spread.
 """
 
 from __future__ import annotations
@@ -17,17 +23,21 @@ import html
 import json
 import re
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a wrapper at most; a stream that would make it longer is left out
-#: with its counts, and pages with that stream are aligned with the rest.
-LONGEST = 4000
+#: Siblings of one kind, and of one label, that stay apart at most; beyond that
+#: they and what is between them become a repeated group.
+APART, LABELS = 3, 8
+#: Content of elements nested deeper belongs to the element of this depth.
+DEPTH = 60
+#: Distinct streams that a task holds at most, and wrappers merged at once.
+HELD, FAN = 2000, 64
 #: Wrappers of so many characters in all are broadcast at most.
 BROADCAST_CHARS = 32 << 20
 SALTS = 16
@@ -50,10 +60,12 @@ _DEEP = frozenset("nav aside footer menu navbar navigation breadcrumb breadcrumb
 _STATES = frozenset("has hide is no non not one show two with without".split())
 #: Elements that may stand in a head.
 _HEADED = frozenset("base link meta".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLASS = re.compile(r"""(?:^|[\s"'])class\s*=\s*["']?\s*([^\s"'>]+)""", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PART = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
@@ -87,6 +99,14 @@ def _head_word(token: str) -> str:
     return "" if not parts or _STATES.intersection(parts[:-1]) else parts[-1]
 
 
+@lru_cache(maxsize=20000)
+def _label(name: str, attributes: str) -> str:
+    """Element name, with the letters of its first class."""
+    found = _CLASS.search(attributes)
+    own = "-".join(_PART.findall(found[1].lower())) if found else ""
+    return f"{name}.{own}" if own else name
+
+
 class Block:
     """A text block of a page: region (c article, b boilerplate, o other)."""
 
@@ -98,16 +118,17 @@ class Block:
 
 
 class _Node:
-    __slots__ = ("name", "region", "items", "parent", "deep")
+    __slots__ = ("name", "label", "region", "items", "parent", "deep", "depth")
 
-    def __init__(self, name: str, region: str, parent: _Node | None, deep: bool = False) -> None:
-        self.name, self.region, self.parent, self.deep = name, region, parent, deep
+    def __init__(self, name: str, label: str, region: str, parent: _Node | None, deep: bool = False) -> None:
+        self.name, self.label, self.region, self.parent, self.deep = name, label, region, parent, deep
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.items: list[_Node | Block] = []
 
 
 def parse(page: str) -> _Node:
     """Block tree of a page; its texts are numbered in page order."""
-    root = node = _Node("", "o", None)
+    root = node = _Node("", "", "o", None)
     current: Block | None = None
     anchor = at = count = 0
 
@@ -172,16 +193,211 @@ def parse(page: str) -> _Node:
             region = "b" if deep else "c"
         else:
             region = "b" if kind else node.region
-        child = _Node(name, region, node, deep)
+        child = _Node(name, _label(name, attributes), region, node, deep)
         node.items.append(child)
         node = child
 
 
-def fold(root: _Node) -> tuple[list[str], list[list[Block]]]:
-    """Token stream with repeated sibling groups folded, and the texts at each
-    text token. Equal neighbours, and groups of up to three siblings that
-    repeat, become one group."""
-    done: dict[int, tuple[tuple[str, ...], list[list[Block]]]] = {}
+def flat(items: list[Part]) -> list[Part]:
+    """Parts with those of groups in their groups' place."""
+    return [j for i in items for j in (flat(i.items) if i.label == "()" else [i])]
+
+
+class Part:
+    """Part of a page or wrapper: an element by its label, a group of siblings
+    ("()"), or a text slot ("#", region, and "a" where most is a link). A slot
+    of a wrapper has ``stats``: pages, code points, least and most text hash (15
+    hex digits), and the least ``REPEATS`` distinct digests of these pages'
+    contents, so that copies of a page count once; one of a page has blocks."""
+
+    __slots__ = ("label", "optional", "repeated", "items", "stats", "blocks", "kinds", "shape", "role")
+
+    def __init__(self, label: str, items: list[Part], optional: bool = False, repeated: bool = False, stats: list | None = None, blocks: list[Block] | None = None) -> None:
+        self.label, self.items, self.optional, self.repeated, self.stats, self.blocks, self.role = label, items, optional, repeated, stats, blocks, ""
+        # groups don't count as a level: a page may have their parts singly
+        self.kinds = frozenset(x for i in flat(items) for x in (i.label, *(f"{i.label}/{j.label}" for j in flat(i.items))))
+        self.shape = label + "?" * optional + "+" * repeated + (f"[{' '.join(i.shape for i in items)}]" if label[:1] != "#" else "")
+
+    def slots(self) -> list[Part]:
+        out: list[Part] = []
+        todo = [self]
+        while todo:
+            part = todo.pop()
+            if part.label[:1] == "#":
+                out.append(part)
+            todo.extend(reversed(part.items))
+        return out
+
+
+def _leaf(part: Part) -> bool:
+    return all(i.label[0] == "#" for i in part.items)
+
+
+def _overlap(a: Part, b: Part) -> float:
+    if a.shape == b.shape or (_leaf(a) and _leaf(b)):
+        return 1.0
+    return len(a.kinds & b.kinds) / max(1, len(a.kinds | b.kinds))
+
+
+def twins(a: Part, b: Part) -> bool:
+    """Whether two siblings are of one kind: the same label, and much the same inside."""
+    return a.label == b.label != "()" and _overlap(a, b) >= 0.4
+
+
+def _least(digests: set[str]) -> list[str]:
+    return sorted(digests)[:REPEATS]
+
+
+def joined(a: list | None, b: list | None) -> list | None:
+    """Stats of two slots as one."""
+    if a is None or b is None:
+        return a or b
+    return [a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]), *_least({*a[4:], *b[4:]})]
+
+
+def merge(a: Part, b: Part, repeated: bool = False) -> Part:
+    """One part of two of the same label; groups take other parts in."""
+    flags = a.optional or b.optional, repeated or a.repeated or b.repeated
+    if a.label[:1] == "#":
+        blocks = a.blocks + b.blocks if a.blocks is not None and b.blocks is not None else None
+        return Part(a.label, [], *flags, joined(a.stats, b.stats), blocks)
+    if a.label == "()" or b.label == "()":
+        items: list[Part] = []
+        for x in (a.items if a.label == "()" else [a]) + (b.items if b.label == "()" else [b]):
+            _take_in(items, x)
+        return Part("()", items, flags[0], True)
+    return Part(a.label, merge_lists(a.items, b.items), *flags)
+
+
+def _take_in(items: list[Part], x: Part) -> None:
+    """Put a part into the kinds of a repeated group."""
+    same = [k for k, i in enumerate(items) if i.label == x.label]
+    near = [k for k in same if twins(items[k], x)] or (same if len(same) >= LABELS else [])
+    if near:
+        items[near[0]] = merge(items[near[0]], x, True)
+    else:
+        items.append(Part(x.label, x.items, True, x.repeated, x.stats, x.blocks))
+
+
+def _score(x: Part, y: Part, alone: bool) -> float:
+    """How well two parts go together, 0 not at all; ``alone``: no sibling of
+    either has the label, so it decides."""
+    if x.label == "()" or y.label == "()":
+        mine, other = {i.label for i in x.items} if x.label == "()" else {x.label}, {i.label for i in y.items} if y.label == "()" else {y.label}
+        return (1 + len(mine & other) / len(mine | other)) if mine & other else 0.0
+    if x.label != y.label:
+        return 0.0
+    near = _overlap(x, y)
+    return 1 + near if near >= 0.4 or alone else 0.0
+
+
+def align(xs: list[Part], ys: list[Part]) -> list[tuple[int, int]]:
+    """Pairs of parts of two lists in order, of the greatest total score; a
+    repeated part may go with several."""
+    if [x.shape for x in xs] == [y.shape for y in ys]:
+        return [(i, i) for i in range(len(xs))]
+    labels = [p.label for p in xs], [p.label for p in ys]
+    score = [[_score(x, y, labels[0].count(x.label) == labels[1].count(x.label) == 1) for y in ys] for x in xs]
+    best = [[0.0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    step = [[(1, 1)] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i in range(len(xs) - 1, -1, -1):
+        for j in range(len(ys) - 1, -1, -1):
+            options = [(best[i + 1][j], (1, 0)), (best[i][j + 1], (0, 1))]
+            if own := score[i][j]:
+                options.append((own + best[i + 1][j + 1], (1, 1)))
+                if ys[j].repeated:
+                    options.append((own + best[i + 1][j], (2, 0)))
+                if xs[i].repeated:
+                    options.append((own + best[i][j + 1], (0, 2)))
+            best[i][j], step[i][j] = max(options)
+    out = []
+    i = j = 0
+    while i < len(xs) and j < len(ys):
+        a, b = step[i][j]
+        if score[i][j] and (a, b) not in ((1, 0), (0, 1)):
+            out.append((i, j))
+        i, j = i + min(a, 1), j + min(b, 1)
+    return out
+
+
+def merge_lists(xs: list[Part], ys: list[Part]) -> list[Part]:
+    """Siblings of two pages as one list."""
+    out: list[Part] = []
+    i = j = 0
+    last = (-1, -1, -1)
+    for a, b in align(xs, ys):
+        out += [Part(x.label, x.items, True, x.repeated, x.stats, x.blocks) for x in xs[i:a] + ys[j:b]]
+        if a == last[0]:
+            out[last[2]] = merge(out[last[2]], ys[b], True)
+        elif b == last[1]:
+            out[last[2]] = merge(out[last[2]], xs[a], True)
+        else:
+            out.append(merge(xs[a], ys[b]))
+            last = (a, b, len(out) - 1)
+        last = (a, b, last[2])
+        i, j = a + 1, b + 1
+    out += [Part(x.label, x.items, True, x.repeated, x.stats, x.blocks) for x in xs[i:] + ys[j:]]
+    return squeeze(out)
+
+
+def squeeze(items: list[Part]) -> list[Part]:
+    """Siblings with what repeats as repeated parts and groups."""
+    out: list[Part] = []
+    for item in items:
+        out.append(item)
+        again = True
+        while again:
+            again = False
+            if len(out) > 1 and twins(out[-2], out[-1]):
+                out[-2:] = [merge(out[-2], out[-1], True)]
+                again = True
+                continue
+            for width in (2, 3):
+                back = out[-width:]
+                group = out[-width - 1] if len(out) > width else None
+                if group is not None and group.label == "()" and len(group.items) == width and all(map(twins, group.items, back)):
+                    out[-width - 1 :] = [Part("()", [merge(x, y) for x, y in zip(group.items, back, strict=True)], group.optional, True)]
+                    again = True
+                    break
+                if len(out) >= 2 * width and all(map(twins, out[-2 * width : -width], back)):
+                    out[-2 * width :] = [Part("()", [merge(x, y) for x, y in zip(out[-2 * width : -width], back, strict=True)], False, True)]
+                    again = True
+                    break
+    while (span := _crowd(out)) is not None:
+        first, last = span
+        kinds: list[Part] = []
+        for p in out[first:last]:
+            for x in p.items if p.label == "()" else [p]:
+                _take_in(kinds, x)
+        # neighbours of these kinds belong to the group
+        while last < len(out) and any(twins(k, out[last]) for k in kinds):
+            _take_in(kinds, out[last])
+            last += 1
+        while first and any(twins(k, out[first - 1]) for k in kinds):
+            first -= 1
+            _take_in(kinds, out[first])
+        out[first:last] = [Part("()", kinds, False, True)]
+    return out
+
+
+def _crowd(items: list[Part]) -> tuple[int, int] | None:
+    """Where siblings of one kind are too many to stay apart."""
+    if len(items) <= APART:
+        return None
+    for i, item in enumerate(items):
+        same = [j for j in range(i, len(items)) if items[j].label == item.label]
+        if item.label != "()" and len(same) <= LABELS:
+            same = [j for j in same if twins(item, items[j])] if len(same) > APART else []
+            if len(same) <= APART:
+                continue
+        if len(same) > 1:
+            return i, same[-1] + 1
+    return None
+
+
+def page_parts(root: _Node) -> Part:
+    """The parts of a page; its slots hold their blocks."""
+    done: dict[int, list[Part]] = {}
     stack: list[tuple[_Node, bool]] = [(root, False)]
     while stack:
         node, ready = stack.pop()
@@ -189,186 +405,228 @@ def fold(root: _Node) -> tuple[list[str], list[list[Block]]]:
             stack.append((node, True))
             stack.extend((x, False) for x in node.items if isinstance(x, _Node))
             continue
-        parts: list[tuple[tuple[str, ...], list[list[Block]], bool]] = []
+        items: list[Part] = []
         for item in node.items:
             if isinstance(item, Block):
-                tokens, texts = ("#" + item.region + ("a" if 2 * item.link > sum(map(len, item.text)) else ""),), [[item]]
+                items.append(Part("#" + item.region + "a" * (2 * item.link > sum(map(len, item.text))), [], blocks=[item]))
             else:
-                tokens, texts = done.pop(id(item))
-            if not tokens:
-                continue
-            parts.append((tokens, texts, False))
-            for width in (1, 2, 3):
-                if len(parts) >= 2 * width and all(a[0] == b[0] for a, b in zip(parts[-width:], parts[-2 * width : -width], strict=True)):
-                    for a, b in zip(parts[-2 * width : -width], parts[-width:], strict=True):
-                        for mine, more in zip(a[1], b[1], strict=True):
-                            mine.extend(more)
-                    del parts[-width:]
-                    parts[-1] = (*parts[-1][:2], True)
-                    break
-        tokens: list[str] = []
-        texts: list[list[Block]] = []
-        for own, its, repeated in parts:
-            tokens += own
-            texts += its
-            if repeated:
-                tokens.append("+")
-        if node.name and tokens:
-            tokens = [f"<{node.name}>", *tokens, "</>"]
-        done[id(node)] = (tuple(tokens), texts)
-    tokens, texts = done[id(root)]
-    return list(tokens), texts
+                items += done.pop(id(item))
+        if node.depth > DEPTH:
+            done[id(node)] = items
+        else:
+            items = squeeze(items)
+            done[id(node)] = [Part(node.label, items)] if items or node is root else []
+    return done[id(root)][0]
 
 
 def shown(block: Block) -> str:
     return _SPACE.sub(" ", html.unescape("".join(block.text))).strip()
 
 
-def host_of(url: str | None) -> str:
-    found = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return found[1].lower() if found else ""
+def host() -> F.Column:
+    """Host of a url, empty if it has none."""
+    return F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-#: A wrapper token: name, pages that have it, whether it is optional, and for
-#: texts the least and the most hash (15 hex digits) and the least ``REPEATS``
-#: distinct digests of these pages' contents, so copies of a page count once.
-Token = list
+def to_json(part: Part) -> str:
+    def plain(p: Part) -> list:
+        flags = p.optional + 2 * p.repeated
+        return [p.label, flags, *p.stats] if p.label[:1] == "#" else [p.label, flags, [plain(i) for i in p.items]]
 
+    return json.dumps(plain(part), separators=(",", ":"), ensure_ascii=False)
 
-def _least(digests: set[str]) -> list[str]:
-    return sorted(digests)[:REPEATS]
 
+def from_json(text: str) -> Part:
+    def built(x: list) -> Part:
+        flags = bool(x[1] & 1), bool(x[1] & 2)
+        return Part(x[0], [], *flags, x[2:]) if x[0][:1] == "#" else Part(x[0], [built(i) for i in x[2]], *flags)
+
+    return built(json.loads(text))
+
+
+def _page_stats(slots: list[Part]) -> list[list]:
+    """Stats of the slots of one page."""
+    texts = [[shown(b) for b in slot.blocks] for slot in slots]
+    hashes = [[f"{xxhash.xxh64_intdigest(t) >> 4:015x}" for t in own] for own in texts]
+    # the content of a page is its texts outside boilerplate
+    content = sorted(h for slot, own in zip(slots, hashes, strict=True) if slot.label[1] != "b" for h in own)
+    digest = f"{xxhash.xxh64_intdigest(' '.join(content)) >> 4:015x}"
+    return [[1, sum(map(len, t)), min(h), max(h), digest] for t, h in zip(texts, hashes, strict=True)]
 
-def merge(wrapper: list[Token], other: list[Token]) -> list[Token]:
-    """Align two wrappers; tokens that only one has become optional."""
-    if not wrapper or not other:
-        return wrapper or other
-    if [t[0] for t in wrapper] == [t[0] for t in other]:
-        pairs = [(0, 0, len(wrapper))]
-    else:
-        pairs = list(SequenceMatcher(None, [t[0] for t in wrapper], [t[0] for t in other], autojunk=False).get_matching_blocks())
-    out: list[Token] = []
-    i = j = 0
-    for a, b, n in pairs:
-        for t in wrapper[i:a] + other[j:b]:
-            out.append([t[0], t[1], True, *t[3:]])
-        for x, y in zip(wrapper[a : a + n], other[b : b + n], strict=True):
-            same = [x[0], x[1] + y[1], x[2] or y[2]]
-            out.append([*same, min(x[3], y[3]), max(x[4], y[4]), *_least({*x[5:], *y[5:]})] if len(x) > 3 else same)
-        i, j = a + n, b + n
-    for t in wrapper[i:] + other[j:]:
-        out.append([t[0], t[1], True, *t[3:]])
-    return out
+
+def merged(parts: list[Part]) -> Part:
+    """The wrapper of parts, aligned one after another: small ones first."""
+    parts = sorted(parts, key=lambda p: (len(p.shape), p.shape))
+    wrapper = parts[0]
+    for part in parts[1:]:
+        wrapper = merge(wrapper, part)
+    return wrapper
+
+
+_INFERRED = "host string, part long, pages long, wrapper string"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    hosts, parts, pages, wrappers = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(parts, pa.int64()), pa.array(pages, pa.int64()), pa.array(wrappers, pa.string())], names=["host", "part", "pages", "wrapper"])
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, salt, wrapper) of the distinct streams of a task."""
-    seen: dict[tuple[str, str], list] = {}
+    """(host, task, pages, wrapper) of the pages of a task."""
+    held: dict[str, dict[str, list]] = {}  # by host and shape: pages, part, stats of its slots
+    number, task = 0, TaskContext.get().partitionId()
 
     def taken() -> pa.RecordBatch:
         rows = []
-        for (host, stream), (n, low, high, digests) in seen.items():
-            text = iter(zip(low, high, strict=True))
-            wrapper = [[t, n, False, *next(text), *digests] if t[0] == "#" else [t, n, False] for t in stream.split(" ")] if stream else []
-            rows.append((host, xxhash.xxh32_intdigest(stream) % SALTS, stream, json.dumps(wrapper, separators=(",", ":"))))
-        seen.clear()
-        hosts, salts, streams, wrappers = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(salts, pa.int32()), pa.array(streams, pa.string()), pa.array(wrappers, pa.string())], names=["host", "salt", "stream", "wrapper"])
+        for name, shapes in held.items():
+            for _, part, stats in shapes.values():
+                for slot, own in zip(part.slots(), stats, strict=True):
+                    slot.stats, slot.blocks = own, None
+            rows.append((name, task, sum(x[0] for x in shapes.values()), to_json(merged([x[1] for x in shapes.values()]))))
+        held.clear()
+        return _rows(rows)
 
     for batch in batches:
-        for url, page in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
-            tokens, texts = fold(parse(page.as_py() or ""))
-            own = [[f"{xxhash.xxh64_intdigest(shown(b)) >> 4:015x}" for b in slot] for slot in texts]
-            low, high = [min(x) for x in own], [max(x) for x in own]
-            # the content of a page is its texts outside boilerplate
-            content = sorted(h for slot, its in zip(texts, own, strict=True) for b, h in zip(slot, its, strict=True) if b.region != "b")
-            digest = f"{xxhash.xxh64_intdigest(' '.join(content)) >> 4:015x}"
-            key = (host_of(url), " ".join(tokens))
-            if (old := seen.get(key)) is None:
-                seen[key] = [1, low, high, [digest]]
+        for name, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            part = page_parts(parse(page.as_py() or ""))
+            stats = _page_stats(part.slots())
+            shapes = held.setdefault(name, {})
+            if (old := shapes.get(part.shape)) is None:
+                for slot in part.slots():
+                    slot.blocks = None
+                shapes[part.shape] = [1, part, stats]
+                number += 1
             else:
-                digests = old[3] if digest in old[3] else _least({*old[3], digest})
-                seen[key] = [old[0] + 1, list(map(min, old[1], low)), list(map(max, old[2], high)), digests]
-            if len(seen) >= 20000:
+                old[0] += 1
+                old[2] = list(map(joined, old[2], stats))
+            if number >= HELD:
                 yield taken()
-    if seen:
+                number = 0
+    if held:
         yield taken()
 
 
 def _merged(group: pa.Table) -> pa.Table:
-    rows = sorted(zip(group.column("stream").to_pylist(), group.column("wrapper").to_pylist(), strict=True), key=lambda r: (len(r[0]), r[0]))
-    wrapper: list[Token] = []
-    for _, own in rows:
-        new = merge(wrapper, json.loads(own))
-        if len(new) <= LONGEST or not wrapper:
-            wrapper = new
-    return pa.table({"host": pa.array([group.column("host")[0].as_py()]), "stream": pa.array([" ".join(t[0] for t in wrapper)]), "wrapper": pa.array([json.dumps(wrapper, separators=(",", ":"))])})
+    wrapper = merged([from_json(x) for x in group.column("wrapper").to_pylist()])
+    return pa.Table.from_batches([_rows([(group.column("host")[0].as_py(), group.column("part")[0].as_py(), sum(group.column("pages").to_pylist()), to_json(wrapper))])])
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """One wrapper per host: host, stream, wrapper (JSON tokens)."""
-    streams = pages.select("url", "html").mapInArrow(_streams, "host string, salt int, stream string, wrapper string")
-    part = streams.groupBy("host", "salt").applyInArrow(_merged, "host string, stream string, wrapper string")
-    return part.groupBy("host").applyInArrow(_merged, "host string, stream string, wrapper string")
+    """One wrapper per host of ``pages`` (url, html): host, pages, wrapper
+    (JSON). A null html is a page without parts; no rows in, no rows out."""
+    from spindrift.llm.workspace import cut
+
+    found = cut(pages.select(host().alias("host"), "html").mapInArrow(_streams, _INFERRED), "streams")
+    most = found.agg(F.max("part")).first()[0] or 0
+    while most >= FAN:
+        found = found.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("host", "part").applyInArrow(_merged, _INFERRED)
+        most //= FAN
+    return found.groupBy("host").applyInArrow(_merged, _INFERRED).drop("part")
 
 
 def expression(wrapper: str) -> str:
     """The wrapper as a readable union-free expression."""
-    return " ".join(t[0] + "?" * bool(t[2]) for t in json.loads(wrapper))
 
+    def told(p: Part) -> str:
+        inside = " ".join(map(told, p.items))
+        own = "#text" if p.label[:1] == "#" else f"({inside})" if p.label == "()" else f"<{p.label}> {inside} </{p.label.partition('.')[0]}>" if p.label else inside
+        flags = "+" * p.repeated + "?" * p.optional
+        return f"({own}){flags}" if flags and p.items and p.label != "()" else own + flags
 
-def roles(wrapper: list[Token], tokens: list[str]) -> list[str]:
-    """Role of each text token of a stream: article, maybe (varying text
-    outside boilerplate) or none."""
-    texts = [t for t in tokens if t[0] == "#"]
-    found: list[str] = []
-    if [t[0] for t in wrapper] == tokens:
-        slots: list[Token | None] = [t for t in wrapper if len(t) > 3]
-    else:
-        at: dict[int, Token] = {}
-        for a, b, n in SequenceMatcher(None, [t[0] for t in wrapper], tokens, autojunk=False).get_matching_blocks():
-            at.update((b + k, wrapper[a + k]) for k in range(n))
-        slots = [at.get(i) for i, t in enumerate(tokens) if t[0] == "#"]
-    for token, slot in zip(texts, slots, strict=True):
-        fixed = slot is not None and len(slot) >= 5 + REPEATS and slot[3] == slot[4]
-        found.append("article" if token[1] == "c" else "maybe" if token == "#o" and not fixed else "none")
-    return found
-
-
-def extract(page: str, wrapper: list[Token] | None, cache: dict) -> str:
-    """Main text of a page by its host's wrapper."""
-    tokens, texts = fold(parse(page))
-    key = " ".join(tokens)
-    if key not in cache:
+    return told(from_json(wrapper))
+
+
+def assign(wrapper: Part, pages: int) -> Part:
+    """Give each slot of a host's wrapper its role: article, maybe (read on
+    pages without an article) or none.
+
+    A slot in boilerplate is none, and so is one whose text is the same on
+    ``REPEATS`` distinct pages (in an article: and on half the host's pages, and
+    no heading). Of the slots outside articles, those with links only are none.
+    The others are maybe if they lie in the innermost element that holds two
+    thirds of the text of them all, or are a first heading.
+    """
+    mass: dict[int, int] = {}
+
+    def weigh(part: Part, inside: str) -> int:
+        if part.label[:1] != "#":
+            name = inside if part.label == "()" else part.label.partition(".")[0]
+            mass[id(part)] = sum(weigh(i, name) for i in part.items)
+            return mass[id(part)]
+        n, chars, low, high, *digests = part.stats
+        fixed = len(digests) >= REPEATS and low == high
+        region = part.label[1]
+        if region == "c":
+            part.role = "none" if fixed and 2 * n >= pages and inside not in _HEADINGS else "article"
+        elif region == "b" or fixed or part.label == "#oa":
+            part.role = "none"
+        else:
+            part.role = "first" if inside == "h1" else "maybe"
+            return chars
+        return 0
+
+    total = weigh(wrapper, "")
+    node = wrapper
+    while True:
+        inner = next((i for i in flat(node.items) if i.label[:1] != "#" and not _leaf(i) and 3 * mass[id(i)] >= 2 * total), None) if total else None
+        if inner is None:
+            break
+        node = inner
+    within = {id(s) for s in node.slots()}
+    for slot in wrapper.slots():
+        if slot.role == "first" or (slot.role == "maybe" and id(slot) not in within):
+            slot.role = "maybe" if slot.role == "first" else "none"
+    return wrapper
+
+
+def _fit(own: list[Part], theirs: list[Part]) -> None:
+    """Give the slots of a page the roles of the wrapper's slots that they go with."""
+    for i, j in align(own, theirs):
+        for x in own[i].items if own[i].label == "()" else [own[i]]:
+            y = theirs[j] if theirs[j].label != "()" else max(theirs[j].items, key=lambda t, x=x: _score(x, t, True))
+            if x.label == y.label and not x.role:
+                x.role = y.role
+                _fit(x.items, y.items)
+
+
+def roles(wrapper: Part | None, page: Part) -> list[str]:
+    """Role of each slot of a page; slots that the wrapper lacks go by their region."""
+    if wrapper is not None:
+        _fit(page.items, wrapper.items)
+    return [s.role or {"#c": "article", "#ca": "article", "#o": "maybe"}.get(s.label, "none") for s in page.slots()]
+
+
+def extract(page: str, wrapper: Part | None, cache: dict) -> str:
+    """Main text of a page by its host's wrapper (see ``assign``)."""
+    part = page_parts(parse(page))
+    if part.shape not in cache:
         if len(cache) > 5000:
             cache.clear()
-        cache[key] = roles(wrapper if wrapper is not None else [], tokens)
-    role: dict[int, str] = {id(b): r for r, slot in zip(cache[key], texts, strict=True) for b in slot}
-    wanted = "article" if "article" in cache[key] else "maybe"
-    order = sorted((b for slot in texts for b in slot), key=lambda b: b.number)
-    return "\n".join(filter(None, (shown(b) for b in order if role[id(b)] == wanted)))
+        cache[part.shape] = roles(wrapper, part)
+    found = cache[part.shape]
+    wanted = "article" if "article" in found else "maybe"
+    blocks = sorted((b for role, slot in zip(found, part.slots(), strict=True) if role == wanted for b in slot.blocks), key=lambda b: b.number)
+    return "\n".join(filter(None, map(shown, blocks)))
 
 
 _TYPES = "page_id long, url string, text string, n_chars long"
 
 
-def _apply(known: dict[str, str] | None) -> Callable:
+def _apply(known: dict[str, tuple[int, str]] | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrappers: dict[str, list[Token]] = {}
+        wrappers: dict[str, Part | None] = {}
         caches: dict[str, dict] = {}
         for batch in batches:
-            urls = batch.column("url").to_pylist()
-            given = batch.column("wrapper").to_pylist() if known is None else [None] * batch.num_rows
+            given = zip(batch.column("pages").to_pylist(), batch.column("wrapper").to_pylist(), strict=True) if known is None else [None] * batch.num_rows
             out = []
-            for url, page, own in zip(urls, batch.column("html"), given, strict=True):
-                host = host_of(url)
-                if host not in wrappers:
+            for name, page, own in zip(batch.column("host").to_pylist(), batch.column("html"), given, strict=True):
+                if name not in wrappers:
                     if len(wrappers) > 500:
                         wrappers.clear()
                         caches.clear()
-                    source = own if known is None else known.get(host)
-                    wrappers[host], caches[host] = json.loads(source) if source else [], {}
-                out.append(extract(page.as_py() or "", wrappers[host], caches[host]))
+                    pages, source = own if known is None else known.get(name, (0, None))
+                    wrappers[name], caches[name] = assign(from_json(source), pages) if source else None, {}
+                out.append(extract(page.as_py() or "", wrappers[name], caches[name]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -379,20 +637,19 @@ def main_text(pages: DataFrame) -> DataFrame:
     (blocks joined by a line feed, empty if none), n_chars.
 
     A null or empty html has no text. A null url, or one without a host, counts
-    as the host "". Pages without an article element give the texts that lie
-    outside boilerplate elements and vary between the host's pages (or stand on
-    under three of them; pages of equal texts count as one). Rows that repeat a page_id or have none get a row
-    each; no rows in, no rows out; other columns are ignored.
+    as the host "". Pages of equal texts count as one towards what repeats on a
+    host. Rows that repeat a page_id or have none get a row each; no rows in, no
+    rows out; other columns are ignored.
     """
     from spindrift.llm.workspace import cut
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    wrappers = cut(infer(pages).select("host", "wrapper"), "wrappers")
+    wrappers = cut(infer(pages), "wrappers")
+    pages = pages.withColumn("host", host())
     if (wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= BROADCAST_CHARS:
-        known = {r["host"]: r["wrapper"] for r in wrappers.collect()}
+        known = {r["host"]: (r["pages"], r["wrapper"]) for r in wrappers.collect()}
         shared = pages.sparkSession.sparkContext.broadcast(known)
         return pages.mapInArrow(lambda batches: _apply(shared.value)(batches), _TYPES)
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     many = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pages.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return salted.join(many, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper").mapInArrow(_apply(None), _TYPES)
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return salted.join(many, ["host", "salt"], "left").select("page_id", "url", "html", "host", "pages", "wrapper").mapInArrow(_apply(None), _TYPES)

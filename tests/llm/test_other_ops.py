@@ -97,21 +97,101 @@ def test_class_words_and_open_heads_do_not_hide_the_article():
     article = "<article><h1>Head</h1><p>Text</p></article>"
     whole = ['<html class="no-sidebar"><body class="with-sidebar menu">{}</body></html>', '<body id="header">{}</body>', '<main class="with-sidebar">{}</main>', '<div id="page-header-fixed">{}</div>', '<div class="has-widget sidebarOpen">{}</div>', '<div id="header">{}</div>', "<form>{}</form>", "<html><head><meta charset=x><title>T</title><body>{}</body></html>", "<head><link rel=x>{}", '<div class="banner"><div role="main">{}</div></div>']
     for page in whole:
-        assert wrappers.extract(page.format(article), [], {}) == "Head\nText", page
+        assert wrappers.extract(page.format(article), None, {}) == "Head\nText", page
     for state in ("post comments-open", "comments-open has-related", "sidebar", "hentry comment"):
-        assert wrappers.extract(f'<body><article class="{state}"><p>Text</p></article></body>', [], {}) == "Text"
-    assert wrappers.extract("<head><title>T</title><p>Bare</p>", [], {}) == wrappers.extract("<head><meta x>Bare", [], {}) == wrappers.extract("<head><meta x><b>Bare</b>", [], {}) == "Bare"
+        assert wrappers.extract(f'<body><article class="{state}"><p>Text</p></article></body>', None, {}) == "Text"
+    assert wrappers.extract("<head><title>T</title><p>Bare</p>", None, {}) == wrappers.extract("<head><meta x>Bare", None, {}) == wrappers.extract("<head><meta x><b>Bare</b>", None, {}) == "Bare"
     for mark in ("<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", '<section id="comments">{}</section>', '<ol class="post-comments">{}</ol>', '<div role="complementary">{}</div>', '<div class="Sidebar sidebar-2">{}</div>'):
-        assert wrappers.extract(f"<body>{article}{mark.format('<article>Other</article><p>more</p>')}</body>", [], {}) == "Head\nText", mark
+        assert wrappers.extract(f"<body>{article}{mark.format('<article>Other</article><p>more</p>')}</body>", None, {}) == "Head\nText", mark
     for mark in ("site-footer", "sidebar-1", "siteHeader", "cookie_notice", "menu--open", "ad"):
-        assert wrappers.extract(f'<body><div class="{mark}">Other</div><p>Text</p></body>', [], {}) == "Text", mark
+        assert wrappers.extract(f'<body><div class="{mark}">Other</div><p>Text</p></body>', None, {}) == "Text", mark
+
+
+def parts_of(page):
+    part = wrappers.page_parts(wrappers.parse(page))
+    for slot, own in zip(part.slots(), wrappers._page_stats(part.slots()), strict=True):
+        slot.stats, slot.blocks = own, None
+    return part
+
+
+def test_alignment_makes_optional_and_repeated_parts():
+    def told(*pages):
+        return wrappers.expression(wrappers.to_json(wrappers.merged([parts_of(p) for p in pages])))
+
+    assert told("<nav>a</nav><p>b", "<p>c") == "(<nav> #text </nav>)? <p> #text </p>"
+    assert told("<p>a<p>b<p>c", "<p>c") == "(<p> #text </p>)+"
+    assert told("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "<dl> (<dt> #text </dt> <dd> #text </dd>)+ </dl>"
+    assert told("<div><h2>a</h2><p>b</div>", "<div><h2>a</h2><ul><li>x<li>y</ul><p>b</div>") == "<div> <h2> #text </h2> (<ul> (<li> #text </li>)+ </ul>)? <p> #text </p> </div>"
+    # kinds that come in any order become a repeated group of optional parts
+    assert told("<h2>a</h2><p>b<hr><h2>c</h2><h3>x</h3><p>d<h2>e</h2><p>f<h3>g</h3><h2>h</h2><p>i") == "((<h2> #text </h2>)+? (<p> #text </p>)+? (<h3> #text </h3>)+?)+"
+    deep = "<div>" * 3000 + "text"
+    assert told(deep, deep + "<p>more").count("<div>") == wrappers.DEPTH and wrappers.extract(deep, None, {}) == "text"
+
+
+def test_wrappers_lose_nothing():
+    """Random trees: a wrapper knows every slot of the pages that it was made from."""
+    rng = random.Random(8)
+
+    def tree(depth):
+        name = rng.choice(["div", "p", "ul", "h2", "section", 'div class="x"'])
+        inside = "".join(tree(depth - 1) if depth and rng.random() < 0.7 else f"t{rng.randrange(99)} " for _ in range(rng.randrange(1, 6)))
+        return f"<{name}>{inside}</{name.split()[0]}>"
+
+    pages = [f"<body>{tree(3)}{tree(2)}{tree(3)}</body>" for _ in range(200)]
+    half, wrapper = (wrappers.merged([parts_of(p) for p in pages[:n]]) for n in (100, 200))
+    whole = sum(len(parts_of(p).slots()) for p in pages)
+    assert len(wrapper.slots()) < 2 * len(half.slots()) < whole
+    assert sum(s.stats[0] for s in wrapper.slots()) <= whole  # pages of a slot; what one page has twice counts once
+    again = wrappers.from_json(wrappers.to_json(wrapper))
+    assert wrappers.to_json(again) == wrappers.to_json(wrapper)
+    for page in pages:
+        for role, slot in zip(wrappers.roles(wrappers.assign(again, len(pages)), wrappers.page_parts(wrappers.parse(page))), parts_of(page).slots(), strict=True):
+            assert role in ("maybe", "none") and slot.label[:2] == "#o"
+
+
+def plain_page(rng, host, n):
+    """A page without article, main or class words, and its article's text."""
+    words = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+    take = iter(words)
+
+    def said(k):
+        return " ".join(next(take) for _ in range(k))
+
+    blocks = [("h1", f"Head {n} {said(4)}")]
+    for _ in range(rng.randrange(3, 9)):
+        kind = rng.choice(["p", "p", "p", "h2", "ul"])
+        blocks += [("li", said(6)) for _ in range(rng.randrange(1, 4))] if kind == "ul" else [(kind, said(rng.randrange(20, 60)) + "." if kind == "p" else said(3))]
+    shown, inside = "", False
+    for kind, text in blocks:
+        shown += "<ul>" * (kind == "li" and not inside) + "</ul>" * (kind != "li" and inside)
+        inside = kind == "li"
+        shown += f"<{kind}>{text}</{kind}>"
+    shown += "</ul>" * inside
+    menu = "".join(f'<li><a href="/{host}/{i}">Menu {i}</a></li>' for i in range(rng.randrange(4, 7)))
+    notice = "<div><p>We use cookies on this site.</p></div>" if rng.random() < 0.5 else ""
+    share = "<div><b>Share this page</b></div>"
+    views = f"<div><span>Views: {rng.randrange(10**6)}</span></div>"
+    related = "<div><ul>" + "".join(f'<li><a href="/r{i}">{said(3)}</a></li>' for i in range(3)) + "</ul></div>"
+    footer = f"<div>Copyright of {host}. All rights reserved.</div>"
+    return f"<html><body><div><a href='/'>{host}</a></div><div><ul>{menu}</ul></div>{notice}<div>{shown}{share}</div>{views}{related}{footer}</body></html>", "\n".join(t for _, t in blocks)
+
+
+def test_articles_of_plain_pages_come_from_the_wrapper(spark):
+    """100 pages of five hosts whose only clue is what the host's pages have in common."""
+    rng = random.Random(5)
+    made = [(i, f"http://h{i % 5}.example/{i}", *plain_page(rng, f"h{i % 5}", i)) for i in range(100)]
+    frame = spark.createDataFrame([m[:3] for m in made], "page_id long, url string, html string").repartition(6)
+    found = {r.page_id: r.text for r in wrappers.main_text(frame).collect()}
+    assert [i for i, _, _, text in made if found[i] != text] == []
+    # without wrappers the menus' neighbours, notices and footers stay
+    assert all(wrappers.extract(page, None, {}) != text for _, _, page, text in made)
 
 
-def test_alignment_makes_optional_groups():
-    a = [[t, 1, False, "a", "a"] if t[0] == "#" else [t, 1, False] for t in "<x> #o </> <y> #o </>".split()]
-    b = [[t, 1, False, "b", "b"] if t[0] == "#" else [t, 1, False] for t in "<y> #o </>".split()]
-    merged = wrappers.merge(a, b)
-    assert [t[0] for t in merged] == [t[0] for t in a] and [t[2] for t in merged] == [True] * 3 + [False] * 3 and merged[4][3:] == ["a", "b"]
+def test_template_inside_articles_is_left_out_by_the_wrapper(spark):
+    page = "<body><article><h1>Head {n}</h1><p>Story {n}</p><div>Subscribe to our letter</div><h2>Notes</h2><p>More {n}</p></article></body>"
+    frame = spark.createDataFrame([(i, f"http://one.example/{i}", page.format(n=i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r.text for r in wrappers.main_text(frame).collect()} == {f"Head {i}\nStory {i}\nNotes\nMore {i}" for i in range(6)}
+    assert wrappers.extract(page.format(n=1), None, {}) == "Head 1\nStory 1\nSubscribe to our letter\nNotes\nMore 1"
 
 
 def brute_links(vectors, cosine=0.9):
