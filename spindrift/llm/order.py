@@ -57,51 +57,67 @@ def feistel(values: np.ndarray, domain: int, seed: int) -> np.ndarray:
     return out
 
 
-#: Records of a shard at most: some 128 MB of 2048 ids of two bytes.
-MOST = 1 << 15
-_STAGED = "split int, place long, first_doc long, n_tokens long, n_pieces long, packed binary"
+#: Records of a shard at most: some 34 MB of 2048 ids of two bytes.
+MOST = 1 << 13
+#: Windows that are staged as one row, so that they are compressed together.
+_RUN = 64
+_STAGED = "split int, place long, first_doc array<long>, n_tokens array<long>, n_pieces array<long>, packed binary"
 #: Windows that a task turns into rows at once.
 _ROWS = 512
+_KINDS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
 def _stage(vocabulary: str, size: int, width: int) -> Callable:
-    kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
+    kind = _KINDS[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
 
-        def taken() -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*ready, strict=True), (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)]
-            ready.clear()
-            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _STAGED.split(", ")])
+        def taken(most: int) -> Iterator[pa.RecordBatch]:
+            while ready and len(ready) >= most:
+                part = ready[:_RUN]
+                del ready[:_RUN]
+                numbers, docs, tokens, pieces, ids = zip(*part, strict=True)
+                longs = pa.list_(pa.int64())
+                columns = [pa.array([numbers[0] // packing.SPLIT], pa.int32()), pa.array([numbers[0] % packing.SPLIT], pa.int64()), *(pa.array([list(x)], longs) for x in (docs, tokens, pieces)), pa.array([squeeze.compress(b"".join(ids))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["split", "place", "first_doc", "n_tokens", "n_pieces", "packed"])
 
         def emit(pieces: list[packing.Piece], number: int) -> None:
             ids = np.concatenate([p[3] for p in pieces])
             if width == 2 and ids.max() > 65535:
                 raise ValueError("ids do not fit 16 bits")
-            ready.append((number // packing.SPLIT, number % packing.SPLIT, pieces[0][0], len(ids), len(pieces), squeeze.compress(ids.astype(kind).tobytes())))
+            ready.append((number, pieces[0][0], len(ids), len(pieces), ids.astype(kind).tobytes()))
 
         for _ in packing.packed(batches, vocabulary, emit, size):
-            if len(ready) >= _ROWS:
-                yield taken()
-        if ready:
-            yield taken()
+            yield from taken(_RUN)
+        yield from taken(1)
 
     return run
 
 
-def _slots(windows: int, seed: int) -> Callable:
+_PLACED = "sequence_id long, slot long, first_doc long, n_tokens long, n_pieces long, packed binary"
+
+
+def _slots(windows: int, seed: int, size: int, width: int) -> Callable:
+    """Windows of staged rows, each with its number and slot."""
+    names = [x.split()[0] for x in _PLACED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, loosen = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
         for batch in batches:
-            slot = feistel(batch.column("sequence_id").to_numpy(), windows, seed).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot)], names=[*batch.schema.names, "slot"])
+            for first, docs, tokens, pieces, packed in zip(*(batch.column(c).to_pylist() for c in ("first", "first_doc", "n_tokens", "n_pieces", "packed")), strict=True):
+                ids = memoryview(loosen.decompress(packed, max_output_size=_RUN * size * width))
+                ends = np.cumsum(tokens) * width
+                own = [squeeze.compress(ids[b - n * width : b]) for n, b in zip(tokens, ends.tolist(), strict=True)]
+                numbers = np.arange(first, first + len(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(feistel(numbers, windows, seed).astype(np.int64)), *(pa.array(x, pa.int64()) for x in (docs, tokens, pieces)), pa.array(own, pa.binary())], names=names)
 
     return run
 
 
 def _write(size: int, width: int, pad_id: int) -> Callable:
-    kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
+    kind = _KINDS[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
@@ -137,16 +153,15 @@ def write_shards(docs: DataFrame, path: str, seed: int = 1, size: int = 2048, wi
     staged = cut(docs.mapInArrow(_stage(vocabulary or default_vocabulary(), size, width), _STAGED), "windows")
     # one row a split: numbers go on from one split to the next
     windows, base = 0, []
-    for row in staged.groupBy("split").count().orderBy("split").collect():
+    for row in staged.groupBy("split").agg(F.sum(F.size("n_tokens")).alias("n")).orderBy("split").collect():
         base.append((row["split"], windows))
-        windows += row["count"]
+        windows += row["n"]
     per_shard = per_shard or max(1, min(MOST, -(-windows // (2 * spark.sparkContext.defaultParallelism))))
     manifest = {"windows": windows, "per_shard": per_shard, "shards": -(-windows // per_shard), "stride": stride(size, width), "size": size, "width": width, "seed": seed}
     spark.createDataFrame([tuple(manifest.values())], _MANIFEST).coalesce(1).write.json(f"{path}/manifest")
     if windows:
-        numbered = staged.join(F.broadcast(spark.createDataFrame(base, "split int, base long")), "split").withColumn("sequence_id", F.col("base") + F.col("place"))
-        columns = "sequence_id long, first_doc long, n_tokens long, n_pieces long, packed binary"
-        placed = numbered.select([x.split()[0] for x in columns.split(", ")]).mapInArrow(_slots(windows, seed), columns + ", slot long")
+        numbered = staged.join(F.broadcast(spark.createDataFrame(base, "split int, base long")), "split").withColumn("first", F.col("base") + F.col("place"))
+        placed = numbered.select("first", "first_doc", "n_tokens", "n_pieces", "packed").mapInArrow(_slots(windows, seed, size, width), _PLACED)
         placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
         ranged = placed.repartitionById(manifest["shards"], F.col("shard")).sortWithinPartitions("shard", "slot")
         records = ranged.mapInArrow(_write(size, width, pad_id), "shard int, record binary")
@@ -164,7 +179,7 @@ _READ = "slot long, shard int, byte_offset long, sequence_id long, first_doc lon
 
 def _records(size: int, width: int, per_shard: int, start: int, stop: int) -> Callable:
     step = stride(size, width)
-    kind = {2: "<u2", 4: "<u4"}[width]
+    kind = _KINDS[width]
     names, types = zip(*(x.split() for x in _READ.split(", ")), strict=True)
     arrow = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t] for t in types]
 
