@@ -202,3 +202,33 @@ def notice_days(text: Column) -> Column:
     t = F.lower(text)
     n, unit = group(t, r"(\d+)\s*(day|week|month)", 1).cast("int"), group(t, r"(\d+)\s*(day|week|month)", 2)
     return F.when(t.rlike("immediate|serving"), 0).otherwise(n * F.when(unit == "week", 7).when(unit == "month", 30).otherwise(1))
+
+
+# How dates are written in a line.
+_DATE = r"(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?,?\s*'?\d{4}|\d{1,2}\s*[/.]\s*\d{4}|\d{4}\s*[/.-]\s*\d{2}(?!\d)|(?:19|20)\d{2})"
+_UNTIL = r"present|current(?:ly)?|now|till date|till now|to date|ongoing|today"
+DATE_RANGE = rf"(?i)({_DATE})\s*(?:-|–|—|to|until|till)\s*({_DATE}|{_UNTIL})"
+
+
+def date_range(line: Column) -> Column:
+    """Struct of first, last (YYYY-MM or YYYY; null while it goes on) and
+    still, of the first span in a line; all null where there is none."""
+    end = group(line, DATE_RANGE, 2)
+    still = is_present(end)
+    return F.struct(year_month(group(line, DATE_RANGE, 1)).alias("first"), F.when(~still, year_month(end)).alias("last"), F.coalesce(still, F.lit(False)).alias("still"))
+
+
+def dates_in(line: Column) -> Column:
+    """The dates of a line in order."""
+    found = F.regexp_extract_all(line, F.lit(f"(?i)({_DATE})"), 1)
+    return F.filter(F.transform(found, year_month), lambda d: d.isNotNull())
+
+
+#: The first line of a text that speaks of pay.
+PAY_LINE = r"(?im)^.*\b(?:salary|ctc|compensation|pay)\b.*$"
+
+
+def salary_or_line(said: Column, description: Column) -> Column:
+    """Pay by its own field, else by the first line of the description that
+    names it."""
+    return salary(F.coalesce(said, F.nullif(F.regexp_extract(description, PAY_LINE, 0), F.lit(""))))

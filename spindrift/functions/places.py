@@ -107,15 +107,20 @@ def is_staffing(company: Column) -> Column:
 
 def is_direct(company: Column, via: Column, links: Column, ascii_only: bool = False) -> Column:
     """Posted by the employer: its own site, or a board it uses."""
-    key = F.get(F.split(company_key(company, ascii_only), " "), F.lit(0))
-    named = F.length(key) > 2
     via = F.lower(F.coalesce(via, F.lit("")))
 
-    def direct(url: Column) -> Column:
-        host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#:]+)", 1))
-        return host.rlike(BOARDS) | (named & (host != "") & F.contains(host, key) & F.lower(url).rlike("career|jobs"))
+    def found(x: Column) -> Column:
+        # the key is worked out before, as no Python may run inside a lambda
+        key, named = x["key"], F.length(x["key"]) > 2
+
+        def direct(url: Column) -> Column:
+            host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#:]+)", 1))
+            return host.rlike(BOARDS) | (named & (host != "") & F.contains(host, key) & F.lower(url).rlike("career|jobs"))
 
-    return (named & F.contains(via, key) & via.rlike("career|jobs|company")) | (via == "company website") | F.exists(links, direct)
+        return (named & F.contains(x["via"], key) & x["via"].rlike("career|jobs|company")) | (x["via"] == "company website") | F.exists(x["links"], direct)
+
+    key = F.get(F.split(company_key(company, ascii_only), " "), F.lit(0))
+    return let(F.struct(key.alias("key"), via.alias("via"), links.alias("links")), found)
 
 
 def title_key(title: Column, ascii_only: bool = False) -> Column:

@@ -169,9 +169,50 @@ def profile_text(headline: Column, skills: Column, titles: Column, cap: int = 20
 
 
 def bullet_coverage(lines: DataFrame, bullets: DataFrame, key: str) -> DataFrame:
-    """Share of a document's lines (key, text) that some extracted
-    bullet (key, text) has, by equal or nearly equal words."""
-    own = lines.select(key, F.monotonically_increasing_id().alias("_id"), F.lower("text").alias("_t"))
-    hay = bullets.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.lower("text"))), " ").alias("_h"))
-    hit = best_match(F.coalesce("_h", F.lit("")), F.col("_t")) >= GROUNDED
-    return own.join(hay, key, "left").groupBy(key).agg(F.count("*").alias("n_lines"), F.count_if(hit).alias("covered"))
+    """Of a document's lines (key, text) how many some extracted
+    bullet (key, text) has, by equal or nearly equal words. A line is compared
+    with its own document's bullets only, a text that occurs again once."""
+    own = lines.groupBy(key, F.lower("text").alias("_t")).agg(F.count("*").alias("_n"))
+    pairs = own.join(bullets.select(key, F.lower("text").alias("_b")).distinct(), key, "left")
+    hit = pairs.groupBy(key, "_t", "_n").agg(F.coalesce(F.bool_or(best_match(F.col("_b"), F.col("_t")) >= GROUNDED), F.lit(False)).alias("_hit"))
+    return hit.groupBy(key).agg(F.sum("_n").alias("n_lines"), F.coalesce(F.sum(F.when(F.col("_hit"), F.col("_n"))), F.lit(0)).alias("covered"))
+
+
+def check(kind: str, **asked) -> tuple[str, dict]:
+    """An item of a checklist (Q19): status (requirement, among), blocker
+    (blocker), no_blocker, recommendation (among), mentions (sections, terms: in
+    one claim a term of each group), cites (section)."""
+    return kind, asked
+
+
+def checklist(reports: DataFrame, claims: DataFrame, items: dict[str, tuple[str, dict]]) -> DataFrame:
+    """Q19: of each report (report_id, statuses as a map, blockers,
+    recommendation) whether it holds each item. Claims (report_id, section,
+    text, n_cited) are reduced once to a flag for each item."""
+    text = F.lower("text")
+
+    def of_claim(kind: str, asked: dict) -> Column | None:
+        if kind == "mentions":
+            found = F.col("section").isin(*asked["sections"])
+            for group in asked["terms"]:
+                any_term = F.lit(False)
+                for term in group:
+                    any_term = any_term | F.contains(text, F.lit(term.lower()))
+                found = found & any_term
+            return found
+        return (F.col("section") == asked["section"]) & (F.col("n_cited") > 0) if kind == "cites" else None
+
+    def of_report(name: str, kind: str, asked: dict) -> Column:
+        if kind == "status":
+            return F.try_element_at("statuses", F.lit(asked["requirement"])).isin(*asked["among"])
+        if kind == "blocker":
+            return F.array_contains("blockers", asked["blocker"])
+        if kind == "no_blocker":
+            return F.size("blockers") == 0
+        return F.col("recommendation").isin(*asked["among"]) if kind == "recommendation" else F.col(f"_{name}")
+
+    flags = {name: c for name, (kind, asked) in items.items() if (c := of_claim(kind, asked)) is not None}
+    rows = reports
+    if flags:
+        rows = rows.join(claims.groupBy("report_id").agg(*(F.bool_or(c).alias(f"_{name}") for name, c in flags.items())), "report_id", "left")
+    return rows.select("report_id", *(F.coalesce(of_report(name, *item), F.lit(False)).alias(name) for name, item in items.items()))

@@ -135,3 +135,11 @@ def site_schedule(reads: DataFrame) -> DataFrame:
         rows = rows.withColumn(name, count.cast("int")).drop("_run")
     days = F.when(F.col("outcome") == "refused", 30).when(F.col("failures") > 0, F.least(F.pow(F.lit(2.0), F.col("failures")), F.lit(30.0))).when(F.col("empty_runs") >= 3, 7).otherwise(1)
     return rows.withColumn("next_check", F.timestamp_seconds(F.unix_timestamp("at") + days * 86_400))
+
+
+def noted(at: Column, last_activity: Column, follow_up_at: Column, now: Column) -> Column:
+    """ST5, ST4: struct of what a note makes of an application. One dated over a
+    day ahead is rejected and changes nothing; any other moves last_activity
+    forward only, and clears a follow-up that is due by then."""
+    rejected = at > now + F.expr("INTERVAL 1 DAY")
+    return F.struct(F.when(rejected, "rejected").otherwise("note").alias("kind"), F.when(rejected, last_activity).otherwise(F.greatest(last_activity, at)).alias("last_activity"), F.when(rejected | ~F.coalesce(follow_up_at <= at, F.lit(False)), follow_up_at).alias("follow_up_at"))

@@ -111,3 +111,16 @@ def search_table(rows: DataFrame, text: str, columns: list[str], order: str, num
 
 def cutoff(now: datetime, days: int) -> datetime:
     return now - timedelta(days=days)
+
+
+def filters_of(query: Column) -> Column:
+    """filters of a URL query as a struct; what is missing or invalid
+    is null, group and page have defaults, pay is given in lakhs. any_filter:
+    one is set besides group and page."""
+    given = F.str_to_map(query, F.lit("&"), F.lit("="))
+    value = lambda name: F.nullif(F.try_element_at(given, F.lit(name)), F.lit(""))
+    number = lambda name: F.when(value(name).rlike(r"^\d{1,9}$") & (value(name).try_cast("long") > 0), value(name).try_cast("long"))
+    among = lambda name, known: F.when(value(name).isin(*known), value(name))
+    own = {"mode": among("mode", ("remote", "hybrid", "onsite")), "city": value("city"), "provider": value("provider"), "days": number("posted"), "least_pay": number("salary") * 100_000}
+    some = F.coalesce(*(v.cast("string") for v in own.values())).isNotNull()
+    return F.struct(F.coalesce(among("group", GROUPS), F.lit("for_you")).alias("group"), F.coalesce(number("page"), F.lit(1)).cast("long").alias("page"), *(v.alias(k) for k, v in own.items()), some.alias("any_filter"))

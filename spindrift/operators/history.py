@@ -88,3 +88,12 @@ def round_robin(variants: DataFrame, places: list[str], cap: int, first: int) ->
     merged = both.groupBy(F.lower(F.trim("text")).alias("text"), "place").agg(F.min(order).alias("_at"), F.array_sort(F.collect_set("role_id")).alias("role_ids"))
     out = merged.withColumn("position", F.row_number().over(Window.orderBy("_at", "text"))).where(F.col("position") <= cap)
     return out.select("position", "text", "place", "role_ids", (F.col("position") <= first).alias("priority"))
+
+
+def best_and_open(rows: DataFrame, key: str, order: list, done: Column, best: int, open_: int) -> DataFrame:
+    """Of each key the first ``best`` rows, and the first ``open_`` that
+    are not done: place, and open_place among those (null where done)."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    still = F.count_if(~done).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("place", place).withColumn("open_place", F.when(~done, still))
+    return out.where((F.col("place") <= best) | (F.col("open_place") <= open_))

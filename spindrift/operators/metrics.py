@@ -95,3 +95,8 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
     p, zz = hits / n, z * z
     middle, spread = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return F.struct(F.greatest(F.lit(0.0), middle - spread).alias("low"), F.least(F.lit(1.0), middle + spread).alias("high"))
+
+
+def count_where(condition: Column) -> Column:
+    """A1, A10: rows that meet a condition; unknown ones don't."""
+    return F.count_if(F.coalesce(condition, F.lit(False)))

@@ -15,8 +15,7 @@ def prepare(postings: DataFrame) -> DataFrame:
     conditions and hashes. Pay comes from its own field, else from the first
     line of the description that names it."""
     text = F.concat_ws("\n", "title", "description")
-    line = F.nullif(F.regexp_extract("description", r"(?im)^.*\b(?:salary|ctc|compensation|pay)\b.*$", 0), F.lit(""))
-    rows = postings.withColumn("salary", parse.salary(F.coalesce("salary_text", line))).withColumn("experience", parse.experience(text))
+    rows = postings.withColumn("salary", parse.salary_or_line(F.col("salary_text"), F.col("description"))).withColumn("experience", parse.experience(text))
     return rows.select(
         "job_id", "provider", "external_id", "title", "posted_at", places.display_company(F.col("company_name")).alias("company"), places.company_key(F.col("company_name")).alias("company_key"),
         places.canonical_city(F.col("location")).alias("city"), places.work_mode(F.col("location"), F.col("description"), F.lit(None).cast("string")).alias("work_mode"), places.title_key(F.col("title")).alias("title_key"),

@@ -97,3 +97,13 @@ def better_pass(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFra
 def section_counts(draft: Column, names: list[str]) -> Column:
     """Entries in each section of a nested draft."""
     return F.struct(*(F.when(draft[n].isNull(), 0).otherwise(F.size(draft[n])).alias(n) for n in names))
+
+
+def overview(sections: dict[str, DataFrame], key: str) -> DataFrame:
+    """A25, SC4: entries of each owner in each section, a table a section. Each
+    is counted before they meet; an owner without entries has 0."""
+    counted = None
+    for name, rows in sections.items():
+        own = rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("_s", F.lit(name))
+        counted = own if counted is None else counted.unionByName(own)
+    return counted.groupBy(key).agg(*(F.coalesce(F.sum(F.when(F.col("_s") == name, F.col("n"))), F.lit(0)).alias(name) for name in sections))

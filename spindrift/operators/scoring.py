@@ -239,3 +239,31 @@ def report_confidence(flags: Column) -> Column:
 def cache_key(*inputs: Column) -> Column:
     """Q18: 32 hex digits of the inputs."""
     return F.substring(F.sha2(F.to_json(F.struct(*inputs)), 256), 1, 32)
+
+
+def config_faults(weights: Column, apply: Column, consider: Column) -> Column:
+    """Q12: names of what is wrong with weights (a map) and thresholds."""
+    parts = F.array(*(F.lit(p) for p in sorted(FIT_WEIGHTS)))
+    total = F.aggregate(F.map_values(weights), F.lit(0), lambda s, x: s + x)
+    fine = F.array_sort(F.map_keys(weights)).eqNullSafe(parts) & (total == 100) & ~F.exists(F.map_values(weights), lambda x: x < 0)
+    return F.array_compact(F.array(F.when(~F.coalesce(fine, F.lit(False)), "weights"), F.when(~F.coalesce((consider >= 0) & (consider < apply) & (apply <= 100), F.lit(False)), "thresholds")))
+
+
+def with_semantic(matches: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFrame:
+    """Q10: matches of requirements (keys, match); a missing one that was
+    accepted under another name counts half."""
+    flag = accepted.select(*keys).distinct().withColumn("_accepted", F.lit(True))
+    out = matches.join(flag, keys, "left")
+    return out.withColumn("match", F.when((F.col("match") == 0) & F.col("_accepted").isNotNull(), 0.5).otherwise(F.col("match"))).drop("_accepted")
+
+
+def ranking_context(profiles: DataFrame, skills: DataFrame, implied: DataFrame, dismissals: DataFrame) -> DataFrame:
+    """A row per profile (user_id, ...) with what ranking needs besides: its
+    margins (R8) and held skills, where a skill that implies another (from_id,
+    to_id) gives it its level."""
+    through = skills.join(implied, skills["skill_id"] == implied["from_id"]).select("user_id", F.col("to_id").alias("skill_id"), "level")
+    best = skills.select("user_id", "skill_id", "level").unionByName(through).groupBy("user_id", "skill_id").agg(F.max("level").alias("level"))
+    held = best.groupBy("user_id").agg(F.collect_list(F.struct("skill_id", "level")).alias("skills"))
+    out = profiles.join(learned_margins(dismissals), "user_id", "left").join(held, "user_id", "left")
+    none = F.array().cast(held.schema["skills"].dataType)
+    return out.withColumns({"above": F.coalesce("above", F.lit(4)), "below": F.coalesce("below", F.lit(5)), "skills": F.coalesce("skills", none)})

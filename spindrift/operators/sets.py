@@ -47,3 +47,9 @@ def concatenated(*sources: DataFrame) -> DataFrame:
         own = source.withColumn("source_no", F.lit(i))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out
+
+
+def compared(a: Column, b: Column) -> Column:
+    """U4: struct of what two arrays share, what only the first has, and whether
+    it holds all of the second."""
+    return F.struct(F.array_intersect(a, b).alias("both"), F.array_except(a, b).alias("only"), (F.size(F.array_except(b, a)) == 0).alias("covers"))

@@ -3,6 +3,8 @@ returns the whole table as it should be afterwards, to be written once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +125,20 @@ def as_ndjson(rows: DataFrame) -> DataFrame:
 def as_report(*parts: Column) -> Column:
     """SK25, Q17: parts of a report on lines of their own; nulls left out."""
     return F.concat_ws("\n", *parts)
+
+
+def batch(rows: DataFrame, *statements: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """SK21: statements applied one after another; the result is written once,
+    so either all of them hold or none."""
+    for statement in statements:
+        rows = statement(rows)
+    return rows
+
+
+def resolve_placeholders_of(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """SK23: like ``resolve_placeholders``, where each owner (resolved: owner,
+    name, key) has found keys of its own."""
+    real = rows.where(~F.col("key").startswith("name:"))
+    found = resolved.select("owner", F.concat(F.lit("name:"), F.col("name")).alias("key"), F.col("key").alias("_k"))
+    moved = rows.where(F.col("key").startswith("name:")).join(found, ["owner", "key"], "left").withColumn("key", F.coalesce("_k", "key")).select(*rows.columns)
+    return real.unionByName(moved.join(real.select("owner", "key"), ["owner", "key"], "left_anti").dropDuplicates(["owner", "key"]))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +74,21 @@ def hashed_embedding(words: Column, size: int = 384) -> Column:
     slots = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
     return unit(counts)
+
+
+def embed(rows: DataFrame, key: str, size: int = 384) -> DataFrame:
+    """SC23, V4: hashed bag-of-words unit vectors of texts (key, text), a batch
+    at a time: key, vector, deferred. A text that is null or has no words keeps
+    a null vector and is deferred to a later run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[np.ndarray | None] = []
+            for text in batch.column("text").to_pylist():
+                slots = [zlib.crc32(w.encode()) % size for w in (text or "").lower().split()]
+                counts = np.bincount(slots, minlength=size).astype(np.float64) if slots else None
+                out.append(None if counts is None else counts / np.linalg.norm(counts))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.float64())), pa.array([v is None for v in out])], names=[key, "vector", "deferred"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "text").mapInArrow(run, f"{key} {kind}, vector array<double>, deferred boolean")

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from urllib.parse import urljoin
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -193,6 +194,25 @@ def docx_text(content: bytes) -> str | None:
     return "\n".join(lines)
 
 
+def docx_file(lines: list[str]) -> bytes:
+    """A DOCX file with a paragraph a line."""
+    body = "".join("<w:p>" + "<w:r><w:tab/></w:r>".join(f"<w:r><w:t xml:space=\"preserve\">{escape(part)}</w:t></w:r>" for part in line.split("\t")) + "</w:p>" for line in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def write_docx(rows: DataFrame) -> DataFrame:
+    """Rows (path, lines as an array, others) with a column content: a DOCX file of the lines."""
+
+    @F.arrow_udf("binary")
+    def made(lines: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else docx_file(x) for x in lines.to_pylist()], pa.binary())
+
+    return rows.withColumn("content", made("lines")).drop("lines")
+
+
 def read_docx(files: DataFrame) -> DataFrame:
     """SC19: text of DOCX files (path, content); null where a file is none."""
 
