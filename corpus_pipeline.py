@@ -15,22 +15,31 @@ from spindrift.llm.workspace import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line labelling keeps."""
+    """Documents that the line labelling keeps, with all their columns. Null,
+    empty and blank texts go; rows that repeat a doc_id or have none are judged
+    each by its text; an empty table stays empty."""
     return lines.keep_content(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one language holds at least half."""
+    """Documents of which one language holds at least half, with all their
+    columns. Texts that are null or have no letter go, and all do where no
+    language can be learned; an empty table stays empty."""
     return langmix.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8)."""
+    """One document of each group of near-duplicates (five words, 0.8): the
+    least doc_id, with all its columns. Texts without words and rows without a
+    doc_id stay; of rows that repeat a doc_id all stay or all go; an empty table
+    stays empty."""
     return minhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, in windows of 2048 tokens."""
+    """Pieces of the documents left, in windows of 2048 tokens. A null or empty
+    text is its end id alone; rows that repeat a doc_id, or have none, are
+    documents of their own; an empty table gives no pieces."""
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

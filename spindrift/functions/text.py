@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -30,14 +31,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _normal(text: pa.Array, form: str) -> pa.Array:
+    """A normal form of texts; only those beyond ASCII become Python objects."""
+    wide = pc.invert(pc.fill_null(pc.string_is_ascii(text), True))
+    if not pc.any(wide).as_py():
+        return text
+    changed = [unicodedata.normalize(form, x) for x in text.filter(wide).to_pylist()]
+    return pc.replace_with_mask(text, wide, pa.array(changed, text.type))
+
+
 @F.arrow_udf(StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
+    return _normal(text, "NFKC")
 
 
 @F.arrow_udf(StringType())
 def _nfkd(text: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else unicodedata.normalize("NFKD", x) for x in text.to_pylist()], pa.string())
+    return _normal(text, "NFKD")
 
 
 def normalize_for_match(text: Column, ascii_only: bool = False) -> Column:
@@ -145,27 +155,29 @@ def title_case(text: Column) -> Column:
 def skill_key(name: Column, ascii_only: bool = False) -> Column:
     """Letters, digits, # and + only, lower case."""
     name = name if ascii_only else _nfkd(name)
-    return F.regexp_replace(F.regexp_replace(F.lower(name), r"[\s._\-/]+", ""), "[^a-z0-9#+]", "")
+    return F.regexp_replace(F.lower(name), "[^a-z0-9#+]", "")
 
 
-def skill_keys_in(text: Column, ascii_only: bool = True) -> Column:
+def skill_keys_in(text: Column, ascii_only: bool = False) -> Column:
     """The distinct keys of all runs of one to four words, and those that
-    end in js also without it."""
+    end in js also without it. The text is cleaned as a whole before it is cut
+    into words, and a run's key is the shorter run's and one word's more."""
 
     def runs(keys: Column) -> Column:
-        # the key of a run is its words' keys one after another
-        def of(size: int) -> Column:
-            starts = F.when(F.size(keys) >= size, F.sequence(F.lit(1), F.size(keys) - size + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.array_join(F.slice(keys, i, size), ""))
-
-        return F.array_distinct(F.filter(F.concat(*(of(n) for n in (1, 2, 3, 4))), lambda k: k != ""))
+        out, run = [keys], keys
+        for size in (2, 3, 4):
+            n = F.greatest(F.lit(0), F.size(keys) - (size - 1))
+            run = F.zip_with(F.slice(run, F.lit(1), n), F.slice(keys, F.lit(size), n), lambda x, y: F.concat(x, y))
+            out.append(run)
+        return F.array_distinct(F.filter(F.concat(*out), lambda k: k != ""))
 
     def with_short(keys: Column) -> Column:
         some = F.filter(keys, lambda k: k.endswith("js") & (F.length(k) > 3))
         return F.array_distinct(F.concat(keys, F.transform(some, lambda k: F.substring(k, F.lit(1), F.length(k) - 2))))
 
-    tokens = F.filter(F.split(text, r"[\s,;:()|·•/]+"), lambda t: t != "")
-    return let(let(F.transform(tokens, lambda t: skill_key(t, ascii_only)), runs), with_short)
+    text = F.lower(text if ascii_only else _nfkd(text))
+    words = F.split(F.regexp_replace(F.trim(F.regexp_replace(text, r"[\s,;:()|·•/]+", " ")), "[^a-z0-9#+ ]", ""), " ")
+    return let(let(words, runs), with_short)
 
 
 def mentions(keys: Column, key: Column) -> Column:

@@ -122,7 +122,7 @@ def listed_skills(documents: DataFrame, key: str) -> DataFrame:
     line = text.strip_bullet(F.col("line"))
     label = F.nullif(F.trim(F.regexp_extract(line, r"^([^:]{2,40}):", 1)), F.lit(""))
     items = rows.select(key, "line_no", label.alias("label"), F.posexplode(text.split_list(F.regexp_replace(line, r"^[^:]{2,40}:\s*", ""))).alias("_i", "name"))
-    items = items.withColumn("_k", text.skill_key(F.col("name"), True)).where("_k <> ''")
+    items = items.withColumn("_k", text.skill_key(F.col("name"))).where("_k <> ''")
     first = items.groupBy(key, "_k").agg(F.min(F.struct("line_no", "_i", "label", "name")).alias("r"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("r.line_no", "r._i"))
     return first.select(key, number.alias("skill_no"), "r.label", "r.name")
@@ -139,9 +139,9 @@ def skill_rows(named: DataFrame, catalogue: DataFrame) -> DataFrame:
     position) matched to a catalogue (skill_id, name, aliases) by key; two names
     of one skill are one row, of which the section's wins, then the earlier.
     A name without a match makes a skill of its own (skill_id null, its key)."""
-    keys = catalogue.select("skill_id", F.explode(F.concat(F.array("name"), "aliases")).alias("_n")).select("skill_id", text.skill_key(F.col("_n"), True).alias("key"))
+    keys = catalogue.select("skill_id", F.explode(F.concat(F.array("name"), "aliases")).alias("_n")).select("skill_id", text.skill_key(F.col("_n")).alias("key"))
     known = keys.groupBy("key").agg(F.min("skill_id").alias("skill_id"))
-    rows = named.withColumn("key", text.skill_key(F.col("name"), True)).join(known, "key", "left")
+    rows = named.withColumn("key", text.skill_key(F.col("name"))).join(known, "key", "left")
     rank = F.struct((F.col("source") != SOURCES[0]).alias("later"), "position", "name")
     own = rows.withColumn("_id", F.coalesce(F.col("skill_id").cast("string"), F.concat(F.lit("new:"), "key")))
     best = own.groupBy("user_id", "_id").agg(F.min_by(F.struct("skill_id", "name", "source"), rank).alias("r"))
@@ -152,8 +152,8 @@ def grounded(values: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """Values (key, path, value) beside whether the document's
     text (key, text) holds them, as written or nearly so. Empty values are not
     checked (null)."""
-    index = texts.select(key, text.normalize_for_match(F.col("text"), True).alias("_t"))
-    rows = values.join(index, key, "left").withColumn("_v", text.normalize_for_match(F.col("value"), True))
+    index = texts.select(key, text.normalize_for_match(F.col("text")).alias("_t"))
+    rows = values.join(index, key, "left").withColumn("_v", text.normalize_for_match(F.col("value")))
     holds = F.contains(F.coalesce("_t", F.lit("")), F.col("_v"))
     # only a value that is not there as it stands is compared run by run
     near = F.when(holds, True).otherwise(text.best_match(F.coalesce("_t", F.lit("")), F.col("_v")) >= 0.85)
@@ -228,8 +228,8 @@ def claim_issues(claims: DataFrame, cited: DataFrame, quotable: DataFrame, banne
     one = rows.select("report_id", "claim_no", F.explode_outer("ids").alias("id")).join(cited.select("report_id", "id", F.col("text").alias("_c")), ["report_id", "id"], "left")
     back = one.groupBy("report_id", "claim_no").agg(F.flatten(F.collect_list(_numbers(F.coalesce("_c", F.lit(""))))).alias("_known"), F.count_if(F.col("id").isNotNull() & F.col("_c").isNull()).alias("_unknown"))
     quotes = F.filter(F.regexp_extract_all("text", F.lit('["“]([^"”]+)["”]'), 1), lambda q: text.word_count(q) >= 3)
-    said = rows.select("report_id", "claim_no", F.explode(quotes).alias("q")).withColumn("_q", text.normalize_for_match(F.col("q"), True))
-    sources = quotable.select("report_id", text.normalize_for_match(F.col("text"), True).alias("_s"))
+    said = rows.select("report_id", "claim_no", F.explode(quotes).alias("q")).withColumn("_q", text.normalize_for_match(F.col("q")))
+    sources = quotable.select("report_id", text.normalize_for_match(F.col("text")).alias("_s"))
     real = said.join(sources, "report_id", "left").groupBy("report_id", "claim_no", "q").agg(F.coalesce(F.bool_or(F.contains("_s", "_q")), F.lit(False)).alias("_ok"))
     real = real.groupBy("report_id", "claim_no").agg(F.count_if(~F.col("_ok")).alias("_false"), F.collect_list(F.when(F.col("_ok"), F.col("q"))).alias("_true"))
     whole = rows.join(back, ["report_id", "claim_no"]).join(real, ["report_id", "claim_no"], "left")

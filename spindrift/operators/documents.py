@@ -90,8 +90,8 @@ def finalised(found: DataFrame, jobs: DataFrame, cap: int = 40) -> DataFrame:
 def keyword_check(texts: DataFrame, skills: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """For each text (key, text) and wanted skill (key, skill_id), whether
     one of its names (skills: skill_id, name) is in the text."""
-    keys = texts.select(key, skill_keys_in(F.col("text"), True).alias("_keys"))
-    names = skills.select("skill_id", skill_key(F.col("name"), True).alias("_k"))
+    keys = texts.select(key, skill_keys_in(F.col("text")).alias("_keys"))
+    names = skills.select("skill_id", skill_key(F.col("name")).alias("_k"))
     return wanted.join(names, "skill_id").join(keys, key).groupBy(key, "skill_id").agg(F.bool_or(mentions(F.col("_keys"), F.col("_k"))).alias("present"))
 
 

@@ -20,5 +20,5 @@ def prepare(postings: DataFrame) -> DataFrame:
         "job_id", "provider", "external_id", "title", "posted_at", places.display_company(F.col("company_name")).alias("company"), places.company_key(F.col("company_name")).alias("company_key"),
         places.canonical_city(F.col("location")).alias("city"), places.work_mode(F.col("location"), F.col("description"), F.lit(None).cast("string")).alias("work_mode"), places.title_key(F.col("title")).alias("title_key"),
         places.description_hash(F.col("description")).alias("description_hash"), places.is_staffing(F.col("company_name")).alias("staffing"), "salary", "experience", parse.seniority(F.col("title"), F.col("experience.min_years")).alias("seniority"),
-        parse.conditions(text).alias("conditions"), F.size(skill_keys_in(text, True)).alias("n_keys"),
+        parse.conditions(text).alias("conditions"), F.size(skill_keys_in(text)).alias("n_keys"),
     )

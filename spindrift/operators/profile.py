@@ -35,7 +35,7 @@ def mentions_named(text: Column, keys: Column, name: str) -> Column:
 def catalogue_faults(catalogue: DataFrame) -> DataFrame:
     """keys that several catalogue entries (skill_id, name, aliases) claim."""
     names = catalogue.select("skill_id", F.explode(F.concat(F.array("name"), "aliases")).alias("_n"))
-    keyed = names.select("skill_id", skill_key(F.col("_n"), True).alias("key"))
+    keyed = names.select("skill_id", skill_key(F.col("_n")).alias("key"))
     return keyed.groupBy("key").agg(F.countDistinct("skill_id").alias("owners")).where("owners > 1")
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.places import same_posting
-from spindrift.functions.text import let
+from spindrift.functions.places import APART_DAYS
+from spindrift.functions.text import let, similarity
 from spindrift.operators.storage import cut
 
-_FIELDS = ("provider", "external_id", "company_key", "city", "title_key", "description_hash", "posted_at")
+#: Similarity of titles that are taken for one.
+CLOSE = 0.9
+_NEVER = -(2**40)
 
 
 def word_runs(rows: DataFrame, key: str, column: str, n: int) -> DataFrame:
@@ -35,26 +37,51 @@ def canonical_by_key(rows: DataFrame, row_id: str, key: str) -> DataFrame:
     return keyed.join(least, key).unionByName(alone)
 
 
-def candidates(rows: DataFrame, row_id: str) -> DataFrame:
-    """Pairs (a, b), a < b, of the same company and city. Equal ids at a
-    provider and equal descriptions need no pairs; see ``components``."""
-    own = rows.where("company_key <> ''").select(F.struct(row_id, *_FIELDS).alias("r"), "company_key", F.coalesce("city", F.lit("")).alias("_city"))
-    a, b = own.withColumnRenamed("r", "a"), own.withColumnRenamed("r", "b")
-    return a.join(b, ["company_key", "_city"]).where(F.col(f"a.{row_id}") < F.col(f"b.{row_id}"))
+def close_titles(rows: DataFrame) -> DataFrame:
+    """Pairs (one <= two) of distinct titles of a company and city that
+    are close, each title with itself besides. Titles and not rows are compared,
+    and only those whose lengths allow it."""
+    titles = rows.select("company_key", "_city", F.col("title_key").alias("one")).distinct()
+    other = titles.withColumnRenamed("one", "two")
+    short, long = F.least(F.length("one"), F.length("two")), F.greatest(F.length("one"), F.length("two"))
+    return titles.join(other, ["company_key", "_city"]).where("one <= two").where((short >= CLOSE * long) & (similarity(F.col("one"), F.col("two")) >= CLOSE))
+
+
+def close_postings(rows: DataFrame, row_id: str) -> DataFrame:
+    """Links (u, v) that join what is of one company and city with close
+    titles and dates at most ``APART_DAYS`` apart (unknown dates suit all).
+
+    Dates are dealt into spans of that length: rows of one span go to its least
+    id, spans side by side are linked by their nearest rows, and rows without a
+    date by the least of them. So the number of links grows with the rows, and
+    every step is summed up before it is shuffled, however large a company is.
+    """
+    own = rows.where("company_key <> '' and title_key is not null").select(row_id, "company_key", F.coalesce("city", F.lit("")).alias("_city"), "title_key", F.unix_timestamp("posted_at").alias("_at"))
+    pairs = close_titles(own)
+    members = pairs.select("company_key", "_city", "one", "two", F.col("one").alias("title_key")).unionByName(pairs.where("one <> two").select("company_key", "_city", "one", "two", F.col("two").alias("title_key")))
+    keys = ["company_key", "_city", "one", "two"]
+    rows_of = own.join(members, ["company_key", "_city", "title_key"]).withColumn("_span", F.floor(F.col("_at") / (APART_DAYS * 86_400)))
+    spans = rows_of.groupBy(*keys, "_span").agg(F.min(row_id).alias("v"), F.min(F.struct("_at", row_id)).alias("first"), F.max(F.struct("_at", row_id)).alias("last"))
+    least = spans.select(*keys, F.coalesce("_span", F.lit(_NEVER)).alias("_s"), "v")
+    to_span = rows_of.withColumn("_s", F.coalesce("_span", F.lit(_NEVER))).join(least, [*keys, "_s"]).select(F.col(row_id).alias("u"), "v")
+    dated = spans.where("_span is not null")
+    after = dated.select(*keys, (F.col("_span") - 1).alias("_span"), F.col("first").alias("next"))
+    beside = dated.join(after, [*keys, "_span"]).where(F.col("next._at") - F.col("last._at") <= APART_DAYS * 86_400).select(F.col(f"next.{row_id}").alias("u"), F.col(f"last.{row_id}").alias("v"))
+    undated = spans.where("_span is null").select(*keys, F.col("v").alias("u"))
+    free = dated.join(undated, keys).select("u", "v")
+    return to_span.union(beside).union(free).where("u <> v").distinct()
 
 
 def links(rows: DataFrame, row_id: str) -> DataFrame:
     """Links (u, v): each row to the least of its provider id and of its
-    description, and fuzzy pairs of a company and city."""
+    description, and close postings of a company and city."""
     stars = None
     for keys in (["provider", "external_id"], ["description_hash"]):
         some = rows.dropna(subset=keys).where(F.col(keys[-1]) != "")
         least = some.groupBy(*keys, F.xxhash64(*keys).alias("_h")).agg(F.min(row_id).alias("v"), F.count("*").alias("n")).where("n > 1").drop("_h")
         own = some.join(least, keys).select(F.col(row_id).alias("u"), "v")
         stars = own if stars is None else stars.union(own)
-    side = lambda s: {f: F.col(f"{s}.{f}") for f in _FIELDS}
-    fuzzy = candidates(rows, row_id).where(same_posting(side("a"), side("b"))).select(F.col(f"b.{row_id}").alias("u"), F.col(f"a.{row_id}").alias("v"))
-    return stars.union(fuzzy).where("u <> v").distinct()
+    return stars.union(close_postings(rows, row_id)).where("u <> v").distinct()
 
 
 def components(rows: DataFrame, row_id: str, rounds: int = 30) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import round_half_up, similarity
+from spindrift.functions.text import lpa, round_half_up, similarity
 from spindrift.operators.metrics import importance_weight
 
 # Weights, thresholds and raw points.
@@ -87,6 +87,70 @@ def combined(parts: dict[str, Column], dismissed: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), round_half_up(points - F.when(dismissed, DISMISSED_PENALTY).otherwise(0)))).cast("long")
 
 
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def skills_reason(names: Column, levels: Column) -> Column:
+    """What of the named skills is held (arrays, a null or 0 level: not)."""
+    both = F.arrays_zip(names.alias("n"), levels.alias("l"))
+    has = lambda x: F.coalesce(x["l"], F.lit(0)) > 0
+    held, missing = (F.transform(F.filter(both, f), lambda x: x["n"]) for f in (has, lambda x: ~has(x)))
+    listed = F.when(F.size(held) > 0, _said(" (", F.array_join(F.slice(held, 1, 4), ", "), ")")).otherwise("")
+    lacks = F.when(F.size(missing) > 0, _said("; missing ", F.array_join(F.slice(missing, 1, 3), ", "))).otherwise("")
+    return F.when(F.size(names) == 0, "The posting names no skills we know.").otherwise(_said("You have ", F.size(held).cast("string"), " of ", F.size(names).cast("string"), " skills it names", listed, lacks, "."))
+
+
+def title_reason(value: Column, best: Column) -> Column:
+    """R2: how close the title is to the best target role (null: none is set)."""
+    return F.when(best.isNull(), "No target roles selected.").when(value >= 0.8, _said("Title matches “", best, "”.")).when(value >= 0.5, _said("Title is close to “", best, "”.")).otherwise("Title differs from your target roles.")
+
+
+def experience_reason(years: Column, low: Column, high: Column) -> Column:
+    """R3."""
+    asks = F.when(low.isNotNull() & high.isNotNull(), _said(_plain(low), "–", _plain(high))).when(low.isNotNull(), _said(_plain(low), "+")).otherwise(_said("up to ", _plain(high)))
+    return F.when(low.isNull() & high.isNull(), "Experience isn't stated.").when(years.isNull(), "Your years of experience aren't known yet.").otherwise(_said("Asks ", asks, " years; you have ", _plain(years), "."))
+
+
+def location_reason(city: Column, mode: Column, cities: Column, modes: Column, relocates: Column) -> Column:
+    """R4."""
+    wants_remote = _has(modes, F.lit("remote")) | _has(cities, F.lit("Remote-India"))
+    fits = mode.isNull() | (F.size(modes) == 0) | _has(modes, mode)
+    return (
+        F.when((F.size(cities) == 0) & (F.size(modes) == 0), "No location preferences set.").when(remote(mode, city) & wants_remote, "Remote, as you prefer.").when(remote(mode, city), "Remote role (not in your work modes).")
+        .when(city.isNull(), "Location isn't stated.").when(_has(cities, city) & fits, _said("In ", city, ", one of your locations.")).when(_has(cities, city), _said("In ", city, ", but ", mode, " (not one of your work modes)."))
+        .when(relocates, _said("In ", city, "; you're open to relocating.")).otherwise(_said("In ", city, ", outside your locations."))
+    )
+
+
+def salary_reason(top: Column, disclosed: Column, currency: Column, expected: Column) -> Column:
+    """R5."""
+    pays = _said("Pays up to ", lpa(top))
+    return (
+        F.when(~disclosed | top.isNull(), "Salary not disclosed.").when(F.coalesce(currency, F.lit("INR")) != "INR", _said("Salary in ", currency, "."))
+        .when(F.coalesce(expected, F.lit(0)) <= 0, _said(pays, "; set your expected salary to compare.")).otherwise(_said(pays, "; you expect ", lpa(expected), "+."))
+    )
+
+
+def semantic_reason(value: Column) -> Column:
+    """By the part's value."""
+    return F.when(value.isNull(), "Not compared with your profile yet.").when(value >= 0.7, "Description is very close to your profile.").when(value >= 0.4, "Description is fairly close to your profile.").otherwise("Description is not close to your profile.")
+
+
+def explained(parts: dict[str, tuple[Column, Column, Column]]) -> Column:
+    """Array of (key, weight, value, points, neutral, reason) of parts
+    given as (value, neutral, reason): weights are stretched to 100 over the
+    parts that are known; weights and points have one decimal."""
+    whole = sum((F.when(v.isNotNull(), WEIGHTS[k]).otherwise(0) for k, (v, _, _) in parts.items()), F.lit(0))
+    tenths = lambda x: round_half_up(x * 10) / 10
+
+    def one(key: str, value: Column, neutral: Column, reason: Column) -> Column:
+        weight = F.when(value.isNotNull(), WEIGHTS[key] * 100 / whole).otherwise(0.0)
+        return F.struct(F.lit(key).alias("key"), tenths(weight).alias("weight"), value.alias("value"), tenths(weight * F.coalesce(value, F.lit(0.0))).alias("points"), neutral.alias("neutral"), reason.alias("reason"))
+
+    return F.array(*(one(k, *p) for k, p in parts.items()))
+
+
 def learned_margins(dismissals: DataFrame) -> DataFrame:
     """Per user, how far a posting's years may lie above or below, by the
     number of dismissals for that reason."""

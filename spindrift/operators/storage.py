@@ -33,6 +33,18 @@ def fresh(spark: SparkSession, name: str) -> str:
 def cut(frame: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: its lineage ends
     there, it is computed once, and the loss of an executor does not undo it."""
+    return stored(frame, name)[0]
+
+
+def stored(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like ``cut``, with the table's path, so that it can be discarded."""
     path = fresh(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored`` that nothing will read any more, wherever
+    the shared folder lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,12 +1,13 @@
-"""Cosine similarity on array columns."""
+"""Cosine similarity: Columns for single pairs, block kernels for searches."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,34 +33,125 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-#: A query set of so many rows at most is broadcast; a larger one meets the
-#: items in SALTS parts.
-QUERIES, SALTS = 20_000, 64
+#: Rows of a query set that are broadcast at most, and rows of either side that
+#: meet in a task when a larger one is joined in parts.
+QUERIES, SIDE = 20_000, 50_000
+#: Similarities that a task holds at once.
+_HELD = 4_000_000
+#: Similarities are compared by so many decimals, so equal vectors tie whatever
+#: the order of summation.
+DECIMALS = 9
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a column of arrays, and which rows have one."""
+    rows = column.to_pylist()
+    size = next((len(v) for v in rows if v), 0)
+    out, good = np.zeros((len(rows), size)), np.zeros(len(rows), dtype=bool)
+    for i, v in enumerate(rows):
+        if v is not None and len(v) == size and size and None not in v:
+            out[i] = v
+            good[i] = bool(np.isfinite(out[i]).all() and out[i].any())
+    out[good] /= np.linalg.norm(out[good], axis=1, keepdims=True)
+    return out, good
+
+
+def _best(queries: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, ids, similarities) of the k best items of each query; of equal
+    ones the least id."""
+    step = max(1, _HELD // max(1, len(items)))
+    for first in range(0, len(queries), step):
+        near = np.round(queries[first : first + step] @ items.T, DECIMALS)
+        if near.shape[1] > k:
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
+            q, at = np.nonzero(near >= least[:, None])
+        else:
+            q, at = (x.ravel() for x in np.indices(near.shape))
+        order = np.lexsort([ids[at], -near[q, at], q])
+        q, at = q[order], at[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        q, at = q[place < k], at[place < k]
+        yield q + first, ids[at], near[q, at]
+
+
+_PAIR = "query_id long, item_id long, similarity double"
+
+
+def _pairs(query_ids: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for q, ids, near in found:
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids), pa.array(near)], names=["query_id", "item_id", "similarity"])
+
+
+def _side(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    matrix, good = _matrix(table.column("vector"))
+    return table.column(name).to_numpy()[good], matrix[good]
+
+
+def _met(k: int) -> Callable:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (query_ids, queries), (ids, items) = _side(left, "query_id"), _side(right, "item_id")
+        schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64())])
+        if not len(queries) or not len(items) or queries.shape[1] != items.shape[1]:
+            return schema.empty_table()
+        return pa.Table.from_batches(list(_pairs(query_ids, _best(queries, items, ids, k))), schema)
+
+    return run
+
+
+def _in_parts(left: DataFrame, right: DataFrame, group: str, k: int) -> DataFrame:
+    """Local best pairs of each group, whose sides are dealt into parts of about
+    ``SIDE`` rows; every part of one side meets every part of the other."""
+
+    def dealt(rows: DataFrame, other: DataFrame, key: str, own: str, far: str) -> DataFrame:
+        n = rows.groupBy(group).agg(F.ceil(F.count("*") / SIDE).alias("_n"))
+        m = other.groupBy(group).agg(F.ceil(F.count("*") / SIDE).alias("_m"))
+        rows = rows.join(n, group).join(m, group).withColumn(own, F.pmod(F.xxhash64(key), F.col("_n")))
+        rows = rows.withColumn(far, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+        # both sides may come from one table; fresh columns tell them apart
+        return rows.select(*(F.col(c).alias(c) for c in (group, key, "vector", own, far)))
+
+    keys = [group, "_a", "_b"]
+    a, b = dealt(left, right, "query_id", "_a", "_b"), dealt(right, left, "item_id", "_b", "_a")
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_met(k), _PAIR)
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """T5: exact k nearest items (item_id, model, vector) of each query
-    (query_id, model, vector) of the same model. Every task cuts its pairs to
-    the best k of each query before they are shuffled."""
-    own = queries.select("query_id", "model", unit(F.col("vector")).alias("_q"))
-    every = items.select("item_id", "model", unit(F.col("vector")).alias("_v"))
+    (query_id, model, vector) of the same model: query_id, item_id, similarity,
+    rank. Tasks multiply blocks and keep the best k of each query before
+    anything is shuffled. Vectors that are null, zero or hold nulls match nothing."""
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "model", "vector")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "model", "vector")
     if queries.limit(QUERIES + 1).count() <= QUERIES:
-        both = every.join(F.broadcast(own), "model")
+        own: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+        asked = queries.toArrow()
+        for model in set(asked.column("model").to_pylist()) - {None}:
+            own[model] = _side(asked.filter(pc.equal(asked.column("model"), model)), "query_id")
+        shared = queries.sparkSession.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                for model, (query_ids, asked_for) in shared.value.items():
+                    ids, matrix = _side(table.filter(pc.equal(table.column("model"), model)), "item_id")
+                    if len(ids) and len(query_ids) and matrix.shape[1] == asked_for.shape[1]:
+                        yield from _pairs(query_ids, _best(asked_for, matrix, ids, k))
+
+        pairs = items.mapInArrow(run, _PAIR)
     else:
-        salted = own.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = every.withColumn("_s", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int")).join(salted, ["model", "_s"])
-    pairs = both.select("query_id", "item_id", dot(F.col("_q"), F.col("_v")).alias("similarity")).where("similarity is not null")
+        pairs = _in_parts(queries, items, "model", k)
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")))
     return ranked.where(F.col("rank") <= k)
 
 
 def best_over(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """For each row (left_id, group_id, vector) the most similar of
-    its group's rows (right_id, group_id, vector), if it is similar enough."""
-    a = left.select("left_id", "group_id", unit(F.col("vector")).alias("_a"))
-    b = right.select("right_id", "group_id", unit(F.col("vector")).alias("_b"))
-    pairs = a.join(b, "group_id").select("left_id", "right_id", dot(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= least)
-    return pairs.groupBy("left_id").agg(F.max_by(F.struct("right_id", "similarity"), F.struct("similarity", -F.col("right_id"))).alias("b")).select("left_id", "b.*")
+    its group's rows (right_id, group_id, vector), if it is similar enough; of
+    equal ones the least id."""
+    a = left.select(F.col("left_id").cast("long").alias("query_id"), "group_id", "vector")
+    b = right.select(F.col("right_id").cast("long").alias("item_id"), "group_id", "vector")
+    pairs = _in_parts(a, b, "group_id", 1).where(F.col("similarity") >= least)
+    return pairs.groupBy(F.col("query_id").alias("left_id")).agg(F.max_by(F.struct(F.col("item_id").alias("right_id"), "similarity"), F.struct("similarity", -F.col("item_id"))).alias("b")).select("left_id", "b.*")
 
 
 def stale_embeddings(rows: DataFrame, model: str) -> DataFrame:

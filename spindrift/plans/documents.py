@@ -24,7 +24,7 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, unnest(['E1', 'E2', 'E3', 'E4', 'E5']) AS evidence_id, unnest(['summary', 'summary', 'experience', 'experience', 'skills']) AS section, unnest(['Builds data tools and', 'keeps them fast.', 'Cut costs by ' || c_custkey || '%', 'Ran a team', 'SQL, Spark']) AS text FROM customer")
 def evidence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered evidence."""
+    """W4, SC4: numbered evidence."""
     return documents.evidence(_resumes(spark, sf_dir), "c_custkey")
 
 

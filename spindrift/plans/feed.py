@@ -60,10 +60,11 @@ def feed_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).where(feed.groups(now())["saved"]).groupBy("user_id").agg(feed.page_count(F.count("*")).alias("pages"))
 
 
-@query(f"{_JOBS} SELECT job_id, misfit AS hidden, NOT misfit AS fits FROM jobs WHERE user_id = 3")
+@query(f"{_JOBS} SELECT user_id, count(*) FILTER (misfit) AS hidden, count(*) FILTER (NOT misfit) AS fits FROM jobs GROUP BY 1")
 def not_fit_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F3, F4, SC1: tests on an array column, for one tenant."""
-    return not_fit_flags(spark, sf_dir).where("user_id = 3").select("job_id", "hidden", "fits")
+    """F3, F4, SC1, F1: tests on an array column, counted for each tenant; only
+    the columns that are asked for are read."""
+    return not_fit_flags(spark, sf_dir).groupBy("user_id").agg(F.count_if("hidden").alias("hidden"), F.count_if("fits").alias("fits"))
 
 
 @query(f"{_JOBS} SELECT user_id, job_id, misfit AS hidden, NOT misfit AS fits FROM jobs")
@@ -85,8 +86,7 @@ def seen_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """second page of the rows that hold a substring."""
     rows = jobs(spark, sf_dir).select("job_id", "title", "provider")
-    joined = F.lower(F.concat_ws(" ", "title", "provider"))
-    return rows.where(F.contains(joined, F.lit("data"))).orderBy("job_id").offset(50).limit(50)
+    return feed.search_table(rows, "Data", ["title", "provider"], "job_id", 2)
 
 
 @query(f"{_JOBS} SELECT job_id, title FROM jobs WHERE job_id > 1000 AND user_id = 5 ORDER BY job_id LIMIT 200")
@@ -116,7 +116,7 @@ _CITY = """CASE WHEN regexp_matches(f, '^(remote|work from home|wfh|anywhere)')
 @query(f"{_JOBS}, firsts AS (SELECT job_id, trim(lower(regexp_extract(location, '^[^,(/|]*'))) AS f FROM jobs) SELECT job_id, {_CITY} AS city FROM firsts")
 def canonical_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One spelling for each city."""
-    return relation(spark, sf_dir, POSTINGS).select("job_id", places.canonical_city(F.col("location"), True).alias("city"))
+    return relation(spark, sf_dir, POSTINGS).select("job_id", places.canonical_city(F.col("location")).alias("city"))
 
 
 @query(

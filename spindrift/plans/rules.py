@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places, text
 from spindrift.operators import documents, events, feed, history, metrics, profile, scoring, sets, state
+from spindrift.operators.storage import fresh
 from spindrift.plans.inputs import NOW, POSTINGS, cases, now, oracle, relation, table
 from spindrift.plans.registry import query
 from spindrift.sources import pages as web
+from spindrift.streaming import applications
 
 _P = oracle(postings=POSTINGS)
 
@@ -301,3 +303,19 @@ def checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = reports.select("report_id", F.lit("summary").alias("section"), F.lit("Years of Spark and SQL").alias("text"), F.when(F.col("report_id") % 5 == 0, 1).otherwise(0).alias("n_cited"))
     items = [documents.check("status", requirement="R1", among=["strong", "partial"]), documents.check("blocker", blocker="bond"), documents.check("mentions", sections=["summary"], terms=[["spark", "flink"], ["sql"]]), documents.check("cites", section="summary")]
     return documents.checklist(reports, claims, dict(zip(("status", "blocker", "mentions", "cites"), items, strict=True)))
+
+
+@query("SELECT o_orderstatus AS stage, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1")
+def resumed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST6, E8: stages that each write a version of the state; one that is run again after a stop changes nothing."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("stage"), F.col("o_totalprice").alias("total"))
+    path = fresh(spark, "stages")
+
+    def add(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        own = batch.groupBy("stage").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+        return own if old is None else old.unionByName(own)
+
+    step = applications.sync_sink(path, add)
+    for number, stage in enumerate(("F", "O", "O", "P")):
+        step(rows.where(F.col("stage") == stage), number - (number > 1))
+    return spark.read.parquet(f"{path}/v=2")

@@ -46,6 +46,53 @@ def relevance_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("job_id", *(F.round(v, 6).alias(k) for k, v in _parts().items()))
 
 
+_YEARS = lambda c: f"regexp_replace(printf('%.1f', {c}), '\\.0$', '')"
+_LPA = lambda c: f"'₹' || regexp_replace(printf('%.1f', floor({c} / 10000 + 0.5) / 10), '\\.0$', '') || 'L'"
+_WEIGH = "(CASE WHEN semantic IS NULL THEN 30 ELSE 50 END)"
+_POINTS = lambda part, weight: f"floor({weight} * 100.0 / {_WEIGH} * {part} * 10 + 0.5) / 10"
+
+
+@query(
+    f"""{_A} SELECT job_id, key, round(points, 1) AS points, neutral, reason FROM (SELECT job_id, unnest([
+  {{'key': 'experience', 'points': {_POINTS('experience', 15)}, 'neutral': years IS NULL OR (min_years IS NULL AND max_years IS NULL), 'reason': CASE WHEN min_years IS NULL AND max_years IS NULL THEN 'Experience isn''t stated.' WHEN years IS NULL THEN 'Your years of experience aren''t known yet.'
+    ELSE 'Asks ' || CASE WHEN min_years IS NOT NULL AND max_years IS NOT NULL THEN {_YEARS('min_years')} || '–' || {_YEARS('max_years')} WHEN min_years IS NOT NULL THEN {_YEARS('min_years')} || '+' ELSE 'up to ' || {_YEARS('max_years')} END || ' years; you have ' || {_YEARS('years')} || '.' END}},
+  {{'key': 'location', 'points': {_POINTS('location', 10)}, 'neutral': (home = '' AND wish = '') OR (NOT ({_FAR}) AND city IS NULL), 'reason': CASE WHEN home = '' AND wish = '' THEN 'No location preferences set.' WHEN ({_FAR}) AND wish = 'remote' THEN 'Remote, as you prefer.' WHEN {_FAR} THEN 'Remote role (not in your work modes).' WHEN city IS NULL THEN 'Location isn''t stated.'
+    WHEN home = city AND (mode IS NULL OR wish = '' OR wish = mode) THEN 'In ' || city || ', one of your locations.' WHEN home = city THEN 'In ' || city || ', but ' || mode || ' (not one of your work modes).' WHEN relocates THEN 'In ' || city || '; you''re open to relocating.' ELSE 'In ' || city || ', outside your locations.' END}},
+  {{'key': 'salary', 'points': {_POINTS('salary', 5)}, 'neutral': NOT disclosed OR top IS NULL OR coalesce(currency, 'INR') <> 'INR' OR expected IS NULL, 'reason': CASE WHEN NOT disclosed OR top IS NULL THEN 'Salary not disclosed.' WHEN coalesce(currency, 'INR') <> 'INR' THEN 'Salary in ' || currency || '.'
+    WHEN expected IS NULL THEN 'Pays up to ' || {_LPA('top')} || '; set your expected salary to compare.' ELSE 'Pays up to ' || {_LPA('top')} || '; you expect ' || {_LPA('expected')} || '+.' END}},
+  {{'key': 'semantic', 'points': coalesce({_POINTS('semantic', 20)}, 0), 'neutral': semantic IS NULL, 'reason': CASE WHEN semantic IS NULL THEN 'Not compared with your profile yet.' WHEN semantic >= 0.7 THEN 'Description is very close to your profile.' WHEN semantic >= 0.4 THEN 'Description is fairly close to your profile.' ELSE 'Description is not close to your profile.' END}}], recursive := true)
+  FROM (SELECT *, {_PARTS} FROM pairs))"""
+)
+def relevance_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the quick match with points, reasons and what was unknown."""
+    c = F.col
+    rows = pairs(spark, sf_dir).select("*", *(v.alias(f"_{k}") for k, v in _parts().items()))
+    known = {"experience": c("years").isNull() | (c("min_years").isNull() & c("max_years").isNull()), "semantic": c("_semantic").isNull(), "salary": ~(c("disclosed") & c("top").isNotNull() & (F.coalesce("currency", F.lit("INR")) == "INR") & c("expected").isNotNull())}
+    known["location"] = ((F.size("cities") == 0) & (F.size("modes") == 0)) | (~scoring.remote(c("mode"), c("city")) & c("city").isNull())
+    reasons = {
+        "experience": scoring.experience_reason(c("years"), c("min_years"), c("max_years")), "location": scoring.location_reason(c("city"), c("mode"), c("cities"), c("modes"), c("relocates")),
+        "salary": scoring.salary_reason(c("top"), c("disclosed"), c("currency"), c("expected")), "semantic": scoring.semantic_reason(c("_semantic")),
+    }
+    parts = scoring.explained({k: (c(f"_{k}"), known[k], reasons[k]) for k in reasons})
+    return rows.select("job_id", F.inline(parts)).select("job_id", "key", F.round("points", 1).alias("points"), "neutral", "reason")
+
+
+_NAMED = ["Spark", "SQL", "Python"]
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'The posting names no skills we know.' WHEN 1 THEN 'You have 1 of 3 skills it names (Spark); missing SQL, Python.' WHEN 2 THEN 'You have 3 of 3 skills it names (Spark, SQL, Python).' ELSE 'You have 0 of 3 skills it names; missing Spark, SQL, Python.' END AS skills,
+CASE p_partkey % 4 WHEN 0 THEN 'No target roles selected.' WHEN 1 THEN 'Title matches “Data Engineer”.' WHEN 2 THEN 'Title is close to “Data Engineer”.' ELSE 'Title differs from your target roles.' END AS title FROM part"""
+)
+def skill_and_title_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of the skills and title parts."""
+    k = F.col("p_partkey") % 4
+    names = F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array(*(F.lit(n) for n in _NAMED)))
+    levels = F.when(k == 1, F.array(F.lit(3), F.lit(0), F.lit(None).cast("int"))).when(k == 2, F.array(F.lit(1), F.lit(2), F.lit(5))).when(k == 3, F.array(F.lit(0), F.lit(0), F.lit(0))).otherwise(F.array().cast("array<int>"))
+    title = scoring.title_reason(F.when(k == 1, 0.9).when(k == 2, 0.6).otherwise(0.1), F.when(k > 0, "Data Engineer"))
+    return relation(spark, sf_dir, "SELECT p_partkey FROM {part}").select("p_partkey", scoring.skills_reason(names, levels).alias("skills"), title.alias("title"))
+
+
 @query(
     f"""{_A} SELECT job_id, greatest(0, least(100, floor((experience * 15 + location * 10 + salary * 5 + coalesce(semantic * 20, 0)) * 100 / (CASE WHEN semantic IS NULL THEN 30 ELSE 50 END) - CASE WHEN dismissed THEN 15 ELSE 0 END + 0.5 + 1e-9)))::BIGINT AS score
 FROM (SELECT job_id, dismissed, {_PARTS} FROM pairs)"""

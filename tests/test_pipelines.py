@@ -3,11 +3,14 @@
 import io
 import json
 import zipfile
+import zlib
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.functions import text
 from spindrift.operators import documents, events, history, metrics, resolve, state, vectors
 from spindrift.sources import pages, postings
 from spindrift.streaming import applications
@@ -186,3 +189,47 @@ def test_equal_spans_are_of_one_island(spark):
     spans = spark.createDataFrame([(1, 10, 15), (1, 30, 35), (1, 30, 35), (1, 30, 33), (2, 5, 4)], "id long, f int, t int")
     found = history.islands(spans, "id", "f", "t").collect()
     assert sorted((r.id, r.from_month, r.to_month) for r in found) == [(1, 10, 15), (1, 30, 35)]
+
+
+@pytest.mark.parametrize("queries,side", [(20_000, 50_000), (0, 7)])
+def test_nearest_and_best_match_brute_force(spark, monkeypatch, queries, side):
+    """By broadcast blocks, and in parts where the query set is large."""
+    monkeypatch.setattr(vectors, "QUERIES", queries)
+    monkeypatch.setattr(vectors, "SIDE", side)
+    rng = np.random.default_rng(1)
+    made = {i: rng.integers(-3, 4, size=5).astype(float).tolist() for i in range(60)}
+    made |= {100: None, 101: [0.0] * 5, 102: [1.0, None, 0.0, 0.0, 0.0], 103: made[3], 104: made[3]}
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v in made.items() if v and None not in v and any(v)}
+    model = {i: "m" if i % 3 else "n" for i in made}
+    rows = spark.createDataFrame([(i, model[i], v) for i, v in made.items()], "item_id long, model string, vector array<double>")
+    asked = rows.where("item_id % 4 = 0 or item_id > 99").withColumnRenamed("item_id", "query_id")
+    found = {(r.query_id, r["rank"]): r.item_id for r in vectors.nearest(asked, rows, 3).collect()}
+    want = {}
+    for q in (i for i in good if i % 4 == 0 or i > 99):
+        near = sorted((-round(float(good[q] @ good[i]), 9), i) for i in good if model[i] == model[q])
+        want |= {(q, n + 1): i for n, (_, i) in enumerate(near[:3])}
+    assert found == want
+    left, right = rows.select(F.col("item_id").alias("left_id"), F.col("model").alias("group_id"), "vector"), rows.select(F.col("item_id").alias("right_id"), F.col("model").alias("group_id"), "vector")
+    best = {r.left_id: r.right_id for r in vectors.best_over(left, right, 0.99).collect()}
+    assert best == {q: min((-round(float(good[q] @ good[i]), 9), i) for i in good if model[i] == model[q])[1] for q in good}
+    assert vectors.nearest(asked.limit(0), rows, 3).count() == vectors.nearest(asked, rows.limit(0), 3).count() == 0
+
+
+def test_hashed_embeddings_match_brute_force(spark):
+    rows = [(1, "the cat the"), (2, None), (3, "  "), (4, "Été THE")]
+    found = {r.doc_id: r for r in vectors.embed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", size=16).collect()}
+    for i, text in rows:
+        want = np.zeros(16)
+        for w in (text or "").lower().split():
+            want[zlib.crc32(w.encode()) % 16] += 1
+        assert found[i].deferred == (not want.any())
+        assert found[i].vector is None if not want.any() else np.allclose(found[i].vector, want / np.linalg.norm(want))
+    one = vectors.hashed_embedding(F.split(F.lower("text"), " "), 16)
+    other = spark.createDataFrame([(4, "été the")], "doc_id long, text string").select(one.alias("v")).first().v
+    assert np.allclose(other, found[4].vector)
+
+
+def test_normal_forms_of_any_script(spark):
+    rows = [(1, "ﬁne ½ Ｆull"), (2, "plain"), (3, None), (4, "É é"), (5, "A–B “q” ’s")]
+    found = {r.i: (r.n, r.k) for r in spark.createDataFrame(rows, "i int, t string").select("i", text.normalize_for_match(F.col("t")).alias("n"), text.skill_key(F.col("t")).alias("k")).collect()}
+    assert found == {1: ("fine 1⁄2 full", "fine12full"), 2: ("plain", "plain"), 3: (None, None), 4: ("é é", "ee"), 5: ("a-b \"q\" 's", "abqs")}
