@@ -57,8 +57,9 @@ def feistel(values: np.ndarray, domain: int, seed: int) -> np.ndarray:
     return out
 
 
-#: Records of a shard at most: some 34 MB of 2048 ids of two bytes.
-MOST = 1 << 13
+#: Records of a shard at most: some 8 MB of 2048 ids of two bytes, since readers
+#: take whole files into memory. Large clusters give ``per_shard`` more.
+MOST = 1 << 11
 #: Windows that are staged as one row, so that they are compressed together.
 _RUN = 64
 _STAGED = "split int, place long, first_doc array<long>, n_tokens array<long>, n_pieces array<long>, packed binary"

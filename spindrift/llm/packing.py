@@ -67,7 +67,8 @@ class Packer:
             self.open -= 1
         else:
             window = []
-        window.append((doc_id, total, at, ids[at:]))
+        # a copy, so that a rest doesn't hold its whole document in memory
+        window.append((doc_id, total, at, ids[at:].copy() if at else ids))
         if level + n == self.size:
             self.close(window)
             return
@@ -165,7 +166,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, size:
 
 def pack_windows(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, size: int = 2048, max_open: int = 4096) -> DataFrame:
     """The same windows as ``pack``, a row each: sequence_id, first_doc (doc_id
-    of the first piece), n_pieces, n_tokens, ids (unpadded)."""
+    of the first piece, null where it has none), n_pieces, n_tokens, ids
+    (unpadded). Odd rows count as in ``pack``; no rows in, no rows out."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_run(vocabulary or default_vocabulary(), end_id, size, max_open, _window, _WINDOW), _WINDOW)
 
