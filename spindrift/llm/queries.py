@@ -64,8 +64,9 @@ def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, read back through their merged index: captures
-    in global order of (part, place)."""
-    return warc.archive_and_index(_table(spark, sf_dir, "pages"))
+    in order of (url_key, captured, page_id)."""
+    index = warc.archive_and_index(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,15 +39,18 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c
 FROM embeddings JOIN least_of ON vec_id = least_of.x LEFT JOIN counts ON vec_id = counts.x
 """
 
-OP9 = """
+OP9 = r"""
 WITH payloads AS (
-  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+  SELECT page_id, coalesce(url, '') AS url, '^\s*(?:[a-zA-Z][\w+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^#]*)' AS parts,
+    strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
 ), firsts AS (
   SELECT payload_digest, min(page_id) AS first_id FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest
 )
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+  array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, parts, 1)), '^www\.', ''), '.')), ',') || ')' || coalesce(nullif(lower(regexp_extract(url, parts, 2)), ''), '/') AS url_key,
+  strftime(TIMESTAMP '1970-01-01' + to_seconds(1704067200 + page_id % 137438953472), '%Y-%m-%dT%H:%M:%SZ') AS captured
 FROM payloads LEFT JOIN firsts USING (payload_digest)
 """
 

@@ -26,6 +26,9 @@ from spindrift.llm.workspace import cut, fresh
 LEAST_BYTES = 100
 #: Records and bytes of payload in one archive file at most.
 RECORDS, FILE_BYTES = 1000, 256 << 20
+#: Revisits (rows of about 100 bytes) that are broadcast at most, so that pages
+#: need not be shuffled; more of them are joined by shuffle.
+BROADCAST_ROWS = 300_000
 #: First capture's time; the capture of page n is n modulo SPAN seconds later,
 #: so every date has a year of four digits and sorts as text.
 EPOCH, SPAN = 1_704_067_200, 1 << 37
@@ -91,8 +94,9 @@ def records(pages: DataFrame) -> DataFrame:
     long = pages.where(F.col("bytes") >= LEAST_BYTES).where("page_id is not null").select("page_id", "digest")
     # grouped by a second key so that the join has exchanges of its own, which adaptive execution can split
     firsts = long.groupBy("digest", F.xxhash64("digest").alias("_h")).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n", "_h")
-    again = long.join(firsts, "digest").where("page_id <> refers_to").distinct()
-    pages = pages.join(again, ["page_id", "digest"], "left")
+    again = cut(long.join(firsts, "digest").where("page_id <> refers_to").distinct(), "revisits")
+    few = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    pages = pages.join(few, ["page_id", "digest"], "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     time = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -107,7 +111,10 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Write one record per row into archives under ``path``."""
+    """Write one record per row of ``pages`` (page_id, url, html) into archives
+    under ``path``; a null html is an empty payload, a null url an empty URI, a
+    null page_id "none". Rows that repeat a page_id share a record id unless
+    their payloads differ in kind. No rows give archives without records."""
     largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 1
     count = max(1, min(RECORDS, FILE_BYTES // largest))
     records(pages).select("record").write.option("lineSep", _END).option("maxRecordsPerFile", count).text(path)
@@ -186,7 +193,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_index(spark: SparkSession, path: str, rows_per_part: int = 50_000) -> DataFrame:
     """Captures of the archives under ``path``, in global order of (part,
     place): url_key, captured, page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to, archive, record_offset, record_length."""
+    record_type, refers_to, archive, record_offset, record_length. Captures of
+    one key and date come by page_id, nulls first; a damaged record or payload
+    raises ValueError. Archives without records give no rows."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     runs = cut(files.mapInArrow(_index, _RUN), "runs")
     parts = max(1, -(-runs.count() // rows_per_part))
