@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.workspace import cut
+from spindrift.llm.workspace import discard, stored
 
 
 #: Keys of more than 1 / HOT of all rows count as hot; there are fewer than HOT of them.
@@ -39,8 +39,10 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def star_edges(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Turn edges (u, v) into stars: rows (u, v) where v is the least node that
     u can reach and v < u. Nodes that are least have no row; self-loops, nulls
-    and repeated edges are allowed. No edges give no rows."""
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    and repeated edges are allowed. No edges give no rows. A round's edges are
+    deleted once the next ones are written."""
+    spark = edges.sparkSession
+    edges, path = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(edges)
     for _ in range(rounds):
         if not before[0]:
@@ -52,7 +54,9 @@ def star_edges(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small-star: u and its lesser neighbours go to the least of them; large-star left u few of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges, newer = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(spark, path)
+        path = newer
         after = _state(edges)
         if after == before:
             return edges

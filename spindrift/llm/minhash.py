@@ -8,7 +8,8 @@
    Two documents over the threshold share a key but with a chance under 1e-5
    at the threshold itself and far less above it.
 3. Inside a cluster, signatures and then full sets confirm links. A cluster of
-   more than ``chunk`` documents is dealt into chunks; then the documents that
+   more than ``chunk`` documents, or ``CHUNK_BYTES`` of sets, is dealt into
+   chunks; then the documents that
    have not joined the cluster's main component meet every chunk, so no pair
    of different components is left untested and no task holds a whole group.
 """
@@ -31,6 +32,8 @@ from spindrift.llm.workspace import cut
 SIGNATURE, AGREE = 64, 32
 #: Up to so many rows (of about 120 bytes) a table of cluster members may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of full sets in a chunk of a cluster, on average; a task holds two chunks.
+CHUNK_BYTES = 32 << 20
 _BLOCK = 512
 
 
@@ -90,7 +93,7 @@ def _sets(size: int) -> Callable:
             sets: list[bytes] = [b""] * batch.num_rows
             for i, _, words in K.text_words(batch.column("text"), lower=True):
                 sets[i] = K.distinct(K.windows(words, size)).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "signature", "cluster", "members")] + [pa.array(sets, pa.binary())], names=["doc_id", "signature", "cluster", "members", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "signature", "cluster", "parts")] + [pa.array(sets, pa.binary())], names=["doc_id", "signature", "cluster", "parts", "shingles"])
 
     return run
 
@@ -154,7 +157,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = cut(docs.mapInArrow(_sketch(shingle_words, bands, rows), _SKETCH), "sketch")
     some = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "signature", "keys")).alias("r"), F.count("*").alias("copies"))
+    classes = some.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "keys")).alias("r"), F.count("*").alias("copies"))
     classes = cut(classes.select("c1", "c2", "copies", "r.*"), "classes")
 
     banded = classes.select(F.col("doc_id").alias("u"), F.explode("keys").alias("key"))
@@ -170,29 +173,31 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int, percent: int, chunk: int) -> DataFrame:
     """Stars (u, v) over confirmed links between the classes of each cluster."""
     members = clusters.unionByName(clusters.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("doc_id"), F.col("v").alias("cluster"))
-    counts = clusters.groupBy(F.col("v").alias("cluster")).agg((F.count("*") + 1).alias("members"))
-    # a cluster has a star of its members but one, so there are at most twice as many members as edges
-    members = cut(send(members, counts, "cluster", "members", 2 * clusters.count()).join(classes.select("doc_id", "signature", "c1", "c2"), "doc_id"), "members")
+    members = cut(members.join(classes.select("doc_id", "n_shingles", "signature"), "doc_id"), "members")
+    counts = members.groupBy("cluster").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / chunk, F.sum("n_shingles") * 8 / CHUNK_BYTES)).alias("parts"))
     n = members.count()
     if not n:
         return clusters
+    members = send(members.drop("n_shingles"), counts, "cluster", "n", n).drop("n")
     few = F.broadcast(members) if n <= BROADCAST_ROWS else members
-    sets = cut(docs.join(few, "doc_id").mapInArrow(_sets(size), "doc_id long, signature binary, cluster long, members long, shingles binary"), "sets")
-    parts = F.ceil(F.col("members") / chunk)
+    sets = cut(docs.join(few, "doc_id").mapInArrow(_sets(size), "doc_id long, signature binary, cluster long, parts long, shingles binary"), "sets")
+    parts = F.col("parts")
     sets = sets.withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("doc_id"), parts)).otherwise(0))
     links = _links(percent)
     first = star_edges(sets.withColumn("label", F.col("doc_id")).groupBy("cluster", "part").applyInArrow(links, "u long, v long"))
-    large = sets.where(F.col("members") > chunk)
+    large = sets.where(parts > 1)
     if large.isEmpty():
         return first
 
     large = large.join(first.withColumnRenamed("u", "doc_id"), "doc_id", "left").select(*large.columns, F.coalesce("v", "doc_id").alias("label"))
     large = cut(large, "large")
-    sizes = large.groupBy("cluster", "label").count()
-    main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("apart"), F.sum("count").alias("n"))
-    large = send(large, main, "cluster", "n", large.count()).drop("n").where("apart > 0")
+    sizes = large.groupBy("cluster", "label").agg(F.count("*").alias("count"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    largest = F.struct("count", "label")
+    apart = F.greatest((F.sum("count") - F.max("count")) / chunk, (F.sum("bytes") - F.max_by("bytes", largest)) / CHUNK_BYTES)
+    main = sizes.groupBy("cluster").agg(F.max_by("label", largest).alias("main"), F.ceil(apart).alias("lots"), F.sum("count").alias("n"))
+    large = send(large, main, "cluster", "n", large.count()).drop("n").where("lots > 0")
     apart = large.where("label <> main")
-    lots = F.ceil(F.col("apart") / chunk)
+    lots = F.col("lots")
     every = large.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1))).withColumn("far", F.lit(0))
     again = apart.withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(1)), lots)).withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).where("part <> own").drop("own").withColumn("far", F.lit(1))
     second = every.unionByName(again).groupBy("cluster", "part", "lot").applyInArrow(links, "u long, v long")

@@ -1,5 +1,5 @@
 """Intermediate tables of this subpackage, in the shared folder."""
 
-from spindrift.operators.storage import cut, folder, fresh
+from spindrift.operators.storage import cut, discard, folder, fresh, stored
 
-__all__ = ["cut", "folder", "fresh"]
+__all__ = ["cut", "discard", "folder", "fresh", "stored"]
