@@ -3,8 +3,10 @@
 A conversation is read turn by turn in order; prefix sums of the turns' tokens
 cut it into windows of whole turns. Each window repeats the system turn and as
 much of the turns before it as a history limit allows; repeated turns are
-masked, so every assistant turn is a target once. Conversations are streamed:
-a task holds one window and the history, however long a conversation is.
+masked, so every assistant turn is a target once. Turns are escaped and their
+tokens counted where the rows lie; then conversations are streamed: a task
+holds one window and the history, however long a conversation is, and only puts
+turns together.
 """
 
 from __future__ import annotations
@@ -39,13 +41,28 @@ def unescape(text: str) -> str:
 
 
 class Turn:
+    """A turn as it is shown; its text lies ``before`` code points in."""
+
     __slots__ = ("role", "shown", "before", "length", "cost")
 
-    def __init__(self, role: str, text: str, vocabulary: str) -> None:
-        body = escape(text)
-        self.role, self.before, self.length = role, len(TURN) + len(escape(role)) + len(TEXT), len(body)
-        self.shown = f"{TURN}{escape(role)}{TEXT}{body}{END}"
-        self.cost = len(encode(self.shown.encode(), vocabulary))
+    def __init__(self, role: str, shown: str, before: int, length: int, cost: int) -> None:
+        self.role, self.shown, self.before, self.length, self.cost = role, shown, before, length, cost
+
+
+def shown_turn(role: str, text: str, vocabulary: str) -> Turn:
+    head, body = f"{TURN}{escape(role)}{TEXT}", escape(text)
+    shown = f"{head}{body}{END}"
+    return Turn(role, shown, len(head), len(body), len(encode(shown.encode(), vocabulary)))
+
+
+def _turns(vocabulary: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shown_turn(role or "", text.as_py() or "", vocabulary) for role, text in zip(batch.column("role").to_pylist(), batch.column("text"), strict=True)]
+            own = [pa.array([t.shown for t in made], pa.string()), *(pa.array([getattr(t, c) for t in made], pa.int32()) for c in ("before", "length", "cost"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), *own], names=["conv_id", "turn", "role", "shown", "before", "length", "cost"])
+
+    return run
 
 
 class Windows:
@@ -96,8 +113,9 @@ _TYPES = "conv_id long, window_no long, formatted string, n_repeated int, n_turn
 _ARROW = pa.schema([("conv_id", pa.int64()), ("window_no", pa.int64()), ("formatted", pa.string()), ("n_repeated", pa.int32()), ("n_turns", pa.int32()), ("n_tokens", pa.int32()), ("loss_spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
 
-def _format(vocabulary: str, budget: int, history: int) -> Callable:
+def _format(budget: int, history: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("conv_id", "role", "shown", "before", "length", "cost")
         out: list[tuple] = []
         conversation: list = []
 
@@ -116,14 +134,14 @@ def _format(vocabulary: str, budget: int, history: int) -> Callable:
 
         windows: Windows | None = None
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(c) for c in ("conv_id", "role", "text")), strict=True):
-                conv = conv.as_py()
+            columns = [batch.column(c) for c in names]
+            for conv, role, shown, *numbers in zip(*(c if name == "shown" else c.to_pylist() for name, c in zip(names, columns, strict=True)), strict=True):
                 if windows is None or conv != conversation[0]:
                     if windows is not None:
                         windows.close()
                     conversation[:] = [conv]
                     windows = Windows(budget, history, emit)
-                windows.add(Turn(role.as_py() or "", text.as_py() or "", vocabulary))
+                windows.add(Turn(role or "", shown.as_py(), *numbers))
                 if len(out) >= 1000:
                     yield taken()
         if windows is not None:
@@ -139,15 +157,17 @@ def format_chats(conversations: DataFrame, vocabulary: str | None = None, budget
     window_no, formatted, n_repeated (leading turns repeated and masked),
     n_turns, n_tokens, loss_spans (code points of the targets' texts).
 
-    Turns come by turn, then role and text; nulls first. A null role or text is
+    Turns come by turn, then role and escaped text; nulls first. A null role or text is
     empty; rows without a conv_id are one conversation. A window holds
     ``budget`` tokens at most, unless one turn alone (after the system turn)
     has more. Repeated rows are turns of their own. No rows in, no rows out;
     other columns are ignored.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_format(vocabulary or default_vocabulary(), budget, history), _TYPES)
+    kind = rows.schema["turn"].dataType.simpleString()
+    rows = rows.mapInArrow(_turns(vocabulary or default_vocabulary()), f"conv_id long, turn {kind}, role string, shown string, before int, length int, cost int")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "shown")
+    return rows.mapInArrow(_format(budget, history), _TYPES)
 
 
 _BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -189,6 +209,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(windows: DataFrame) -> DataFrame:
     """Digest per conversation of what its windows say: turns in order without
-    the repeated ones, and the text under the loss mask."""
+    the repeated ones, and the text under the loss mask. A conversation without
+    an assistant has the digest of an empty text; windows without a conv_id are
+    one conversation; no windows give no rows."""
     rows = windows.select("conv_id", "window_no", "formatted", "n_repeated", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "window_no")
     return rows.mapInArrow(_read, _BACK)
