@@ -138,9 +138,24 @@ def _add(a: np.ndarray) -> np.ndarray:
     return np.logaddexp(a[..., 0], a[..., 1])
 
 
+def marginals(x: np.ndarray, live: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each state of each line, and of each pair of states of
+    neighbouring lines, by forward-backward over all documents at once."""
+    longest, both = live.shape[1], live[:, 1:] & live[:, :-1]
+    score = x @ emit.T
+    forward, backward = score.copy(), np.zeros_like(score)
+    for t in range(1, longest):
+        forward[:, t] = np.where(live[:, t, None], score[:, t] + _add(forward[:, t - 1, None, :] + move.T), forward[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        backward[:, t] = np.where(both[:, t, None], _add((score[:, t + 1] + backward[:, t + 1])[:, None, :] + move), 0)
+    norm = _add(forward[:, -1])
+    p = np.exp(forward + backward - norm[:, None, None]) * live[..., None]
+    return p, np.exp(forward[:, :-1, :, None] + move + (score + backward)[:, 1:, None, :] - norm[:, None, None, None]) * both[..., None, None]
+
+
 def _climb(x: np.ndarray, live: np.ndarray, y: np.ndarray, emit: np.ndarray, move: np.ndarray, steps: int = 80, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient ascent with adaptive steps; forward-backward over all documents at once."""
-    total, longest = live.sum(), live.shape[1]
+    """Gradient ascent with adaptive steps."""
+    total = live.sum()
     both = live[:, 1:] & live[:, :-1]
     gold = np.stack([live & (y == 0), live & (y == 1)], axis=-1).astype(np.float64)
     gold_move = np.zeros((2, 2))
@@ -149,15 +164,7 @@ def _climb(x: np.ndarray, live: np.ndarray, y: np.ndarray, emit: np.ndarray, mov
     kept = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for step in range(1, steps + 1):
         emit, move = weights
-        score = x @ emit.T
-        forward, backward = score.copy(), np.zeros_like(score)
-        for t in range(1, longest):
-            forward[:, t] = np.where(live[:, t, None], score[:, t] + _add(forward[:, t - 1, None, :] + move.T), forward[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            backward[:, t] = np.where(both[:, t, None], _add((score[:, t + 1] + backward[:, t + 1])[:, None, :] + move), 0)
-        norm = _add(forward[:, -1])
-        p = np.exp(forward + backward - norm[:, None, None]) * live[..., None]
-        pairs = np.exp(forward[:, :-1, :, None] + move + (score + backward)[:, 1:, None, :] - norm[:, None, None, None]) * both[..., None, None]
+        p, pairs = marginals(x, live, emit, move)
         slopes = (np.tensordot(gold - p, x, axes=((0, 1), (0, 1))) / total - penalty * emit, (gold_move - pairs.sum(axis=(0, 1))) / total - penalty * move)
         for (mean, square), w, slope in zip(kept, weights, slopes, strict=True):
             mean += 0.1 * (slope - mean)
@@ -246,7 +253,9 @@ def _verdict(found: DataFrame, share: float) -> DataFrame:
 
 def keep_content(docs: DataFrame, labels: DataFrame, share: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns, in
-    one pass and without a shuffle: the verdict is taken on the text itself."""
+    one pass and without a shuffle: the verdict is taken on the text itself. A
+    null, empty or blank text goes; rows that repeat a doc_id or have none are
+    judged each by its text; no rows in, no rows out."""
     emit, move = learn(docs, labels)
 
     @F.arrow_udf("boolean")

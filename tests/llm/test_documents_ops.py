@@ -81,6 +81,13 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, size, chunk):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_near_duplicates_of_long_sets_in_chunks_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 2000)
+    rows = near_rows(9)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 2)
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     found = minhash.near_duplicates(odd, 2).collect()
     assert len(found) == 12 and minhash.near_duplicates(empty).count() == 0
@@ -331,6 +338,27 @@ def brute_viterbi(scores, move):
     return best
 
 
+def test_marginals_match_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(7)
+    lengths, k = [1, 2, 4, 5], len(lines.FEATURES)
+    x, live = rng.integers(0, 2, size=(4, 5, k)).astype(float), np.arange(5)[None, :] < np.array(lengths)[:, None]
+    emit, move = rng.normal(size=(2, k)), rng.normal(size=(2, 2))
+    p, pairs = lines.marginals(x, live, emit, move)
+    for d, n in enumerate(lengths):
+        score = x[d, :n] @ emit.T
+        one, two, total = np.zeros((5, 2)), np.zeros((4, 2, 2)), 0.0
+        for path in itertools.product((0, 1), repeat=n):
+            weight = np.exp(sum(score[t][s] for t, s in enumerate(path)) + sum(move[a][b] for a, b in zip(path, path[1:])))
+            total += weight
+            for t, s in enumerate(path):
+                one[t, s] += weight
+            for t, (a, b) in enumerate(zip(path, path[1:])):
+                two[t, a, b] += weight
+        assert np.allclose(p[d], one / total) and np.allclose(pairs[d], two / total)
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(2)
     for n in range(1, 9):

@@ -4,10 +4,11 @@ import hashlib
 import heapq
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
-from spindrift.llm import chat, epsgrid, queries, warc, wrappers
+from spindrift.llm import chat, epsgrid, queries, sql, warc, wrappers
 
 
 def test_chat_round_trip(spark):
@@ -260,7 +261,9 @@ def test_loser_tree_merges():
         assert list(warc.LoserTree(runs, lambda x: x)) == list(heapq.merge(*runs))
 
 
-def test_archives_read_back(spark, monkeypatch):
+@pytest.mark.parametrize("few", [300_000, 0])
+def test_archives_read_back(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
     monkeypatch.setattr(warc, "RECORDS", 3)
     same, short = "<p>" + "x" * 200 + "é</p>\r\n\r\nWARC/1.1\r\n", "tiny"
     rows = [(i, f"http://www.b{i % 4}.example/{i % 5}?q=Ü", same if i % 3 == 0 else short if i % 3 == 1 else f"{i}" * 100, "x") for i in range(30)]
@@ -310,6 +313,37 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
 
 
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, label string, cluster long, ids string"
+    extra = ("s", 1, "clash", "x", 7, "y")
+    good = "\n".join(f"The quick brown fox number {i} jumps over one more lazy dog today." for i in range(8))
+    rows = [(1, None, "en"), (2, "", "en"), (3, " \n\t ", None), (4, good, "en"), (5, good, "en"), (5, good, "en"), (None, good, "en"), (6, good + " Ünï 漢字 😀 <|endoftext|> ▁", None), (7, "word " * 40_000, "en"), (8, "123 456 %%%", "xx")]
+    docs = spark.createDataFrame([(i, t, g, *extra) for i, t, g in rows], schema)
+    spark.createDataFrame([(4, 1, 0), (7, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = {"quality": {4, 5, 6, None}, "language": {4, 5, 6, None}, "near_dedup": {4, None}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        # document 6 differs from 4 by its last words only
+        assert {r.doc_id for r in docs.collect()} == want[name], name
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert {r.doc_id for r in pack(spark, docs, str(tmp_path)).collect()} == {4, None}
+
+
+@pytest.mark.parametrize("name", sorted(sql.SQL))
+def test_queries_equal_their_statements(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.sql(sql.SQL[name])
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
