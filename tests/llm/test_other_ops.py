@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -318,11 +319,12 @@ def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
 
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, label string, cluster long, ids string"
     extra = ("s", 1, "clash", "x", 7, "y")
-    good = "\n".join(f"The quick brown fox number {i} jumps over one more lazy dog today." for i in range(8))
-    rows = [(1, None, "en"), (2, "", "en"), (3, " \n\t ", None), (4, good, "en"), (5, good, "en"), (5, good, "en"), (None, good, "en"), (6, good + " Ünï 漢字 😀 <|endoftext|> ▁", None), (7, "word " * 40_000, "en"), (8, "123 456 %%%", "xx")]
+    good = "\n".join("The " + " ".join(f"thing{i}{chr(97 + j)}" for j in range(11)) + "." for i in range(8))
+    rows = [(1, None, "en"), (2, "", "en"), (3, " \n\t ", None), (4, good, "en"), (5, good, "en"), (5, good, "en"), (None, good, "en"), (6, good + " Ünï 漢字 😀 <|endoftext|> ▁", None), (7, "word " * 40_000, "en"), (8, "123 456 %%%", "xx"), (14, good.replace("thing", "chose"), "en")]
+    assert zlib.crc32(b"14") % 3 != 1  # a row to learn from
     docs = spark.createDataFrame([(i, t, g, *extra) for i, t, g in rows], schema)
     spark.createDataFrame([(4, 1, 0), (7, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    want = {"quality": {4, 5, 6, None}, "language": {4, 5, 6, None}, "near_dedup": {4, None}}
+    want = {"quality": {4, 5, 6, 14, None}, "language": {4, 5, 6, 14, None}, "near_dedup": {4, 14, None}}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
         docs = stage(spark, docs, str(tmp_path))
@@ -331,7 +333,7 @@ def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
         assert {r.doc_id for r in docs.collect()} == want[name], name
     pack = corpus_pipeline.STAGES[-1][1]
     assert pack(spark, docs.limit(0), str(tmp_path)).count() == 0
-    assert {r.doc_id for r in pack(spark, docs, str(tmp_path)).collect()} == {4, None}
+    assert {r.doc_id for r in pack(spark, docs, str(tmp_path)).collect()} == {4, 14, None}
 
 
 @pytest.mark.parametrize("name", sorted(sql.SQL))
