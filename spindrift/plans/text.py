@@ -184,10 +184,10 @@ def shared_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(items, "run").groupBy("doc_id").agg(F.countDistinct("run").alias("n_shared"), F.countDistinct("item_id").alias("n_items"))
 
 
-@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY left(sha256(left(regexp_replace(" + _NORMAL + ", '[^a-z0-9 ]+', '', 'g'), 3000)), 32)) AS canonical_id FROM documents")
+@query("SELECT doc_id, CASE WHEN trim(p) = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY p) END AS canonical_id FROM (SELECT doc_id, regexp_replace(" + _NORMAL + ", '[^\\p{L}\\p{M}\\p{N} ]+', '', 'g') AS p FROM documents)")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal whole texts share the least id; texts without letters and
-    digits stay alone. (The SQL beside it compares the first 3,000 of a-z0-9.)"""
+    digits stay alone."""
     rows = heavy(spark, sf_dir, "documents").select("doc_id", places.text_hash(F.col("text")).alias("hash"))
     return resolve.canonical_by_key(rows, "doc_id", "hash").select("doc_id", "canonical_id")
 
