@@ -106,7 +106,8 @@ def prepared_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that is read out of a posting, in one projection."""
     from spindrift.operators.prepare import prepare
 
-    return prepare(spread(relation(spark, sf_dir, POSTINGS)))
+    rows = prepare(spread(relation(spark, sf_dir, POSTINGS)))
+    return rows.select("job_id", "company", "company_key", "city", "work_mode", "title_key", "description_hash", "staffing", "salary.min_annual", "salary.max_annual", "salary.currency", "salary.disclosed", "experience.min_years", "experience.max_years", "seniority", "conditions.notice_max_days", "conditions.bond", "conditions.office_days", "n_keys")
 
 
 _CITY = """CASE WHEN regexp_matches(f, '^(remote|work from home|wfh|anywhere)') THEN 'Remote-India' WHEN f IN ('bengaluru', 'bangalore') THEN 'Bengaluru' WHEN f IN ('gurgaon', 'gurugram') THEN 'Gurugram'

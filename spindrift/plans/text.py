@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import parse, places, text
 from spindrift.operators import resolve
 from spindrift.plans.inputs import POSTINGS, cases, heavy, now, oracle, relation, table
-from spindrift.plans.registry import query
+from spindrift.plans.registry import SQL, query
 from spindrift.sources import pages as web
 from spindrift.sources import postings
 
@@ -204,3 +204,13 @@ def resolved_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), "o_custkey"), "job_id")
     rows = rows.select("job_id", "provider", "external_id", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("company_key"), F.col("location").alias("city"), F.col("title").alias("title_key"), F.concat(F.lit("h"), F.col("job_id").cast("string")).alias("description_hash"), "posted_at")
     return resolve.components(rows, "job_id").select("job_id", "canonical_id")
+
+
+#: D14 puts together what other queries read one by one, and so does its SQL.
+_KEYS = "[k FOR k IN list_transform(string_split(regexp_replace(trim(regexp_replace(lower(title || chr(10) || description), '[\\s,;:()|·•/]+', ' ', 'g')), '[^a-z0-9#+ ]', '', 'g'), ' '), lambda k: k)]"
+_RUNS = " || ".join(f"[array_to_string(w[i:i + {n - 1}], '') FOR i IN range(1, len(w) - {n - 2})]" for n in (1, 2, 3, 4))
+SQL["prepared_postings"] = f"""SELECT job_id, display AS company, key AS company_key, city, mode AS work_mode, title_key, left(sha256(left(regexp_replace(trim(regexp_replace(lower(description), '\\s+', ' ', 'g')), '[^a-z0-9 ]+', '', 'g'), 3000)), 32) AS description_hash, staffing, min_annual, max_annual, currency, disclosed, min_years, max_years,
+coalesce(seniority, CASE WHEN min_years >= 8 THEN 'lead' WHEN min_years >= 5 THEN 'senior' WHEN min_years >= 2 THEN 'mid' WHEN min_years IS NOT NULL THEN 'junior' END) AS seniority, notice_max_days, bond, office_days,
+(SELECT count(DISTINCT k) FROM (SELECT unnest(r || list_transform(list_filter(r, lambda k: k LIKE '%js' AND length(k) > 3), lambda k: left(k, length(k) - 2))) AS k) WHERE k <> '')::INT AS n_keys
+FROM (SELECT p.*, {_RUNS} AS r FROM (SELECT *, {_KEYS} AS w FROM ({_P} SELECT job_id, title, description FROM postings)) p)
+JOIN ({SQL['company_names']}) USING (job_id) JOIN ({SQL['canonical_cities']}) USING (job_id) JOIN ({SQL['work_modes']}) USING (job_id) JOIN ({SQL['title_keys']}) USING (job_id) JOIN ({SQL['salaries']}) USING (job_id) JOIN ({SQL['experience_asked']}) USING (job_id) JOIN ({SQL['posting_conditions']}) USING (job_id)"""
