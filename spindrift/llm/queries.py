@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import chat, epsgrid, langmix, lines, mergedrop, minhash, order, packing, warc, wrappers
+from spindrift.llm import bytebpe, chat, epsgrid, langmix, lines, mergedrop, minhash, order, packing, warc, wrappers
 from spindrift.llm.workspace import cut
 from spindrift.operators.layout import spread
 
@@ -74,6 +74,13 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes they decode to."""
+    decoded = bytebpe.decode(bytebpe.encode(_table(spark, sf_dir, "documents")))
+    shown = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat_windows": op2_chat_windows,
@@ -85,4 +92,5 @@ QUERIES = {
     "op8_epsilon_grid": op8_epsilon_grid,
     "op9_capture_index": op9_capture_index,
     "op10_minhash": op10_minhash,
+    "op11_byte_bpe": op11_byte_bpe,
 }
