@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bytebpe, chat, epsgrid, langmix, lines, mergedrop, minhash, order, packing, warc, wrappers
+from spindrift.llm import bytebpe, chat, epsgrid, langmix, lines, mergedrop, minhash, order, packing, phrases, variants, warc, wrappers
 from spindrift.llm.workspace import cut
 from spindrift.operators.layout import spread
 
@@ -81,6 +81,16 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language of documents."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents with their near words' number, form and root."""
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat_windows": op2_chat_windows,
@@ -93,4 +103,6 @@ QUERIES = {
     "op9_capture_index": op9_capture_index,
     "op10_minhash": op10_minhash,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_phrases": op12_phrases,
+    "op13_spelling_variants": op13_spelling_variants,
 }
