@@ -16,7 +16,6 @@ document that has them. Texts are not shuffled, only counts of words.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,7 +32,9 @@ from spindrift.llm.workspace import cut
 
 #: Bytes of the broadcast dictionary: of each word its UTF-8 bytes and WORD_BYTES
 #: for hash, offsets and ids. Longer words than LONGEST are left out of it.
-DICTIONARY_BYTES, WORD_BYTES, LONGEST = 64 << 20, 32, 64
+DICTIONARY_BYTES, WORD_BYTES, LONGEST = 32 << 20, 32, 64
+#: Words that a task looks up at a time.
+AT_A_TIME = 1 << 18
 _BYTES = "ISO-8859-1"
 _BUCKETS = 1 << 16
 
@@ -92,6 +93,8 @@ class Vocabulary:
             shown = piece.decode("latin-1")
             buckets[zlib.crc32(shown.encode()) % _BUCKETS][shown] = rank
         self._maps = json.dumps(buckets)
+        of = {rank: piece.decode("latin-1") for piece, rank in self.ranks.items()}
+        self._pieces = json.dumps([of.get(i, "") for i in range(max(of) + 1)])
 
     def maps(self) -> Column:
         """Literal: ranks by piece, in buckets by checksum."""
@@ -102,10 +105,9 @@ class Vocabulary:
         cuts = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (self.wide, self.narrow)]
         return F.coalesce(F.when(text.rlike(r"[\x{870}-\x{10FFFF}]"), cuts[0]).otherwise(cuts[1]), F.array().cast("array<string>"))
 
-    def pieces(self) -> pa.Array:
-        """Bytes of each id; an id that the vocabulary leaves out has none."""
-        of = {rank: piece for piece, rank in self.ranks.items()}
-        return pa.array([of.get(i, b"") for i in range(max(of) + 1)], pa.binary())
+    def pieces(self) -> Column:
+        """Literal: the bytes of each id, as characters; none of an id left out."""
+        return F.from_json(F.lit(self._pieces), "array<string>")
 
 
 @lru_cache(maxsize=2)
@@ -220,32 +222,40 @@ def _looked_up(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Dictionary = shared.value
         for batch in batches:
-            lists = batch.column("words")
-            flat, edges = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-            edges = edges - edges[0]
-            coded = flat.dictionary_encode()
-            code, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-            place = known.find(distinct)
-            lacking = place < 0
-            first = np.where(lacking, 0, known.starts[place]) if len(known.keys) else np.zeros(len(place), np.int64)
-            length = np.where(lacking, 1, known.starts[place + 1] - first) if len(known.keys) else np.ones(len(place), np.int64)
-            counts = length[code]
-            ids = (known.ids if len(known.ids) else np.zeros(1, np.int32))[spans(first[code], counts)]
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            # a word that the dictionary lacks is -1 - its place among those of its document
-            odd = np.flatnonzero(lacking[code])
-            row = np.searchsorted(edges, odd, "right") - 1
-            pairs, at = np.unique(np.stack([row, code[odd]]), axis=1, return_inverse=True) if len(odd) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            begins = np.searchsorted(pairs[0], np.arange(batch.num_rows + 1))
-            ids[ends[odd]] = -1 - (at.reshape(-1) - begins[row])
-            others = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), distinct.take(pa.array(pairs[1])))
-            sought = pa.ListArray.from_arrays(pa.array(ends[edges], pa.int32()), pa.array(ids, pa.int32()))
-            rest = [(n, batch.column(n)) for n in batch.schema.names if n != "words"]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), sought, others], names=[*(n for n, _ in rest), "ids", "others"])
+            for first, last in K.chunks(batch.column("words").offsets.to_numpy().astype(np.int64), AT_A_TIME):
+                yield _sought(batch.slice(first, last - first), known)
 
     return run
 
 
+def _sought(batch: pa.RecordBatch, known: Dictionary) -> pa.RecordBatch:
+    """Words as ids; one that the dictionary lacks is -1 - its place among the
+    ``others`` of its document."""
+    lists = batch.column("words")
+    edges = lists.offsets.to_numpy().astype(np.int64)
+    edges = edges - edges[0]
+    coded = lists.flatten().dictionary_encode()
+    code, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    place = known.find(distinct)
+    lacking = place < 0
+    if len(known.keys):
+        first = np.where(lacking, 0, known.starts[place])
+        length = np.where(lacking, 1, known.starts[place + 1] - first)
+        ids = known.ids[spans(first[code], length[code])]
+    else:
+        length, ids = np.ones(len(place), np.int64), np.zeros(len(code), np.int32)
+    ends = np.concatenate([[0], np.cumsum(length[code])])
+    odd = np.flatnonzero(lacking[code])
+    row = np.searchsorted(edges, odd, "right") - 1
+    pairs, at = np.unique(row * np.int64(len(distinct) + 1) + code[odd], return_inverse=True)
+    begins = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * np.int64(len(distinct) + 1))
+    ids[ends[odd]] = -1 - (at - begins[row])
+    others = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), distinct.take(pa.array(pairs % (len(distinct) + 1))))
+    sought = pa.ListArray.from_arrays(pa.array(ends[edges], pa.int32()), pa.array(ids, pa.int32()))
+    rest = [(n, batch.column(n)) for n in batch.schema.names if n != "words"]
+    return pa.RecordBatch.from_arrays([*(c for _, c in rest), sought, others], names=[*(n for n, _ in rest), "ids", "others"])
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: its ``key`` and ids array<int>, as the
     tiktoken library gives them for this vocabulary without special tokens.
@@ -269,27 +279,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
     return found.select(key, F.when(F.size("others") == 0, F.col("ids")).otherwise(_let(vocab.maps(), whole)).alias("ids"))
 
 
-def _decoded(path: str | None) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(path).pieces()
-        for batch in batches:
-            lists = batch.column("ids")
-            data, offsets, _ = _buffers(pieces.take(lists.flatten()))
-            edges = lists.offsets.to_numpy().astype(np.int64)
-            where = offsets[edges - edges[0]]
-            joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(data)])
-            yield batch.append_column("decoded", joined.cast(pa.binary()))
-
-    return run
-
-
-def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return K.texts_of(column) if pa.types.is_string(column.type) else K.texts_of(pa.StringArray.from_buffers(len(column), column.buffers()[1], column.buffers()[2], None, 0, column.offset))
-
-
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` (ids array<int>) with a column decoded binary: the bytes of
-    the pieces of its ids, joined. No ids give no bytes; null ids too."""
-    encoded = encoded.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    kinds = ", ".join(f"`{n}` {k}" for n, k in encoded.dtypes)
-    return encoded.mapInArrow(_decoded(path), f"{kinds}, decoded binary")
+    the pieces of its ids, joined as characters below U+0100 and turned into
+    binary at once, so the time is linear. No ids give no bytes; null ids too."""
+    joined = _let(vocabulary(path).pieces(), lambda pieces: F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), ""))
+    return encoded.withColumn("decoded", F.encode(F.coalesce(joined, F.lit("")), _BYTES))
