@@ -25,7 +25,7 @@ from spindrift.llm.components import HOT
 from spindrift.llm.workspace import cut
 
 #: Bytes of text whose suffixes are counted together before the shuffle.
-STRETCH = 16 << 20
+STRETCH = 4 << 20
 #: Parts of a language that are ranked on their own before they meet.
 RANKED_PARTS = 512
 
@@ -34,10 +34,18 @@ _BREAKS[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _BLANKS[[*b" \t"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Parts the language and the words of a suffix. It sorts before all else, so the
+#: two lowest characters are escaped inside words; a suffix has max_n parts after
+#: the language, of which those it lacks are empty.
+SEPARATOR = "\0"
 
 
-def _columns(max_n: int) -> list[str]:
-    return [f"w{i}" for i in range(1, max_n + 1)]
+def _escaped(words: pa.Array) -> pa.Array:
+    return pc.replace_substring(pc.replace_substring(words, "\1", "\1\2"), "\0", "\1\1")
+
+
+def _plain(words: pa.Array) -> pa.Array:
+    return pc.replace_substring(pc.replace_substring(words, "\1\1", "\0"), "\1\2", "\1")
 
 
 def chained_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -76,7 +84,7 @@ def _suffixes(max_n: int) -> Callable:
         for batch in batches:
             data, offsets, _ = K.texts_of(batch.column("text"))
             langs = batch.column("lang").fill_null("und").dictionary_encode()
-            lang_of = langs.indices.to_numpy(zero_copy_only=False)
+            lang_of, names = langs.indices.to_numpy(zero_copy_only=False), _escaped(langs.dictionary)
             for first, last in K.chunks(offsets, STRETCH):
                 words, text, chained = chained_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 if not len(words):
@@ -92,9 +100,9 @@ def _suffixes(max_n: int) -> Callable:
                     on = on & np.concatenate([chained[i:], np.zeros(min(i, len(code)), dtype=bool)])[: len(code)]
                 lang = lang_of[first + text]
                 at, counts = _grouped([lang, *columns], [len(langs.dictionary) + 1, *[size] * max_n])
-                out = [langs.dictionary.take(pa.array(lang[at]))]
-                out += [coded.dictionary.take(pa.array(c[at] - 1, mask=c[at] == 0)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(counts.astype(np.int64))], names=["lang", *_columns(max_n), "n"])
+                shown = pa.concat_arrays([pa.array([""]), _escaped(coded.dictionary)])
+                parts = [names.take(pa.array(lang[at])), *(shown.take(pa.array(c[at])) for c in columns)]
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*parts, SEPARATOR), pa.array(counts.astype(np.int64))], names=["suffix", "n"])
 
     return run
 
@@ -105,25 +113,24 @@ class PrefixStack:
     prefix that ends is popped into the results. Rows are taken in batches."""
 
     def __init__(self, max_n: int, least: int) -> None:
-        self.names, self.max_n, self.least = ["lang", *_columns(max_n)], max_n, least
+        self.max_n, self.least = max_n, least
         self.open: dict[int, tuple[tuple, int, bool]] = {}
 
-    def take(self, batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, pa.Array], np.ndarray]]:
-        """Popped prefixes: their length, their words, their counts."""
-        rows = batch.num_rows
+    def take(self, batch: pa.RecordBatch) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+        """Popped prefixes: their language and words, and their counts."""
+        rows, width = batch.num_rows, self.max_n + 1
         if not rows:
             return
         n, shared = batch.column("n").to_numpy(), batch.column("shared").to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(batch.column("suffix"), SEPARATOR).flatten()
+        columns = [parts.take(pa.array(np.arange(i, rows * width, width))) for i in range(width)]
         differs = np.zeros(rows, dtype=bool)
         differs[0] = True
-        for length, name in enumerate(self.names):
-            column = batch.column(name)
-            if rows > 1:
-                same = pc.equal(column[1:], column[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
-                differs[1:] |= ~same
+        for length, column in enumerate(columns):
+            differs[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
             if not length:
                 continue
-            present = column.is_valid().to_numpy(zero_copy_only=False)
+            present = pc.not_equal(column, "").to_numpy(zero_copy_only=False)
             begins = np.flatnonzero(differs & present)
             if not len(begins):
                 yield from self._close(length)
@@ -132,34 +139,32 @@ class PrefixStack:
             sums = np.concatenate([[0], np.cumsum(np.where(present, n, 0))])
             counts = sums[np.append(begins[1:], rows)] - sums[begins]
             partial = shared[begins] & (length < self.max_n)
-            head = tuple(batch.column(c)[int(begins[0])].as_py() for c in self.names[: length + 1])
+            head, tail = (tuple(c[int(i)].as_py() for c in columns[: length + 1]) for i in (begins[0], begins[-1]))
             if length in self.open and self.open[length][0] == head:
                 counts[0] += self.open.pop(length)[1]
             else:
                 yield from self._close(length)
-            end = int(begins[-1])
-            self.open[length] = (tuple(batch.column(c)[end].as_py() for c in self.names[: length + 1]), int(counts[-1]), bool(partial[-1]))
+            self.open[length] = (tail, int(counts[-1]), bool(partial[-1]))
             good = np.flatnonzero((counts[:-1] >= self.least) | partial[:-1])
             if len(good):
-                where = pa.array(begins[good])
-                yield length, {c: batch.column(c).take(where) for c in self.names[: length + 1]}, counts[good]
+                yield [c.take(pa.array(begins[good])) for c in columns[: length + 1]], counts[good]
 
-    def _close(self, length: int) -> Iterator[tuple[int, dict[str, pa.Array], np.ndarray]]:
+    def _close(self, length: int) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
         if length in self.open:
             words, count, partial = self.open.pop(length)
             if count >= self.least or partial:
-                yield length, {c: pa.array([w], pa.string()) for c, w in zip(self.names, words, strict=False)}, np.array([count])
+                yield [pa.array([w], pa.string()) for w in words], np.array([count])
 
-    def close(self) -> Iterator[tuple[int, dict[str, pa.Array], np.ndarray]]:
+    def close(self) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
         for length in range(1, self.max_n + 1):
             yield from self._close(length)
 
 
 def _stacked(max_n: int, least: int) -> Callable:
-    def shown(popped: tuple[int, dict[str, pa.Array], np.ndarray]) -> pa.RecordBatch:
-        length, words, counts = popped
-        phrase = pc.binary_join_element_wise(*[words[c] for c in _columns(length)], " ")
-        return pa.RecordBatch.from_arrays([words["lang"], phrase, pa.array(np.full(len(counts), length, np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "length", "f"])
+    def shown(popped: tuple[list[pa.Array], np.ndarray]) -> pa.RecordBatch:
+        (lang, *words), counts = popped
+        phrase = pc.binary_join_element_wise(*map(_plain, words), " ")
+        return pa.RecordBatch.from_arrays([_plain(lang), phrase, pa.array(np.full(len(counts), len(words), np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "length", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = PrefixStack(max_n, least)
@@ -170,18 +175,25 @@ def _stacked(max_n: int, least: int) -> Callable:
     return run
 
 
-def phrase_counts(suffixes: DataFrame, max_n: int, least: int) -> DataFrame:
+def _first_word() -> Column:
+    """Language and first word of a suffix, still escaped."""
+    return F.substring_index("suffix", SEPARATOR, 2)
+
+
+def first_words(suffixes: DataFrame) -> DataFrame:
+    """Rows and occurrences of each language and first word."""
+    return suffixes.groupBy(_first_word().alias("first")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+
+
+def phrase_counts(suffixes: DataFrame, firsts: DataFrame, max_n: int, least: int) -> DataFrame:
     """Phrases of 1 to ``max_n`` words with at least ``least`` occurrences:
     lang, phrase (joined by spaces), length, f."""
-    keys = ["lang", "w1"]
-    per_word = suffixes.groupBy(*keys).agg(F.count("*").alias("rows"))
-    total = suffixes.count()
+    total = firsts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     # fewer than HOT words can have more than 1 / HOT of the rows each
-    hot = F.broadcast(per_word.where(F.col("rows") > total / HOT).withColumn("parts", F.ceil(F.col("rows") * HOT / F.lit(max(total, 1)))))
-    dealt = suffixes.join(hot, keys, "left").withColumn("shared", F.coalesce(F.col("parts") > 1, F.lit(False)))
-    dealt = dealt.withColumn("part", F.when(F.col("shared"), F.pmod(F.xxhash64(*_columns(max_n)[1:]), F.col("parts"))).otherwise(0))
-    order = [F.col(c).desc() for c in ("lang", *_columns(max_n))]
-    dealt = dealt.select("lang", *_columns(max_n), "n", "shared", "part").repartition("lang", "w1", "part").sortWithinPartitions(F.col("part"), *order)
+    hot = F.broadcast(firsts.where(F.col("rows") > total / HOT).select("first", F.ceil(F.col("rows") * HOT / F.lit(max(total, 1))).alias("parts")))
+    dealt = suffixes.join(hot, _first_word() == F.col("first"), "left")
+    dealt = dealt.select("suffix", "n", F.coalesce(F.col("parts") > 1, F.lit(False)).alias("shared"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("suffix"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
+    dealt = dealt.repartition(_first_word(), "part").drop("part").sortWithinPartitions(F.col("suffix").desc())
     counts = dealt.mapInArrow(_stacked(max_n, least), "lang string, phrase string, length int, f long")
     return counts.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
@@ -203,9 +215,9 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, covered: int
     bytes. No rows in, no rows out; other columns are ignored.
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"{c} string" for c in ("lang", *_columns(max_n))) + ", n long"
-    suffixes = cut(docs.mapInArrow(_suffixes(max_n), schema), "suffixes")
-    grams = cut(phrase_counts(suffixes, max_n, least), "grams")
+    suffixes = cut(docs.mapInArrow(_suffixes(max_n), "suffix string, n long"), "suffixes")
+    firsts = cut(first_words(suffixes), "first-words")
+    grams = cut(phrase_counts(suffixes, firsts, max_n, least), "grams")
     words = F.split("phrase", " ", -1)
     candidates = grams.where("length > 1").withColumnRenamed("f", "a")
 
@@ -222,7 +234,8 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, covered: int
 
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     left = left.select("lang", "phrase", "a", "worst.l", "worst.r", "worst.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS)))
-    firsts = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
-    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
-    totals = F.broadcast(suffixes.groupBy("lang").agg(F.sum("n").alias("n")))
+    leading = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
+    ranked = leading.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
+    lang = F.replace(F.replace(F.substring_index("first", SEPARATOR, 1), F.lit("\1\1"), F.lit("\0")), F.lit("\1\2"), F.lit("\1"))
+    totals = firsts.groupBy(lang.alias("lang")).agg(F.sum("n").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
