@@ -18,9 +18,6 @@ from spindrift.operators.history import islands
 
 # Words that say what a line holds.
 TITLES = r"(?i)\b(developer|engineer|manager|intern|designer|analyst|lead|architect|consultant|scientist|specialist|administrator|tester|programmer|director|head|officer|associate|executive|trainee)\b"
-DEGREES = r"(?i)\b(b\.?\s?tech|m\.?\s?tech|b\.?\s?e\.?|m\.?\s?e\.?|b\.?\s?sc|m\.?\s?sc|bca|mca|mba|ph\.?\s?d|bachelor[^,|]*|master[^,|]*|diploma[^,|]*)(?=$|[\s,(|])"
-SCHOOLS = r"(?i)\b(university|college|institute|school|academy|iit|nit)\b"
-GRADES = r"(?i)\b(?:cgpa|gpa|grade|percentage)\s*[:\-]?\s*(\d+(?:\.\d+)?\s*(?:/\s*\d+|%)?)"
 TECH = r"(?i)^(?:technologies|tech stack|tech|tools|stack|environment|built with)\s*[:–—-]\s*(.+)$"
 BULLET = r"^\s*[•●▪■◦*➢►▶✓–-]\s+"
 _NAME = r"^\p{L}[\p{L} .'-]+$"
@@ -64,22 +61,6 @@ def entries(documents: DataFrame, key: str, section: str) -> DataFrame:
     return found.select(key, "entry_no", F.col("_l")[0]["line"].alias("head"), F.transform(F.slice("_l", 2, F.size("_l")), lambda x: x["line"]).alias("lines"))
 
 
-def experience(documents: DataFrame, key: str) -> DataFrame:
-    """Jobs of each document: key, entry_no, title, company, first, last,
-    still, technologies, bullets. The head without its dates is split into
-    fields; the one that names a job is the title, the first other the company."""
-    rows = entries(documents, key, "experience").withColumn("span", parse.date_range(F.col("head")))
-    bare = F.regexp_replace("head", parse.DATE_RANGE, "")
-    fields = F.filter(F.transform(F.split(bare, r"\s+(?:[|·–—-]|at)\s+|,\s+|\t|\s{2,}"), _tidy), lambda x: x != "")
-    rows = rows.withColumn("_f", fields).withColumn("title", F.coalesce(F.get(F.filter("_f", lambda x: x.rlike(TITLES)), F.lit(0)), F.get("_f", F.lit(0))))
-    tech = F.get(F.filter(F.transform("lines", lambda x: F.regexp_extract(x, TECH, 1)), lambda x: x != ""), F.lit(0))
-    bullets = F.transform(F.filter("lines", lambda x: ~x.rlike(TECH)), text.strip_bullet)
-    return rows.select(
-        key, "entry_no", "title", F.get(F.filter("_f", lambda x: x != F.col("title")), F.lit(0)).alias("company"), "span.first", "span.last", "span.still",
-        F.coalesce(text.split_list(tech), F.array().cast("array<string>")).alias("technologies"), bullets.alias("bullets"),
-    )
-
-
 def projects(documents: DataFrame, key: str) -> DataFrame:
     """Projects of each document: a line that is no bullet and no list of
     tools starts one: key, entry_no, name, link, technologies, bullets."""
@@ -96,17 +77,6 @@ def projects(documents: DataFrame, key: str) -> DataFrame:
     )
 
 
-def education(documents: DataFrame, key: str) -> DataFrame:
-    """Degree, school, grade and last year of each entry."""
-    rows = entries(documents, key, "education")
-    whole = F.concat_ws(", ", F.array("head"), F.col("lines"))
-    parts = F.transform(F.split(whole, r"\s*[,|\t]\s*|\s+[–—-]\s+"), _tidy)
-    return rows.select(
-        key, "entry_no", F.nullif(F.trim(F.regexp_extract(whole, DEGREES, 1)), F.lit("")).alias("degree"), F.get(F.filter(parts, lambda x: x.rlike(SCHOOLS)), F.lit(0)).alias("school"),
-        parse.group(whole, GRADES, 1).alias("grade"), F.substring(F.array_max(parse.dates_in(whole)), 1, 4).cast("int").alias("year"),
-    )
-
-
 def certifications(documents: DataFrame, key: str) -> DataFrame:
     """Name, issuer and date of each certificate."""
     rows = entries(documents, key, "certifications").withColumn("_h", text.strip_bullet(F.col("head")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import places
-from spindrift.operators import careers, documents
-from spindrift.plans.inputs import relation, table
+from spindrift.operators import careers, documents, layouts
+from spindrift.plans.inputs import cases, relation, table
 from spindrift.plans.registry import query
 
 _BODY = [
@@ -30,13 +32,45 @@ def cv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return careers.headers(_cvs(spark, sf_dir), "cv_id")
 
 
+_ROLES = ["Data Engineer", "QA Analyst", "Software Developer", "Programme Manager", "Platform Architect", "Associate", "Research Fellow"]
+_FIRMS = [" Labs", " Technologies Pvt. Ltd.", " Bank", " Pay", " University"]
+#: A job for each order: its customer's nation is the employer, its date the
+#: beginning; where the customer's number is divisible by 4, jobs are rows of a
+#: table, else each order's number tells the layout.
+_JOBS = f"""
+SELECT c_custkey AS cv_id, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) AS entry_no, o_orderkey, c_custkey % 4 = 0 AS tabled, CAST(o_orderkey % 6 AS INT) AS layout,
+  {cases("o_orderkey", _ROLES)} AS title, n_name || {cases("o_custkey", _FIRMS)} AS company, o_orderdate AS started, o_orderdate + INTERVAL 400 DAY AS ended, o_orderkey % 9 = 0 AS still
+FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey
+"""
+_JOBS_DUCK = re.sub(r"\{(\w+)\}", r"\1", _JOBS)
+
+
+def _job_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per customer with a job per order, in six layouts of a job and
+    one of a table."""
+    rows = relation(spark, sf_dir, _JOBS)
+    month = lambda c: F.date_format(c, "MMM yyyy")
+    dates = F.concat_ws(" – ", month("started"), F.when(F.col("still"), "Present").otherwise(month("ended")))
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    t, c = F.col("title"), F.col("company")
+    done = line("\n• Handled order ", F.col("o_orderkey").cast("string"), " of many and\nvarious others.\nTechnologies: Spark, SQL")
+    layouts = [line(t, " | ", c, "\t", dates), line(c, "\n", t, "\n", dates), line(t, " — ", c, "\nPune · Full-time · ", dates), line(dates, "\n", t, "\n", c), line(t, " at ", c, "\n", dates, " · Remote"), line(t, "\n", c, "\nPune, India\n", dates)]
+    entry = line(F.element_at(F.array(*layouts), F.col("layout") + 1), done)
+    row = line(c, "\t", t, "\t", dates, "\tPune")
+    rows = rows.select("cv_id", "tabled", F.struct("entry_no", F.when(F.col("tabled"), row).otherwise(entry).alias("text")).alias("e"))
+    whole = rows.groupBy("cv_id", "tabled").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), "\n").alias("text"))
+    return whole.select("cv_id", line(F.when(F.col("tabled"), "Work Experience\nCompany\tRole\tDuration\tLocation\n").otherwise("Experience\n"), F.col("text"), "\nSkills\nSQL").alias("text"))
+
+
 @query(
-    """SELECT c_custkey AS cv_id, 1::BIGINT AS entry_no, 'Data Engineer' AS title, 'Acme ' || c_custkey AS company, '2020-01' AS first, NULL AS last, true AS still, ['Spark', 'SQL'] AS technologies, ['Cut costs by 30%', 'Wrote jobs'] AS bullets FROM customer
-UNION ALL SELECT c_custkey, 2, 'QA Analyst', 'Beta Labs', '2018-03', '2019-12', false, []::VARCHAR[], ['Tested releases'] FROM customer"""
+    f"""SELECT cv_id, entry_no, title, company, CASE WHEN tabled OR layout = 2 THEN 'Pune' WHEN layout = 5 THEN 'Pune, India' END AS location, CASE WHEN NOT tabled AND layout = 2 THEN 'full_time' END AS employment, CASE WHEN NOT tabled AND layout = 4 THEN 'remote' END AS mode,
+  strftime(started, '%Y-%m') AS first, CASE WHEN NOT still THEN strftime(ended, '%Y-%m') END AS last, still, CASE WHEN tabled THEN [] ELSE ['Spark', 'SQL'] END AS technologies,
+  CASE WHEN tabled THEN [] ELSE ['Handled order ' || o_orderkey || ' of many and various others.'] END AS bullets FROM ({_JOBS_DUCK})"""
 )
 def cv_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs of a document."""
-    return careers.experience(_cvs(spark, sf_dir), "cv_id")
+    """Jobs of documents in seven layouts, by the best
+    labelling of their lines."""
+    return layouts.experience(_job_documents(spark, sf_dir), "cv_id")
 
 
 @query("SELECT c_custkey AS cv_id, 1::BIGINT AS entry_no, 'Rates' AS name, 'https://r.example/' || c_custkey AS link, ['React'] AS technologies, ['Built a site'] AS bullets FROM customer")
@@ -45,10 +79,28 @@ def cv_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return careers.projects(_cvs(spark, sf_dir), "cv_id")
 
 
-@query("SELECT c_custkey AS cv_id, 1::BIGINT AS entry_no, 'B.Tech' AS degree, 'Pune University' AS school, '8.1/10' AS grade, 2018 AS year FROM customer")
+_DEGREES = ["B.Tech", "M.Sc", "MBA", "Ph.D", "Diploma"]
+_FIELDS = ["Computer Science", "Physics", "Marketing", "Civil Engineering"]
+#: Two degrees for each supplier, the later one in another layout.
+_STUDIES = f"""
+SELECT s_suppkey AS cv_id, k.k AS entry_no, CAST((s_suppkey + k.k) % 5 AS INT) AS layout, {cases("(s_suppkey + k.k)", _DEGREES)} AS degree, {cases("(s_suppkey * k.k)", _FIELDS)} AS field, n_name || ' Institute of Technology' AS school,
+  CAST(60 + s_suppkey % 40 AS VARCHAR(5)) || '%' AS grade, CAST(1990 + s_suppkey % 20 + 4 * k.k AS VARCHAR(5)) AS first, CAST(1993 + s_suppkey % 20 + 4 * k.k AS VARCHAR(5)) AS last
+FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey, (VALUES (1), (2)) k(k)
+"""
+_STUDIES_DUCK = re.sub(r"\{(\w+)\}", r"\1", _STUDIES)
+
+
+@query(f"SELECT cv_id, entry_no::BIGINT AS entry_no, degree, field, school, grade, CASE WHEN layout < 4 THEN first END AS first, last FROM ({_STUDIES_DUCK})")
 def cv_education(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees of a document."""
-    return careers.education(_cvs(spark, sf_dir), "cv_id")
+    """Degrees of documents whose school stands above, below or beside."""
+    rows = relation(spark, sf_dir, _STUDIES)
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    d, f, s, g = F.col("degree"), F.col("field"), F.col("school"), F.col("grade")
+    dates = line(F.col("first"), " – ", F.col("last"))
+    forms = [line(s, "\n", d, " in ", f, "\n", dates, "\n", g), line(d, " (", f, ")\n", s, "\n", dates, " | ", g), line(d, " in ", f, " · ", s, " · ", dates, " · ", g), line(d, " (", f, "), ", s, ", ", dates, ", ", g), line(d, " in ", f, "\n", s, "\n", F.col("last"), "\n", g)]
+    entry = F.struct("entry_no", F.element_at(F.array(*forms), F.col("layout") + 1).alias("text"))
+    whole = rows.groupBy("cv_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return layouts.education(whole.select("cv_id", line("Education\n", F.array_join(F.transform("e", lambda e: e["text"]), "\n")).alias("text")), "cv_id")
 
 
 @query("SELECT c_custkey AS cv_id, 1::BIGINT AS entry_no, 'Spark Developer' AS name, 'Databricks' AS issuer, '2021' AS issued FROM customer UNION ALL SELECT c_custkey, 2, 'Cloud Basics', 'Acme Academy', '2020-03' FROM customer")
