@@ -32,7 +32,7 @@ from spindrift.llm.workspace import cut
 
 #: Bytes of the broadcast dictionary: of each word its UTF-8 bytes and WORD_BYTES
 #: for hash, offsets and ids. Longer words than LONGEST are left out of it.
-DICTIONARY_BYTES, WORD_BYTES, LONGEST = 32 << 20, 32, 64
+DICTIONARY_BYTES, WORD_BYTES, LONGEST = 64 << 20, 32, 64
 #: Words that a task looks up at a time.
 AT_A_TIME = 1 << 18
 _BYTES = "ISO-8859-1"
@@ -137,19 +137,18 @@ def fold(word: Column, maps: Column) -> Column:
     def pairs(parts: Column) -> Column:
         return F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts) - 1), lambda a, b: rank(F.concat(a, b)))
 
-    def merge(parts: Column, ranks: Column) -> Column:
-        def at(i: Column) -> Column:
-            whole = F.concat(F.get(parts, i - 1), F.get(parts, i))
-            joined = F.concat(F.slice(parts, 1, i - 1), F.array(whole), F.slice(parts, i + 2, F.size(parts)))
-            before = F.slice(ranks, 1, F.greatest(i - 2, F.lit(0)))
-            left = F.when(i > 1, F.array(rank(F.concat(F.get(parts, i - 2), whole)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i + 1 < F.size(parts), F.array(rank(F.concat(whole, F.get(parts, i + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(joined.alias("parts"), F.concat(before, left, right, F.slice(ranks, i + 2, F.size(parts))).alias("ranks"))
-
-        return _let(F.array_position(ranks, F.array_min(ranks)).cast("int"), at)
+    def merged(parts: Column, ranks: Column, i: Column) -> Column:
+        whole = F.concat(F.get(parts, i - 1), F.get(parts, i))
+        joined = F.concat(F.slice(parts, 1, i - 1), F.array(whole), F.slice(parts, i + 2, F.size(parts)))
+        before = F.slice(ranks, 1, F.greatest(i - 2, F.lit(0)))
+        left = F.when(i > 1, F.array(rank(F.concat(F.get(parts, i - 2), whole)))).otherwise(F.array().cast("array<int>"))
+        right = F.when(i + 1 < F.size(parts), F.array(rank(F.concat(whole, F.get(parts, i + 1))))).otherwise(F.array().cast("array<int>"))
+        return F.struct(joined.alias("parts"), F.concat(before, left, right, F.slice(ranks, i + 2, F.size(parts))).alias("ranks"))
 
     def step(state: Column, _: Column) -> Column:
-        return F.when(F.array_min(state["ranks"]).isNull(), state).otherwise(merge(state["parts"], state["ranks"]))
+        parts, ranks = state["parts"], state["ranks"]
+        first = F.array_position(ranks, F.array_min(ranks)).cast("int")  # null where no pair has a rank
+        return _let(first, lambda i: F.when(i.isNull(), state).otherwise(merged(parts, ranks, i)))
 
     def run(parts: Column) -> Column:
         start = F.struct(parts.alias("parts"), pairs(parts).alias("ranks"))
