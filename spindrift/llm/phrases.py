@@ -1,12 +1,13 @@
 """Phrase collocations by suffix counting (Suffix-sigma).
 
-1. Each word of a text starts a suffix of its piece, truncated to ``max_n``
-   words. Tasks count equal suffixes of a stretch of text before anything is
-   shuffled.
-2. Suffixes are dealt out by language and first word; those of a hot first word
-   are dealt out besides by their other words. Each part is sorted in reverse
-   lexicographic order, and one stack counts the prefixes of all its suffixes,
-   which are all phrases. Counts of a hot word's shorter phrases are summed.
+1. Words are counted by language. Those with more than 1 / ``HOT`` of all words
+   are hot; there are fewer than ``HOT`` of them.
+2. Each word of a text starts a suffix of its piece, truncated to ``max_n``
+   words. Tasks count equal suffixes of a stretch of text and deal them out by
+   language and first word; those of a hot first word are dealt out besides by
+   their other words. Each part is sorted in reverse lexicographic order, and
+   one stack counts the prefixes of all its suffixes, which are all phrases.
+   Counts of a hot word's shorter phrases are summed afterwards.
 3. Phrases over the least count are joined with the counts of their parts.
 """
 
@@ -79,30 +80,71 @@ def _grouped(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, n
     return at, counts
 
 
-def _suffixes(max_n: int) -> Callable:
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """Of each stretch of a batch: distinct languages, the language of each word
+    by number, distinct words, each word by number, and ``chained``."""
+    data, offsets, _ = K.texts_of(batch.column("text"))
+    langs = batch.column("lang").fill_null("und").dictionary_encode()
+    lang_of = langs.indices.to_numpy(zero_copy_only=False)
+    for first, last in K.chunks(offsets, STRETCH):
+        words, text, chained = chained_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        if len(words):
+            coded = words.dictionary_encode()
+            yield langs.dictionary, lang_of[first + text], coded.dictionary, coded.indices.to_numpy(), chained
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for langs, lang, words, code, _ in _stretches(batch):
+            at, counts = _grouped([lang, code], [len(langs) + 1, len(words) + 1])
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[at])), words.take(pa.array(code[at])), pa.array(counts.astype(np.int64))], names=["lang", "word", "n"])
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    data, offsets, _ = K.texts_of(words)
+    return K.word_hashes(data, offsets[:-1], offsets[1:], lower=False)
+
+
+def _suffixes(max_n: int, hot: dict[str, dict[str, int]]) -> Callable:
+    """Rows (bucket, suffix, n): a bucket is a hash of language and first word;
+    below zero it is one of the parts of a hot first word."""
+    odd = K.keyed(31, max_n) | K.U64(1)
+
+    def parts_of(langs: pa.Array, words: pa.Array) -> np.ndarray:
+        out = np.ones((len(langs), len(words)), dtype=np.int32)
+        for i, name in enumerate(langs.to_pylist()):
+            if name in hot:
+                at = pc.index_in(pa.array(list(hot[name]), pa.string()), words)
+                for place, parts in zip(at.to_pylist(), hot[name].values(), strict=True):
+                    if place is not None:
+                        out[i, place] = parts
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets, _ = K.texts_of(batch.column("text"))
-            langs = batch.column("lang").fill_null("und").dictionary_encode()
-            lang_of, names = langs.indices.to_numpy(zero_copy_only=False), _escaped(langs.dictionary)
-            for first, last in K.chunks(offsets, STRETCH):
-                words, text, chained = chained_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                if not len(words):
-                    continue
-                coded = words.dictionary_encode()
-                size = len(coded.dictionary) + 1
-                code = coded.indices.to_numpy().astype(np.int64) + 1  # 0: no word
+            for langs, lang, words, code, chained in _stretches(batch):
+                size = len(words) + 1
+                code = code.astype(np.int64) + 1  # 0: no word
                 columns, on = [code], chained
                 for i in range(1, max_n):
                     later = np.zeros(len(code), np.int64)
                     later[:-i] = np.where(on[: len(code) - i], code[i:], 0)
                     columns.append(later)
                     on = on & np.concatenate([chained[i:], np.zeros(min(i, len(code)), dtype=bool)])[: len(code)]
-                lang = lang_of[first + text]
-                at, counts = _grouped([lang, *columns], [len(langs.dictionary) + 1, *[size] * max_n])
-                shown = pa.concat_arrays([pa.array([""]), _escaped(coded.dictionary)])
-                parts = [names.take(pa.array(lang[at])), *(shown.take(pa.array(c[at])) for c in columns)]
-                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*parts, SEPARATOR), pa.array(counts.astype(np.int64))], names=["suffix", "n"])
+                at, counts = _grouped([lang, *columns], [len(langs) + 1, *[size] * max_n])
+                columns, lang = [c[at] for c in columns], lang[at]
+                hashes = np.concatenate([np.zeros(1, K.U64), _hashes(words)])
+                bucket = K.fmix(hashes[columns[0]] * odd[0] + _hashes(langs)[lang])
+                parts = parts_of(langs, words)[lang, columns[0] - 1]
+                other = np.zeros(len(at), K.U64)
+                for c, weight in zip(columns[1:], odd[1:], strict=True):
+                    other += hashes[c] * weight
+                part = K.fmix(other) % parts.astype(K.U64)
+                bucket = (np.where(parts > 1, K.fmix(bucket + part), bucket) >> K.U64(1)).astype(np.int64)
+                shown = pa.concat_arrays([pa.array([""]), _escaped(words)])
+                names = [_escaped(langs).take(pa.array(lang)), *(shown.take(pa.array(c)) for c in columns)]
+                suffixes = pc.binary_join_element_wise(*names, SEPARATOR)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(parts > 1, ~bucket, bucket)), suffixes, pa.array(counts.astype(np.int64))], names=["bucket", "suffix", "n"])
 
     return run
 
@@ -121,7 +163,7 @@ class PrefixStack:
         rows, width = batch.num_rows, self.max_n + 1
         if not rows:
             return
-        n, shared = batch.column("n").to_numpy(), batch.column("shared").to_numpy(zero_copy_only=False)
+        n, shared = batch.column("n").to_numpy(), batch.column("bucket").to_numpy() < 0
         parts = pc.split_pattern(batch.column("suffix"), SEPARATOR).flatten()
         columns = [parts.take(pa.array(np.arange(i, rows * width, width))) for i in range(width)]
         differs = np.zeros(rows, dtype=bool)
@@ -175,25 +217,16 @@ def _stacked(max_n: int, least: int) -> Callable:
     return run
 
 
-def _first_word() -> Column:
-    """Language and first word of a suffix, still escaped."""
-    return F.substring_index("suffix", SEPARATOR, 2)
-
-
-def first_words(suffixes: DataFrame) -> DataFrame:
-    """Rows and occurrences of each language and first word."""
-    return suffixes.groupBy(_first_word().alias("first")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-
-
-def phrase_counts(suffixes: DataFrame, firsts: DataFrame, max_n: int, least: int) -> DataFrame:
-    """Phrases of 1 to ``max_n`` words with at least ``least`` occurrences:
-    lang, phrase (joined by spaces), length, f."""
-    total = firsts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    # fewer than HOT words can have more than 1 / HOT of the rows each
-    hot = F.broadcast(firsts.where(F.col("rows") > total / HOT).select("first", F.ceil(F.col("rows") * HOT / F.lit(max(total, 1))).alias("parts")))
-    dealt = suffixes.join(hot, _first_word() == F.col("first"), "left")
-    dealt = dealt.select("suffix", "n", F.coalesce(F.col("parts") > 1, F.lit(False)).alias("shared"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("suffix"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
-    dealt = dealt.repartition(_first_word(), "part").drop("part").sortWithinPartitions(F.col("suffix").desc())
+def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int, least: int) -> DataFrame:
+    """Phrases of 1 to ``max_n`` words of ``docs`` (lang, text; ``words`` has
+    their lang, word, n) with at least ``least`` occurrences: lang, phrase
+    (joined by spaces), length, f."""
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot: dict[str, dict[str, int]] = {}
+    for r in words.where(F.col("n") > total / HOT).collect():  # fewer than HOT
+        hot.setdefault(r["lang"], {})[r["word"]] = -(-r["n"] * HOT // total)
+    suffixes = docs.mapInArrow(_suffixes(max_n, hot), "bucket long, suffix string, n long")
+    dealt = suffixes.repartition("bucket").sortWithinPartitions("bucket", F.col("suffix").desc())
     counts = dealt.mapInArrow(_stacked(max_n, least), "lang string, phrase string, length int, f long")
     return counts.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
@@ -215,9 +248,8 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, covered: int
     bytes. No rows in, no rows out; other columns are ignored.
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    suffixes = cut(docs.mapInArrow(_suffixes(max_n), "suffix string, n long"), "suffixes")
-    firsts = cut(first_words(suffixes), "first-words")
-    grams = cut(phrase_counts(suffixes, firsts, max_n, least), "grams")
+    single = cut(docs.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    grams = cut(phrase_counts(docs, single, max_n, least), "grams")
     words = F.split("phrase", " ", -1)
     candidates = grams.where("length > 1").withColumnRenamed("f", "a")
 
@@ -236,6 +268,5 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, covered: int
     left = left.select("lang", "phrase", "a", "worst.l", "worst.r", "worst.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS)))
     leading = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
     ranked = leading.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
-    lang = F.replace(F.replace(F.substring_index("first", SEPARATOR, 1), F.lit("\1\1"), F.lit("\0")), F.lit("\1\2"), F.lit("\1"))
-    totals = firsts.groupBy(lang.alias("lang")).agg(F.sum("n").alias("n"))
+    totals = single.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
