@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import parse, text
 from spindrift.operators.documents import sections
 from spindrift.operators.history import islands
+from spindrift.operators.matching import best_containment
 
 # Words that say what a line holds.
 TITLES = r"(?i)\b(developer|engineer|manager|intern|designer|analyst|lead|architect|consultant|scientist|specialist|administrator|tester|programmer|director|head|officer|associate|executive|trainee)\b"
@@ -118,16 +119,26 @@ def skill_rows(named: DataFrame, catalogue: DataFrame) -> DataFrame:
     return best.select("user_id", F.col("_id").alias("skill"), "r.skill_id", "r.name", "r.source")
 
 
+#: Share of a value that a document must hold.
+GROUNDED = 0.9
+
+
 def grounded(values: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """Values (key, path, value) beside whether the document's
-    text (key, text) holds them, as written or nearly so. Empty values are not
-    checked (null)."""
-    index = texts.select(key, text.normalize_for_match(F.col("text")).alias("_t"))
-    rows = values.join(index, key, "left").withColumn("_v", text.normalize_for_match(F.col("value")))
-    holds = F.contains(F.coalesce("_t", F.lit("")), F.col("_v"))
-    # only a value that is not there as it stands is compared run by run
-    near = F.when(holds, True).otherwise(text.best_match(F.coalesce("_t", F.lit("")), F.col("_v")) >= 0.85)
-    return rows.select(key, "path", "value", F.when(F.coalesce(F.col("_v"), F.lit("")) != "", near).alias("found"))
+    """Values (key, path, value, and kind: text or skill) beside
+    whether the document's text (key, text) holds them: texts as written or
+    nearly so, skills by their key (NodeJS is Node.js) or as written. Empty
+    values are not checked (null); a document without a text holds nothing."""
+    if "kind" not in values.columns:
+        values = values.withColumn("kind", F.lit("text"))
+    rows = values.withColumn("_v", text.normalize_for_match(F.col("value"))).withColumn("_row", F.xxhash64("path", "value", "kind"))
+    asked = rows.where("_v <> ''")
+    normal = texts.select(key, text.normalize_for_match(F.col("text")).alias("text"))
+    score = best_containment(asked.select(key, "_row", F.col("_v").alias("value")).distinct(), normal, [key], "_row")
+    skills = texts.select(key, F.explode(text.skill_keys_in(F.col("text"))).alias("_k")).distinct()
+    named = asked.where("kind = 'skill'").select(key, "_row", text.skill_key(F.col("value")).alias("_k")).distinct().join(skills, [key, "_k"], "left_semi").select(key, "_row").distinct().withColumn("_named", F.lit(True))
+    found = rows.join(score, [key, "_row"], "left").join(named, [key, "_row"], "left")
+    holds = F.when(F.col("kind") == "skill", F.coalesce("_named", F.lit(False)) | (F.coalesce("score", F.lit(0.0)) == 1)).otherwise(F.coalesce("score", F.lit(0.0)) >= GROUNDED)
+    return found.select(key, "path", "value", F.when(F.coalesce("_v", F.lit("")) != "", holds).alias("found"))
 
 
 def grounding_tallies(checked: DataFrame, key: str) -> DataFrame:
@@ -180,40 +191,6 @@ def experience_totals(roles: DataFrame, owner: str, current_month: Column) -> Da
     return islands(spans, owner, "from_month", "to_month").groupBy(owner).agg(F.sum(F.col("to_month") - F.col("from_month") + 1).alias("months"))
 
 
-#: Words of a claim at most.
-CLAIM_WORDS = 60
-_NUMBER = r"\d+(?:[.,]\d+)*"
-
-
-def _numbers(said: Column) -> Column:
-    return F.transform(F.regexp_extract_all(said, F.lit(f"({_NUMBER})"), 1), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("double"))
-
-
-def claim_issues(claims: DataFrame, cited: DataFrame, quotable: DataFrame, banned: list[str], most: int = CLAIM_WORDS) -> DataFrame:
-    """Issues of claims (report_id, claim_no, text, ids), a row each: an
-    unknown id, a banned phrase, too many words, a quotation of three words or
-    more that no quotable text (report_id, text) holds, a number that no cited
-    item (report_id, id, text) backs, whole or rounded, and an id written out."""
-    rows = claims.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
-    one = rows.select("report_id", "claim_no", F.explode_outer("ids").alias("id")).join(cited.select("report_id", "id", F.col("text").alias("_c")), ["report_id", "id"], "left")
-    back = one.groupBy("report_id", "claim_no").agg(F.flatten(F.collect_list(_numbers(F.coalesce("_c", F.lit(""))))).alias("_known"), F.count_if(F.col("id").isNotNull() & F.col("_c").isNull()).alias("_unknown"))
-    quotes = F.filter(F.regexp_extract_all("text", F.lit('["“]([^"”]+)["”]'), 1), lambda q: text.word_count(q) >= 3)
-    said = rows.select("report_id", "claim_no", F.explode(quotes).alias("q")).withColumn("_q", text.normalize_for_match(F.col("q")))
-    sources = quotable.select("report_id", text.normalize_for_match(F.col("text")).alias("_s"))
-    real = said.join(sources, "report_id", "left").groupBy("report_id", "claim_no", "q").agg(F.coalesce(F.bool_or(F.contains("_s", "_q")), F.lit(False)).alias("_ok"))
-    real = real.groupBy("report_id", "claim_no").agg(F.count_if(~F.col("_ok")).alias("_false"), F.collect_list(F.when(F.col("_ok"), F.col("q"))).alias("_true"))
-    whole = rows.join(back, ["report_id", "claim_no"]).join(real, ["report_id", "claim_no"], "left")
-    # numbers inside true quotations and ids need no backing
-    bare = F.aggregate(F.coalesce("_true", F.array().cast("array<string>")), F.col("text"), lambda t, q: F.replace(t, q, F.lit(" ")))
-    loose = F.filter(_numbers(F.regexp_replace(bare, r"\b[ERS]\d+\b", " ")), lambda n: ~F.exists("_known", lambda v: (n == v) | (n == F.floor(v)) | (n == F.round(v))))
-    bad = F.lit(False)
-    for phrase in banned:
-        bad = bad | F.contains(F.lower("text"), F.lit(phrase.lower()))
-    written = F.exists("ids", lambda i: F.regexp_like("text", F.concat(F.lit(r"\b"), i, F.lit(r"\b"))))
-    issues = F.array_compact(F.array(F.when(F.col("_unknown") > 0, "unknown id"), F.when(bad, "banned phrase"), F.when(text.word_count(F.col("text")) > most, "too long"), F.when(F.coalesce("_false", F.lit(0)) > 0, "false quotation"), F.when(F.size(loose) > 0, "unsupported number"), F.when(written, "written id")))
-    return whole.select("report_id", "claim_no", F.explode(issues).alias("issue"))
-
-
 def manual_id(url: Column, title: Column, company: Column, description_hash: Column) -> Column:
     """Id of a posting added by hand: 24 hex digits of its address, or of
     title, company and description."""

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from spindrift.functions.text import best_match, let, mentions, sentences, skill_key, skill_keys_in, split_lines, strip_bullet
+from spindrift.functions.text import best_match, let, mentions, normalize_for_match, sentences, skill_key, skill_keys_in, split_lines, strip_bullet, word_count
+from spindrift.operators.matching import best_containment
 
 # How a wrapped line goes on, and what headings say.
 JOINERS = r"(?i)(?:[,–—&(/:]|\s-|\b(?:and|or|of|to|in|on|with|for|the|a|an|by|from|at|as|across|into|using|via|including))$"
@@ -19,6 +20,7 @@ JOB_HEADINGS = (("duties", r"(?i)^(key )?(responsibilities|duties|what you('| wi
 NICE = r"(?i)\b(nice to have|preferred|bonus|plus|good to have|desirable)\b"
 NUMBER = r"\d+(?:[.,]\d+)*"
 BANNED = r"(?i)\b(guarantee[ds]?|perfect (fit|match)|rock ?star|ninja|100% (match|fit))\b"
+#: Share of a quotation that a posting must hold.
 GROUNDED = 0.85
 
 
@@ -168,26 +170,37 @@ def profile_text(headline: Column, skills: Column, titles: Column, cap: int = 20
     return F.substring(F.trim(F.concat_ws(". ", headline, F.concat(F.lit("Skills: "), F.array_join(skills, ", ")), F.array_join(titles, "; "))), 1, cap)
 
 
+#: Words of a line that is a bullet for certain, and what of it must be found.
+SUBSTANTIVE_WORDS, BULLET_GROUNDED = 8, 0.9
+
+
 def bullet_coverage(lines: DataFrame, bullets: DataFrame, key: str) -> DataFrame:
-    """Of a document's lines (key, text) how many some extracted
-    bullet (key, text) has, by equal or nearly equal words. A line is compared
-    with its own document's bullets only, a text that occurs again once."""
-    own = lines.groupBy(key, F.lower("text").alias("_t")).agg(F.count("*").alias("_n"))
-    pairs = own.join(bullets.select(key, F.lower("text").alias("_b")).distinct(), key, "left")
-    hit = pairs.groupBy(key, "_t", "_n").agg(F.coalesce(F.bool_or(best_match(F.col("_b"), F.col("_t")) >= GROUNDED), F.lit(False)).alias("_hit"))
-    return hit.groupBy(key).agg(F.sum("_n").alias("n_lines"), F.coalesce(F.sum(F.when(F.col("_hit"), F.col("_n"))), F.lit(0)).alias("covered"))
+    """Of a document's lines (key, text) of eight words or more how
+    many some extracted bullet (key, text) has, or is part of, by equal or nearly
+    equal words: key, n_lines, covered. Shorter lines don't count. A line meets
+    only its own document's bullets and those it shares words with; a text that
+    occurs again is compared once."""
+    own = lines.where(word_count(F.col("text")) >= SUBSTANTIVE_WORDS).groupBy(key, normalize_for_match(F.col("text")).alias("_t")).agg(F.count("*").alias("_n")).withColumn("_id", F.xxhash64("_t"))
+    said = bullets.select(key, normalize_for_match(F.col("text")).alias("_b")).where("_b <> ''").distinct().withColumn("_id", F.xxhash64("_b"))
+    inside = best_containment(own.select(key, "_id", F.col("_t").alias("value")), said.select(key, F.col("_b").alias("text")), [key], "_id").where(F.col("score") >= BULLET_GROUNDED).select(key, "_id")
+    # the other way round each bullet must know which line holds it
+    pairs = said.select(key, F.col("_id").alias("_bid"), F.col("_b").alias("value")).join(own.select(key, "_id"), key)
+    around = best_containment(pairs, own.select(key, "_id", F.col("_t").alias("text")), [key, "_id"], "_bid").where(F.col("score") >= BULLET_GROUNDED).select(key, "_id")
+    hit = inside.union(around).distinct().withColumn("_hit", F.lit(True))
+    return own.join(hit, [key, "_id"], "left").groupBy(key).agg(F.sum("_n").alias("n_lines"), F.coalesce(F.sum(F.when(F.col("_hit"), F.col("_n"))), F.lit(0)).alias("covered"))
 
 
 def check(kind: str, **asked) -> tuple[str, dict]:
     """An item of a checklist (Q19): status (requirement, among), blocker
-    (blocker), no_blocker, recommendation (among), mentions (sections, terms: in
-    one claim a term of each group), cites (section)."""
+    (blocker), no_blocker, recommendation (among), strategy (among: the report's
+    action), mentions (sections, terms: in one claim a term of each group), cites
+    (section)."""
     return kind, asked
 
 
 def checklist(reports: DataFrame, claims: DataFrame, items: dict[str, tuple[str, dict]]) -> DataFrame:
     """Q19: of each report (report_id, statuses as a map, blockers,
-    recommendation) whether it holds each item. Claims (report_id, section,
+    recommendation, action) whether it holds each item. Claims (report_id, section,
     text, n_cited) are reduced once to a flag for each item."""
     text = F.lower("text")
 
@@ -209,7 +222,7 @@ def checklist(reports: DataFrame, claims: DataFrame, items: dict[str, tuple[str,
             return F.array_contains("blockers", asked["blocker"])
         if kind == "no_blocker":
             return F.size("blockers") == 0
-        return F.col("recommendation").isin(*asked["among"]) if kind == "recommendation" else F.col(f"_{name}")
+        return F.col("recommendation" if kind == "recommendation" else "action").isin(*asked["among"]) if kind in ("recommendation", "strategy") else F.col(f"_{name}")
 
     flags = {name: c for name, (kind, asked) in items.items() if (c := of_claim(kind, asked)) is not None}
     rows = reports

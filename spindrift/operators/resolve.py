@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.places import APART_DAYS
-from spindrift.functions.text import let, similarity
+from spindrift.functions.text import let
+from spindrift.operators.matching import close_pairs
 from spindrift.operators.storage import cut
 
-#: Similarity of titles that are taken for one.
-CLOSE = 0.9
 _NEVER = -(2**40)
 
 
@@ -40,11 +41,10 @@ def canonical_by_key(rows: DataFrame, row_id: str, key: str) -> DataFrame:
 def close_titles(rows: DataFrame) -> DataFrame:
     """Pairs (one <= two) of distinct titles of a company and city that
     are close, each title with itself besides. Titles and not rows are compared,
-    and only those whose lengths allow it."""
-    titles = rows.select("company_key", "_city", F.col("title_key").alias("one")).distinct()
-    other = titles.withColumnRenamed("one", "two")
-    short, long = F.least(F.length("one"), F.length("two")), F.greatest(F.length("one"), F.length("two"))
-    return titles.join(other, ["company_key", "_city"]).where("one <= two").where((short >= CLOSE * long) & (similarity(F.col("one"), F.col("two")) >= CLOSE))
+    and only those that share a segment (``matching.close_pairs``)."""
+    titles = rows.select("company_key", "_city", "title_key").distinct()
+    itself = titles.select("company_key", "_city", F.col("title_key").alias("one"), F.col("title_key").alias("two"))
+    return itself.unionByName(close_pairs(titles, ["company_key", "_city"], "title_key"))
 
 
 def close_postings(rows: DataFrame, row_id: str) -> DataFrame:
@@ -111,22 +111,118 @@ def best_description(rows: DataFrame, key: str, row_id: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(row_id, "description", "truncated"), order).alias("r")).select(key, "r.*")
 
 
-def greedy(rows: DataFrame, block: str, row_id: str) -> DataFrame:
-    """Strict one-after-another merging inside a block (company_key): each
-    row joins the first earlier record that it equals. Blocks are a company's
-    own rows of one batch."""
+_FIELDS = ("provider", "external_id", "company_key", "city", "title_key", "description_hash", "posted_at", "truncated", "length")
+
+
+class _Merged:
+    """Records of one component so far, in the order in which they were opened,
+    found by the fields that make two postings one."""
+
+    def __init__(self) -> None:
+        self.records: list[dict] = []
+        self.by_id: dict[tuple, set[int]] = {}
+        self.by_text: dict[str, set[int]] = {}
+        self.by_place: dict[tuple, set[int]] = {}
+
+    def _keys(self, row: dict) -> list[tuple[dict, object]]:
+        keys: list[tuple[dict, object]] = []
+        if row["provider"] is not None and row["external_id"] is not None:
+            keys.append((self.by_id, (row["provider"], row["external_id"])))
+        if row["description_hash"]:
+            keys.append((self.by_text, row["description_hash"]))
+        if row["company_key"] and row["title_key"] is not None:
+            keys.append((self.by_place, (row["company_key"], row["city"] or "")))
+        return keys
+
+    @staticmethod
+    def _near(a: dict, b: dict) -> bool:
+        if a["posted_at"] is not None and b["posted_at"] is not None and abs(a["posted_at"] - b["posted_at"]) > APART_DAYS * 86_400:
+            return False
+        return close(a["title_key"], b["title_key"])
+
+    def add(self, row: dict) -> int:
+        """The record that the row joins or opens."""
+        hits: set[int] = set()
+        for index, key in self._keys(row):
+            members = index.get(key, set())
+            hits |= {i for i in members if self._near(self.records[i], row)} if index is self.by_place else members
+        if not hits:
+            self.records.append(row)
+            at = len(self.records) - 1
+        else:
+            at = min(hits)
+            kept = self.records[at]
+            better = kept["truncated"] and not row["truncated"] or kept["truncated"] == row["truncated"] and row["length"] > kept["length"]
+            if not better:
+                return at
+            for index, key in self._keys(kept):
+                index[key].discard(at)
+            self.records[at] = row
+        for index, key in self._keys(row):
+            index.setdefault(key, set()).add(at)
+        return at
+
+
+def close(a: str, b: str) -> bool:
+    """Whether two titles are close: an edit distance of a tenth of the longer
+    one at most. Only cells near the diagonal are worked out."""
+    longest = max(len(a), len(b))
+    room = longest // 10
+    if a == b or not longest:
+        return True
+    if abs(len(a) - len(b)) > room:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        first, last = max(1, i - room), min(len(b), i + room)
+        new = [longest] * (len(b) + 1)
+        if first == 1:
+            new[0] = i
+        for j in range(first, last + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        row = new
+    return 1 - row[-1] / longest >= 0.9
+
+
+def greedy(rows: DataFrame, row_id: str) -> DataFrame:
+    """One-after-another merging of postings in the order of their
+    ids: row_id, canonical_id, kept_id.
+
+    Each row joins the first record that it equals (by provider id, description,
+    or company, city, close titles and dates), or opens one; a record then is the
+    row with the better description, so later rows are compared with that. Rows
+    that can ever meet are in one component of links, so components are replayed,
+    each as a stream in order: a task holds a component's records, not its rows.
+    canonical_id is the row that opened the record, kept_id the row that it is in
+    the end. Null or empty hashes, provider ids, companies and titles equal
+    nothing. Rows (row_id, provider, external_id, company_key, city, title_key,
+    description_hash, posted_at, truncated, description); ids are distinct.
+    """
     import pyarrow as pa
 
-    def run(group: pa.Table) -> pa.Table:
-        names = ("provider", "external_id", "city", "title_key", "description_hash")
-        kept: list[tuple] = []
-        ids, out = group.column(row_id).to_pylist(), []
-        data = list(zip(ids, *(group.column(c).to_pylist() for c in names), strict=True))
-        for r in sorted(data):
-            hit = next((k[0] for k in kept if (k[1], k[2]) == (r[1], r[2]) or k[5] == r[5] or (k[3] == r[3] and k[4] == r[4])), None)
-            if hit is None:
-                kept.append(r)
-            out.append((r[0], r[0] if hit is None else hit))
-        return pa.table({row_id: [a for a, _ in out], "canonical_id": [b for _, b in out]})
-
-    return rows.select(block, row_id, "provider", "external_id", "city", "title_key", "description_hash").groupBy(block).applyInArrow(run, f"{row_id} long, canonical_id long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, merged, joined = None, _Merged(), []
+
+        def shown() -> pa.RecordBatch:
+            ids, at = zip(*joined, strict=True)
+            opened: dict[int, int] = {}
+            for i, k in joined:
+                opened.setdefault(k, i)
+            names = [row_id, "canonical_id", "kept_id"]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([opened[k] for k in at], pa.int64()), pa.array([merged.records[k]["_id"] for k in at], pa.int64())], names=names)
+
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("_component", "_id", *_FIELDS)}
+            for values in zip(*columns.values(), strict=True):
+                row = dict(zip(columns, values, strict=True))
+                if row["_component"] != component and joined:
+                    yield shown()
+                    merged, joined = _Merged(), []
+                component = row["_component"]
+                joined.append((row["_id"], merged.add(row)))
+        if joined:
+            yield shown()
+
+    found = components(rows, row_id)
+    own = found.select(F.col("canonical_id").alias("_component"), F.col(row_id).cast("long").alias("_id"), *_FIELDS[:6], F.unix_timestamp("posted_at").alias("posted_at"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce(F.length("description"), F.lit(0)).alias("length"))
+    return own.repartition("_component").sortWithinPartitions("_component", "_id").mapInArrow(run, f"{row_id} long, canonical_id long, kept_id long")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import places
-from spindrift.operators import careers, documents, layouts
+from spindrift.operators import careers, documents, layouts, reports
 from spindrift.plans.inputs import cases, relation, table
 from spindrift.plans.registry import query
 
@@ -121,20 +121,28 @@ def cv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return careers.job_search(_cvs(spark, sf_dir), "cv_id").select("cv_id", F.col("expected.min_annual").alias("low"), F.col("expected.max_annual").alias("high"), "notice_days")
 
 
-@query("SELECT c_custkey AS cv_id, path, CASE path WHEN 'name' THEN true WHEN 'company' THEN c_custkey % 3 > 0 WHEN 'near' THEN true END AS found FROM customer, (VALUES ('name'), ('company'), ('near'), ('empty')) t(path)")
+_GROUNDED = (
+    "SELECT c_custkey AS cv_id, path, CASE path WHEN 'name' THEN true WHEN 'company' THEN c_custkey % 3 > 0 WHEN 'near' THEN true WHEN 'far' THEN false WHEN 'skill' THEN c_custkey % 2 = 0 END AS found FROM customer, (VALUES ('name'), ('company'), ('near'), ('far'), ('skill'), ('empty')) t(path)"
+)
+
+
+@query(_GROUNDED)
 def grounded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which values of a parsed document its text holds."""
+    """Which values of a parsed document its text holds to nine
+    tenths, and which skills by their key."""
     return careers.grounded(_values(spark, sf_dir), _cvs(spark, sf_dir), "cv_id").select("cv_id", "path", "found")
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("cv_id")
     company = F.when(k % 3 > 0, F.concat(F.lit("ACME "), k)).otherwise("Zeta Qux Corporation")
-    paths = (("name", F.lit("Asha  Rao")), ("company", company), ("near", F.lit("tested releases projects")), ("empty", F.lit(" ")))
-    return _cvs(spark, sf_dir).select(k, F.inline(F.array(*(F.struct(F.lit(p).alias("path"), v.alias("value")) for p, v in paths))))
+    # "near" is one edit of 24 away, "far" two of 16 (0.875, over the 0.85 that postings are held to)
+    paths = (("name", F.lit("Asha  Rao")), ("company", company), ("near", F.lit("tested releasez projects")), ("far", F.lit("Cut costz by 31%")), ("skill", F.when(k % 2 == 0, "PYTHON").otherwise("Kubernetes")), ("empty", F.lit(" ")))
+    rows = [F.struct(F.lit(p).alias("path"), v.alias("value"), F.lit("skill" if p == "skill" else "text").alias("kind")) for p, v in paths]
+    return _cvs(spark, sf_dir).select(k, F.inline(F.array(*rows)))
 
 
-@query("SELECT c_custkey AS cv_id, 3::BIGINT AS checked, CASE WHEN c_custkey % 3 > 0 THEN 0 ELSE 1 END::BIGINT AS not_found FROM customer")
+@query("SELECT c_custkey AS cv_id, 5::BIGINT AS checked, (1 + (c_custkey % 3 = 0)::INT + (c_custkey % 2 = 1)::INT)::BIGINT AS not_found FROM customer")
 def grounding_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values checked and not found."""
     return careers.grounding_tallies(careers.grounded(_values(spark, sf_dir), _cvs(spark, sf_dir), "cv_id"), "cv_id")
@@ -183,19 +191,52 @@ def experience_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return careers.experience_totals(relation(spark, sf_dir, _ROLES), "cv_id", F.lit(2002 * 12))
 
 
-_CLAIMS = ["Led 5 people for 3 years", "You have E1 years", 'The posting says "we love big data here"', "You guarantee 40 results", 'They wrote "cut costs by 30%" of it', "Fine words"]
+#: Texts of claims with what is wrong with each where it stands, by the rule of its path.
+_PATHS = ["summary", "risks.0", "strategy.questions.1", "experienceRelevance.roles.2", "requirements.3"]
+_CLAIMS = [
+    "Led 5 people for 3 years", "You have E1 years", 'The posting says "we love big data here"', "You are a perfect fit with 40 results", 'They wrote "cut costs by 30%" of it', "K8s and v2 of the API, not 2.8.1", "word " * 31, "word " * 41, "word " * 51, "word " * 55, "word " * 81,
+]
+#: Words, and issues that do not depend on the path.
+_SAID = [(6, []), (4, ["written id"]), (8, ["false quotation"]), (8, ["banned phrase", "unsupported number"]), (8, []), (8, []), *((n, []) for n in (31, 41, 51, 55, 81))]
 
 
 @query(
-    """SELECT o_orderkey AS report_id, 1 AS claim_no, issue FROM orders, (VALUES (1, 'written id'), (2, 'false quotation'), (3, 'banned phrase'), (3, 'unsupported number'), (3, 'unknown id')) t(k, issue) WHERE o_orderkey % 6 = k"""
+    f"""WITH c AS (SELECT o_orderkey AS report_id, {cases('o_orderkey', _PATHS)} AS path, list_extract({[n for n, _ in _SAID]}, (o_orderkey % 11 + 1)::INT) AS words, list_extract({[i for _, i in _SAID]}, (o_orderkey % 11 + 1)::INT) AS own, o_orderkey % 7 AS ids FROM orders),
+r(path, most, need) AS (VALUES ('summary', 80, 'es'), ('risks.0', 50, 'r'), ('strategy.questions.1', 30, ''), ('experienceRelevance.roles.2', 50, 'e'), ('requirements.3', 40, '')),
+i AS (SELECT report_id, path, unnest(list_concat(own, [CASE WHEN words > most THEN 'too long' END, CASE WHEN ids = 3 THEN 'unknown id' END,
+  CASE WHEN (need = 'r' AND ids NOT IN (1, 2)) OR (need IN ('e', 'es') AND ids IN (2, 3, 6)) THEN 'uncited' END])) AS issue, ids, o.own AS o, words FROM c o JOIN r USING (path))
+SELECT report_id, path, issue FROM i WHERE issue IS NOT NULL AND NOT (issue = 'written id' AND ids IN (2, 3, 6))
+UNION ALL SELECT o_orderkey, {cases('o_orderkey', _PATHS)}, 'unsupported number' FROM orders WHERE o_orderkey % 11 IN (0, 5) AND o_orderkey % 7 IN (2, 3, 6)
+UNION ALL SELECT o_orderkey, 'recruiterView.standsOut', 'too many items' FROM orders WHERE o_orderkey % 13 = 0"""
 )
 def claim_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of a report's claims."""
+    """Issues of a report's claims by the rule of their path."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"))
+    k = F.col("report_id")
+    dealt = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), (k % len(values) + 1).cast("int"))
+    ids = F.when(k % 7 == 1, F.array(F.lit("E1"), F.lit("R1"))).when(k % 7 == 2, F.array(F.lit("R1"))).when(k % 7 == 3, F.array(F.lit("E9"))).when(k % 7 == 6, F.array().cast("array<string>")).otherwise(F.array(F.lit("E1")))
+    claims = orders.select("report_id", dealt(_PATHS).alias("path"), dealt(_CLAIMS).alias("text"), ids.alias("ids"))
+    more = orders.where("report_id % 13 = 0").select("report_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("report_id", F.concat(F.lit("recruiterView.standsOut."), "i").alias("path"), F.lit("Ships weekly").alias("text"), F.array(F.lit("E1")).alias("ids"))
+    cited = orders.select("report_id", F.inline(F.array(F.struct(F.lit("E1").alias("id"), F.lit("Led 5 people, cut costs by 30%, over 2.8 years").alias("text")), F.struct(F.lit("R1").alias("id"), F.lit("A posting").alias("text")))))
+    return reports.claim_issues(claims.unionByName(more), cited, cited.select("report_id", "text"), reports.rule_table(spark))
+
+
+@query(
+    """WITH q AS (SELECT o_orderkey AS report_id, 'R1' AS req_id, o_orderkey % 3 AS given, o_orderkey % 5 AS n, o_orderkey % 4 = 0 AS semantic, o_orderkey % 2 = 0 AS held FROM orders)
+SELECT report_id, req_id, 'not assessed' AS issue FROM q WHERE given = 0
+UNION ALL SELECT report_id, req_id, 'uncited' FROM q WHERE given = 1 AND n = 0
+UNION ALL SELECT report_id, req_id, 'another status' FROM q WHERE given = 1 AND NOT (semantic AND NOT held AND n > 0)
+UNION ALL SELECT report_id, 'R9', 'unknown requirement' FROM q WHERE given = 2
+UNION ALL SELECT report_id, req_id, 'assessed twice' FROM q WHERE given = 2"""
+)
+def assessment_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assessments of requirements against what the code found."""
+    k = F.col("report_id")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"))
-    k = F.col("report_id") % 6
-    claims = orders.select("report_id", F.lit(1).alias("claim_no"), F.element_at(F.array(*(F.lit(c) for c in _CLAIMS)), (k + 1).cast("int")).alias("text"), F.when(k == 3, F.array(F.lit("E9"))).otherwise(F.array(F.lit("E1"))).alias("ids"))
-    cited = orders.select("report_id", F.lit("E1").alias("id"), F.lit("Led 5 people, cut costs by 30%, over 2.8 years").alias("text"))
-    return careers.claim_issues(claims, cited, cited.select("report_id", "text"), ["guarantee", "rock star"])
+    wanted = orders.select("report_id", F.lit("R1").alias("req_id"), F.lit("required").alias("importance"), F.lit("skill").alias("kind"), (k % 2 == 0).alias("held"), F.lit("missing").alias("code_status"), F.lit(2).alias("n_evidence"))
+    row = lambda req, status: F.struct(F.lit(req).alias("req_id"), F.lit(status).alias("status"), (k % 4 == 0).alias("semantic"), (k % 5).alias("n_evidence"))
+    given = F.when(k % 3 == 1, F.array(row("R1", "partial"))).when(k % 3 == 2, F.array(row("R1", "missing"), row("R1", "missing"), row("R9", "missing")))
+    return reports.assessment_issues(orders.select("report_id", F.inline(given)), wanted)
 
 
 @query("SELECT o_orderkey, left(sha256(CASE WHEN o_orderkey % 2 = 0 THEN 'https://a.example/' || o_orderkey ELSE 'Engineer|Acme|' || left(sha256('build things ' || o_orderkey), 32) END), 24) AS external_id FROM orders")
@@ -226,14 +267,15 @@ def resynced_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.resynced_evidence(old, new, "cv_id").select("cv_id", "text", "number")
 
 
-@query("SELECT o_custkey AS cv_id, count(*) AS n_lines, count(*) FILTER (o_orderkey % 3 > 0) AS covered FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS cv_id, count(*) AS n_lines, count(*) FILTER (o_orderkey % 4 > 0) AS covered FROM orders GROUP BY 1")
 def bullet_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of a document's lines its extracted bullets have."""
+    """How many of a document's lines of eight words or more its
+    extracted bullets have, or are part of."""
     k = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders").withColumn("cv_id", F.col("o_custkey"))
-    lines = orders.select("cv_id", F.concat(F.lit("wrote job number "), k).alias("text"))
-    bullets = orders.where("o_orderkey % 3 > 0").select("cv_id", F.concat(F.lit("Wrote job number "), k, F.lit(" well")).alias("text"))
-    done = orders.where("o_orderkey % 3 = 0").select("cv_id", F.lit("something else").alias("text"))
-    return documents.bullet_coverage(lines.withColumn("text", F.when(F.regexp_extract("text", r"(\d+)", 1).cast("long") % 3 == 0, F.sha2("text", 256)).otherwise(F.col("text"))), bullets.unionByName(done), "cv_id")
-
-
+    code = F.md5(k.cast("string"))
+    long = F.concat_ws(" ", F.lit("wrote"), *(F.substring(code, i, 4) for i in range(1, 32, 4)))
+    lines = orders.select("cv_id", F.explode(F.array(long, F.concat(F.lit("short line "), k))).alias("text"))
+    # 3: the line and more; 2: the line with one letter other; 1: half of it; 0: only the short line
+    found = F.when(k % 4 == 3, F.concat(F.lit("In short: "), long, F.lit(" and others"))).when(k % 4 == 2, F.replace(long, F.lit("wrote"), F.lit("wrota"))).when(k % 4 == 1, F.substring(long, 1, 25)).otherwise(F.concat(F.lit("short line "), k))
+    return documents.bullet_coverage(lines, orders.select("cv_id", found.alias("text")), "cv_id")

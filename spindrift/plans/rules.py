@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places, text
 from spindrift.operators import documents, events, feed, history, metrics, profile, scoring, sets, state
+from spindrift.operators.reports import strategy_fits
 from spindrift.operators.storage import fresh
 from spindrift.plans.inputs import NOW, POSTINGS, cases, now, oracle, relation, table
 from spindrift.plans.registry import query
@@ -295,14 +296,15 @@ def final_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.finalised(rows.where("req_key <> 'k5'").unionByName(rows.where("req_key = 'k5'").withColumn("quote", F.lit("wholly unrelated words"))), jobs).select("job_id", "req_key", "label", "quote")
 
 
-@query("SELECT o_orderkey AS report_id, o_orderkey % 2 = 0 AS status, o_orderkey % 3 = 0 AS blocker, true AS mentions, o_orderkey % 5 = 0 AS cites FROM orders")
+@query("SELECT o_orderkey AS report_id, o_orderkey % 2 = 0 AS status, o_orderkey % 3 = 0 AS blocker, true AS mentions, o_orderkey % 5 = 0 AS cites, o_orderkey % 4 < 2 AS strategy, o_orderkey % 4 = 1 AS fits FROM orders")
 def checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q19: whether reports hold what a checklist asks."""
     k = F.col("o_orderkey")
-    reports = table(spark, sf_dir, "orders").select(k.alias("report_id"), F.create_map(F.lit("R1"), F.when(k % 2 == 0, "strong").otherwise("missing")).alias("statuses"), F.when(k % 3 == 0, F.array(F.lit("bond"))).otherwise(F.array().cast("array<string>")).alias("blockers"), F.lit("APPLY").alias("recommendation"))
+    reports = table(spark, sf_dir, "orders").select(k.alias("report_id"), F.create_map(F.lit("R1"), F.when(k % 2 == 0, "strong").otherwise("missing")).alias("statuses"), F.when(k % 3 == 0, F.array(F.lit("bond"))).otherwise(F.array().cast("array<string>")).alias("blockers"), F.lit("APPLY").alias("recommendation"), F.when(k % 4 == 0, "skip").when(k % 4 == 1, "apply_now").otherwise("wait").alias("action"))
     claims = reports.select("report_id", F.lit("summary").alias("section"), F.lit("Years of Spark and SQL").alias("text"), F.when(F.col("report_id") % 5 == 0, 1).otherwise(0).alias("n_cited"))
-    items = [documents.check("status", requirement="R1", among=["strong", "partial"]), documents.check("blocker", blocker="bond"), documents.check("mentions", sections=["summary"], terms=[["spark", "flink"], ["sql"]]), documents.check("cites", section="summary")]
-    return documents.checklist(reports, claims, dict(zip(("status", "blocker", "mentions", "cites"), items, strict=True)))
+    items = [documents.check("status", requirement="R1", among=["strong", "partial"]), documents.check("blocker", blocker="bond"), documents.check("mentions", sections=["summary"], terms=[["spark", "flink"], ["sql"]]), documents.check("cites", section="summary"), documents.check("strategy", among=["skip", "apply_now"])]
+    held = documents.checklist(reports, claims, dict(zip(("status", "blocker", "mentions", "cites", "strategy"), items, strict=True)))
+    return held.join(reports.select("report_id", strategy_fits(F.col("action"), F.col("recommendation")).alias("fits")), "report_id")
 
 
 @query("SELECT o_orderstatus AS stage, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1")
