@@ -32,7 +32,9 @@ from spindrift.llm.workspace import cut
 
 #: Bytes of the broadcast dictionary: of each word its UTF-8 bytes and WORD_BYTES
 #: for hash, offsets and ids. Longer words than LONGEST are left out of it.
-DICTIONARY_BYTES, WORD_BYTES, LONGEST = 64 << 20, 32, 64
+DICTIONARY_BYTES, WORD_BYTES, LONGEST = 48 << 20, 32, 64
+#: Counts below this are levels of their own, larger ones by powers of two.
+_FINE = 16
 #: Words that a task looks up at a time.
 AT_A_TIME = 1 << 18
 _BYTES = "ISO-8859-1"
@@ -62,7 +64,9 @@ def _ranges(listed: str) -> str:
 def java_pattern(pattern: str, wide: bool) -> str:
     """The tokenizers' pattern for Java. ``wide`` knows all letters, numbers and
     white space, but takes seven times as long as the one for texts that stay
-    below U+0870."""
+    below U+0870. Repeats are possessive where nothing follows them, and words
+    of letters or numbers are tried before contractions, which begin with an
+    apostrophe: neither changes a match."""
     classes = {r"\s": _WIDE_SPACE if wide else _NARROW_SPACE}
     classes |= {rf"\p{{{name}}}": rf"\p{{{name}}}" + (_ranges(listed) if wide else "") for name, listed in (("L", LETTERS), ("N", NUMBERS))}
     out, inside, i = [], False, 0
@@ -78,7 +82,15 @@ def java_pattern(pattern: str, wide: bool) -> str:
             inside = pattern[i] == "[" or inside and pattern[i] != "]"
             out.append(pattern[i])
         i += len(name) if name else 1
-    return "".join(out)
+    ways = "".join(out).split("|")
+    contractions = [w for w in ways if w.startswith("'")]
+    first = [w for w in ways if w.startswith(" ?[") and not w.startswith(" ?[^")]
+    rest = [w for w in ways if w not in contractions and w not in first]
+    return "|".join([*(_possessive(w) for w in first), *contractions, *map(_possessive, rest)])
+
+
+def _possessive(way: str) -> str:
+    return way.replace(" ?", " ?+", 1) + "+" if way.endswith("+") else way
 
 
 class Vocabulary:
@@ -103,7 +115,8 @@ class Vocabulary:
     def words(self, text: Column) -> Column:
         """A text's words in order; of a null text, none."""
         cuts = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (self.wide, self.narrow)]
-        return F.coalesce(F.when(text.rlike(r"[\x{870}-\x{10FFFF}]"), cuts[0]).otherwise(cuts[1]), F.array().cast("array<string>"))
+        far = (F.octet_length(text) > F.length(text)) & text.rlike(r"[\x{870}-\x{10FFFF}]")
+        return F.coalesce(F.when(far, cuts[0]).otherwise(cuts[1]), F.array().cast("array<string>"))
 
     def pieces(self) -> Column:
         """Literal: the bytes of each id, as characters; none of an id left out."""
@@ -134,26 +147,25 @@ def fold(word: Column, maps: Column) -> Column:
     def rank(piece: Column) -> Column:
         return F.try_element_at(F.get(maps, F.pmod(F.crc32(piece), F.lit(_BUCKETS)).cast("int")), piece)
 
-    def pairs(parts: Column) -> Column:
-        return F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts) - 1), lambda a, b: rank(F.concat(a, b)))
+    def pair(part: Column, after: Column) -> Column:
+        return F.struct(part.alias("part"), rank(F.concat(part, after)).alias("rank"))
+
+    def merged(state: Column, i: Column) -> Column:
+        def put(whole: Column) -> Column:
+            before = F.when(i > 1, F.concat(F.slice(state, 1, i - 2), F.array(pair(F.get(state, i - 2)["part"], whole)))).otherwise(F.slice(state, 1, 0))
+            return F.concat(before, F.array(pair(whole, F.get(state, i + 1)["part"])), F.slice(state, i + 2, F.size(state)))
 
-    def merged(parts: Column, ranks: Column, i: Column) -> Column:
-        whole = F.concat(F.get(parts, i - 1), F.get(parts, i))
-        joined = F.concat(F.slice(parts, 1, i - 1), F.array(whole), F.slice(parts, i + 2, F.size(parts)))
-        before = F.slice(ranks, 1, F.greatest(i - 2, F.lit(0)))
-        left = F.when(i > 1, F.array(rank(F.concat(F.get(parts, i - 2), whole)))).otherwise(F.array().cast("array<int>"))
-        right = F.when(i + 1 < F.size(parts), F.array(rank(F.concat(whole, F.get(parts, i + 1))))).otherwise(F.array().cast("array<int>"))
-        return F.struct(joined.alias("parts"), F.concat(before, left, right, F.slice(ranks, i + 2, F.size(parts))).alias("ranks"))
+        return _let(F.concat(F.get(state, i - 1)["part"], F.get(state, i)["part"]), put)
 
     def step(state: Column, _: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-        first = F.array_position(ranks, F.array_min(ranks)).cast("int")  # null where no pair has a rank
-        return _let(first, lambda i: F.when(i.isNull(), state).otherwise(merged(parts, ranks, i)))
+        first = F.array_position(state["rank"], F.array_min(state["rank"])).cast("int")  # null where no pair has a rank
+        return _let(first, lambda i: F.when(i.isNull(), state).otherwise(merged(state, i)))
 
     def run(parts: Column) -> Column:
-        start = F.struct(parts.alias("parts"), pairs(parts).alias("ranks"))
+        # each part with the rank of it and the next one; null where they are no piece
+        start = F.zip_with(parts, F.slice(parts, 2, F.size(parts)), pair)
         steps = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
-        return F.aggregate(steps, start, step, lambda end: F.transform(end["parts"], rank))
+        return F.aggregate(steps, start, step, lambda end: F.transform(end["part"], rank))
 
     return _let(byte_array(word), run)
 
@@ -166,13 +178,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(words: DataFrame) -> DataFrame:
     """Words of rows of ``words`` that the dictionary takes: those that occur
-    twice or more, by powers of two of their counts, as far as its bytes go."""
+    twice or more, the most frequent levels of counts as far as its bytes go."""
     counts = words.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = cut(counts.where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).select("word", F.floor(F.log2("n")).alias("level")), "word-counts")
-    sizes = sorted(counts.groupBy("level").agg(F.sum(F.octet_length("word") + WORD_BYTES).alias("bytes")).collect(), reverse=True)  # 63 levels at most
+    counts = cut(counts.where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).select("word", F.when(F.col("n") < _FINE, F.col("n")).otherwise(_FINE + F.floor(F.log2("n"))).alias("level")), "word-counts")
+    sizes = sorted(counts.groupBy("level").agg(F.sum(F.octet_length("word") + WORD_BYTES).alias("bytes")).collect(), reverse=True)  # 80 levels at most
     total = np.cumsum([r["bytes"] for r in sizes]) if sizes else np.zeros(0)
     fits = int((total <= DICTIONARY_BYTES).sum())
-    return counts.where(F.col("level") >= (sizes[fits - 1]["level"] if fits else 64)).select("word")
+    return counts.where(F.col("level") >= (sizes[fits - 1]["level"] if fits else 99)).select("word")
 
 
 def folded(words: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -180,17 +192,20 @@ def folded(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     return words.select("word", _let(vocab.maps(), lambda maps: fold(F.col("word"), maps)).alias("ids"))
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
 class Dictionary:
     """Words and their ids in arrays sorted by hash; of words that share a hash
     it keeps one, and what it lacks is folded in its document."""
 
     def __init__(self, table: pa.Table) -> None:
-        word, ids = (table.column(c).combine_chunks() for c in ("word", "ids"))
-        word, ids = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (word, ids))
-        hashes = self.hashes(word)
+        hashes = np.concatenate([np.zeros(0, K.U64), *(self.hashes(x) for x in table.column("word").chunks)])
         order = np.argsort(hashes, kind="stable")
         order = order[np.concatenate([[True], np.diff(hashes[order]) != 0])[: len(order)]]
-        self.keys, self.words, ids = hashes[order], word.take(pa.array(order)), ids.take(pa.array(order))
+        self.keys, table = hashes[order], table.take(pa.array(order)).combine_chunks()
+        self.words, ids = (_whole(table.column(c)) for c in ("word", "ids"))
         self.starts = ids.offsets.to_numpy().astype(np.int64)
         self.ids = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
 
@@ -266,8 +281,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
     """
     vocab = vocabulary(path)
     words = docs.select(key, vocab.words(F.col(text)).alias("words"))
-    table = folded(frequent_words(words.select("words")).repartition(docs.sparkSession.sparkContext.defaultParallelism * 4), vocab).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(Dictionary(table))
+    context = docs.sparkSession.sparkContext
+    known = folded(frequent_words(words.select("words")).repartition(context.defaultParallelism * 4), vocab)
+    shared = context.broadcast(Dictionary(known.toArrow()))
     kind = dict(docs.dtypes)[key]
     found = words.mapInArrow(_looked_up(shared), f"`{key}` {kind}, {_SOUGHT}")
 
