@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -161,26 +160,48 @@ def stale_embeddings(rows: DataFrame, model: str) -> DataFrame:
     return rows.where(~fresh)
 
 
-def hashed_embedding(words: Column, size: int = 384) -> Column:
-    """SC23: bag of words hashed into a unit vector, for tests without a model."""
-    slots = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return unit(counts)
+# The hash's beginning and factor.
+_FNV_START, _FNV_PRIME = 2166136261, 16777619
+_WORD = r"[^a-z0-9+#.]+"
 
 
-def embed(rows: DataFrame, key: str, size: int = 384) -> DataFrame:
-    """SC23, V4: hashed bag-of-words unit vectors of texts (key, text), a batch
-    at a time: key, vector, deferred. A text that is null or has no words keeps
-    a null vector and is deferred to a later run."""
+def word_hashes(words: list[str]) -> np.ndarray:
+    """32-bit FNV-1a hashes of words of a-z0-9+#., all at once by their places."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    h = np.full(len(words), _FNV_START, dtype=np.uint64)
+    data = np.frombuffer("".join(words).encode("ascii"), dtype=np.uint8).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    for i in range(int(sizes.max()) if len(sizes) else 0):
+        live = np.flatnonzero(sizes > i)
+        h[live] = ((h[live] ^ data[starts[live] + i]) * np.uint64(_FNV_PRIME)) & np.uint64(0xFFFFFFFF)
+    return h
+
+
+def embed(rows: DataFrame, key: str, size: int = 384, cap: int = 2000) -> DataFrame:
+    """SC23, V3, V4: signed hashed bag-of-words unit vectors of texts (key,
+    text), a batch at a time: key, vector, deferred.
+
+    Of a text with single blanks the first ``cap`` characters count; its words
+    are runs of a-z0-9+#. in lower case, two characters at least. A word adds 1
+    or, if its hash is even, -1 to the slot of its hash. A text that is null or
+    has no words keeps a null vector and is deferred to a later run; words that
+    cancel out give the zero vector."""
+    words = F.split(F.lower(F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, cap)), _WORD)
+    asked = rows.select(key, F.coalesce(F.filter(words, lambda w: F.length(w) > 1), F.array().cast("array<string>")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column("words")
+            coded = lists.flatten().dictionary_encode()
+            hashes = word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
+            edges = lists.offsets.to_numpy().astype(np.int64)
+            edges = edges - edges[0]
+            slots, signs = (hashes % np.uint64(size)).astype(np.int64), np.where(hashes & np.uint64(1), 1.0, -1.0)
             out: list[np.ndarray | None] = []
-            for text in batch.column("text").to_pylist():
-                slots = [zlib.crc32(w.encode()) % size for w in (text or "").lower().split()]
-                counts = np.bincount(slots, minlength=size).astype(np.float64) if slots else None
-                out.append(None if counts is None else counts / np.linalg.norm(counts))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                sums = np.bincount(slots[a:b], signs[a:b], size) if b > a else None
+                out.append(None if sums is None else sums / (np.linalg.norm(sums) or 1))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.float64())), pa.array([v is None for v in out])], names=[key, "vector", "deferred"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "text").mapInArrow(run, f"{key} {kind}, vector array<double>, deferred boolean")
+    return asked.mapInArrow(run, f"{key} {kind}, vector array<double>, deferred boolean")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places, text
-from spindrift.operators import history, joins, metrics, sets, vectors
+from spindrift.operators import history, joins, metrics, sets, vector_index, vectors
 from spindrift.plans.inputs import COMPANIES, MOVES, NOW, POSTINGS, SPANS, now, oracle, relation, table
-from spindrift.plans.registry import query
+from spindrift.plans.registry import SQL, query
 
 _P = oracle(postings=POSTINGS)
 _PC = oracle(postings=POSTINGS, companies=COMPANIES)
@@ -299,6 +299,29 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "item_id"), 5).select("query_id", "item_id", "rank")
 
 
+_NEAREST = SQL["nearest_vectors"]
+
+
+@query(_NEAREST)
+def probed_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: a search of the index that probes every list finds what the exact one does."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    index = vector_index.build(rows.withColumnRenamed("vec_id", "item_id"))
+    lists = index.open_centres(spark).count()
+    return vector_index.search(index, rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 5, lists).select("query_id", "item_id", "rank")
+
+
+@query("SELECT 5 * count(*) AS n, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether probing a part of the lists finds nine tenths of the exact nearest neighbours."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit("m").alias("model"), F.col("embedding").alias("vector"))
+    asked, items = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "item_id")
+    index = vector_index.build(items)
+    lists = index.open_centres(spark).count()
+    found = vector_index.search(index, asked, 5, max(1, lists * 2 // 5))
+    return vector_index.recall(found, vectors.nearest(asked, items, 5)).select("n", (F.col("n_found") >= 0.9 * F.col("n")).alias("reached"))
+
+
 @query("SELECT left_id, arg_max(right_id, (s, -right_id)) AS right_id FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = (b.label + 1) % 10) WHERE s >= 0 GROUP BY 1")
 def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar row of the group before, if similar at all."""

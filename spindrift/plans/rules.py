@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from spindrift.functions import parse, places, text
 from spindrift.operators import documents, events, feed, history, metrics, profile, scoring, sets, state
 from spindrift.operators.reports import strategy_fits
-from spindrift.operators.storage import fresh
+from spindrift.operators.storage import cut, fresh
 from spindrift.plans.inputs import NOW, POSTINGS, cases, now, oracle, relation, table
 from spindrift.plans.registry import query
 from spindrift.sources import pages as web
 from spindrift.streaming import applications
+from spindrift.streaming.statelog import StateLog
 
 _P = oracle(postings=POSTINGS)
 
@@ -321,3 +322,21 @@ def resumed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, stage in enumerate(("F", "O", "O", "P")):
         step(rows.where(F.col("stage") == stage), number - (number > 1))
     return spark.read.parquet(f"{path}/v=2")
+
+
+#: Batches of a stream: changes of customers' rows, by the number of their orders.
+_CHANGES = "SELECT o_custkey AS key, CAST(o_orderkey % 6 AS INT) AS batch, max(o_totalprice) AS price, max(o_orderkey) % 10 = 0 AS gone FROM orders GROUP BY 1, 2"
+
+
+@query(f"SELECT key, price FROM (SELECT key, arg_max(struct_pack(price := price, gone := gone), batch) AS r FROM ({_CHANGES}) GROUP BY 1), LATERAL (SELECT r.price AS price, r.gone AS gone) WHERE NOT gone")
+def logged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST6, E8, SK3: state of customers in a log of deltas: six batches, one of
+    them run again, compacted after the third, with removed keys."""
+    orders = table(spark, sf_dir, "orders")
+    changes = orders.groupBy(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 6).cast("int").alias("batch")).agg(F.max("o_totalprice").alias("price"), (F.max("o_orderkey") % 10 == 0).alias("gone"))
+    changes = cut(changes, "changes")
+    log = StateLog(spark, fresh(spark, "state-log"), changes.select("key", "price").schema, ["key"], 16)
+    write = log.sink(every=3)
+    for number in (0, 1, 1, 2, 3, 4, 3, 5):
+        write(changes.where(F.col("batch") == number).select("key", "price", "gone"), number)
+    return log.read()

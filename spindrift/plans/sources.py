@@ -152,11 +152,27 @@ def direct_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", places.is_direct(F.lit("Acme Pvt Ltd"), via, F.array(link)).alias("direct"), F.transform(first, lambda u: F.regexp_replace(u, r"\?.*$", "")).alias("links"))
 
 
-@query()
+#: Signed hashes of the words of a text, summed in 64 slots and scaled to length 1.
+_EMBEDDED = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 2000)), '[^a-z0-9+#.]+'), lambda x: length(x) > 1) AS words FROM documents),
+h AS (SELECT doc_id, list_reduce(list_transform(string_split(word, ''), lambda c: unicode(c)::BIGINT), lambda a, b: (xor(a, b) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM (SELECT doc_id, unnest(words) AS word FROM w)),
+s AS (SELECT doc_id, h % 64 AS slot, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n, map_from_entries(list((slot, x))) AS m FROM s GROUP BY 1)"""
+
+
+@query(_EMBEDDED + " SELECT doc_id, CASE WHEN n IS NOT NULL THEN list_transform(range(64), lambda i: round(coalesce(m[i], 0) / CASE WHEN n = 0 THEN 1 ELSE n END, 6)) END AS vector, n IS NULL AS deferred FROM documents LEFT JOIN n USING (doc_id)")
 def mock_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC23, V1, V3, V4: hashed vectors of whole texts; a text without words is deferred (checked by brute force)."""
-    rows = heavy(spark, sf_dir, "documents").select("doc_id", F.trim("text").alias("text"))
-    return vectors.embed(rows, "doc_id", size=64).select("doc_id", "vector", "deferred")
+    """SC23, V3, V4: signed hashed vectors of texts (by the rule their first
+    2,000 characters); a text without words is deferred."""
+    rows = heavy(spark, sf_dir, "documents").select("doc_id", "text")
+    found = vectors.embed(rows, "doc_id", size=64)
+    return found.select("doc_id", F.transform("vector", lambda x: F.round(x, 6) + 0.0).alias("vector"), "deferred")
+
+
+@query(_EMBEDDED + " SELECT a.doc_id, round(list_sum(list_transform(range(64), lambda i: coalesce(a.m[i], 0) / a.n * coalesce(b.m[i], 0) / b.n)), 6) AS similarity FROM n a JOIN n b ON b.doc_id = a.doc_id + 1 WHERE a.n > 0 AND b.n > 0")
+def mock_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, V4: cosine of the unit vectors of each document and the next, as their dot product."""
+    found = vectors.embed(heavy(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", size=64).where("vector is not null and exists(vector, x -> x <> 0)")
+    later = found.select((F.col("doc_id") - 1).alias("doc_id"), F.col("vector").alias("next"))
+    return found.join(later, "doc_id").select("doc_id", (F.round(vectors.dot(F.col("vector"), F.col("next")), 6) + 0.0).alias("similarity"))
 
 
 @query("SELECT p_partkey, substring(trim('Engineer. Skills: ' || p_brand || ', ' || p_type || '. ' || repeat(p_name || ' ', 90)), 1, 2000) AS text FROM part")

@@ -206,6 +206,18 @@ def resolved_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.components(rows, "job_id").select("job_id", "canonical_id")
 
 
+@query()
+def greedy_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings merged one after another in the order of their ids,
+    with links by provider id, description and close titles (order decides, so
+    no SQL; tested against a loop)."""
+    rows = relation(spark, sf_dir, POSTINGS).select(
+        "job_id", "provider", "external_id", F.lower("company_name").alias("company_key"), F.col("location").alias("city"), F.lower("title").alias("title_key"),
+        F.when(F.col("job_id") % 5 > 0, F.md5(F.concat_ws("|", "company_name", "description"))).alias("description_hash"), "posted_at", (F.col("job_id") % 3 == 0).alias("truncated"), "description",
+    )
+    return resolve.greedy(rows, "job_id")
+
+
 #: D14 puts together what other queries read one by one, and so does its SQL.
 _KEYS = "[k FOR k IN list_transform(string_split(regexp_replace(trim(regexp_replace(lower(title || chr(10) || description), '[\\s,;:()|·•/]+', ' ', 'g')), '[^a-z0-9#+ ]', '', 'g'), ' '), lambda k: k)]"
 _RUNS = " || ".join(f"[array_to_string(w[i:i + {n - 1}], '') FOR i IN range(1, len(w) - {n - 2})]" for n in (1, 2, 3, 4))
