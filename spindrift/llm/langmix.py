@@ -8,7 +8,6 @@ languages the one of best penalised likelihood stays.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +23,6 @@ BITS = 14
 #: more languages than this are an error, never a silent choice among them.
 LANGUAGES = 512
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 0x20, dtype=np.uint32)
 _FOLD[65:91] = _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -119,7 +117,9 @@ _TYPES = "doc_id long, lang_pred string, score double, languages array<string>,
 
 
 def has_letter(part: np.ndarray) -> bool:
-    return bool(_ASCII_LETTER[part].any()) or _LETTER.search(part.tobytes().decode("utf-8", "replace")) is not None
+    """Whether a text has a character of Unicode's category L; numbers such as
+    superscripts, fractions or circled ones are none."""
+    return bool(_ASCII_LETTER[part].any()) or any(map(str.isalpha, part.tobytes().decode("utf-8", "replace")))
 
 
 def predict(column: pa.Array, names: list[str], p: np.ndarray) -> Iterator[tuple[int, np.ndarray | None]]:
