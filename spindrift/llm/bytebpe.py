@@ -229,7 +229,7 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-_SOUGHT = "ids array<int>, others array<string>"
+_SOUGHT = "runs array<array<int>>, slots array<int>, others array<string>"
 
 
 def _looked_up(shared) -> Callable:
@@ -243,8 +243,9 @@ def _looked_up(shared) -> Callable:
 
 
 def _sought(batch: pa.RecordBatch, known: Dictionary) -> pa.RecordBatch:
-    """Words as ids; one that the dictionary lacks is -1 - its place among the
-    ``others`` of its document."""
+    """Ids of the words of each document in runs; after each run but the last
+    stands a word that the dictionary lacks, in ``slots`` by its place (from 0)
+    among the document's ``others``."""
     lists = batch.column("words")
     edges = lists.offsets.to_numpy().astype(np.int64)
     edges = edges - edges[0]
@@ -254,20 +255,27 @@ def _sought(batch: pa.RecordBatch, known: Dictionary) -> pa.RecordBatch:
     lacking = place < 0
     if len(known.keys):
         first = np.where(lacking, 0, known.starts[place])
-        length = np.where(lacking, 1, known.starts[place + 1] - first)
+        length = np.where(lacking, 0, known.starts[place + 1] - first)
         ids = known.ids[spans(first[code], length[code])]
     else:
-        length, ids = np.ones(len(place), np.int64), np.zeros(len(code), np.int32)
+        length, ids = np.zeros(len(place), np.int64), np.zeros(0, np.int32)
     ends = np.concatenate([[0], np.cumsum(length[code])])
     odd = np.flatnonzero(lacking[code])
     row = np.searchsorted(edges, odd, "right") - 1
     pairs, at = np.unique(row * np.int64(len(distinct) + 1) + code[odd], return_inverse=True)
     begins = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * np.int64(len(distinct) + 1))
-    ids[ends[odd]] = -1 - (at - begins[row])
     others = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), distinct.take(pa.array(pairs % (len(distinct) + 1))))
-    sought = pa.ListArray.from_arrays(pa.array(ends[edges], pa.int32()), pa.array(ids, pa.int32()))
+    # a run ends at each such word and at the end of its document
+    stops = np.concatenate([odd, edges[1:] - 0.5])
+    order = np.argsort(stops, kind="stable")
+    slots = np.concatenate([at - begins[row], np.full(batch.num_rows, -1)])[order]
+    ends = np.concatenate([[0], ends[np.concatenate([odd, edges[1:]])[order]]])
+    counts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows) + 1)]).astype(np.int32)
+    inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+    runs = pa.ListArray.from_arrays(pa.array(counts), inner)
+    slots = pa.ListArray.from_arrays(pa.array(counts), pa.array(slots, pa.int32(), mask=slots < 0))
     rest = [(n, batch.column(n)) for n in batch.schema.names if n != "words"]
-    return pa.RecordBatch.from_arrays([*(c for _, c in rest), sought, others], names=[*(n for n, _ in rest), "ids", "others"])
+    return pa.RecordBatch.from_arrays([*(c for _, c in rest), runs, slots, others], names=[*(n for n, _ in rest), "runs", "slots", "others"])
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -287,11 +295,13 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
     kind = dict(docs.dtypes)[key]
     found = words.mapInArrow(_looked_up(shared), f"`{key}` {kind}, {_SOUGHT}")
 
+    none = F.array().cast("array<int>")
+
     def whole(maps: Column) -> Column:
         own = F.transform("others", lambda w: fold(w, maps))
-        return _let(own, lambda own: F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(own, -1 - i)))))
+        return _let(own, lambda own: F.flatten(F.zip_with("runs", "slots", lambda run, slot: F.concat(run, F.coalesce(F.get(own, slot), none)))))
 
-    return found.select(key, F.when(F.size("others") == 0, F.col("ids")).otherwise(_let(vocab.maps(), whole)).alias("ids"))
+    return found.select(key, F.when(F.size("others") == 0, F.get("runs", 0)).otherwise(_let(vocab.maps(), whole)).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
