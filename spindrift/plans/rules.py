@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places, text
-from spindrift.operators import documents, events, feed, history, metrics, profile, scoring, sets, state
+from spindrift.operators import composer, documents, events, feed, history, metrics, profile, scoring, sets, state
 from spindrift.operators.reports import strategy_fits
 from spindrift.operators.storage import cut, fresh
 from spindrift.plans.inputs import NOW, POSTINGS, cases, now, oracle, relation, table
@@ -340,3 +340,35 @@ def logged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number in (0, 1, 1, 2, 3, 4, 3, 5):
         write(changes.where(F.col("batch") == number).select("key", "price", "gone"), number)
     return log.read()
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, string_agg('- R' || l_linenumber || ' supplier ' || l_suppkey || ' (required): ' || CASE WHEN l_returnflag = 'R' THEN 'missing' ELSE 'strong' END || CASE WHEN l_linestatus = 'F' THEN ' — ' || 'seen' ELSE '' END, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS asked,
+  string_agg('- ' || CASE WHEN l_linenumber % 2 = 1 THEN 'Skills' ELSE 'Role alignment' END || ': ' || floor(l_quantity / 2 + 0.5)::BIGINT || '/50 — part ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS scored FROM lineitem GROUP BY 1)
+SELECT o_orderkey, concat_ws(chr(10) || chr(10), 'Fit Report: ' || o_orderpriority || ' at Firm ' || o_custkey, 'Fit score ' || (o_orderkey % 101) || '/100 · ' || (['Apply', 'Consider', 'Low priority'])[(o_orderkey % 3 + 1)::INT],
+  'Customer ' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN ' [E1, S2]' ELSE '' END, 'ROLE' || chr(10) || 'What it is [R1]' || chr(10) || 'Senior', 'REQUIREMENTS' || chr(10) || asked,
+  CASE WHEN scored IS NOT NULL OR o_orderkey % 7 = 0 THEN concat_ws(chr(10), 'SCORE', scored, CASE WHEN o_orderkey % 7 = 0 THEN '- +3 with SQL' END) END, CASE WHEN o_orderkey % 4 = 0 THEN 'CONDITIONS' || chr(10) || '- Bond' END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'RECRUITER VIEW' || chr(10) || '- + Ships [E1]' || chr(10) || '- ! (high) Gap [E2]' END, CASE WHEN o_orderkey % 6 = 0 THEN 'RISKS' || chr(10) || '- Old stack [R1] → Learn it' END,
+  concat_ws(chr(10), 'STRATEGY: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Apply now' ELSE 'Skip' END, 'Because [E1]', CASE WHEN o_orderkey % 8 = 0 THEN 'Lead with:' || chr(10) || '- Ships [E1]' END, CASE WHEN o_orderkey % 9 = 0 THEN 'Ask the recruiter:' || chr(10) || '- Who leads?' END)) AS report
+FROM orders LEFT JOIN l ON l_orderkey = o_orderkey"""
+)
+def fit_report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK25, Q17: fit reports as plain text, of orders and their lines."""
+    k = F.col("o_orderkey")
+    said = lambda text, *ids: F.struct(F.lit(text).alias("text"), F.array(*map(F.lit, ids)).cast("array<string>").alias("ids"))
+    none = lambda kind: F.array().cast(kind)
+    item = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", F.concat(F.lit("R"), "l_linenumber").alias("req_id"), F.concat(F.lit("supplier "), "l_suppkey").alias("text"), F.lit("required").alias("importance"), F.when(F.col("l_returnflag") == "R", "missing").otherwise("strong").alias("status"),
+        F.when(F.col("l_linestatus") == "F", "seen").otherwise("").alias("note"), F.when(F.col("l_linenumber") % 2 == 1, "skills").otherwise("roleAlignment").alias("key"), (F.col("l_quantity") / 2).alias("points"), F.lit(50).alias("most"), F.concat(F.lit("part "), "l_partkey").alias("reason"),
+    )
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("requirements"))
+    claim = "array<struct<text:string,ids:array<string>>>"
+    rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select(
+        k, F.col("o_orderpriority").alias("title"), F.concat(F.lit("Firm "), "o_custkey").alias("company"), (k % 101).alias("total"), F.element_at(F.array(*map(F.lit, ("APPLY", "CONSIDER", "LOW_PRIORITY"))), (k % 3 + 1).cast("int")).alias("recommendation"),
+        F.struct(F.concat(F.lit("Customer "), "o_custkey").alias("text"), F.when(k % 2 == 0, F.array(F.lit("E1"), F.lit("S2"))).otherwise(none("array<string>")).alias("ids")).alias("summary"), F.array(said("What it is", "R1"), said("Senior")).alias("role"),
+        "requirements", F.col("requirements").alias("components"), F.when(k % 7 == 0, F.array(F.struct(F.lit(3).alias("points"), F.lit("SQL").alias("skill")))).alias("gains"), F.when(k % 4 == 0, F.array(F.lit("Bond"), F.lit(""))).otherwise(none("array<string>")).alias("conditions"),
+        F.when(k % 5 == 0, F.array(said("Ships", "E1"))).otherwise(none(claim)).alias("stands_out"), F.when(k % 5 == 0, F.array(F.struct(F.lit("Gap").alias("text"), F.array(F.lit("E2")).alias("ids"), F.lit("high").alias("severity")))).alias("red_flags"),
+        F.when(k % 6 == 0, F.array(F.struct(F.lit("Old stack").alias("text"), F.array(F.lit("R1")).alias("ids"), F.lit("learn").alias("mitigation")))).alias("risks"), F.when(k % 2 == 0, "apply_now").otherwise("skip").alias("action"), said("Because", "E1").alias("reasoning"),
+        F.when(k % 8 == 0, F.array(said("Ships", "E1"))).otherwise(none(claim)).alias("emphasise"), F.when(k % 9 == 0, F.array(F.lit("Who leads?"))).alias("questions"),
+    )
+    return rows.select("o_orderkey", composer.fit_report().alias("report"))

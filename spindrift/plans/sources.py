@@ -12,6 +12,7 @@ from spindrift.plans.inputs import NOW, heavy, now, table
 from spindrift.plans.registry import query
 from spindrift.sources import pages as web
 from spindrift.sources import postings, webresults
+from spindrift.sources.synthetic import SyntheticPostings
 
 
 def _json(**fields) -> F.Column:
@@ -68,6 +69,20 @@ def synthetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.search_synthetic(postings.synthetic(spark, table(spark, sf_dir, "part").count()), "engineer", "Pu").select("external_id", "title", "location")
 
 
+@query(
+    """SELECT number, 's' || number AS external_id, (['Data Engineer', 'React Developer', 'Platform Engineer', 'QA Analyst', 'ML Engineer'])[(k % 5 + 1)::INT] AS title, 'Company ' || (k % 40) AS company, (['Bengaluru', 'Pune', 'Remote, India', 'Hyderabad'])[(k % 4 + 1)::INT] AS location,
+'Posting ' || k || ': 2-4 years of SQL and Spark.' || CASE WHEN k <> number THEN '  Apply!' ELSE '' END AS description, o_custkey
+FROM (SELECT o_orderkey AS number, o_orderkey - CASE WHEN o_orderkey % 6 = 5 THEN 1 ELSE 0 END AS k, o_custkey FROM orders)"""
+)
+def synthetic_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC7, SC8: the data source of made-up postings, in partitions, joined with all orders by number."""
+    spark.dataSource.register(SyntheticPostings)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("number"), "o_custkey")
+    last = orders.agg(F.max("number")).first()[0]
+    rows = spark.read.format("synthetic_postings").option("rows", (last if last is not None else -1) + 1).option("parts", 16).load()
+    return rows.join(orders, "number").select("number", "external_id", "title", "company", "location", "description", "o_custkey")
+
+
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' END AS kind, length(regexp_replace(left(html, (page_id % 9 * 60)::INT), '\\s', '', 'g')) >= 200 AS enough FROM pages")
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC20, SC21: kinds of files by their first bytes, and whether a text is long enough."""

@@ -3,7 +3,6 @@
 import io
 import json
 import zipfile
-import zlib
 from datetime import datetime
 
 import numpy as np
@@ -63,13 +62,12 @@ def test_urls_and_addresses(spark):
     assert [r.p for r in ips] == [True, False, False, False]
 
 
-def test_resolution_is_transitive_and_greedy_is_not_needed(spark):
+def test_resolution_is_transitive(spark):
     base = ("p", "c", "Pune", "data engineer", datetime(2024, 1, 1))
     rows = [(1, "p", "1", "c", "Pune", "data engineer", "h1", base[4]), (2, "p", "2", "c", "Pune", "data engineerx", "h2", base[4]), (3, "q", "2", "d", None, "other", "h2", None), (4, "q", "9", "c", "Pune", "data engineer", "h4", datetime(2024, 6, 1)), (5, "q", "9", "z", None, "t", "", None), (6, "q", None, "", None, "t", "", None)]
     frame = spark.createDataFrame(rows, "id long, provider string, external_id string, company_key string, city string, title_key string, description_hash string, posted_at timestamp")
     got = {r.id: r.canonical_id for r in resolve.components(frame, "id").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
-    assert {r.id: r.canonical_id for r in resolve.greedy(frame, "company_key", "id").collect()}[4] == 1
 
 
 def test_flags_and_pay_are_of_whole_tables(spark, monkeypatch):
@@ -215,18 +213,20 @@ def test_nearest_and_best_match_brute_force(spark, monkeypatch, queries, side):
     assert vectors.nearest(asked.limit(0), rows, 3).count() == vectors.nearest(asked, rows.limit(0), 3).count() == 0
 
 
-def test_hashed_embeddings_match_brute_force(spark):
-    rows = [(1, "the cat the"), (2, None), (3, "  "), (4, "Été THE")]
-    found = {r.doc_id: r for r in vectors.embed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", size=16).collect()}
-    for i, text in rows:
-        want = np.zeros(16)
-        for w in (text or "").lower().split():
-            want[zlib.crc32(w.encode()) % 16] += 1
-        assert found[i].deferred == (not want.any())
-        assert found[i].vector is None if not want.any() else np.allclose(found[i].vector, want / np.linalg.norm(want))
-    one = vectors.hashed_embedding(F.split(F.lower("text"), " "), 16)
-    other = spark.createDataFrame([(4, "été the")], "doc_id long, text string").select(one.alias("v")).first().v
-    assert np.allclose(other, found[4].vector)
+def test_hashed_embeddings_by_published_hashes(spark):
+    # values of 32-bit FNV-1a that are published with the function
+    assert vectors.word_hashes(["foobar", "a", "b", "foob"]).tolist() == [0xBF9CF968, 0xE40C292C, 0xE70C2DE5, 0x3F5076EF]
+    assert vectors.word_hashes([]).tolist() == []
+    rows = [(1, "foobar foobar  c++ x"), (2, None), (3, "  "), (4, "Foobar\tx"), (5, "x " * 1000 + "foobar")]
+    found = {r.doc_id: r for r in vectors.embed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert [found[i].deferred for i in (1, 2, 3, 4, 5)] == [False, True, True, False, True]  # single letters are no words, nor what lies beyond 2,000 characters
+    slot, sign = 0xBF9CF968 % 384, -1.0
+    assert found[4].vector[slot] == sign and sum(map(abs, found[4].vector)) == 1
+    other = int(vectors.word_hashes(["c++"])[0])
+    want = np.zeros(384)
+    want[slot] += 2 * sign
+    want[other % 384] += 1 if other & 1 else -1
+    assert np.allclose(found[1].vector, want / np.linalg.norm(want)) and found[2].vector is None
 
 
 def test_normal_forms_of_any_script(spark):
