@@ -133,8 +133,8 @@ def test_nearest_without_broadcast(spark, monkeypatch):
 
 
 def test_hashed_vectors(spark):
-    frame = spark.createDataFrame([(1, "m", ["a", "b"]), (2, "m", ["a", "b", "c"]), (3, "n", ["a", "b"])], "item_id long, model string, w array<string>")
-    items = frame.select("item_id", "model", vectors.hashed_embedding(F.col("w"), 64).alias("vector"))
+    frame = spark.createDataFrame([(1, "m", "aa bb"), (2, "m", "aa bb cc"), (3, "n", "aa bb")], "item_id long, model string, text string")
+    items = frame.select("item_id", "model").join(vectors.embed(frame, "item_id", 64), "item_id").drop("deferred")
     got = vectors.nearest(items.where("item_id = 1").withColumnRenamed("item_id", "query_id"), items, 5).collect()
     assert [(r.item_id, round(r.similarity, 3)) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1.0), (2, round((2 / 3) ** 0.5, 3))]
 
