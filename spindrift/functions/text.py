@@ -129,7 +129,9 @@ def similarity(a: Column, b: Column) -> Column:
 
 def best_match(haystack: Column, needle: Column) -> Column:
     """X11: 1 for a substring, else the best similarity of a run of about as
-    many words that shares at least half of them."""
+    many words that shares at least half of them (of the run, if it is shorter).
+    For many values and texts ``operators.matching.best_containment`` meets only
+    the runs that can match."""
 
     def over(both: Column) -> Column:
         hay, own = both["hay"], both["own"]
@@ -137,7 +139,7 @@ def best_match(haystack: Column, needle: Column) -> Column:
 
         def of_size(size: Column) -> Column:
             starts = F.when(F.size(hay) >= size, F.sequence(F.lit(1), F.size(hay) - size + 1)).otherwise(F.array().cast("array<int>"))
-            near = F.filter(F.transform(starts, lambda i: F.slice(hay, i, size)), lambda r: 2 * F.size(F.filter(r, lambda w: F.array_contains(own, w))) >= n)
+            near = F.filter(F.transform(starts, lambda i: F.slice(hay, i, size)), lambda r: 2 * F.size(F.filter(r, lambda w: F.array_contains(own, w))) >= F.least(n, size))
             return F.array_max(F.transform(near, lambda r: similarity(F.array_join(r, " "), needle)))
 
         return F.coalesce(F.greatest(*(of_size(F.greatest(F.lit(1), n + d)) for d in (-1, 0, 1))), F.lit(0.0))
