@@ -198,10 +198,44 @@ def site_backoff(failures: Column) -> Column:
 
 
 def notice_days(text: Column) -> Column:
-    """A stated notice period in days."""
-    t = F.lower(text)
-    n, unit = group(t, r"(\d+)\s*(day|week|month)", 1).cast("int"), group(t, r"(\d+)\s*(day|week|month)", 2)
-    return F.when(t.rlike("immediate|serving"), 0).otherwise(n * F.when(unit == "week", 7).when(unit == "month", 30).otherwise(1))
+    """A stated notice period in days: "60 days", "1.5 months", "Immediate",
+    "nil", or a bare number of days; null for anything else."""
+
+    def days(t: Column) -> Column:
+        pattern = r"(\d+(?:\.\d+)?)\s*(day|week|month)"
+        n, unit = group(t, pattern, 1).cast("double"), group(t, pattern, 2)
+        stated = round_half_up(n * F.when(unit == "week", 7).when(unit == "month", 30).otherwise(1)).cast("int")
+        bare = F.when(t.rlike(r"^\d{1,3}$"), t.try_cast("int"))
+        return F.when(t.rlike("immediate|serving.*0|none|nil"), 0).when(n.isNotNull(), stated).otherwise(bare)
+
+    return let(F.trim(F.lower(text)), days)
+
+
+def ctc_annual_inr(text: Column) -> Column:
+    """Pay of a profile in rupees a year, the lower end of a range: "8.5
+    LPA", "12 lakhs", "1.2 Cr", "70k per month", or a plain number of 5 to 9
+    digits; null for anything else."""
+    lakhs, crores = r"(\d+(?:\.\d+)?)\s*(?:-\s*\d+(?:\.\d+)?\s*)?(?:lpa|l\b|lakhs?|lacs?)", r"(\d+(?:\.\d+)?)\s*(?:cr|crores?)\b"
+    monthly, plain = r"(\d+(?:\.\d+)?)\s*(k)?\s*(?:/|per)\s*(?:month|mo)\b", r"^(\d{5,9})(?:\s*(?:per annum|pa|/year|a year))?$"
+
+    def rupees(s: Column) -> Column:
+        number = lambda pattern: group(s, pattern, 1).cast("double")
+        a_month = number(monthly) * F.when(group(s, monthly, 2) == "k", 12_000).otherwise(12)
+        return round_half_up(F.coalesce(number(lakhs) * 100_000, number(crores) * 10_000_000, a_month, number(plain))).cast("long")
+
+    return let(F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit(","), F.lit("")), r"₹|rs\.?|inr", "")), rupees)
+
+
+# What a preferred location says of the mode of work.
+MODE_WORDS = {"remote": "remote", "work from home": "remote", "wfh": "remote", "hybrid": "hybrid", "onsite": "onsite", "on-site": "onsite"}
+
+
+def preferred_places(items: Column) -> Column:
+    """Preferred locations as struct(locations, modes): places in order, and
+    the modes of work that are named among them, each once."""
+    modes = F.create_map(*(F.lit(x) for pair in MODE_WORDS.items() for x in pair))
+    named = F.transform(items, lambda i: F.struct(F.trim(i).alias("place"), F.try_element_at(modes, F.lower(F.trim(i))).alias("mode")))
+    return let(named, lambda n: F.struct(F.transform(F.filter(n, lambda x: x["mode"].isNull() & (x["place"] != "")), lambda x: x["place"]).alias("locations"), F.array_distinct(F.array_compact(F.transform(n, lambda x: x["mode"]))).alias("modes")))
 
 
 # How dates are written in a line.

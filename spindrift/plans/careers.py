@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.functions import places
+from spindrift.functions import parse, places
 from spindrift.operators import careers, documents, layouts, reports
 from spindrift.plans.inputs import cases, relation, table
 from spindrift.plans.registry import query
@@ -121,6 +121,22 @@ def cv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return careers.job_search(_cvs(spark, sf_dir), "cv_id").select("cv_id", F.col("expected.min_annual").alias("low"), F.col("expected.max_annual").alias("high"), "notice_days")
 
 
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_custkey * 100000 + 50000 WHEN 1 THEN o_custkey * 100000 WHEN 2 THEN o_custkey * 10000000 WHEN 3 THEN o_custkey * 12000 WHEN 4 THEN 100000 + o_custkey END::BIGINT AS pay,
+CASE o_orderkey % 5 WHEN 0 THEN o_custkey * 7 WHEN 1 THEN (o_custkey % 9) * 30 + 15 WHEN 2 THEN 0 WHEN 3 THEN o_custkey % 90 END::INT AS notice,
+  CASE WHEN o_orderkey % 3 = 0 THEN ['Gurugram', 'City ' || o_custkey] ELSE ['City ' || o_custkey] END AS locations, CASE WHEN o_orderkey % 3 = 0 THEN ['remote'] WHEN o_orderkey % 3 = 1 THEN ['remote', 'onsite'] ELSE [] END AS modes FROM orders"""
+)
+def search_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pay, notice and places that profiles state, as preferences."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    pay = F.when(k % 6 == 0, line(c, ".5 LPA")).when(k % 6 == 1, line("₹", c, " - 9999 Lakhs")).when(k % 6 == 2, line("Rs. ", c, " Crores")).when(k % 6 == 3, line(c, "k per month")).when(k % 6 == 4, line(F.format_number(F.col("o_custkey") + 100000, 0), " pa")).otherwise("negotiable")
+    notice = F.when(k % 5 == 0, line(c, " weeks")).when(k % 5 == 1, line((F.col("o_custkey") % 9).cast("string"), ".5 months")).when(k % 5 == 2, "Immediate joiner").when(k % 5 == 3, (F.col("o_custkey") % 90).cast("string")).otherwise("soon")
+    places_ = F.when(k % 3 == 0, F.array(F.lit("Gurugram"), F.lit("Remote"), line("City ", c), F.lit(" "))).when(k % 3 == 1, F.array(F.lit("WFH"), line(" City ", c, " "), F.lit("On-site"), F.lit("remote"))).otherwise(F.array(line("City ", c)))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", parse.ctc_annual_inr(pay).alias("pay"), parse.notice_days(notice).alias("notice"), parse.preferred_places(places_).alias("p"))
+    return rows.select("o_orderkey", "pay", "notice", "p.locations", "p.modes")
+
+
 _GROUNDED = (
     "SELECT c_custkey AS cv_id, path, CASE path WHEN 'name' THEN true WHEN 'company' THEN c_custkey % 3 > 0 WHEN 'near' THEN true WHEN 'far' THEN false WHEN 'skill' THEN c_custkey % 2 = 0 END AS found FROM customer, (VALUES ('name'), ('company'), ('near'), ('far'), ('skill'), ('empty')) t(path)"
 )

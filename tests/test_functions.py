@@ -103,3 +103,14 @@ def test_robots(spark, path, allowed):
 
     rules = pages.robots_rules(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\n"))
     assert spark.range(1).select(pages.robots_allows(rules, F.lit(path)).alias("a")).first().a is allowed
+
+
+def test_pay_notice_and_places_of_a_profile(spark):
+    pay = {"8.5 LPA": 850_000, "12 Lakhs": 1_200_000, "₹8,50,000": 850_000, "8-12 LPA": 800_000, "70k per month": 840_000, "negotiable": None, "": None, None: None, "1.2 Cr": 12_000_000}
+    notice = {"60 days": 60, "2 months": 60, "Immediate joiner": 0, "soon": None, "1.5 weeks": 11, "45": 45, "nil": 0, "": None, None: None}
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(pay)], "i int, t string").select("i", parse.ctc_annual_inr(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == list(pay.values())
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(notice)], "i int, t string").select("i", parse.notice_days(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == list(notice.values())
+    frame = spark.createDataFrame([(["Gurugram", "Noida", "Remote"],), ([" wfh ", "REMOTE", "", " "],), (None,)], "p array<string>")
+    assert [r.v and (r.v.locations, r.v.modes) for r in frame.select(parse.preferred_places(F.col("p")).alias("v")).collect()] in ([(["Gurugram", "Noida"], ["remote"]), ([], ["remote"]), (None, None)], [(["Gurugram", "Noida"], ["remote"]), ([], ["remote"]), None])
