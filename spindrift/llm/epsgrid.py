@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.components import send, star_edges
+from spindrift.operators.stars import send, star_edges
 from spindrift.llm.workspace import cut
 
 #: The principal directions are fitted on about so many vectors, by hash.

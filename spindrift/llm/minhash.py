@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import textkernels as K
-from spindrift.llm.components import send, star_edges
+from spindrift.operators.stars import send, star_edges
 from spindrift.llm.workspace import cut
 
 #: Bytes of minima that a signature holds, and how many must agree at least.

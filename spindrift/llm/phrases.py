@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import textkernels as K
-from spindrift.llm.components import HOT
+from spindrift.operators.stars import HOT
 from spindrift.llm.workspace import cut
 
 #: Bytes of text whose suffixes are counted together before the shuffle.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spindrift.functions.places import APART_DAYS
 from spindrift.functions.text import let
 from spindrift.operators.matching import close_pairs
+from spindrift.operators.stars import star_edges
 from spindrift.operators.storage import cut
 
 _NEVER = -(2**40)
@@ -84,24 +85,13 @@ def links(rows: DataFrame, row_id: str) -> DataFrame:
     return stars.union(close_postings(rows, row_id)).where("u <> v").distinct()
 
 
-def components(rows: DataFrame, row_id: str, rounds: int = 30) -> DataFrame:
-    """Rows with canonical_id, the least id reachable over links. Labels
-    fall along links and jump to their own label's label, until none changes;
-    each round is written to the shared folder. Labels that still change after
+def components(rows: DataFrame, row_id: str, rounds: int = 60) -> DataFrame:
+    """Rows with canonical_id, the least id reachable over links, by
+    large-star and small-star, whose rounds grow with the logarithm of a chain's
+    length; each is written to the shared folder. Links that still change after
     ``rounds`` are an error, never a result."""
-    edges = cut(links(rows, row_id), "links")
-    both = edges.union(edges.select("v", "u"))
-    label = rows.select(F.col(row_id).alias("u"), F.col(row_id).alias("label"))
-    for _ in range(rounds):
-        near = both.join(label.toDF("v", "_l"), "v").groupBy("u").agg(F.min("_l").alias("_m"))
-        lower = label.join(near, "u", "left").select("u", F.least("label", "_m").alias("label"), F.col("label").alias("_old"))
-        jump = lower.join(lower.select(F.col("u").alias("label"), F.col("label").alias("_j")), "label", "left")
-        new = cut(jump.select("u", F.least("label", "_j").alias("label"), "_old"), "labels")
-        done = new.where("label <> _old").isEmpty()
-        label = new.select("u", "label")
-        if done:
-            return rows.join(label.toDF(row_id, "canonical_id"), row_id)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    least = star_edges(links(rows, row_id), rounds).toDF("_u", "_v")
+    return rows.join(least, F.col(row_id) == F.col("_u"), "left").withColumn("canonical_id", F.coalesce("_v", row_id)).drop("_u", "_v")
 
 
 def best_description(rows: DataFrame, key: str, row_id: str) -> DataFrame:

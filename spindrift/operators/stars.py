@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.workspace import discard, stored
+from spindrift.operators.storage import discard, stored
 
 
 #: Keys of more than 1 / HOT of all rows count as hot; there are fewer than HOT of them.

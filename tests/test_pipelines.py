@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 from datetime import datetime
 
@@ -92,6 +93,14 @@ def test_components_settle_or_fail(spark):
     assert {r.canonical_id for r in resolve.components(frame, "id").collect()} == {0}
 
 
+def test_components_of_a_long_chain_of_shuffled_ids(spark):
+    # labels that fall along links take as many rounds as such a chain's stretches
+    ids = random.Random(3).sample(range(10_000), 600)
+    rows = [(n, "p", str(i // 2), "", None, "t", f"h{(i + 1) // 2}", None) for i, n in enumerate(ids)] + [(20_000, None, None, "", None, "t", None, None)]
+    frame = spark.createDataFrame(rows, "id long, provider string, external_id string, company_key string, city string, title_key string, description_hash string, posted_at timestamp")
+    assert {(r.id, r.canonical_id) for r in resolve.components(frame, "id").collect()} == {*((n, min(ids)) for n in ids), (20_000, 20_000)}
+
+
 def test_exact_duplicates_compare_whole_texts_of_any_script(spark, tmp_path):
     from spindrift.plans import QUERIES
 
