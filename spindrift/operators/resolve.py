@@ -104,6 +104,10 @@ def best_description(rows: DataFrame, key: str, row_id: str) -> DataFrame:
 _FIELDS = ("provider", "external_id", "company_key", "city", "title_key", "description_hash", "posted_at", "truncated", "length")
 
 
+#: Rows that a task of ``greedy`` has as Python objects at once.
+_SHOWN = 4096
+
+
 class _Merged:
     """Records of one component so far, in the order in which they were opened,
     found by the fields that make two postings one."""
@@ -183,6 +187,8 @@ def greedy(rows: DataFrame, row_id: str) -> DataFrame:
     row with the better description, so later rows are compared with that. Rows
     that can ever meet are in one component of links, so components are replayed,
     each as a stream in order: a task holds a component's records, not its rows.
+    It says of each row which row opened its record as it passes, and what a
+    record is in the end when the component does; a join brings the two together.
     canonical_id is the row that opened the record, kept_id the row that it is in
     the end. Null or empty hashes, provider ids, companies and titles equal
     nothing. Rows (row_id, provider, external_id, company_key, city, title_key,
@@ -190,29 +196,39 @@ def greedy(rows: DataFrame, row_id: str) -> DataFrame:
     """
     import pyarrow as pa
 
+    names = ["_row", "canonical_id", "kept_id"]
+
+    def shown(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        component, merged, joined = None, _Merged(), []
+        component, merged, opened = None, _Merged(), []
 
-        def shown() -> pa.RecordBatch:
-            ids, at = zip(*joined, strict=True)
-            opened: dict[int, int] = {}
-            for i, k in joined:
-                opened.setdefault(k, i)
-            names = [row_id, "canonical_id", "kept_id"]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([opened[k] for k in at], pa.int64()), pa.array([merged.records[k]["_id"] for k in at], pa.int64())], names=names)
+        def ended() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(opened), _SHOWN):
+                some = opened[at : at + _SHOWN]
+                yield shown([None] * len(some), some, [r["_id"] for r in merged.records[at : at + _SHOWN]])
 
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("_component", "_id", *_FIELDS)}
-            for values in zip(*columns.values(), strict=True):
-                row = dict(zip(columns, values, strict=True))
-                if row["_component"] != component and joined:
-                    yield shown()
-                    merged, joined = _Merged(), []
-                component = row["_component"]
-                joined.append((row["_id"], merged.add(row)))
-        if joined:
-            yield shown()
+            for at in range(0, batch.num_rows, _SHOWN):
+                part = batch.slice(at, _SHOWN)
+                columns = {c: part.column(c).to_pylist() for c in ("_component", "_id", *_FIELDS)}
+                rows_, joined = [], []
+                for values in zip(*columns.values(), strict=True):
+                    row = dict(zip(columns, values, strict=True))
+                    if row["_component"] != component:
+                        yield from ended()
+                        component, merged, opened = row["_component"], _Merged(), []
+                    k = merged.add(row)
+                    if k == len(opened):
+                        opened.append(row["_id"])
+                    rows_.append(row["_id"])
+                    joined.append(opened[k])
+                yield shown(rows_, joined, [None] * len(rows_))
+        yield from ended()
 
     found = components(rows, row_id)
     own = found.select(F.col("canonical_id").alias("_component"), F.col(row_id).cast("long").alias("_id"), *_FIELDS[:6], F.unix_timestamp("posted_at").alias("posted_at"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce(F.length("description"), F.lit(0)).alias("length"))
-    return own.repartition("_component").sortWithinPartitions("_component", "_id").mapInArrow(run, f"{row_id} long, canonical_id long, kept_id long")
+    said = cut(own.repartition("_component").sortWithinPartitions("_component", "_id").mapInArrow(run, "_row long, canonical_id long, kept_id long"), "merged")
+    kept = said.where("_row is null").select("canonical_id", "kept_id")
+    return said.where("_row is not null").select(F.col("_row").alias(row_id), "canonical_id").join(kept, "canonical_id").select(row_id, "canonical_id", "kept_id")

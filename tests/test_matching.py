@@ -280,3 +280,11 @@ def test_data_source_reads_in_parts_and_goes_on_at_its_cursor(spark, tmp_path):
         return sorted(r.number for r in spark.read.parquet(f"{tmp_path}/out").select("number").collect())
 
     assert run(30) == list(range(30)) and run(30) == list(range(30)) and run(50) == list(range(50))
+
+
+def test_merging_says_rows_as_they_pass(spark, monkeypatch):
+    """One component of several records, said in parts of seven rows."""
+    monkeypatch.setattr(resolve, "_SHOWN", 7)
+    rows = [(i, "p", str(i % 3), "c", "Pune", ["qa", "data engineer", "architect"][i % 3], f"h{i}" if i % 30 else "h", None, i < 50, "x" * i) for i in range(100)]
+    frame = spark.createDataFrame(rows, "id long, provider string, external_id string, company_key string, city string, title_key string, description_hash string, posted_at timestamp, truncated boolean, description string")
+    assert sorted(tuple(r) for r in resolve.greedy(frame, "id").collect()) == merged_by_loop(rows)
