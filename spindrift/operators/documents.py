@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from spindrift.functions.text import best_match, let, mentions, normalize_for_match, sentences, skill_key, skill_keys_in, split_lines, strip_bullet, word_count
-from spindrift.operators.matching import best_containment
+from spindrift.operators.matching import containment
 
 # How a wrapped line goes on, and what headings say.
 JOINERS = r"(?i)(?:[,–—&(/:]|\s-|\b(?:and|or|of|to|in|on|with|for|the|a|an|by|from|at|as|across|into|using|via|including))$"
@@ -178,16 +178,13 @@ def bullet_coverage(lines: DataFrame, bullets: DataFrame, key: str) -> DataFrame
     """Of a document's lines (key, text) of eight words or more how
     many some extracted bullet (key, text) has, or is part of, by equal or nearly
     equal words: key, n_lines, covered. Shorter lines don't count. A line meets
-    only its own document's bullets and those it shares words with; a text that
-    occurs again is compared once."""
+    only its own document's bullets; a text that occurs again is compared once."""
     own = lines.where(word_count(F.col("text")) >= SUBSTANTIVE_WORDS).groupBy(key, normalize_for_match(F.col("text")).alias("_t")).agg(F.count("*").alias("_n")).withColumn("_id", F.xxhash64("_t"))
-    said = bullets.select(key, normalize_for_match(F.col("text")).alias("_b")).where("_b <> ''").distinct().withColumn("_id", F.xxhash64("_b"))
-    inside = best_containment(own.select(key, "_id", F.col("_t").alias("value")), said.select(key, F.col("_b").alias("text")), [key], "_id").where(F.col("score") >= BULLET_GROUNDED).select(key, "_id")
-    # the other way round each bullet must know which line holds it
-    pairs = said.select(key, F.col("_id").alias("_bid"), F.col("_b").alias("value")).join(own.select(key, "_id"), key)
-    around = best_containment(pairs, own.select(key, "_id", F.col("_t").alias("text")), [key, "_id"], "_bid").where(F.col("score") >= BULLET_GROUNDED).select(key, "_id")
-    hit = inside.union(around).distinct().withColumn("_hit", F.lit(True))
-    return own.join(hit, [key, "_id"], "left").groupBy(key).agg(F.sum("_n").alias("n_lines"), F.coalesce(F.sum(F.when(F.col("_hit"), F.col("_n"))), F.lit(0)).alias("covered"))
+    said = bullets.select(key, normalize_for_match(F.col("text")).alias("_b")).where("_b <> ''").distinct()
+    # a line and a bullet meet once, and either may hold the other
+    met = own.select(key, "_id", "_t").join(said.select(key, "_b").hint("merge"), key)
+    hit = met.where((containment(F.col("_b"), F.col("_t")) >= BULLET_GROUNDED) | (containment(F.col("_t"), F.col("_b")) >= BULLET_GROUNDED)).select(key, "_id").distinct().withColumn("_hit", F.lit(True))
+    return own.join(hit.hint("merge"), [key, "_id"], "left").groupBy(key).agg(F.sum("_n").alias("n_lines"), F.coalesce(F.sum(F.when(F.col("_hit"), F.col("_n"))), F.lit(0)).alias("covered"))
 
 
 def check(kind: str, **asked) -> tuple[str, dict]:

@@ -11,3 +11,18 @@ def spread(rows: DataFrame) -> DataFrame:
     cores, which is every large one, stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+#: Rows of a task of ``dealt``.
+ROWS = 20_000
+
+
+def dealt(rows: DataFrame, each: int = ROWS) -> DataFrame:
+    """Deal out small rows that make much work, such as keys from which whole
+    documents are made: as many tasks as there are cores, and a task for every
+    ``each`` rows, however few files or bytes hold them. They are counted first;
+    a table that has as many splits is left as it is. Spark moves filters, and
+    the work they rest on, from behind a repartition back to the few tasks before
+    it, but not from behind a function, so the rows pass through one."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+    return rows.repartition(tasks).mapInArrow(lambda batches: batches, rows.schema) if rows.rdd.getNumPartitions() < tasks else rows

@@ -3,7 +3,7 @@
 Both meet by equality first. Strings that are close share a segment (pigeonhole),
 so a join on segments finds every close pair without comparing a block's strings
 with one another. A value that a text nearly holds shares half its words with a
-window of it, so a join on words finds the windows that can match.
+window of it, so only windows around shared words are compared.
 """
 
 from __future__ import annotations
@@ -69,33 +69,40 @@ def _starts(hits: Column, n: Column, size: Column, length: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(near, lambda s: _upto(F.greatest(F.lit(0), s["b"] - size + 1), F.least(s["a"], length - size)))))
 
 
-def best_containment(values: DataFrame, texts: DataFrame, keys: list[str], value_id: str) -> DataFrame:
-    """How well a text holds a value, both normalised: values (keys,
-    value_id, value), texts (keys, text; one or more a key): keys, value_id,
-    score, the best over the key's texts.
-
-    1 where it stands as it is; else the best edit similarity of a window of
-    about as many words that shares half of the value's; 0 where no window does.
-    An empty value scores 1; a null one, or one without a text, has no row.
-    """
-    values = values.where(F.col("value").isNotNull()).select(*keys, value_id, "value")
-    texts = texts.where(F.col("text").isNotNull()).select(*keys, "text").distinct().withColumn("_tid", F.xxhash64("text", *keys))
-    exact = values.join(texts, keys).groupBy(*keys, value_id, "value").agg(F.bool_or((F.col("value") == "") | F.contains("text", F.col("value"))).alias("_in")).select(*keys, value_id, "value", "_in")
-    open_values = exact.where("not _in").select(*keys, value_id, "value", F.split("value", " ").alias("_w"))
-    words = texts.select(*keys, "_tid", F.posexplode(F.split("text", " ")).alias("_pos", "_word"))
-    asked = open_values.select(*keys, value_id, F.explode(F.array_distinct("_w")).alias("_word"))
-    hits = asked.join(words, [*keys, "_word"]).groupBy(*keys, value_id, "_tid").agg(F.array_sort(F.collect_list("_pos")).alias("_hits"))
-    rows = hits.join(open_values, [*keys, value_id]).join(texts.select(*keys, "_tid", F.split("text", " ").alias("_text")), [*keys, "_tid"])
+def containment(holder: Column, value: Column) -> Column:
+    """How well a text holds a value, both normalised: 1 where it
+    stands as it is (an empty value always does); else the best edit similarity
+    of a window of about as many words that shares half of the value's; 0 where
+    no window does. Null if either is."""
 
     def best(row: Column) -> Column:
         n, length = F.size(row["w"]), F.size(row["text"])
+        hits = F.filter(F.transform(row["text"], lambda x, i: F.when(F.array_contains(row["w"], x), i)), lambda i: i.isNotNull())
+
+        def over(hits: Column) -> Column:
+            def of_size(d: int) -> Column:
+                size = F.greatest(F.lit(1), n + d)
+                return F.array_max(F.transform(_starts(hits, n, size, length), lambda s: similarity(F.array_join(F.slice(row["text"], s + 1, size), " "), row["value"])))
+
+            few = 2 * F.size(hits) < F.greatest(F.lit(1), n - 1)
+            return F.when(few, 0.0).otherwise(F.coalesce(F.greatest(*(of_size(d) for d in (-1, 0, 1))), F.lit(0.0)))
 
-        def of_size(d: int) -> Column:
-            size = F.greatest(F.lit(1), n + d)
-            return F.array_max(F.transform(_starts(row["hits"], n, size, length), lambda s: similarity(F.array_join(F.slice(row["text"], s + 1, size), " "), row["value"])))
+        return let(hits, over)
 
-        return F.greatest(*(of_size(d) for d in (-1, 0, 1)))
+    row = F.struct(F.split(value, " ").alias("w"), F.split(holder, " ").alias("text"), value.alias("value"))
+    return F.when(holder.isNull() | value.isNull(), F.lit(None).cast("double")).when((value == "") | F.contains(holder, value), 1.0).otherwise(let(row, best))
 
-    row = F.struct(F.col("_w").alias("w"), F.col("_text").alias("text"), F.col("_hits").alias("hits"), F.col("value").alias("value"))
-    near = rows.select(*keys, value_id, let(row, best).alias("_near")).groupBy(*keys, value_id).agg(F.max("_near").alias("_near"))
-    return exact.join(near, [*keys, value_id], "left").select(*keys, value_id, F.when(F.col("_in"), 1.0).otherwise(F.coalesce("_near", F.lit(0.0))).alias("score"))
+
+def best_containment(values: DataFrame, texts: DataFrame, keys: list[str], value_id: str) -> DataFrame:
+    """How well a text holds a value, both normalised: values (keys,
+    value_id, value), texts (keys, text; one or more a key): keys, value_id,
+    score, the best ``containment`` over the key's texts.
+
+    A null value, or one without a text, has no row. Values and texts meet once,
+    by a merge join: nothing that grows with them is broadcast, whatever Spark
+    takes the size of a text to be.
+    """
+    values = values.where(F.col("value").isNotNull()).select(*keys, value_id, "value")
+    texts = texts.where(F.col("text").isNotNull()).select(*keys, "text")
+    met = values.join(texts.hint("merge"), keys).select(*keys, value_id, "value", containment(F.col("text"), F.col("value")).alias("score"))
+    return met.groupBy(*keys, value_id, "value").agg(F.max("score").alias("score")).drop("value")

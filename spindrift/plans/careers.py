@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places
 from spindrift.operators import careers, documents, layouts, reports
-from spindrift.plans.inputs import cases, relation, table
+from spindrift.operators.layout import dealt
+from spindrift.plans.inputs import cases, relation, relation_of, table
 from spindrift.plans.registry import query
 
 _BODY = [
@@ -22,7 +23,7 @@ _CV = "SELECT c_custkey AS cv_id, replace(replace('" + "\n".join(_BODY) + "', '@
 
 def _cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per customer; the sign in its address is put back."""
-    rows = relation(spark, sf_dir, _CV)
+    rows = relation_of(spark, sf_dir, _CV, "customer", "c_custkey")
     return rows.withColumn("text", F.regexp_replace("text", r"Asha(\d+)x\.example", "asha$1@x.example"))
 
 
@@ -288,7 +289,7 @@ def bullet_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of a document's lines of eight words or more its
     extracted bullets have, or are part of."""
     k = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").withColumn("cv_id", F.col("o_custkey"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cv_id")))
     code = F.md5(k.cast("string"))
     long = F.concat_ws(" ", F.lit("wrote"), *(F.substring(code, i, 4) for i in range(1, 32, 4)))
     lines = orders.select("cv_id", F.explode(F.array(long, F.concat(F.lit("short line "), k))).alias("text"))

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from spindrift.operators import careers, labelling, layouts, matching, reports, resolve, vector_index, vectors
+from spindrift.operators import careers, documents, labelling, layout, layouts, matching, reports, resolve, vector_index, vectors
 from spindrift.streaming.statelog import StateLog
 
 
@@ -288,3 +288,23 @@ def test_merging_says_rows_as_they_pass(spark, monkeypatch):
     rows = [(i, "p", str(i % 3), "c", "Pune", ["qa", "data engineer", "architect"][i % 3], f"h{i}" if i % 30 else "h", None, i < 50, "x" * i) for i in range(100)]
     frame = spark.createDataFrame(rows, "id long, provider string, external_id string, company_key string, city string, title_key string, description_hash string, posted_at timestamp, truncated boolean, description string")
     assert sorted(tuple(r) for r in resolve.greedy(frame, "id").collect()) == merged_by_loop(rows)
+
+
+def test_values_and_texts_are_never_broadcast(spark):
+    """Texts made from keys look small to Spark; their joins merge all the same."""
+    texts = spark.range(50).selectExpr("id", "concat('cut costs by 30% with NodeJS ', id) AS text")
+    values = spark.range(50).selectExpr("id", "inline(array(struct('a' AS path, 'cut costz by 30%' AS value, 'text' AS kind), struct('b' AS path, 'Node.js' AS value, 'skill' AS kind)))")
+    lines = spark.range(50).selectExpr("id", "concat('one two three four five six seven ', id) AS text")
+    for frame, n in ((careers.grounded(values, texts, "id"), 100), (documents.bullet_coverage(lines, lines, "id"), 50)):
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert frame.count() == n
+    assert documents.bullet_coverage(lines, lines, "id").where("covered = 1 and n_lines = 1").count() == 50
+
+
+def test_filters_stay_behind_dealt_rows(spark):
+    """Work goes to a task for every few rows of one split, and stays there."""
+    rows = spark.range(0, 1000, 1, 1)
+    plan = layout.dealt(rows, 100).where("id % 7 = 0")
+    assert plan.rdd.getNumPartitions() == 10 and plan.count() == 143
+    tree = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("Filter") < tree.index("Repartition")
