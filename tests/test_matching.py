@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from spindrift.operators import careers, documents, labelling, layout, layouts, matching, reports, resolve, vector_index, vectors
+from spindrift.operators import careers, documents, joins, labelling, layout, layouts, matching, reports, resolve, vector_index, vectors
 from spindrift.streaming.statelog import StateLog
 
 
@@ -308,3 +308,23 @@ def test_filters_stay_behind_dealt_rows(spark):
     assert plan.rdd.getNumPartitions() == 10 and plan.count() == 143
     tree = plan._jdf.queryExecution().optimizedPlan().toString()
     assert tree.index("Filter") < tree.index("Repartition")
+
+
+def test_similar_rows_compare_each_string_once(spark):
+    names = ["red apple", "red apples", "blue", "azure sky", None]
+    rows = [(i, "xy"[i % 2], names[i * 7 % 5]) for i in range(60)]
+    got = {(r.a, r.b): r.similarity for r in matching.similar_rows(spark.createDataFrame(rows, "i int, k string, s string"), ["k"], "i", "s", 0.5).collect()}
+    want = {(a[0], b[0]): likeness(a[2], b[2]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and a[2] and b[2] and likeness(a[2], b[2]) >= 0.5}
+    assert got == pytest.approx(want)
+    plan = matching.similar_rows(spark.createDataFrame(rows, "i int, k string, s string"), ["k"], "i", "s", 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("levenshtein") > plan.index("Join")
+
+
+def test_pairs_by_any_key_need_no_distinct(spark):
+    rows = spark.createDataFrame([(1, "p", "a", 7), (2, "p", "a", 7), (3, "p", None, 7), (4, None, None, None)], "id int, k string, e string, c int")
+    found = joins.any_key(rows, rows, [["k", "e"], ["c"]], "id", "id")
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # an id that occurs again agrees by another row
+    twice = rows.union(spark.createDataFrame([(3, "p", "a", None)], rows.schema))
+    assert sorted(map(tuple, joins.any_key(twice, twice, [["k", "e"], ["c"]], "id", "id").collect())) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
