@@ -60,6 +60,31 @@ def close_pairs(strings: DataFrame, block: list[str], column: str, tenths: int =
     return pairs.where(similarity(F.col("one"), F.col("two")) >= 1 - tenths / 10)
 
 
+def similar_rows(rows: DataFrame, block: list[str], row_id: str, column: str, least: float) -> DataFrame:
+    """Pairs of rows (a < b by id) of a block whose strings have an edit
+    similarity of ``least`` or more: a, b, similarity.
+
+    Below about 0.7 no segment needs to stand unchanged, so the strings of a
+    block meet one another; but each string counts once however many rows have
+    it, lengths that differ too much are passed over, and rows are joined to the
+    pairs of strings that are close. Blocks are few bytes and much
+    work, so they are dealt into a fixed number of parts. Nulls are left out.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.where(F.col(column).isNotNull())
+    strings = rows.select(*block, F.col(column).alias("_s")).distinct().repartition(parts, *block)
+    one, two = (strings.withColumnRenamed("_s", c) for c in ("one", "two"))
+    longest = F.greatest(F.length("one"), F.length("two"))
+    # by a hair more than allowed, so that rounding leaves the verdict to the similarity
+    lengths = F.abs(F.length("one") - F.length("two")) <= longest * (1 - least) + 1e-6
+    same = F.when(F.col("one") == F.col("two"), 1.0).otherwise(similarity(F.col("one"), F.col("two")))
+    close = one.join(two.hint("merge"), block).where((F.col("one") <= F.col("two")) & lengths).select("*", same.alias("similarity")).where(F.col("similarity") >= least)
+    close = close.unionByName(close.where("one <> two").select(*block, F.col("two").alias("one"), F.col("one").alias("two"), "similarity"))
+    a = rows.select(*block, F.col(column).alias("one"), F.col(row_id).alias("a"))
+    b = rows.select(*block, F.col(column).alias("two"), F.col(row_id).alias("b"))
+    return close.join(a, [*block, "one"]).join(b, [*block, "two"]).where("a < b").select("a", "b", "similarity")
+
+
 def _starts(hits: Column, n: Column, size: Column, length: Column) -> Column:
     """Windows of ``size`` words, by where they start, that hold at least half of
     n words: each begins no earlier than its last needed hit allows."""

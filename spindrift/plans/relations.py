@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places, text
-from spindrift.operators import history, joins, metrics, sets, vector_index, vectors
+from spindrift.operators import history, joins, matching, metrics, sets, vector_index, vectors
 from spindrift.plans.inputs import COMPANIES, MOVES, NOW, POSTINGS, SPANS, now, oracle, relation, table
 from spindrift.plans.registry import SQL, query
 
@@ -349,6 +349,4 @@ def name_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Close names among candidates of the same block."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    a, b = part.toDF("a", "an", "p_brand", "p_size"), part.toDF("b", "bn", "p_brand", "p_size")
-    s = text.similarity(F.col("an"), F.col("bn"))
-    return a.join(b, ["p_brand", "p_size"]).where((F.col("a") < F.col("b")) & (s >= 0.5)).select("a", "b", F.round(s, 6).alias("similarity"))
+    return matching.similar_rows(part, ["p_brand", "p_size"], "p_partkey", "p_name", 0.5).select("a", "b", F.round("similarity", 6).alias("similarity"))
