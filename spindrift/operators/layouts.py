@@ -285,8 +285,9 @@ def experience(documents: DataFrame, key: str) -> DataFrame:
 def _added_to_jobs(rows: DataFrame, key: str) -> DataFrame:
     """Contributions that stand apart join the first job at that company, in
     order; those of no job are an entry of their own."""
-    first = rows.where("not _a").groupBy(key, F.lower("company").alias("_c")).agg(F.min("entry_no").alias("_e"))
-    rows = rows.withColumn("_c", F.when(F.col("_a"), F.lower("company"))).join(first, [key, "_c"], "left").withColumn("_to", F.coalesce("_e", "entry_no"))
+    # a window, so that the rows before it, which cost much, are worked out once
+    job = F.min(F.when(~F.col("_a"), F.col("entry_no"))).over(Window.partitionBy(key, F.lower("company")))
+    rows = rows.withColumn("_e", job).withColumn("_to", F.when(F.col("_a") & F.col("company").isNotNull(), F.coalesce("_e", "entry_no")).otherwise(F.col("entry_no")))
     more = F.array_sort(F.collect_list(F.struct("entry_no", "bullets", "technologies")))
     fields = ["title", "company", "location", "employment", "mode", "first", "last", "still"]
     joined = rows.groupBy(key, F.col("_to").alias("entry_no")).agg(F.min_by(F.struct(*fields), "entry_no").alias("r"), more.alias("m"))

@@ -328,3 +328,16 @@ def test_pairs_by_any_key_need_no_distinct(spark):
     # an id that occurs again agrees by another row
     twice = rows.union(spark.createDataFrame([(3, "p", "a", None)], rows.schema))
     assert sorted(map(tuple, joins.any_key(twice, twice, [["k", "e"], ["c"]], "id", "id").collect())) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
+
+
+def test_texts_are_embedded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_TEXTS", 3)
+    texts = spark.createDataFrame([(i, None if i % 5 == 0 else f"spark {i} words {i * i}") for i in range(20)], "id long, text string")
+    got = {r.id: r.vector for r in vectors.embed(texts.coalesce(1), "id", 16).collect()}
+    for i in (0, 4, 7, 19):
+        assert got[i] == vectors.embed(texts.where(f"id = {i}"), "id", 16).first().vector
+
+
+def test_jobs_are_worked_out_once(spark):
+    texts = spark.createDataFrame([(1, "Experience\nEngineer | Acme\tJan 2020 - Present\n- Built it")], "id long, text string")
+    assert layouts.experience(texts, "id")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
