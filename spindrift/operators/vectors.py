@@ -177,6 +177,10 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return h
 
 
+#: Texts whose words ``embed`` has as numbers at once, whatever Arrow's batches are.
+_TEXTS = 512
+
+
 def embed(rows: DataFrame, key: str, size: int = 384, cap: int = 2000) -> DataFrame:
     """SC23, V3, V4: signed hashed bag-of-words unit vectors of texts (key,
     text), a batch at a time: key, vector, deferred.
@@ -190,7 +194,7 @@ def embed(rows: DataFrame, key: str, size: int = 384, cap: int = 2000) -> DataFr
     asked = rows.select(key, F.coalesce(F.filter(words, lambda w: F.length(w) > 1), F.array().cast("array<string>")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, _TEXTS) for whole in batches for at in range(0, whole.num_rows, _TEXTS)):
             lists = batch.column("words")
             coded = lists.flatten().dictionary_encode()
             hashes = word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
