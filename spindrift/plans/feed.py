@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places
 from spindrift.operators import feed
-from spindrift.operators.layout import spread
+from spindrift.operators.layout import dealt
 from spindrift.plans.inputs import COMPANIES, NOW, POSTINGS, now, oracle, relation
 from spindrift.plans.registry import query
 
@@ -106,7 +106,7 @@ def prepared_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that is read out of a posting, in one projection."""
     from spindrift.operators.prepare import prepare
 
-    rows = prepare(spread(relation(spark, sf_dir, POSTINGS)))
+    rows = prepare(dealt(relation(spark, sf_dir, POSTINGS)))
     return rows.select("job_id", "company", "company_key", "city", "work_mode", "title_key", "description_hash", "staffing", "salary.min_annual", "salary.max_annual", "salary.currency", "salary.disclosed", "experience.min_years", "experience.max_years", "seniority", "conditions.notice_max_days", "conditions.bond", "conditions.office_days", "n_keys")
 
 
@@ -127,13 +127,13 @@ def canonical_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def salaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pay as annual amounts."""
-    return spread(relation(spark, sf_dir, POSTINGS)).select("job_id", parse.salary(F.col("salary_text")).alias("s")).select("job_id", "s.*")
+    return dealt(relation(spark, sf_dir, POSTINGS)).select("job_id", parse.salary(F.col("salary_text")).alias("s")).select("job_id", "s.*")
 
 
 @query(f"{_JOBS} SELECT job_id, CASE job_id % 7 WHEN 0 THEN 3.0 WHEN 1 THEN 4.0 WHEN 2 THEN 8.0 WHEN 3 THEN 0.0 WHEN 4 THEN 6.0 WHEN 6 THEN 2.0 END::DOUBLE AS min_years, CASE job_id % 7 WHEN 0 THEN 5.0 WHEN 3 THEN 1.0 WHEN 4 THEN 6.0 WHEN 6 THEN 4.0 END::DOUBLE AS max_years FROM jobs")
 def experience_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: years of experience asked for."""
-    return spread(relation(spark, sf_dir, POSTINGS)).select("job_id", parse.experience(F.col("description")).alias("e")).select("job_id", "e.*")
+    return dealt(relation(spark, sf_dir, POSTINGS)).select("job_id", parse.experience(F.col("description")).alias("e")).select("job_id", "e.*")
 
 
 @query(
@@ -142,4 +142,4 @@ def experience_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def posting_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions of a posting."""
-    return spread(relation(spark, sf_dir, POSTINGS)).select("job_id", parse.conditions(F.col("description")).alias("c")).select("job_id", "c.*")
+    return dealt(relation(spark, sf_dir, POSTINGS)).select("job_id", parse.conditions(F.col("description")).alias("c")).select("job_id", "c.*")
