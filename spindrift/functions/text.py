@@ -68,9 +68,14 @@ def squeeze(text: Column) -> Column:
 
 
 def split_lines(text: Column) -> Column:
-    """Lines that are not empty; blanks single, tabs kept bare."""
-    tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[  ]+", " "), " ?\t ?", "\t"))
-    return F.filter(F.transform(F.split(text, "\r?\n"), tidy), lambda x: x != "")
+    """Lines that are not empty; blanks single, tabs kept bare. The text is
+    cleaned as a whole before it is cut, by plain replacing, which gives the
+    same lines."""
+    text = F.replace(text, F.lit(" "), F.lit(" "))
+    text = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, "  +", " ")).otherwise(text)
+    for said, kept in ((" \t", "\t"), ("\t ", "\t"), ("\r\n", "\n"), (" \n", "\n"), ("\n ", "\n")):
+        text = F.replace(text, F.lit(said), F.lit(kept))
+    return F.array_remove(F.split(F.trim(text), "\n"), "")
 
 
 def strip_bullet(line: Column) -> Column:
@@ -154,10 +159,19 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
 
 
+def skill_names(names: Column, ascii_only: bool = False) -> Column:
+    """Names in the form that keys are taken from; a text of one a line keeps its lines."""
+    return F.lower(names if ascii_only else _nfkd(names))
+
+
+def bare_key(name: Column) -> Column:
+    """X21 of a name that ``skill_names`` gave."""
+    return F.regexp_replace(name, "[^a-z0-9#+]", "")
+
+
 def skill_key(name: Column, ascii_only: bool = False) -> Column:
     """Letters, digits, # and + only, lower case."""
-    name = name if ascii_only else _nfkd(name)
-    return F.regexp_replace(F.lower(name), "[^a-z0-9#+]", "")
+    return bare_key(skill_names(name, ascii_only))
 
 
 def skill_keys_in(text: Column, ascii_only: bool = False) -> Column:
@@ -195,13 +209,16 @@ def skill_slug(name: Column) -> Column:
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The same addresses, sought only where a run of their letters begins or the last one ended.
+_EMAILS = rf"(?:\G|(?<![A-Za-z0-9._%+-]))({EMAIL.replace('+@', '++@')})"
 PHONE = r"\+?\(?\d[\d\s().-]{8,}\d"
 URL = r"https?://[^\s<>\"')]+"
 
 
 def emails(text: Column) -> Column:
-    """X27."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({EMAIL})"), 1), F.lower))
+    """X27. An address stands in one line, so only lines with its sign are gone through."""
+    lines = F.array_join(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("@"))), "\n")
+    return F.array_distinct(F.transform(F.regexp_extract_all(lines, F.lit(_EMAILS), 1), F.lower))
 
 
 def phones(text: Column) -> Column:

@@ -3,11 +3,15 @@ and the state log, against loops and values from outside."""
 
 import itertools
 import random
+import re
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from spindrift.functions import text
 from spindrift.operators import careers, documents, joins, labelling, layout, layouts, matching, reports, resolve, vector_index, vectors
 from spindrift.streaming.statelog import StateLog
 
@@ -341,3 +345,25 @@ def test_texts_are_embedded_in_parts(spark, monkeypatch):
 def test_jobs_are_worked_out_once(spark):
     texts = spark.createDataFrame([(1, "Experience\nEngineer | Acme\tJan 2020 - Present\n- Built it")], "id long, text string")
     assert layouts.experience(texts, "id")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_lines_and_addresses_are_those_of_loops(spark):
+    rng = random.Random(3)
+    bits = ["a", "b ", "\t", "\xa0", "  ", "\n", "\r\n", "\r", " \n ", "x@y.co", "@", ".", "a.b+c@d-e.co.in", "q@z.cc@w.dd", "@x.comz", "1@2.3"]
+    texts = [None, "", "\n", *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(800))]
+    tidy = lambda x: re.sub(" ?\t ?", "\t", re.sub("[ \xa0]+", " ", x)).strip(" ")
+    lines = [None if t is None else [y for y in map(tidy, re.split("\r?\n", t)) if y] for t in texts]
+    found = [None if t is None else list(dict.fromkeys(x.lower() for x in re.findall(text.EMAIL, t))) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.split_lines(F.col("t")), text.emails(F.col("t"))).collect()
+    assert [tuple(r)[1:] for r in sorted(rows)] == list(zip(lines, found, strict=True))
+    # a run of letters is gone through once and not from each of its letters
+    long = spark.createDataFrame([(0, "a" * 150_000 + " x@y.co")], "i int, t string")
+    began = time.monotonic()
+    assert long.select(text.emails(F.col("t"))).first()[0] == ["x@y.co"] and time.monotonic() - began < 10
+
+
+def test_headers_read_their_lines_once(spark):
+    texts = spark.createDataFrame([(1, "CV 2020\nAsha Rao\nPune\nData Engineer\nasha@x.example"), (2, ""), (3, None)], "id int, text string")
+    found = careers.headers(texts, "id")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(", 1, 12)") == 1
+    assert sorted(tuple(r)[:4] for r in found.collect()) == [(1, "Asha Rao", "Data Engineer", "asha@x.example"), (2, None, None, None), (3, None, None, None)]
