@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,23 +44,63 @@ def merge_wrapped(lines: Column) -> Column:
 
 
 def heading_of(line: Column, headings=HEADINGS) -> Column:
-    """The section a line opens, or null."""
+    """The section a line opens, or null, by patterns that hold from the
+    beginning of a line."""
 
     def known(name: Column) -> Column:
         out = F.lit(None).cast("string")
         for section, pattern in reversed(headings):
             out = F.when(name.rlike(pattern), section).otherwise(out)
-        return out
+        # most lines are no heading, so one test of them all goes first
+        return F.when(name.rlike(f"^(?:{'|'.join(pattern for _, pattern in headings)})"), out)
 
     return F.when(F.length(line) <= 60, let(F.lower(F.trim(F.regexp_replace(line, r"[:\s]+$", ""))), known))
 
 
+def stretches(items: Column, opens: Callable[[Column, Column], Column]) -> Column:
+    """Items cut before each one that opens a stretch by ``opens`` (item, place
+    from 0): an array of arrays; items before the first such one are left out."""
+
+    def cut(b: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(b["starts"], j + 1), F.size(b["items"]))
+        return F.transform(b["starts"], lambda at, j: F.slice(b["items"], at + 1, end(j) - at))
+
+    def starts(items: Column) -> Column:
+        return F.filter(F.transform(items, lambda x, i: F.when(opens(x, i), i)), lambda i: i.isNotNull())
+
+    return let(items, lambda x: let(F.struct(x.alias("items"), starts(x).alias("starts")), cut))
+
+
+def text_sections(text: Column, headings=HEADINGS) -> Column:
+    """Stretches of a text's lines in order, each from its heading to the
+    next: array of section, line_no (of the first line) and lines (heading left
+    out); lines before the first heading are in section header. A text is cut
+    where it lies, so no line is shuffled to meet its heading."""
+
+    def cut(lines: Column) -> Column:
+        marked = F.filter(F.transform(lines, lambda x, i: F.struct(heading_of(x, headings).alias("section"), i.alias("at"))), lambda m: m["section"].isNotNull())
+
+        def of(heads: Column) -> Column:
+            before = F.struct(F.lit("header").alias("section"), F.lit(0).alias("line_no"), F.slice(lines, F.lit(1), F.coalesce(F.get(heads, 0)["at"], F.size(lines))).alias("lines"))
+            end = lambda j: F.coalesce(F.get(heads, j + 1)["at"], F.size(lines))
+            after = F.transform(heads, lambda h, j: F.struct(h["section"].alias("section"), (h["at"] + 1).alias("line_no"), F.slice(lines, h["at"] + 2, end(j) - h["at"] - 1).alias("lines")))
+            return F.concat(F.array(before), after)
+
+        return let(marked, of)
+
+    return let(split_lines(text), cut)
+
+
+def section_lines(text: Column, section: str, headings=HEADINGS) -> Column:
+    """Lines of a text's section in order, wherever its headings stand."""
+    return F.flatten(F.transform(F.filter(text_sections(text, headings), lambda s: s["section"] == section), lambda s: s["lines"]))
+
+
 def sections(documents: DataFrame, key: str, headings=HEADINGS) -> DataFrame:
     """Lines of texts (key, text) with their section: key, line_no,
     section, line; lines before the first heading are in section header."""
-    lines = documents.select(key, F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).withColumn("_h", heading_of(F.col("line"), headings))
-    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.coalesce(F.last("_h", True).over(upto), F.lit("header"))).where(F.col("_h").isNull()).drop("_h").select(key, "line_no", "section", "line")
+    parts = documents.select(key, F.inline(text_sections(F.col("text"), headings)).alias("section", "_from", "_lines"))
+    return parts.select(key, "section", "_from", F.posexplode("_lines").alias("_i", "line")).select(key, (F.col("_from") + F.col("_i")).alias("line_no"), "section", "line")
 
 
 def evidence(documents: DataFrame, key: str) -> DataFrame:

@@ -367,3 +367,22 @@ def test_headers_read_their_lines_once(spark):
     found = careers.headers(texts, "id")
     assert found._jdf.queryExecution().optimizedPlan().toString().count(", 1, 12)") == 1
     assert sorted(tuple(r)[:4] for r in found.collect()) == [(1, "Asha Rao", "Data Engineer", "asha@x.example"), (2, None, None, None), (3, None, None, None)]
+
+
+#: Sections that occur twice, bullets, a list that goes on, and names of one key.
+_ODD_CV = "Asha\nSkills\nLanguages: Python, SQL, python\nProjects:\nRates http://r.example/1\n• Built it\nTech: React\n- Ran it\nCOURSES\nBasics, Acme, Mar 2020\n• Expert - Beta (2021)\nSkills\nＰｙｔｈｏｎ, Git., ;\nProjects\n• Second\nThird"
+
+
+def _shuffled(frame):
+    return "Exchange" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_and_skills_are_read_in_the_row(spark):
+    texts = spark.createDataFrame([(1, _ODD_CV), (2, ""), (3, None), (4, "Skills"), (5, "a\n\nb")], "id int, text string")
+    lines = documents.sections(texts, "id")
+    assert not _shuffled(lines)
+    want = [(1, 0, "header", "Asha"), (1, 2, "skills", "Languages: Python, SQL, python"), (1, 12, "skills", "Ｐｙｔｈｏｎ, Git., ;"), (5, 0, "header", "a"), (5, 1, "header", "b")]
+    assert sorted(tuple(r) for r in lines.where("section in ('header', 'skills')").collect()) == want
+    skills = careers.listed_skills(texts, "id")
+    assert not _shuffled(skills)
+    assert sorted(tuple(r) for r in skills.collect()) == [(1, 1, "Languages", "Python"), (1, 2, "Languages", "SQL"), (1, 3, None, "Git")]
