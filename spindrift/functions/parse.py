@@ -244,12 +244,23 @@ _UNTIL = r"present|current(?:ly)?|now|till date|till now|to date|ongoing|today"
 DATE_RANGE = rf"(?i)({_DATE})\s*(?:-|–|—|to|until|till)\s*({_DATE}|{_UNTIL})"
 
 
+#: What every date range holds somewhere, and few other lines do.
+_DATED = r"(?i)\d\s*(?:-|–|—|to|until|till)"
+
+
+def has_date_range(line: Column) -> Column:
+    """Whether a line holds a span of dates; most are passed over by a look."""
+    return line.rlike(_DATED) & line.rlike(DATE_RANGE)
+
+
 def date_range(line: Column) -> Column:
     """Struct of first, last (YYYY-MM or YYYY; null while it goes on) and
     still, of the first span in a line; all null where there is none."""
-    end = group(line, DATE_RANGE, 2)
-    still = is_present(end)
-    return F.struct(year_month(group(line, DATE_RANGE, 1)).alias("first"), F.when(~still, year_month(end)).alias("last"), F.coalesce(still, F.lit(False)).alias("still"))
+
+    def read(s: Column) -> Column:
+        return let(is_present(s["end"]), lambda still: F.struct(year_month(s["begin"]).alias("first"), F.when(~still, year_month(s["end"])).alias("last"), F.coalesce(still, F.lit(False)).alias("still")))
+
+    return let(F.struct(group(line, DATE_RANGE, 1).alias("begin"), group(line, DATE_RANGE, 2).alias("end")), read)
 
 
 def dates_in(line: Column) -> Column:

@@ -33,10 +33,12 @@ def merge_wrapped(lines: Column) -> Column:
 
     def step(out: Column, line: Column) -> Column:
         prev = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))
+        # what a line ends in is told by its last characters, which are few to search
+        tail = F.substring(prev, -24, 24)
         apart = (F.size(out) == 0) | prev.contains("\t") | line.contains("\t")
-        glued = prev.rlike("[A-Za-z0-9]-$|/$") & line.rlike("^[a-z0-9]") & (prev.rlike("-$") | ~line.contains(" "))
-        opened = F.length(F.regexp_replace(prev, "[^(]", "")) > F.length(F.regexp_replace(prev, "[^)]", ""))
-        on = opened | prev.rlike(JOINERS) | (line.rlike("^[a-z]") & ~line.rlike(r"^(https?://|www\.)|^\S+@"))
+        glued = line.rlike("^[a-z0-9]") & tail.rlike("[A-Za-z0-9]-$|/$") & (tail.rlike("-$") | ~line.contains(" "))
+        opened = prev.contains("(") & (F.length(F.regexp_replace(prev, "[^(]", "")) > F.length(F.regexp_replace(prev, "[^)]", "")))
+        on = opened | (line.rlike("^[a-z]") & ~line.rlike(r"^(https?://|www\.)|^\S+@")) | tail.rlike(JOINERS)
         head = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
         return F.when(apart, F.concat(out, F.array(line))).when(glued, F.concat(head, F.array(F.concat(prev, line)))).when(on, F.concat(head, F.array(F.concat(prev, F.lit(" "), line)))).otherwise(F.concat(out, F.array(line)))
 
@@ -91,9 +93,29 @@ def text_sections(text: Column, headings=HEADINGS) -> Column:
     return let(split_lines(text), cut)
 
 
-def section_lines(text: Column, section: str, headings=HEADINGS) -> Column:
-    """Lines of a text's section in order, wherever its headings stand."""
-    return F.flatten(F.transform(F.filter(text_sections(text, headings), lambda s: s["section"] == section), lambda s: s["lines"]))
+def section_lines(text: Column, section: str) -> Column:
+    """Lines of a text's section in order, wherever its headings stand. The text
+    is cut where a line reads like a heading, so that only the first line of a
+    stretch is judged; should one be none, all lines are."""
+    # every line that heading_of takes, and maybe others
+    reads_like = "|".join(pattern.replace("^", "").replace("$", r"(?=[:\s]*(?:\n|$))") for _, pattern in HEADINGS)
+
+    def lines_of(part: Column) -> Column:
+        return F.array_remove(F.split(part, "\n"), "")
+
+    def chosen(parts: Column) -> Column:
+        # the first stretch goes before every heading
+        heads = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(heading_of(F.substring_index(p, "\n", 1)).alias("section"), p.alias("part")))
+
+        def of(heads: Column) -> Column:
+            found = F.flatten(F.transform(F.filter(heads, lambda h: h["section"] == section), lambda h: let(lines_of(h["part"]), lambda x: F.slice(x, F.lit(2), F.size(x)))))
+            return F.when(F.forall(heads, lambda h: h["section"].isNotNull()), found)
+
+        return let(heads, of)
+
+    by_parts = let(F.split(F.concat(F.lit("\n"), F.array_join(split_lines(text), "\n")), rf"\n(?=(?iu: *(?:{reads_like})))"), chosen)
+    every = F.flatten(F.transform(F.filter(text_sections(text), lambda s: s["section"] == section), lambda s: s["lines"]))
+    return F.coalesce(by_parts, every)
 
 
 def sections(documents: DataFrame, key: str, headings=HEADINGS) -> DataFrame:

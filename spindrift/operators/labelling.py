@@ -55,10 +55,13 @@ def best_paths(scores: list[np.ndarray], grammar: Grammar) -> list[np.ndarray]:
     found = [np.zeros(0, np.int64)] * len(scores)
     if not len(sizes) or not sizes[0]:
         return found
+    # all items in one table, those of a sequence from its own row on
+    flat = np.concatenate([scores[i] for i in order])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     total, back = np.zeros((0, len(first))), []
     for t in range(sizes[0]):
         live = int((sizes > t).sum())
-        own = np.stack([scores[i][t] for i in order[:live]])
+        own = flat[begin[:live] + t]
         if not t:
             total = own + first
             continue
@@ -66,11 +69,13 @@ def best_paths(scores: list[np.ndarray], grammar: Grammar) -> list[np.ndarray]:
         back.append(ways.argmax(axis=1))
         total = np.concatenate([ways.max(axis=1) + own, total[live:]])
     at = (total + ending).argmax(axis=1)
+    kinds = np.zeros(len(flat), np.int64)
+    kinds[(begin + sizes - 1)[: len(total)]] = at
+    for t in range(sizes[0] - 2, -1, -1):
+        live = int((sizes > t + 1).sum())
+        kinds[begin[:live] + t] = back[t][np.arange(live), kinds[begin[:live] + t + 1]]
     for row, i in enumerate(order[: len(total)]):
-        path = [int(at[row])]
-        for t in range(sizes[row] - 2, -1, -1):
-            path.append(int(back[t][row, path[-1]]))
-        found[i] = np.array(path[::-1])
+        found[i] = kinds[begin[row] : begin[row] + sizes[row]]
     return found
 
 

@@ -17,6 +17,11 @@ def spread(rows: DataFrame) -> DataFrame:
 ROWS = 20_000
 
 
+def tasks_for(rows: DataFrame, each: int = ROWS) -> int:
+    """As many tasks as there are cores, and one for every ``each`` rows."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
 def dealt(rows: DataFrame, each: int = ROWS) -> DataFrame:
     """Deal out small rows that make much work, such as keys from which whole
     documents are made: as many tasks as there are cores, and a task for every
@@ -24,5 +29,5 @@ def dealt(rows: DataFrame, each: int = ROWS) -> DataFrame:
     a table that has as many splits is left as it is. Spark moves filters, and
     the work they rest on, from behind a repartition back to the few tasks before
     it, but not from behind a function, so the rows pass through one."""
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+    tasks = tasks_for(rows, each)
     return rows.repartition(tasks).mapInArrow(lambda batches: batches, rows.schema) if rows.rdd.getNumPartitions() < tasks else rows

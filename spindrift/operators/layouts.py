@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import parse, text
-from spindrift.operators.documents import merge_wrapped, sections
+from spindrift.functions.text import let
+from spindrift.operators.documents import merge_wrapped, section_lines, stretches
 from spindrift.operators.labelling import NEVER, Grammar, labels, score_items
 
 # Words that say what a line, a field or a column holds.
@@ -45,8 +46,8 @@ _YEAR = r"\b(?:19|20)\d{2}\b"
 
 
 def tidy(part: Column) -> Column:
-    """A field without what parts it from the next."""
-    return F.regexp_replace(part, r"^[\s·|•,;:(–—-]+|[\s·|•,;:)–—-]+$", "")
+    """A field without what parts it from the next; most stand alone already."""
+    return F.when(part.rlike(r"^[\s·|•,;:(–—-]|[\s·|•,;:)–—-]$"), F.regexp_replace(part, r"^[\s·|•,;:(–—-]+|[\s·|•,;:)–—-]+$", "")).otherwise(part)
 
 
 def _where(test: Column, points: float) -> Column:
@@ -102,14 +103,27 @@ JOBS = Grammar(
 )
 
 
-def _job_facts(x: Column) -> Column:
-    """What the scores of a line of jobs rest on, each worked out once."""
-    rest = _undated(x)
-    return F.struct(
-        x.rlike(parse.DATE_RANGE).alias("ranged"), x.rlike(BULLET).alias("bullet"), text.strip_bullet(x).rlike(ACTIONS).alias("action"), (x.rlike(r"[.!?]$") & ~x.rlike(r"(?i)\b(ltd|inc|co|pvt)\.$")).alias("said"), x.rlike(TECH).alias("tools"),
-        x.rlike(TITLES).alias("job"), x.rlike(FIRMS).alias("firm"), text.word_count(x).alias("words"), text.word_count(rest).alias("rest"), rest.rlike(TITLES).alias("rest_job"), rest.rlike(ACTIONS).alias("rest_action"),
-        rest.rlike(r"\s[|@—–·-]\s|,\s|\t|(?i)\sat\s").alias("parted"), _heading_row(x).alias("columns"), x.contains("\t").alias("tabbed"), x.rlike(ADDED).alias("added"),
-    )
+def _job_facts(lines: Column) -> Column:
+    """What the scores of lines of jobs rest on, each worked out once and only
+    where a score asks for it: a head is no dated line, bullet or list of tools,
+    and what stands beside dates is of dated lines."""
+
+    def seen(x: Column) -> Column:
+        return F.struct(x.alias("x"), parse.has_date_range(x).alias("ranged"), x.rlike(BULLET).alias("bullet"), x.rlike(TECH).alias("tools"))
+
+    def beside(s: Column) -> Column:
+        plain = ~s["bullet"] & ~s["tools"]
+        return F.struct(s["x"].alias("x"), s["ranged"].alias("ranged"), s["bullet"].alias("bullet"), s["tools"].alias("tools"), (plain & ~s["ranged"]).alias("head"), F.when(plain & s["ranged"], _undated(s["x"])).alias("rest"))
+
+    def facts(s: Column) -> Column:
+        x, rest = s["x"], s["rest"]
+        return F.struct(
+            s["ranged"].alias("ranged"), s["bullet"].alias("bullet"), s["tools"].alias("tools"), text.strip_bullet(x).rlike(ACTIONS).alias("action"), (x.rlike(r"[.!?]$") & ~F.substring(x, -9, 9).rlike(r"(?i)\b(ltd|inc|co|pvt)\.$")).alias("said"),
+            (s["head"] & x.rlike(TITLES)).alias("job"), (s["head"] & x.rlike(FIRMS)).alias("firm"), text.word_count(x).alias("words"), text.word_count(rest).alias("rest"), rest.rlike(TITLES).alias("rest_job"), rest.rlike(ACTIONS).alias("rest_action"),
+            rest.rlike(r"\s[|@—–·-]\s|,\s|\t|(?i)\sat\s").alias("parted"), _heading_row(x).alias("columns"), x.contains("\t").alias("tabbed"), (x.rlike("(?i)s$") & x.rlike(ADDED)).alias("added"),
+        )
+
+    return F.transform(F.transform(F.transform(lines, seen), beside), facts)
 
 
 def _job_scores() -> dict:
@@ -160,8 +174,8 @@ STUDIES = Grammar(
 STUDY_COLUMNS = (("degree", "degree|qualification|course|programme|program|class|standard"), ("school", "institution|institute|university|college|school|board|board/university"), ("dates", "years?|duration|dates?|period|passing year|year of passing"), ("grade", "score|grade|cgpa|gpa|percentage|marks|result"))
 
 
-def _study_facts(x: Column) -> Column:
-    return F.struct(x.rlike(DEGREES).alias("degree"), x.rlike(SCHOOLS).alias("school"), (x.rlike(_YEAR) | x.rlike(GRADES)).alias("aside"), x.rlike(r"\t|\s[|·—–]\s").alias("parted"), _heading_row(x, STUDY_COLUMNS).alias("columns"), x.contains("\t").alias("tabbed"))
+def _study_facts(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.struct(x.rlike(DEGREES).alias("degree"), x.rlike(SCHOOLS).alias("school"), (x.rlike(_YEAR) | x.rlike(GRADES)).alias("aside"), x.rlike(r"\t|\s[|·—–]\s").alias("parted"), _heading_row(x, STUDY_COLUMNS).alias("columns"), x.contains("\t").alias("tabbed")))
 
 
 def _study_scores() -> dict:
@@ -175,22 +189,25 @@ def _study_scores() -> dict:
     }
 
 
-#: Of each section: its grammar, what a line is judged by, and its scores.
+#: Of each section: its grammar, what lines are judged by, and its scores.
 SECTIONS = {"experience": (JOBS, _job_facts, _job_scores(), ("whole", "head", "first", "row", "added")), "education": (STUDIES, _study_facts, _study_scores(), ("both", "degree", "school", "row"))}
 
 
+def labelled(documents: DataFrame, key: str, section: str) -> DataFrame:
+    """Documents (key, text) with the lines of a section (of ``SECTIONS``), wrapped
+    ones joined, and the number of each one's kind: key, lines, kinds. All is done
+    in the document's row, so no line is shuffled."""
+    grammar, facts, scores, _ = SECTIONS[section]
+    whole = documents.select(key, merge_wrapped(section_lines(F.col("text"), section)).alias("lines"))
+    return whole.select(key, "lines", labels(score_items(facts(F.col("lines")), grammar, scores), grammar).alias("kinds"))
+
+
 def labelled_lines(documents: DataFrame, key: str, section: str) -> DataFrame:
-    """Lines of a section (of ``SECTIONS``) of documents (key, text), wrapped
-    ones joined, with their kind: key, line_no, line, kind, entry_no (null
-    before the first entry)."""
-    grammar, facts, scores, starts = SECTIONS[section]
-    rows = sections(documents, key).where(F.col("section") == section)
-    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-    whole = whole.select(key, merge_wrapped(F.transform("_l", lambda x: x["line"])).alias("_m"))
-    whole = whole.withColumn("_f", F.transform("_m", facts))
-    whole = whole.withColumn("_k", labels(score_items(F.col("_f"), grammar, scores), grammar))
+    """Lines of ``labelled``: key, line_no, line, kind, entry_no (null before the
+    first entry)."""
+    grammar, _, _, starts = SECTIONS[section]
     names = F.array(*(F.lit(k) for k in grammar.kinds))
-    lines = whole.select(key, F.posexplode(F.arrays_zip("_m", "_k")).alias("line_no", "_z")).select(key, "line_no", F.col("_z._m").alias("line"), F.get(names, F.col("_z._k")).alias("kind"))
+    lines = labelled(documents, key, section).select(key, F.posexplode(F.arrays_zip("lines", "kinds")).alias("line_no", "_z")).select(key, "line_no", F.col("_z.lines").alias("line"), F.get(names, F.col("_z.kinds")).alias("kind"))
     upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     number = F.sum(F.col("kind").isin(*starts).cast("int")).over(upto)
     return lines.withColumn("entry_no", F.when(number > 0, number))
@@ -203,24 +220,23 @@ def title_and_company(said: Column) -> Column:
     def made(title: Column, company: Column) -> Column:
         return F.struct(F.nullif(title, F.lit("")).alias("title"), F.nullif(company, F.lit("")).alias("company"))
 
-    def parted(pattern: str, ordered: bool) -> tuple[Column, Column]:
-        two = F.split(said, pattern, 2)
-        a, b = tidy(F.get(two, 0)), tidy(F.coalesce(F.get(two, 1), F.lit("")))
-        swap = F.lit(False) if ordered else b.rlike(TITLES) & ~a.rlike(TITLES)
-        return (a != "") & (b != ""), F.when(swap, made(b, a)).otherwise(made(a, b))
+    def parted(two: Column, ordered: bool) -> Column:
+        swap = F.lit(False) if ordered else two["b"].rlike(TITLES) & ~two["a"].rlike(TITLES)
+        return F.when((two["a"] != "") & (two["b"] != ""), F.when(swap, made(two["b"], two["a"])).otherwise(made(two["a"], two["b"])))
 
-    out = F.when(said.rlike(TITLES), made(tidy(said), F.lit(""))).otherwise(made(F.lit(""), tidy(said)))
-    for pattern, ordered in reversed([*((p, False) for p in BETWEEN[:3]), *((p, True) for p in AT), *((p, False) for p in BETWEEN[3:])]):
-        fits, value = parted(pattern, ordered)
-        out = F.when(fits, value).otherwise(out)
-    return out
+    def by(pattern: str, ordered: bool) -> Column:
+        halves = let(F.split(said, pattern, 2), lambda x: F.struct(tidy(F.get(x, 0)).alias("a"), tidy(F.get(x, 1)).alias("b")))
+        return F.when(said.rlike(pattern), let(halves, lambda two: parted(two, ordered)))
+
+    whole = F.when(said.rlike(TITLES), made(tidy(said), F.lit(""))).otherwise(made(F.lit(""), tidy(said)))
+    return F.coalesce(*(by(p, o) for p, o in (*((p, False) for p in BETWEEN[:3]), *((p, True) for p in AT), *((p, False) for p in BETWEEN[3:]))), whole)
 
 
 def _facts(said: Column) -> Column:
     """Fields of a line about a job, "Full-time, Remote" as two."""
     known = "|".join(p for _, p in (*EMPLOYMENT, *MODES))
     fields = F.filter(F.transform(text.split_fields(said), tidy), lambda x: x != "")
-    return F.flatten(F.transform(fields, lambda f: F.when(F.forall(F.split(f, r"\s*,\s*"), lambda p: p.rlike(rf"(?i)^(?:{known})$")), F.split(f, r"\s*,\s*")).otherwise(F.array(f))))
+    return F.flatten(F.transform(fields, lambda f: F.when(f.contains(",") & F.forall(F.split(f, r"\s*,\s*"), lambda p: p.rlike(rf"(?i)^(?:{known})$")), F.split(f, r"\s*,\s*")).otherwise(F.array(f))))
 
 
 def _is(pattern: str):
@@ -245,54 +261,102 @@ def experience(documents: DataFrame, key: str) -> DataFrame:
     no entry of its own. Documents without the section have no rows; nulls and
     empty texts too.
     """
-    lines = labelled_lines(documents, key, "experience")
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("_c", F.last(F.when(F.col("kind") == "columns", column_kinds(F.col("line"))), True).over(before)).where("kind <> 'columns' and entry_no is not null")
-    of = lambda *kinds: F.col("kind").isin(*kinds)
-    pick = lambda *kinds: F.transform(F.array_sort(F.collect_list(F.when(of(*kinds), F.struct("line_no", "line")))), lambda x: x["line"])
-    found = lines.groupBy(key, "entry_no").agg(
-        pick("head", "head2", "head3", "late").alias("heads"), F.max(F.when(of("dates", "first"), F.col("line"))).alias("dated"), F.max(F.when(of("whole"), F.col("line"))).alias("whole"), F.max(F.when(of("row"), F.struct("line", "_c"))).alias("row"),
-        F.max(F.when(of("added"), tidy(F.regexp_extract("line", ADDED, 1)))).alias("added"), pick("body").alias("body"), pick("tools").alias("tools"),
+    numbers = {kind: at for at, kind in enumerate(JOBS.kinds)}
+
+    def of(items: Column, *kinds: str) -> Column:
+        return F.transform(F.filter(items, lambda x: x["k"].isin(*(numbers[k] for k in kinds))), lambda x: x["line"])
+
+    def entries(row: Column) -> Column:
+        def entry(w: Column) -> Column:
+            start = F.get(w, 0)
+            heading = F.try_element_at(F.filter(row["columns"], lambda c: c["at"] < start["at"]), F.lit(-1))["kinds"]
+            return F.struct(
+                of(w, "head", "head2", "head3", "late").alias("heads"), F.array_max(of(w, "dates", "first")).alias("dated"), F.get(of(w, "whole"), 0).alias("whole"), F.when(start["k"] == numbers["row"], F.struct(start["line"].alias("line"), heading.alias("_c"))).alias("row"),
+                F.when(start["k"] == numbers["added"], tidy(F.regexp_extract(start["line"], ADDED, 1))).alias("added"), of(w, "body").alias("body"), of(w, "tools").alias("tools"),
+            )
+
+        return F.transform(stretches(row["items"], lambda x, i: x["k"].isin(*(numbers[k] for k in SECTIONS["experience"][3]))), entry)
+
+    def cut(items: Column) -> Column:
+        columns = F.transform(F.filter(items, lambda x: x["k"] == numbers["columns"]), lambda x: F.struct(x["at"].alias("at"), column_kinds(x["line"]).alias("kinds")))
+        return let(F.struct(items.alias("items"), columns.alias("columns")), entries)
+
+    items = F.transform(F.arrays_zip("lines", "kinds"), lambda z, i: F.struct(z["kinds"].alias("k"), z["lines"].alias("line"), i.alias("at")))
+    # kinds are used twice, so Spark works them out once and below this
+    rows = labelled(documents, key, "experience").select(key, let(items, cut).alias("_e"), F.array_contains("kinds", numbers["added"]).alias("_a"))
+    found = rows.select(key, F.posexplode(F.when(F.col("_a"), _added_to_jobs(F.col("_e"))).otherwise(F.col("_e"))).alias("_i", "_e")).select(key, (F.col("_i") + 1).cast("long").alias("entry_no"), "_e.*")
+
+    # a job on lines of its own: place and type stand beside its dates or by themselves
+    found = found.withColumn("_l", _of_line(F.col("whole"))).withColumn("_o", _of_lines(F.col("heads")))
+    facts = F.when(F.col("whole").isNotNull(), _facts(F.array_join("_l.beside", " · "))).otherwise(F.concat(_facts(_undated(F.coalesce("dated", F.lit("")))), "_o.places"))
+    found = found.withColumn("_x", facts).withColumn("_s", parse.date_range(F.coalesce("whole", "dated", "row.line"))).withColumn("_h", _head(F.struct("heads", "whole", "row", "added"), F.col("_l"), F.col("_o")))
+    kinds = "|".join(p for _, p in (*EMPLOYMENT, *MODES))
+    location = F.when(F.col("row").isNotNull(), _cell(F.col("row"), "location")).otherwise(F.nullif(F.array_join(F.filter("_x", lambda x: ~x.rlike(rf"(?i)^(?:{kinds})$")), ", "), F.lit("")))
+    return found.select(
+        key, "entry_no", "_h.title", "_h.company", location.alias("location"), _known(F.col("_x"), EMPLOYMENT).alias("employment"), _known(F.col("_x"), MODES).alias("mode"), "_s.first", "_s.last", "_s.still",
+        F.flatten(F.transform("tools", lambda t: text.split_list(F.regexp_replace(t, TECH, "")))).alias("technologies"), F.transform("body", text.strip_bullet).alias("bullets"),
     )
 
-    # fields of a job on one line: those up to its company, and those beside it
-    found = found.withColumn("_f", F.filter(F.transform(text.split_fields(_undated(F.coalesce("whole", F.lit("")))), tidy), lambda x: x != ""))
-    found = found.withColumn("_j", F.filter("_f", lambda x: x.rlike(TITLES) | x.rlike(r"\s[—–]\s")))
-    apart = (F.size("_j") == 1) & (F.size("_f") > 1) & ~F.get("_j", 0).rlike(r"\s[—–]\s|\s@\s|,\s|(?i)\sat\s|\s-\s")
-    found = found.withColumn("_n", F.when(apart, 2).when(F.size("_j") == 0, 1))
-    found = found.withColumn("_w", F.array_join(F.when(F.col("_n").isNull(), F.col("_j")).otherwise(F.slice("_f", 1, F.col("_n"))), " — "))
-    beside = F.when(F.col("_n").isNull(), F.array_except("_f", "_j")).otherwise(F.slice("_f", F.col("_n") + 1, 99))
-    # a job on lines of its own: the one that names it, its company, its place
-    found = found.withColumn("_t", F.coalesce(F.get(F.filter("heads", lambda x: x.rlike(TITLES)), 0), F.get("heads", 0)))
-    found = found.withColumn("_o", F.filter("heads", lambda x: x != F.col("_t")))
-    found = found.withColumn("_firm", F.coalesce(F.get(F.filter("_o", lambda x: x.rlike(FIRMS)), 0), F.get("_o", 0)))
-    several = F.size("heads") > 1
-    place_line = F.when(several, F.filter("_o", lambda x: x != F.col("_firm"))).otherwise(F.array().cast("array<string>"))
-    facts = F.when(F.col("whole").isNotNull(), _facts(F.array_join(beside, " · "))).otherwise(F.concat(_facts(_undated(F.coalesce("dated", F.lit("")))), place_line))
-    found = found.withColumn("_x", facts).withColumn("_s", parse.date_range(F.coalesce("whole", "dated", "row.line"))).withColumn("_tc", title_and_company(F.coalesce(F.when(F.col("whole").isNotNull(), F.col("_w")), F.get("heads", 0), F.lit(""))))
-    cell = lambda name: F.nullif(F.get(_cells(F.col("row.line")), F.array_position("row._c", name).cast("int") - 1), F.lit(""))
-    head = F.when(F.col("row").isNotNull(), F.struct(cell("title").alias("title"), cell("company").alias("company"))).when(F.col("added").isNotNull(), F.struct(F.lit(None).cast("string").alias("title"), F.col("added").alias("company")))
-    head = head.when(several & F.col("whole").isNull(), F.struct(tidy(F.col("_t")).alias("title"), tidy(F.col("_firm")).alias("company"))).otherwise(F.col("_tc"))
-    kinds = "|".join(p for _, p in (*EMPLOYMENT, *MODES))
-    location = F.when(F.col("row").isNotNull(), cell("location")).otherwise(F.nullif(F.array_join(F.filter("_x", lambda x: ~x.rlike(rf"(?i)^(?:{kinds})$")), ", "), F.lit("")))
-    rows = found.select(
-        key, "entry_no", head.alias("_h"), location.alias("location"), _known(F.col("_x"), EMPLOYMENT).alias("employment"), _known(F.col("_x"), MODES).alias("mode"), "_s",
-        F.flatten(F.transform("tools", lambda t: text.split_list(F.regexp_replace(t, TECH, "")))).alias("technologies"), F.transform("body", text.strip_bullet).alias("bullets"), F.col("added").isNotNull().alias("_a"),
-    ).select(key, "entry_no", "_h.title", "_h.company", "location", "employment", "mode", "_s.first", "_s.last", "_s.still", "technologies", "bullets", "_a")
-    return _added_to_jobs(rows, key)
+
+def _cell(row: Column, name: str) -> Column:
+    """The cell of a table's row (line, _c) that is of a kind."""
+    return F.nullif(F.get(_cells(row["line"]), F.array_position(row["_c"], name).cast("int") - 1), F.lit(""))
 
 
-def _added_to_jobs(rows: DataFrame, key: str) -> DataFrame:
+def _of_line(whole: Column) -> Column:
+    """Fields of a job on one line: said (up to its company) and beside it; null
+    where there is none."""
+
+    def parted(s: Column) -> Column:
+        apart = (F.size(s["j"]) == 1) & (F.size(s["f"]) > 1) & ~F.get(s["j"], 0).rlike(r"\s[—–]\s|\s@\s|,\s|(?i)\sat\s|\s-\s")
+        n = F.when(apart, 2).when(F.size(s["j"]) == 0, 1)
+        said = F.array_join(F.when(n.isNull(), s["j"]).otherwise(F.slice(s["f"], 1, n)), " — ")
+        beside = F.when(n.isNull(), F.array_except(s["f"], s["j"])).otherwise(F.slice(s["f"], n + 1, 99))
+        return F.struct(said.alias("said"), beside.alias("beside"))
+
+    fields = F.filter(F.transform(text.split_fields(_undated(whole)), tidy), lambda x: x != "")
+    named = let(fields, lambda f: F.struct(f.alias("f"), F.filter(f, lambda x: x.rlike(TITLES) | x.rlike(r"\s[—–]\s")).alias("j")))
+    return F.when(whole.isNotNull(), let(named, parted))
+
+
+def _of_lines(heads: Column) -> Column:
+    """A job on lines of its own: the one that names it, its company, its places."""
+
+    def named(t: Column) -> Column:
+        return let(F.filter(heads, lambda x: x != t), lambda o: let(F.coalesce(F.get(F.filter(o, lambda x: x.rlike(FIRMS)), 0), F.get(o, 0)), lambda firm: F.struct(t.alias("t"), firm.alias("firm"), F.filter(o, lambda x: x != firm).alias("p"))))
+
+    found = let(F.coalesce(F.get(F.filter(heads, lambda x: x.rlike(TITLES)), 0), F.get(heads, 0)), named)
+    none = F.array().cast("array<string>")
+    return let(F.when(F.size(heads) > 1, found), lambda s: F.struct(s["t"].alias("title"), s["firm"].alias("firm"), F.when(F.size(heads) > 1, s["p"]).otherwise(none).alias("places")))
+
+
+def _head(e: Column, of_line: Column, of_lines: Column) -> Column:
+    """Title and company of an entry, by ``_of_line`` and ``_of_lines`` of it."""
+    row, added, whole = e["row"], e["added"], e["whole"]
+    head = F.when(row.isNotNull(), F.struct(_cell(row, "title").alias("title"), _cell(row, "company").alias("company"))).when(added.isNotNull(), F.struct(F.lit(None).cast("string").alias("title"), added.alias("company")))
+    head = head.when((F.size(e["heads"]) > 1) & whole.isNull(), F.struct(tidy(of_lines["title"]).alias("title"), tidy(of_lines["firm"]).alias("company")))
+    return head.otherwise(let(F.coalesce(of_line["said"], F.get(e["heads"], 0), F.lit("")), title_and_company))
+
+
+def _added_to_jobs(entries: Column) -> Column:
     """Contributions that stand apart join the first job at that company, in
     order; those of no job are an entry of their own."""
-    # a window, so that the rows before it, which cost much, are worked out once
-    job = F.min(F.when(~F.col("_a"), F.col("entry_no"))).over(Window.partitionBy(key, F.lower("company")))
-    rows = rows.withColumn("_e", job).withColumn("_to", F.when(F.col("_a") & F.col("company").isNotNull(), F.coalesce("_e", "entry_no")).otherwise(F.col("entry_no")))
-    more = F.array_sort(F.collect_list(F.struct("entry_no", "bullets", "technologies")))
-    fields = ["title", "company", "location", "employment", "mode", "first", "last", "still"]
-    joined = rows.groupBy(key, F.col("_to").alias("entry_no")).agg(F.min_by(F.struct(*fields), "entry_no").alias("r"), more.alias("m"))
-    joined = joined.select(key, "entry_no", "r.*", F.flatten(F.transform("m", lambda x: x["technologies"])).alias("technologies"), F.flatten(F.transform("m", lambda x: x["bullets"])).alias("bullets"))
-    return joined.withColumn("entry_no", F.row_number().over(Window.partitionBy(key).orderBy("entry_no")).cast("long"))
+
+    def company(e: Column) -> Column:
+        return F.lower(_head(e, _of_line(e["whole"]), _of_lines(e["heads"]))["company"])
+
+    def goes_to(firms: Column) -> Column:
+        """The place of the entry that each one joins."""
+        jobs = F.filter(F.transform(firms, lambda f, i: F.struct(f["c"].alias("c"), f["added"].alias("added"), i.alias("i"))), lambda f: ~f["added"])
+        return F.transform(firms, lambda f, i: F.when(f["added"], F.coalesce(F.get(F.filter(jobs, lambda j: j["c"] == f["c"]), 0)["i"], i)).otherwise(i))
+
+    def joined(to: Column) -> Column:
+        members = F.transform(F.array_sort(F.array_distinct(to)), lambda t: F.filter(F.transform(entries, lambda e, i: F.when(F.get(to, i) == t, e)), lambda e: e.isNotNull()))
+        said = ("heads", "dated", "whole", "row", "added")
+        return F.transform(members, lambda m: F.struct(*(F.get(m, 0)[c].alias(c) for c in said), F.flatten(F.transform(m, lambda e: e["body"])).alias("body"), F.flatten(F.transform(m, lambda e: e["tools"])).alias("tools")))
+
+    firms = F.transform(entries, lambda e: F.struct(company(e).alias("c"), e["added"].isNotNull().alias("added")))
+    return let(let(firms, goes_to), joined)
 
 
 def education(documents: DataFrame, key: str) -> DataFrame:

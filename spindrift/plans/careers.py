@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import parse, places
 from spindrift.operators import careers, documents, layouts, reports
-from spindrift.operators.layout import dealt
+from spindrift.operators.layout import dealt, tasks_for
 from spindrift.plans.inputs import cases, relation, relation_of, table
 from spindrift.plans.registry import query
 
@@ -48,15 +48,16 @@ _JOBS_DUCK = re.sub(r"\{(\w+)\}", r"\1", _JOBS)
 
 def _job_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per customer with a job per order, in six layouts of a job and
-    one of a table."""
-    rows = relation(spark, sf_dir, _JOBS)
+    one of a table. Jobs go to their documents before they are written out; a task
+    takes so many documents that its time does not grow with the table."""
+    rows = relation(spark, sf_dir, _JOBS).repartition(tasks_for(table(spark, sf_dir, "customer")), "cv_id")
     month = lambda c: F.date_format(c, "MMM yyyy")
     dates = F.concat_ws(" – ", month("started"), F.when(F.col("still"), "Present").otherwise(month("ended")))
     line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     t, c = F.col("title"), F.col("company")
     done = line("\n• Handled order ", F.col("o_orderkey").cast("string"), " of many and\nvarious others.\nTechnologies: Spark, SQL")
     layouts = [line(t, " | ", c, "\t", dates), line(c, "\n", t, "\n", dates), line(t, " — ", c, "\nPune · Full-time · ", dates), line(dates, "\n", t, "\n", c), line(t, " at ", c, "\n", dates, " · Remote"), line(t, "\n", c, "\nPune, India\n", dates)]
-    entry = line(F.element_at(F.array(*layouts), F.col("layout") + 1), done)
+    entry = line(F.coalesce(*(F.when(F.col("layout") == i, x) for i, x in enumerate(layouts))), done)
     row = line(c, "\t", t, "\t", dates, "\tPune")
     rows = rows.select("cv_id", "tabled", F.struct("entry_no", F.when(F.col("tabled"), row).otherwise(entry).alias("text")).alias("e"))
     whole = rows.groupBy("cv_id", "tabled").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), "\n").alias("text"))

@@ -409,3 +409,19 @@ def test_contacts_of_texts_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     want = {(i, f): ("not_found" if f == "phone" or i % 3 == 0 else "empty") if i % 4 == 0 else "kept" if f == "phone" or i % 3 == 0 else "added_from_text" for i in range(40) for f in ("email", "phone")}
     assert {(r.id, r.field): r.issue for r in found.collect()} == want
+
+
+def test_jobs_are_read_in_their_document(spark):
+    """No line is shuffled; contributions before and after their job, wrapped
+    lines and lines that only read like headings go where they belong."""
+    texts = [
+        "Experience\nAcme Labs — Key Contributions\n• Built the cart\nData Engineer | Acme Labs\tJan 2020 - Present\n• Wrote jobs and\nothers.\nACME LABS - achievements\n• Cut costs\nTools: Spark\nNimbus — highlights\n• Ran it",
+        "EXPERIENCE :\nQA Analyst\nZeta Bank\n03/2018 – 12/2019\n• Tested\nExperience the world\nSkills\nSQL\nEmployment\nTrainee\nTCS\n2015 - 2016", "Profile" + ":" * 60 + "\nExperience\nTrainee\nTCS\n2015 - 2016", None,
+    ]
+    found = layouts.experience(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert [(r.id, r.entry_no, r.title, r.company, r.technologies, r.bullets) for r in found.orderBy("id", "entry_no").collect()] == [
+        (0, 1, None, "Acme Labs", ["Spark"], ["Built the cart", "Wrote jobs and others.", "Cut costs"]), (0, 2, None, "Nimbus", [], ["Ran it"]),
+        (1, 1, "QA Analyst", "Zeta Bank", [], ["Tested", "Experience the world"]), (1, 2, "Trainee", "TCS", [], []), (2, 1, "Trainee", "TCS", [], []),
+    ]
