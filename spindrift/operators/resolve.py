@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.places import APART_DAYS
@@ -101,59 +102,52 @@ def best_description(rows: DataFrame, key: str, row_id: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(row_id, "description", "truncated"), order).alias("r")).select(key, "r.*")
 
 
-_FIELDS = ("provider", "external_id", "company_key", "city", "title_key", "description_hash", "posted_at", "truncated", "length")
-
-
 #: Rows that a task of ``greedy`` has as Python objects at once.
 _SHOWN = 4096
+#: Distinct titles that are compared whatever their company; more are compared by company and city.
+_TITLES = 20_000
+#: Rows of a table that is broadcast; it is counted first.
+_FEW = 200_000
 
 
 class _Merged:
     """Records of one component so far, in the order in which they were opened,
-    found by the fields that make two postings one."""
+    found by the keys that make two postings one. A row is a tuple of id, provider
+    key, text key, place key, title, time, whether it is cut, and length."""
 
     def __init__(self) -> None:
-        self.records: list[dict] = []
-        self.by_id: dict[tuple, set[int]] = {}
-        self.by_text: dict[str, set[int]] = {}
-        self.by_place: dict[tuple, set[int]] = {}
-
-    def _keys(self, row: dict) -> list[tuple[dict, object]]:
-        keys: list[tuple[dict, object]] = []
-        if row["provider"] is not None and row["external_id"] is not None:
-            keys.append((self.by_id, (row["provider"], row["external_id"])))
-        if row["description_hash"]:
-            keys.append((self.by_text, row["description_hash"]))
-        if row["company_key"] and row["title_key"] is not None:
-            keys.append((self.by_place, (row["company_key"], row["city"] or "")))
-        return keys
+        self.records: list[tuple] = []
+        self.by_key: tuple[dict, dict, dict] = ({}, {}, {})
 
     @staticmethod
-    def _near(a: dict, b: dict) -> bool:
-        if a["posted_at"] is not None and b["posted_at"] is not None and abs(a["posted_at"] - b["posted_at"]) > APART_DAYS * 86_400:
+    def _near(a: tuple, b: tuple) -> bool:
+        if a[5] is not None and b[5] is not None and abs(a[5] - b[5]) > APART_DAYS * 86_400:
             return False
-        return close(a["title_key"], b["title_key"])
+        return a[4] == b[4] or _close(a[4], b[4])
 
-    def add(self, row: dict) -> int:
+    def add(self, row: tuple) -> int:
         """The record that the row joins or opens."""
-        hits: set[int] = set()
-        for index, key in self._keys(row):
-            members = index.get(key, set())
-            hits |= {i for i in members if self._near(self.records[i], row)} if index is self.by_place else members
-        if not hits:
-            self.records.append(row)
-            at = len(self.records) - 1
+        records, (by_id, by_text, by_place) = self.records, self.by_key
+        at = none = len(records)
+        for members in (by_id.get(row[1]), by_text.get(row[2])):
+            if members:
+                at = min(at, *members)
+        for i in by_place.get(row[3], ()):
+            if i < at and self._near(records[i], row):
+                at = i
+        if at == none:
+            records.append(row)
         else:
-            at = min(hits)
-            kept = self.records[at]
-            better = kept["truncated"] and not row["truncated"] or kept["truncated"] == row["truncated"] and row["length"] > kept["length"]
-            if not better:
+            kept = records[at]
+            if not (kept[6] and not row[6] or kept[6] == row[6] and row[7] > kept[7]):
                 return at
-            for index, key in self._keys(kept):
-                index[key].discard(at)
-            self.records[at] = row
-        for index, key in self._keys(row):
-            index.setdefault(key, set()).add(at)
+            for index, key in zip(self.by_key, kept[1:4], strict=True):
+                if key is not None:
+                    index[key].discard(at)
+            records[at] = row
+        for index, key in zip(self.by_key, row[1:4], strict=True):
+            if key is not None:
+                index.setdefault(key, set()).add(at)
         return at
 
 
@@ -178,6 +172,52 @@ def close(a: str, b: str) -> bool:
     return 1 - row[-1] / longest >= 0.9
 
 
+_close = lru_cache(2**16)(close)
+
+
+def _small(frame: DataFrame) -> DataFrame:
+    """Marked for broadcast where it is counted to be small."""
+    return F.broadcast(frame) if frame.limit(_FEW + 1).count() <= _FEW else frame.hint("merge")
+
+
+def meeting(rows: DataFrame, row_id: str) -> DataFrame:
+    """Rows with _component: rows that can ever meet in ``greedy`` have the same.
+
+    Rows meet by keys: a provider id, a description, or a company, a city and a
+    title that is close. Keys are hashed to 64 bits; two keys of one hash, as those
+    of distant dates, put more rows together than need be, which changes no result.
+    A row stands for its first key, and keys are linked where a row has two, so only
+    distinct pairs of keys are shuffled, never rows. Up to ``_TITLES`` distinct
+    titles are compared once for all companies and titles that are close by others
+    count as one; beyond that, titles of one company and city are compared.
+    """
+    placed = (F.coalesce(F.col("company_key"), F.lit("")) != "") & F.col("title_key").isNotNull()
+    titles = rows.where(placed).select("title_key").distinct()
+    place = lambda title: F.xxhash64(F.lit(3), "company_key", F.coalesce("city", F.lit("")), title)
+    code = F.xxhash64("title_key")
+    apart = None
+    if titles.limit(_TITLES + 1).count() <= _TITLES:
+        alike = star_edges(close_pairs(titles, [], "title_key").select(F.xxhash64("one").alias("u"), F.xxhash64("two").alias("v"))).toDF("_code", "_least")
+        rows = rows.withColumn("_code", code).join(F.broadcast(alike), "_code", "left").withColumn("_place", F.when(placed, place(F.coalesce("_least", "_code")))).drop("_code", "_least")
+    else:
+        blocks = rows.where(placed).select(F.xxhash64("company_key", F.coalesce("city", F.lit(""))).alias("_b"), "title_key").distinct()
+        apart = close_pairs(blocks, ["_b"], "title_key")
+        rows = rows.withColumn("_place", F.when(placed, F.xxhash64(F.lit(3), F.xxhash64("company_key", F.coalesce("city", F.lit(""))), code)))
+        apart = apart.select(*(F.xxhash64(F.lit(3), "_b", F.xxhash64(c)).alias(n) for c, n in (("one", "u"), ("two", "v"))))
+    by_id = F.when(F.col("provider").isNotNull() & F.col("external_id").isNotNull(), F.xxhash64(F.lit(1), "provider", "external_id"))
+    by_text = F.when(F.col("description_hash") != "", F.xxhash64(F.lit(2), "description_hash"))
+    rows = rows.withColumn("_first", F.coalesce(by_id, by_text, "_place"))
+    others = rows.select("_first", F.explode(F.array_compact(F.array(by_text, F.col("_place")))).alias("_k"))
+    if apart is not None:
+        # a place stands for itself too, so that its links to others count
+        others = others.unionByName(rows.where("_place is not null").select(F.col("_place").alias("_first"), F.col("_place").alias("_k")))
+    before = F.lag("_first").over(Window.partitionBy("_k").orderBy("_first"))
+    linked = others.distinct().select(F.col("_first").alias("u"), before.alias("v")).where("v is not null")
+    least = star_edges(linked if apart is None else linked.union(apart)).toDF("_first", "_least")
+    found = rows.join(_small(least), "_first", "left")
+    return found.withColumn("_component", F.coalesce("_least", "_first", F.xxhash64(F.lit(4), row_id))).drop("_least", "_first", "_place")
+
+
 def greedy(rows: DataFrame, row_id: str) -> DataFrame:
     """One-after-another merging of postings in the order of their
     ids: row_id, canonical_id, kept_id.
@@ -185,7 +225,7 @@ def greedy(rows: DataFrame, row_id: str) -> DataFrame:
     Each row joins the first record that it equals (by provider id, description,
     or company, city, close titles and dates), or opens one; a record then is the
     row with the better description, so later rows are compared with that. Rows
-    that can ever meet are in one component of links, so components are replayed,
+    that can ever meet are in one component (``meeting``), so components are replayed,
     each as a stream in order: a task holds a component's records, not its rows.
     It says of each row which row opened its record as it passes, and what a
     record is in the end when the component does; a join brings the two together.
@@ -197,6 +237,7 @@ def greedy(rows: DataFrame, row_id: str) -> DataFrame:
     import pyarrow as pa
 
     names = ["_row", "canonical_id", "kept_id"]
+    fields = ("_component", "_id", "_by_id", "_by_text", "_by_place", "title_key", "posted_at", "truncated", "length")
 
     def shown(*columns: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -207,28 +248,33 @@ def greedy(rows: DataFrame, row_id: str) -> DataFrame:
         def ended() -> Iterator[pa.RecordBatch]:
             for at in range(0, len(opened), _SHOWN):
                 some = opened[at : at + _SHOWN]
-                yield shown([None] * len(some), some, [r["_id"] for r in merged.records[at : at + _SHOWN]])
+                yield shown([None] * len(some), some, [r[0] for r in merged.records[at : at + _SHOWN]])
 
         for batch in batches:
             for at in range(0, batch.num_rows, _SHOWN):
                 part = batch.slice(at, _SHOWN)
-                columns = {c: part.column(c).to_pylist() for c in ("_component", "_id", *_FIELDS)}
-                rows_, joined = [], []
-                for values in zip(*columns.values(), strict=True):
-                    row = dict(zip(columns, values, strict=True))
-                    if row["_component"] != component:
+                ids, joined = part.column("_id").to_pylist(), []
+                own = zip(*(part.column(c).to_pylist() for c in fields[1:]), strict=True)
+                for at_component, row in zip(part.column("_component").to_pylist(), own, strict=True):
+                    if at_component != component:
                         yield from ended()
-                        component, merged, opened = row["_component"], _Merged(), []
+                        component, merged, opened = at_component, _Merged(), []
                     k = merged.add(row)
                     if k == len(opened):
-                        opened.append(row["_id"])
-                    rows_.append(row["_id"])
+                        opened.append(row[0])
                     joined.append(opened[k])
-                yield shown(rows_, joined, [None] * len(rows_))
+                yield shown(ids, joined, [None] * len(ids))
         yield from ended()
 
-    found = components(rows, row_id)
-    own = found.select(F.col("canonical_id").alias("_component"), F.col(row_id).cast("long").alias("_id"), *_FIELDS[:6], F.unix_timestamp("posted_at").alias("posted_at"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce(F.length("description"), F.lit(0)).alias("length"))
+    # keys of any length go as 16 bytes; where a length parts them, no two pairs are written alike
+    pair = lambda a, b: F.concat(F.length(a).cast("string"), F.lit(":"), a, b)
+    digest = lambda key: F.unhex(F.md5(key))
+    company, title = F.col("company_key"), F.col("title_key")
+    own = meeting(rows, row_id).select(
+        "_component", F.col(row_id).cast("long").alias("_id"), pair(F.col("provider"), F.col("external_id")).alias("_by_id"), F.when(F.col("description_hash") != "", digest("description_hash")).alias("_by_text"),
+        F.when((company != "") & title.isNotNull(), digest(pair(company, F.coalesce("city", F.lit(""))))).alias("_by_place"), "title_key", F.unix_timestamp("posted_at").alias("posted_at"),
+        F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce(F.length("description"), F.lit(0)).alias("length"),
+    )
     said = cut(own.repartition("_component").sortWithinPartitions("_component", "_id").mapInArrow(run, "_row long, canonical_id long, kept_id long"), "merged")
     kept = said.where("_row is null").select("canonical_id", "kept_id")
-    return said.where("_row is not null").select(F.col("_row").alias(row_id), "canonical_id").join(kept, "canonical_id").select(row_id, "canonical_id", "kept_id")
+    return said.where("_row is not null").select(F.col("_row").alias(row_id), "canonical_id").join(_small(kept), "canonical_id").select(row_id, "canonical_id", "kept_id")

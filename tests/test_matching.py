@@ -425,3 +425,20 @@ def test_jobs_are_read_in_their_document(spark):
         (0, 1, None, "Acme Labs", ["Spark"], ["Built the cart", "Wrote jobs and others.", "Cut costs"]), (0, 2, None, "Nimbus", [], ["Ran it"]),
         (1, 1, "QA Analyst", "Zeta Bank", [], ["Tested", "Experience the world"]), (1, 2, "Trainee", "TCS", [], []), (2, 1, "Trainee", "TCS", [], []),
     ]
+
+
+def test_rows_that_can_meet_are_found_without_shuffling_them(spark, monkeypatch):
+    """The same merging whether titles are compared for all companies at once, or
+    by company, and whether what is joined is small or not."""
+    rng = random.Random(9)
+    titles = ["data engineer platform", "data engineer platforms", "data engineer platformsx", "qa analyst", "qa", "", None]
+    rows = []
+    for i in range(300):
+        at = rng.choice([None, datetime(2024, 1, 1) + timedelta(days=rng.randrange(150))])
+        rows.append((i, rng.choice(["p", None]), rng.choice([None, str(rng.randrange(200))]), rng.choice(["c", "d", "e", "", None]), rng.choice(["Pune", "", None]), rng.choice(titles), rng.choice([None, "", f"h{rng.randrange(200)}"]), at, rng.random() < 0.5, rng.choice([None, "", "x" * rng.randrange(9)])))
+    frame = spark.createDataFrame(rows, "id long, provider string, external_id string, company_key string, city string, title_key string, description_hash string, posted_at timestamp, truncated boolean, description string")
+    assert "hashpartitioning" not in resolve.meeting(frame, "id")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(resolve, "_TITLES", 3)
+    monkeypatch.setattr(resolve, "_FEW", 0)
+    assert "SortMergeJoin" in resolve.meeting(frame, "id")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in resolve.greedy(frame, "id").collect()) == merged_by_loop(rows)
