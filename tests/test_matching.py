@@ -442,3 +442,16 @@ def test_rows_that_can_meet_are_found_without_shuffling_them(spark, monkeypatch)
     monkeypatch.setattr(resolve, "_FEW", 0)
     assert "SortMergeJoin" in resolve.meeting(frame, "id")._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in resolve.greedy(frame, "id").collect()) == merged_by_loop(rows)
+
+
+def test_a_table_that_meets_itself_is_counted_once(spark):
+    rows = spark.createDataFrame([(i, i % 3, i % 5) for i in range(30)], "id int, k int, c int")
+    again = rows.select("*")
+    jobs = []
+    for group, right in (("one", rows), ("two", again)):
+        spark.sparkContext.setJobGroup(group, group)
+        found = joins.any_key(rows, right, [["k"], ["c"]], "id", "id")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        assert found.count() == sum(a % 3 == b % 3 or a % 5 == b % 5 for a in range(30) for b in range(30))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] < jobs[1]
